@@ -8,12 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisonde.llm import ffd_packing, line_winnow, lsm_dedup, pii, rule_quality, simhash_trie
+from lumisonde.llm import ffd_packing, hamming_topk, line_winnow, lsm_dedup, pii, rule_quality, simhash_trie, url_templates
 from lumisonde.session import shipped, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Rules of the url query, before the tree's verdict.
+URL_RULES: list[url_templates.Rule] = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+@shipped
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_templates.judge(pages, URL_RULES).drop("url")
+
+
 @shipped
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,6 +54,12 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+@shipped
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hamming_topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 @shipped
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm_dedup.dedup(table(spark, sf_dir, "documents"))
@@ -48,7 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ffd_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_quality, op5_simhash, op6_lines, op7_personal_data, op9_exact_dedup, op10_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_urls, op3_quality, op5_simhash, op6_lines, op7_personal_data, op8_top_k, op9_exact_dedup, op10_packing)}
 
 OP6_SQL = """
 WITH l AS (
@@ -86,4 +108,12 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLE: dict[str, str] = {"op6_lines": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+OP8_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(q.b, e.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS distance
+      FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p)
+SELECT query_id, rank, vec_id, CAST(distance AS INTEGER) AS distance FROM r WHERE rank <= 10
+"""
+
+ORACLE: dict[str, str] = {"op8_top_k": OP8_SQL, "op6_lines": OP6_SQL, "op9_exact_dedup": OP9_SQL}
