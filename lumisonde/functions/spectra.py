@@ -1,0 +1,179 @@
+"""Features that need a Fourier transform or nested loops over samples: numpy over Arrow batches, one clip at a time."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def spectrum(x: np.ndarray) -> np.ndarray:
+    """Magnitudes under a Hann window."""
+    return np.abs(np.fft.rfft(x * np.hanning(len(x))))
+
+
+def spectral(x: np.ndarray, rate: float) -> dict[str, float]:
+    """Centroid, spread, skewness, kurtosis, entropy, rolloff, flatness, crest, slope and share above a quarter of the rate."""
+    m = spectrum(x)
+    f = np.fft.rfftfreq(len(x), 1 / rate)
+    p = m / (m.sum() + 1e-10)
+    c = (f * p).sum()
+    v = ((f - c) ** 2 * p).sum()
+    s = np.sqrt(v) + 1e-10
+    power = m**2
+    lf, lm = np.log(f[1:]), np.log(m[1:] + 1e-10)
+    return {
+        "centroid": c,
+        "spread": v,
+        "skewness": ((f - c) ** 3 * p).sum() / s**3,
+        "kurtosis": ((f - c) ** 4 * p).sum() / s**4 - 3,
+        "entropy": -(p * np.log2(p + 1e-10)).sum(),
+        "rolloff": f[min(len(f) - 1, int(np.searchsorted(np.cumsum(power), 0.85 * power.sum())))],
+        "flatness": float(np.exp(np.log(m + 1e-10).mean()) / (m.mean() + 1e-10)),
+        "crest": m.max() / (m.mean() + 1e-10),
+        "slope": float(np.polyfit(lf, lm, 1)[0]) if len(lf) > 1 else 0.0,
+        "high_share": power[f > rate / 4].sum() / (power.sum() + 1e-10),
+    }
+
+
+def mel_filters(n_mels: int, n_fft: int, rate: float, low: float = 0.0) -> np.ndarray:
+    """Triangles evenly spaced on the mel scale."""
+    mel = lambda h: 2595 * np.log10(1 + h / 700)
+    hz = 700 * (10 ** (np.linspace(mel(low), mel(rate / 2), n_mels + 2) / 2595) - 1)
+    f = np.fft.rfftfreq(n_fft, 1 / rate)
+    up = (f - hz[:-2, None]) / np.diff(hz)[:-1, None]
+    down = (hz[2:, None] - f) / np.diff(hz)[1:, None]
+    return np.maximum(0, np.minimum(up, down))
+
+
+def dct(x: np.ndarray, n: int) -> np.ndarray:
+    """The first n coefficients of the orthonormal cosine transform, type two."""
+    k = np.arange(len(x))
+    basis = np.cos(np.pi / len(x) * (k + 0.5) * np.arange(n)[:, None]) * np.sqrt(2 / len(x))
+    basis[0] /= np.sqrt(2)
+    return basis @ x
+
+
+def mfcc(x: np.ndarray, rate: float, n: int = 13, n_mels: int = 20, lifter: int = 22) -> np.ndarray:
+    """Liftered cepstral coefficients of one frame."""
+    band = mel_filters(n_mels, len(x), rate) @ spectrum(x) ** 2
+    return dct(np.log(band + 1e-10), n) * (1 + lifter / 2 * np.sin(np.pi * np.arange(n) / lifter))
+
+
+def lpc(x: np.ndarray, order: int) -> np.ndarray:
+    """Prediction coefficients a with x[t] about sum a[k] x[t-1-k], by Levinson's recursion."""
+    r = np.correlate(x, x, "full")[len(x) - 1 : len(x) + order]
+    if r[0] == 0:
+        return np.zeros(order)
+    a, e = np.zeros(order), r[0]
+    for i in range(order):
+        k = (r[i + 1] - a[:i] @ r[i:0:-1]) / e
+        a[: i + 1] = np.append(a[:i] - k * a[:i][::-1], k)
+        e *= 1 - k * k
+        if e <= 0:
+            break
+    return a
+
+
+def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
+    """-ln(A/B) with tolerance r times the standard deviation; infinite where no template matches."""
+    n, tol = len(x), r * x.std()
+    if n <= m + 1 or tol == 0:
+        return 0.0
+
+    def matches(k: int) -> int:
+        t = np.lib.stride_tricks.sliding_window_view(x, k)[: n - m]
+        d = np.abs(t[:, None] - t[None]).max(-1) <= tol
+        return int(d.sum() - len(t))
+
+    a, b = matches(m + 1), matches(m)
+    return float(-np.log(a / b)) if a and b else float("inf")
+
+
+def higuchi(x: np.ndarray, most: int = 6) -> float:
+    """Fractal dimension: the slope of log curve length over log scale."""
+    n, ks, ls = len(x), range(1, max(2, min(most, len(x) // 10)) + 1), []
+    for k in ks:
+        per = []
+        for o in range(k):
+            s = x[o::k]
+            if len(s) > 1:
+                per.append(np.abs(np.diff(s)).sum() * (n - 1) / ((len(s) - 1) * k) / k)
+        ls.append(np.mean(per) + 1e-12)
+    return float(-np.polyfit(np.log(list(ks)), np.log(ls), 1)[0])
+
+
+def hurst(x: np.ndarray) -> float:
+    """Slope of log rescaled range over log segment length."""
+    sizes = np.unique(np.logspace(np.log10(4), np.log10(max(5, len(x) // 2)), 8).astype(int))
+    rs = []
+    for s in sizes:
+        w = x[: len(x) // s * s].reshape(-1, s)[:10]
+        d = np.cumsum(w - w.mean(1, keepdims=True), 1)
+        sd = w.std(1)
+        rs.append(((d.max(1) - d.min(1))[sd > 0] / sd[sd > 0]).mean() if (sd > 0).any() else 1e-12)
+    return float(np.polyfit(np.log(sizes), np.log(rs), 1)[0])
+
+
+def dfa(x: np.ndarray) -> float:
+    """Detrended fluctuation exponent."""
+    y = np.cumsum(x - x.mean())
+    sizes = np.unique(np.logspace(np.log10(4), np.log10(max(5, len(x) // 4)), 6).astype(int))
+    out = []
+    for s in sizes:
+        w = y[: len(y) // s * s].reshape(-1, s)
+        t = np.arange(s) - (s - 1) / 2
+        slope = (w * t).sum(1) / (t * t).sum()
+        rest = w - w.mean(1, keepdims=True) - slope[:, None] * t
+        out.append(np.sqrt((rest**2).mean()) + 1e-12)
+    return float(np.polyfit(np.log(sizes), np.log(out), 1)[0])
+
+
+SPECTRAL = ("centroid", "spread", "skewness", "kurtosis", "entropy", "rolloff", "flatness", "crest", "slope", "high_share")
+COMPLEXITY = {"sample_entropy": sample_entropy, "higuchi": higuchi, "hurst": hurst, "dfa": dfa}
+_doubles = lambda names: T.StructType([T.StructField(c, T.DoubleType()) for c in names])
+
+
+def _whole(v) -> np.ndarray:
+    return np.asarray(v, float) if v is not None and len(v) > 2 else np.zeros(4)
+
+
+def spectral_udf(rate: float):
+    """A column function: struct of spectral features of an array column."""
+
+    @F.pandas_udf(_doubles(SPECTRAL))
+    def run(clips: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([spectral(_whole(v), rate) for v in clips], columns=list(SPECTRAL), dtype=float)
+
+    return run
+
+
+def mfcc_udf(rate: float, n: int = 13):
+    """A column function: array of cepstral coefficients."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(clips: pd.Series) -> pd.Series:
+        return pd.Series([mfcc(_whole(v), rate, n).tolist() for v in clips])
+
+    return run
+
+
+def lpc_udf(order: int):
+    """A column function: array of prediction coefficients."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(clips: pd.Series) -> pd.Series:
+        return pd.Series([lpc(_whole(v), order).tolist() for v in clips])
+
+    return run
+
+
+def complexity_udf():
+    """A column function: struct of complexity measures."""
+
+    @F.pandas_udf(_doubles(COMPLEXITY))
+    def run(clips: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([{k: f(_whole(v)) for k, f in COMPLEXITY.items()} for v in clips], columns=list(COMPLEXITY), dtype=float)
+
+    return run

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumisonde.functions.arrays import let, total
+
 
 def temperature(p: Column, t: float | None) -> Column:
     """p at another temperature; None, 1 and values up to 0 change nothing."""
@@ -21,8 +23,8 @@ def temperature(p: Column, t: float | None) -> Column:
 
 def softmax(z: Column) -> Column:
     """Of an array, stable for large values."""
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    shares = lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t))
+    return let(F.array_max(z), lambda top: let(F.transform(z, lambda x: F.exp(x - top)), shares))
 
 
 def entropy(p: Column) -> Column:

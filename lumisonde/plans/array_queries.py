@@ -1 +1,103 @@
-"""Queries."""
+"""Queries over array columns and strings; embeddings stand in for clips."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumisonde.functions import arrays as a
+from lumisonde.functions import spectra
+from lumisonde.plans.registry import query
+from lumisonde.session import shipped, table
+
+V = "v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings)"
+
+
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+
+
+def rounded(df: DataFrame, key: str, columns: dict, places: int = 6) -> DataFrame:
+    return df.select(key, *[F.round(c, places).alias(n) for n, c in columns.items()])
+
+
+MOMENTS = "m AS (SELECT vec_id, x, list_avg(x) AS mean, list_var_pop(x) AS m2 FROM v)"
+
+
+@query(f"WITH {V}, {MOMENTS} SELECT vec_id, round(mean, 6) AS mean, round(sqrt(m2), 6) AS std, round(list_avg(list_transform(x, lambda u: (u - mean) ** 3)) / m2 ** 1.5, 6) AS skew, round(list_avg(list_transform(x, lambda u: (u - mean) ** 4)) / (m2 * m2) - 3, 6) AS kurtosis, round(list_max(list_transform(x, lambda u: abs(u))), 6) AS peak, round(sqrt(list_avg(list_transform(x, lambda u: u * u))), 6) AS rms, round(list_max(list_transform(x, lambda u: abs(u))) / sqrt(list_avg(list_transform(x, lambda u: u * u))), 6) AS crest, round(list_max(x) - list_min(x), 6) AS range, round(list_sum(list_transform(x, lambda u: u * u)), 6) AS energy FROM m")
+def time_domain_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(clips(spark, sf_dir), "vec_id", a.statistics(F.col("x")))
+
+
+@query(f"WITH {V} SELECT vec_id, round(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN (x[i] < 0) <> (x[i + 1] < 0) THEN 1.0::DOUBLE ELSE 0.0 END)) / 63, 6) AS zcr FROM v")
+def zero_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(clips(spark, sf_dir), "vec_id", {"zcr": a.sign_changes(F.col("x"))})
+
+
+@query(f"WITH {V}, s AS (SELECT vec_id, x, list_sort(x) AS o FROM v), d AS (SELECT vec_id, x, (o[32] + o[33]) / 2 AS med FROM s), r AS (SELECT vec_id, x, med, list_sort(list_transform(x, lambda u: abs(u - med))) AS q FROM d) SELECT vec_id, round((x[1] - list_min(x)) / (list_max(x) - list_min(x)), 6) AS minmax, round((x[1] - list_avg(x)) / list_stddev_pop(x), 6) AS zscore, round((x[1] - med) / ((q[32] + q[33]) / 2), 6) AS robust FROM r")
+def normalize_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("x")
+    return rounded(clips(spark, sf_dir), "vec_id", {m: F.get(a.normalize(x, m), F.lit(0)) for m in ("minmax", "zscore", "robust")})
+
+
+@query(f"WITH {V} SELECT vec_id, round(list_sum(x[13:52]), 6) AS cropped, round(list_sum(x) , 6) AS padded, round(list_sum(x) + list_sum(x[1:36]), 6) AS tiled FROM v")
+def pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("x")
+    return rounded(clips(spark, sf_dir), "vec_id", {"cropped": a.total(a.fit(x, 40)), "padded": a.total(a.fit(x, 100)), "tiled": a.total(a.fit(x, 100, tile=True))})
+
+
+@query(f"WITH {V} SELECT vec_id, i::INT AS segment, len(x[i * 10 + 1:i * 10 + 16]) AS n, round(list_sum(list_transform(x[i * 10 + 1:i * 10 + 16], lambda u: u * u)), 6) AS energy FROM v, range(7) t(i) WHERE len(x[i * 10 + 1:i * 10 + 16]) >= 8")
+def segments_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = clips(spark, sf_dir).select("vec_id", F.posexplode(a.segments(F.col("x"), 16, 10, 8)).alias("segment", "w"))
+    return s.select("vec_id", "segment", F.size("w").cast("long").alias("n"), F.round(a.energy(F.col("w")), 6).alias("energy"))
+
+
+@query(f"WITH {V}, s AS (SELECT vec_id, unnest([x[1:16], x[17:32], x[33:48], x[49:64]]) AS w FROM v), e AS (SELECT vec_id, sqrt(list_avg(list_transform(w, lambda u: u * u))) AS r FROM s) SELECT vec_id, count(*) AS segments, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, round(min(r), 6) AS least, round(max(r), 6) AS most, round(median(r), 6) AS middle FROM e GROUP BY vec_id")
+def segment_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = clips(spark, sf_dir).select("vec_id", F.explode(a.segments(F.col("x"), 16, 16)).alias("w")).select("vec_id", a.rms(F.col("w")).alias("r"))
+    out = s.groupBy("vec_id").agg(F.count(F.lit(1)).alias("segments"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"), F.min("r").alias("least"), F.max("r").alias("most"), F.median("r").alias("middle"))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std", "least", "most", "middle")})
+
+
+@query(f"WITH {V}, g AS (SELECT vec_id, x, least((10 ** (-23 / 20.0::DOUBLE)) / sqrt(list_avg(list_transform(x, lambda u: u * u))), 0.95 / list_max(list_transform(x, lambda u: abs(u)))) AS gain FROM v) SELECT vec_id, round(gain * x[1], 6) AS first, round(gain * list_max(x), 6) AS most, sqrt(list_avg(list_transform(x, lambda u: u * u))) < 10 ** (-50 / 20.0::DOUBLE) AS silent FROM g")
+def gain_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("x")
+    y = a.agc(x)
+    return clips(spark, sf_dir).select("vec_id", F.round(F.get(y, F.lit(0)), 6).alias("first"), F.round(F.array_max(y), 6).alias("most"), a.silent(x).alias("silent"))
+
+
+@query("WITH o AS (SELECT user_id, (value <= lead(value) OVER w)::INT * 4 + (lead(value) OVER w <= lead(value, 2) OVER w)::INT * 2 + (value <= lead(value, 2) OVER w)::INT AS pat, lead(value, 2) OVER w IS NOT NULL AS whole FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), c AS (SELECT user_id, pat, count(*) AS n FROM o WHERE whole GROUP BY ALL), p AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c) SELECT user_id, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY user_id")
+def permutation_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(seq.alias("x"))
+    return rounded(e, "user_id", {"entropy": a.permutation_entropy(F.col("x"))})
+
+
+@query()
+@shipped
+def spectral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clips(spark, sf_dir).select("vec_id", spectra.spectral_udf(16000.0)("x").alias("s")).select("vec_id", "s.*")
+
+
+@query()
+@shipped
+def cepstral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clips(spark, sf_dir).select("vec_id", spectra.mfcc_udf(16000.0)("x").alias("mfcc"), spectra.lpc_udf(8)("x").alias("lpc"))
+
+
+@query()
+@shipped
+def complexity_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clips(spark, sf_dir).select("vec_id", spectra.complexity_udf()("x").alias("s")).select("vec_id", "s.*")
+
+
+@query("SELECT event_type, sum(CAST(props->>'k' AS BIGINT)) AS total, count(props->>'k') AS n FROM events GROUP BY event_type")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return e.groupBy("event_type").agg(F.sum("k").alias("total"), F.count("k").alias("n"))
+
+
+@query("SELECT doc_id, regexp_extract(source, '^[a-z]+', 0) AS source, lower(regexp_replace(concat(lang, '-', source), '[^A-Za-z0-9]', '', 'g')) AS slug, left(regexp_replace(left(text, 40), '[^A-Za-z0-9._-]+', '_', 'g'), 20) AS safe, CASE WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE) WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024.0::DOUBLE) ELSE printf('%.1f MB', n_chars / 1048576.0::DOUBLE) END AS size FROM documents")
+def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", a.source_of(F.concat(F.lit("x/"), F.col("source"))).alias("source"), a.slug(F.concat_ws("-", "lang", "source")).alias("slug"), a.safe_name(F.left("text", F.lit(40)), 20).alias("safe"), a.human_size(F.col("n_chars").cast("double")).alias("size"))
