@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisonde.llm import ffd_packing, hamming_topk, line_winnow, lsm_dedup, pii, rule_quality, simhash_trie, url_templates
+from lumisonde.llm import ffd_packing, hamming_topk, line_winnow, lsm_dedup, maxent_lm, pii, rule_quality, simhash_trie, url_templates
 from lumisonde.session import shipped, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", rule_quality.held_out().alias("held_out"), "score", (F.col("score") >= rule_quality.KEEP).cast("int").alias("predicted"))
 
 
+@shipped
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return maxent_lm.score(docs, maxent_lm.fit(docs.where(~maxent_lm.held_out())))
+
+
 @shipped
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.components(table(spark, sf_dir, "documents"))
@@ -70,7 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ffd_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_urls, op3_quality, op5_simhash, op6_lines, op7_personal_data, op8_top_k, op9_exact_dedup, op10_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_urls, op3_quality, op4_lm_score, op5_simhash, op6_lines, op7_personal_data, op8_top_k, op9_exact_dedup, op10_packing)}
 
 OP6_SQL = """
 WITH l AS (
