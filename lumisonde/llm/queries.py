@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisonde.llm import ffd_packing, hamming_topk, line_winnow, lsm_dedup, maxent_lm, pii, rule_quality, simhash_trie, url_templates
+from lumisonde.llm import ffd_packing, hamming_topk, line_winnow, lsm_dedup, maxent_lm, pii, piece_lattice, rule_quality, simhash_trie, url_templates
 from lumisonde.session import shipped, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,13 @@ def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(pages, URL_RULES).drop("url")
 
 
+@shipped
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = piece_lattice.load(public_tokenizers.path("piece_bpe_32k.model"))
+    out = piece_lattice.encode(table(spark, sf_dir, "documents"), vocabulary)
+    return out.select("doc_id", "ids", piece_lattice.digest_of("ids").alias("d")).select("doc_id", "ids", "d.*")
+
+
 @shipped
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,7 +83,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ffd_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_urls, op3_quality, op4_lm_score, op5_simhash, op6_lines, op7_personal_data, op8_top_k, op9_exact_dedup, op10_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_urls, op2_pieces, op3_quality, op4_lm_score, op5_simhash, op6_lines, op7_personal_data, op8_top_k, op9_exact_dedup, op10_packing)}
 
 OP6_SQL = """
 WITH l AS (
