@@ -22,7 +22,9 @@ is a group of its own; memory then grows with that document only.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,9 +37,13 @@ CAPACITY = 4096
 END_ID = 2
 #: Tokens of a group, about: 4 bytes each in memory.
 GROUP_TOKENS = 1 << 21
-#: White space that any tokenizer of words drops; other white space stays in a chunk and is left to the tokenizer.
+#: A full stop or comma after a letter and before white space: a token of its own for tokenizers that split off punctuation.
+STOP_AFTER_LETTER = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([.,])(?![^\x20\x09-\x0D])")
 CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
-CACHED_CHUNKS = 400_000
+#: Letters whose lower case and bytes are the same for any library.
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Chunks whose ids a worker keeps, twice at most: those met lately, and those met before.
+CACHED_CHUNKS = 300_000
 
 
 class Tournament:
@@ -138,33 +144,77 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[Piece]]:
     return done + bins[:-1] + (split_powers(bins[-1], capacity) if bins else [])
 
 
-_encoders: dict[str, Callable[[list[str | None]], list[bytes]]] = {}
-
-
-def chunk_encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
-    """Texts to little-endian 32-bit ids by a tokenizer file that drops white space; ids of chunks between white space are kept for reuse, so many at most."""
-    if path not in _encoders:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        known: dict[str, bytes] = {}
-
-        def encode(texts: list[str | None]) -> list[bytes]:
-            out = []
-            for text in texts:
-                chunks = CHUNK.findall(text) if text else []
-                new = [c for c in set(chunks) if c not in known]
-                if len(known) + len(new) > CACHED_CHUNKS:
-                    known.clear()
-                    new = list(set(chunks))
-                for c, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else (), strict=True):
-                    known[c] = np.array(e.ids, "<u4").tobytes()
-                out.append(b"".join(map(known.__getitem__, chunks)))
-            return out
-
-        _encoders[path] = encode
-    return _encoders[path]
+def byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: printable Latin-1 itself, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+
+
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+Encoder = Callable[[str | None], bytes]
+_encoders: dict[str, Encoder] = {}
+
+
+def chunk_encoder(path: str) -> Encoder:
+    """Text to little-endian 32-bit ids, by a tokenizer file that drops white space.
+
+    Ids of chunks between white space are kept for reuse. Chunks of plain letters go to the
+    file's merge rules directly, if that gives what the whole tokenizer gives.
+    """
+    if path in _encoders:
+        return _encoders[path]
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    rules, as_letters = tokenizer.model, byte_letters()
+    lately: dict[str, bytes] = {}
+    before: dict[str, bytes] = {}
+
+    def whole(chunks: list[str]) -> list[bytes]:
+        return [little(e.ids) for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else []
+
+    def by_rules(chunk: str) -> bytes:
+        found = rules.tokenize(chunk.lower().encode().decode("latin-1").translate(as_letters))
+        return little([t.id for t in found])
+
+    probes = ["straightforwardly", "Einverständnis", "FRANÇAIS", "corazón", "ßÿñ", "q"]
+    direct = whole(probes) == [by_rules(x) for x in probes]
+    apart = all(whole([w + c]) == [b"".join(whole([w, c]))] for w in probes for c in ".,")
+    lower = whole([x.upper() for x in probes if x.isascii()]) == whole([x for x in probes if x.isascii()])
+
+    def encode(text: str | None) -> bytes:
+        nonlocal lately, before
+        if not text:
+            return b""
+        if lower and text.isascii():
+            text = text.lower()
+        chunks = CHUNK.findall(STOP_AFTER_LETTER.sub(r" \1", text) if apart else text)
+        hard = []
+        for c in set(chunks):
+            if c not in lately:
+                if (ids := before.get(c)) is not None:
+                    lately[c] = ids
+                elif direct and LETTERS.fullmatch(c):
+                    lately[c] = by_rules(c)
+                else:
+                    hard.append(c)
+        lately.update(zip(hard, whole(hard), strict=True))
+        out = b"".join(map(lately.__getitem__, chunks))
+        if len(lately) > CACHED_CHUNKS:
+            lately, before = {}, lately
+        return out
+
+    _encoders[path] = encode
+    return encode
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -193,7 +243,7 @@ def packed(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                x = encode([text])[0] + end
+                x = encode(text) + end
                 if held and tokens + len(x) // 4 > group_tokens:
                     yield emit()
                     held, ids, tokens = [], [], 0
