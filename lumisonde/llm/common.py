@@ -19,11 +19,10 @@ def words(text: str | None) -> list[bytes]:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the session names it; a new local one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="lumisonde-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumisonde-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found
 
 
