@@ -264,28 +264,34 @@ def _byte(code: Column, i: int) -> Column:
 
 
 def _dealt(rows: DataFrame, budget: int, heavy: int, lanes: int) -> DataFrame:
-    """Deals heavy groups out over pairs of child nodes, a byte of the code at a time."""
+    """Deals heavy groups out over pairs of child nodes, a byte of the code at a time.
+
+    A row goes to the pairs of its own child with each child that differs in no more bits
+    than the budget has left. Pairs of which one side is empty are dropped.
+    """
     light = None
-    for i in range(8 * lanes):
-        counts = rows.groupBy("grp").count().where(F.col("count") > heavy).select("grp")
-        if counts.isEmpty():
-            break
-        counts = written(counts, "heavy")
-        rest = rows.join(counts, "grp", "left_anti")
+    rows = rows.withColumn("used", F.lit(0))
+    for i in range(8 * lanes + 1):
+        sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("side").alias("lo"), F.max("side").alias("hi"))
+        sizes = written(sizes.where("size > 1 and (lo = 0 or lo < hi)").select("grp", "size"), "sizes")
+        large = sizes.where(F.col("size") > heavy).select("grp")
+        last = i == 8 * lanes or large.isEmpty()
+        if last and light is None:
+            return rows.drop("used")
+        rest = rows.join(sizes.where(F.col("size") <= heavy) if not last else sizes, "grp", "left_semi").drop("used")
         light = rest if light is None else light.unionByName(rest)
-        near = F.array(*[F.lit(x) for x in range(256) if bin(x).count("1") <= budget])
-        b = _byte(F.col("code"), i)
-        # sides of a group already dealt stay apart; a group paired with itself has every pair of children once
-        own = rows.join(counts, "grp", "left_semi").withColumn("b", b).withColumn("x", F.explode(near))
+        if last:
+            return light
+        own = rows.join(large, "grp", "left_semi").withColumn("b", _byte(F.col("code"), i))
+        near = F.array(*[F.lit(x) for x in sorted(range(256), key=lambda x: (bin(x).count("1"), x)) if bin(x).count("1") <= budget])
+        own = own.withColumn("x", F.explode(F.filter(near, lambda x: F.bit_count(x) + F.col("used") <= budget)))
         other = F.col("b").bitwiseXOR(F.col("x"))
         second = (F.col("side") == 2) | ((F.col("side") == 0) & (F.col("b") > other))
-        first = F.when(second, other).otherwise(F.col("b"))
-        last = F.when(second, F.col("b")).otherwise(other)
+        p, q = F.when(second, other).otherwise(F.col("b")), F.when(second, F.col("b")).otherwise(other)
         side = F.when((F.col("side") == 0) & (F.col("x") == 0), 0).otherwise(F.when(second, 2).otherwise(1))
-        own = own.withColumns({"p": first, "q": last})
-        rows = own.select(F.xxhash64("grp", "p", "q", F.lit(i)).alias("grp"), side.cast("byte").alias("side"), "code")
-        rows = written(rows, "dealt")
-    return rows if light is None else light.unionByName(rows)
+        used = (F.col("used") + F.bit_count("x")).cast("int")
+        rows = written(own.select(F.xxhash64("grp", p, q, F.lit(i)).alias("grp"), side.cast("byte").alias("side"), "code", used.alias("used")), "dealt")
+    return light
 
 
 def links(nodes: DataFrame, anchors: Anchors, budget: int, lanes: int = 1, heavy: int = HEAVY) -> DataFrame:
