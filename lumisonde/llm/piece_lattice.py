@@ -41,7 +41,7 @@ SPACE = "▁"
 UNIT = re.compile(r"\n| *[^ \n]+| +")
 MAX_UNIT = 256
 #: Units whose pieces every task holds; units that a counting task holds before it sends them on.
-HOT, HELD = 300_000, 300_000
+HOT, HELD = 100_000, 300_000
 #: Most pieces a table may have to be broadcast whole.
 MOST_PIECES = 1_000_000
 
@@ -221,8 +221,9 @@ def encode(docs: DataFrame, vocabulary: Pieces, text: str = "text", hot: int = H
     sc = docs.sparkSession.sparkContext
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     table = written(encode_lexicon(lexicon(slim), vocabulary), "lexicon")
-    top = table.orderBy(F.desc("n"), "unit").limit(hot).select("unit", "ids").toPandas()  # hot rows at most
-    held = sc.broadcast((dict(zip(top["unit"], range(len(top)))), [np.asarray(x, "<i4").tobytes() for x in top["ids"]]))
+    top = table.orderBy(F.desc("n"), "unit").limit(hot).select("unit", "ids").toArrow()  # hot rows at most
+    cut, flat = top["ids"].combine_chunks().offsets.to_numpy().tolist(), top["ids"].combine_chunks().values.to_numpy()
+    held = sc.broadcast((dict(zip(top["unit"].to_pylist(), range(len(top)))), [flat[a:z].astype("<i4").tobytes() for a, z in zip(cut, cut[1:])]))
     order = {s: r for r, s in enumerate(sorted(set(vocabulary.scores), reverse=True))}
     known = sc.broadcast({p: (order[s], i) for i, (p, s) in enumerate(zip(vocabulary.pieces, vocabulary.scores, strict=True)) if p})
     del top
