@@ -63,7 +63,7 @@ def test_stream_steps():
 
 
 def test_stream_detector_matches_plain_steps(spark):
-    from conftest import SF
+    from compare import SF
     from lumisonde.plans.stream_queries import stream_detector
 
     got = {(r.key, r.seq): (round(r.raw, 9), round(r.smooth, 9)) for r in stream_detector(spark, SF).collect()}

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from compare import of_spark, of_sql
-from conftest import SF
+from compare import SF, of_spark, of_sql
 from lumisonde.plans.registry import ORACLE, QUERIES
 
 
