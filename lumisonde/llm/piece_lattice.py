@@ -42,6 +42,8 @@ UNIT = re.compile(r"\n| *[^ \n]+| +")
 MAX_UNIT = 256
 #: Units whose pieces every task holds; units that a counting task holds before it sends them on.
 HOT, HELD = 100_000, 300_000
+#: Partitions of the lexicon for each of the session's shuffle partitions.
+SPLIT = 6
 #: Most pieces a table may have to be broadcast whole.
 MOST_PIECES = 1_000_000
 
@@ -101,11 +103,16 @@ def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["unit", "n"])
 
     counts = docs.select(F.col(text).alias("text")).mapInArrow(run, "unit string, n long")
-    return counts.where(F.char_length("unit") <= MAX_UNIT).groupBy("unit").agg(F.sum("n").alias("n"))
+    # tasks have counted by themselves already; parts so small that the edges of one need no disk
+    parts = SPLIT * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counts.where(F.char_length("unit") <= MAX_UNIT).repartition(parts, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def lattice(words: DataFrame, vocabulary: Pieces) -> DataFrame:
-    """(unit, n, edges): edges (end, start, score, id) in the order of their ends; id -1 marks a character without a piece."""
+    """(unit, n, edges): edges (end, start, score, id) in the order of their ends; id -1 marks a character without a piece.
+
+    For a model of merges an edge is one number, (id + 1) * 2^18 + start * 512 + end, in no order.
+    """
     spark = words.sparkSession
     marked = F.translate("unit", " ", SPACE)
     ends = lambda s: F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.char_length("unit") - s))
@@ -114,6 +121,9 @@ def lattice(words: DataFrame, vocabulary: Pieces) -> DataFrame:
     each = each.select("unit", "n", "start", "size", F.substring("m", F.col("start") + 1, F.col("size")).alias("piece"))
     met = each.join(F.broadcast(vocabulary.table(spark)), "piece", "left").where("id is not null or size = 1")
     edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("score", F.lit(-1e6)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
+    if vocabulary.merges:
+        packed = F.coalesce(F.col("id") + 1, F.lit(0)).cast("long") * 2**18 + F.col("start") * 512 + F.col("start") + F.col("size")
+        return met.groupBy("unit", "n").agg(F.collect_list(packed).alias("edges"))
     return met.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
@@ -202,10 +212,10 @@ def encode_lexicon(words: DataFrame, vocabulary: Pieces) -> DataFrame:
         for b in batches:
             names, out = b["unit"].to_pylist(), []
             if vocabulary.merges:
-                flat = b["edges"].flatten()
+                flat = b["edges"].flatten().to_numpy()
                 cut = (b["edges"].offsets.to_numpy() - b["edges"].offsets[0].as_py()).tolist()
-                key = (flat.field("start").to_numpy().astype(np.int64) * 512 + flat.field("end").to_numpy()).tolist()
-                ids = flat.field("id").to_numpy()
+                key = (flat % 2**18).tolist()
+                ids = flat // 2**18 - 1
                 value = list(zip(rank[ids].tolist(), ids.tolist(), strict=True))
                 for unit, a, z in zip(names, cut, cut[1:]):
                     out.append(with_bytes(unit, merged(len(unit), dict(zip(key[a:z], value[a:z]))), byte_ids))
