@@ -8,7 +8,7 @@ cost one row however many there are.
 agree on these bits. ``covering_anchors`` loses no pair within the budget: of so many
 blocks, some choice of (blocks - budget) must be free of differences.
 ``sampled_anchors`` serves budgets too wide for that; its recall is a matter of chance
-and of the number of anchors, and is measured in the tests.
+and of the number of anchors.
 
 *Trie join.* The sorted codes of one key are a binary trie whose nodes are ranges.
 Starting with the pair (root, root), a pair of nodes is replaced by the pairs of their
@@ -20,6 +20,14 @@ spanning forest: one row per code at most.
 *Heavy keys.* A key with more codes than ``heavy`` is dealt out over its pairs of child
 nodes eight bits further down, again and again, so no task holds an unbounded group.
 
+*Near copies by similarity.* ``drop_near_copies`` uses codes only to propose. Its nodes are
+distinct sets of shingles. Nodes meet if a band of minimum hashes is equal, which a pair
+at the similarity asked for misses with probability MISSED at most. First each node is
+paired with the least and the largest node it meets; then, by the trie join, with all
+others it meets that are within a wide budget of bits and not connected yet. Every pair
+proposed is verified by the exact Jaccard similarity of the two sets, and only verified
+pairs are links.
+
 *Components.* Links from all tables are joined by alternating large-star and small-star
 steps; each step is written to the shared folder.
 
@@ -135,22 +143,29 @@ def _expand(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
+def _near(words_: np.ndarray, i: np.ndarray, j: np.ndarray, budget: int) -> np.ndarray:
+    return np.bitwise_count(words_[i] ^ words_[j]).sum(1, dtype=np.int32) <= budget
+
+
 def trie_links(words_: np.ndarray, roots: np.ndarray, budget: int) -> np.ndarray:
     """label[i]: the smallest row that row i is connected with by steps of at most budget bits, between the pairs of ranges given.
 
     words_: (rows, lanes) of uint64, sorted within each range; roots: rows of
     (a_lo, a_hi, b_lo, b_hi), where a range paired with itself stands for its own pairs.
     """
-    n, lanes = words_.shape
-    label = np.arange(n)
-
-    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(words_[i] ^ words_[j]).sum(1, dtype=np.int32) <= budget
-
+    label = np.arange(len(words_))
     own = roots[(roots[:, 0] == roots[:, 2]) & (roots[:, 1] - roots[:, 0] > 1)]
     _, i = _expand(own[:, 0], own[:, 1] - own[:, 0] - 1)
-    i = i[near(i, i + 1)]  # neighbours in the order of the trie first: most of a cluster hangs together by them
+    i = i[_near(words_, i, i + 1, budget)]  # neighbours in the order of the trie first: most of a cluster hangs together by them
     _unite(label, i, i + 1)
+    for i, j in trie_pairs(words_, roots, budget, label):
+        _unite(label, i, j)
+    return label
+
+
+def trie_pairs(words_: np.ndarray, roots: np.ndarray, budget: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of all pairs of rows within the budget whose labels differ, each pair once or twice; the labels may be united between batches."""
+    lanes = words_.shape[1]
     ones: dict[int, np.ndarray] = {}
     stack = [(0, np.column_stack((roots, np.zeros(len(roots), np.int64))))]
     while stack:
@@ -171,8 +186,8 @@ def trie_links(words_: np.ndarray, roots: np.ndarray, budget: int) -> np.ndarray
             i = i[inner]
             open_ = (i != j) & (label[i] != label[j])
             i, j = i[open_], j[open_]
-            hit = near(i, j)
-            _unite(label, i[hit], j[hit])
+            hit = _near(words_, i, j, budget)
+            yield i[hit], j[hit]
             pairs = pairs[~small]
         if not len(pairs):
             continue
@@ -197,24 +212,28 @@ def trie_links(words_: np.ndarray, roots: np.ndarray, budget: int) -> np.ndarray
         children = children[(children[:, 0] != children[:, 2]) | (children[:, 1] - children[:, 0] > 1)]
         if len(children):
             stack.append((depth + 1, children))
-    return label
 
 
-def _join_sorted(budget: int, lanes: int, chunk_rows: int):
-    """Rows sorted by group, side and code to (u, v) links of a spanning forest per group."""
+def _join_sorted(budget: int, lanes: int, chunk_rows: int, known: bool = False):
+    """Rows sorted by group, side and code to (u, v): links of a spanning forest per group, or, where components are known, all pairs between them."""
 
-    def links(group: np.ndarray, side: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+    def links(group: np.ndarray, side: np.ndarray, raw: np.ndarray, name: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         ends = np.append(starts[1:], len(group))
         cross = side[starts] > 0  # side 0: a group paired with itself; sides 1 and 2: one with the other
         mid = ends - np.add.reduceat((side == 2).astype(np.int64), starts)
         roots = np.column_stack((starts, np.where(cross, mid, ends), np.where(cross, mid, starts), ends))
         roots = roots[(roots[:, 1] > roots[:, 0]) & (ends - starts > 1)]
-        label = trie_links(raw.view(">u8").astype(np.uint64).reshape(-1, lanes), roots, budget)
+        codes_ = raw.view(">u8").astype(np.uint64).reshape(-1, lanes)
+        pick = lambda rows: pa.array([x.tobytes() for x in name[rows]], pa.binary())
+        if known:
+            for i, j in trie_pairs(codes_, roots, budget, part):
+                for a in range(0, len(i), chunk_rows):
+                    yield pa.RecordBatch.from_arrays([pick(i[a : a + chunk_rows]), pick(j[a : a + chunk_rows])], names=["u", "v"])
+            return
+        label = trie_links(codes_, roots, budget)
         u = np.flatnonzero(label != np.arange(len(label)))
-        flat = raw.reshape(-1, 8 * lanes)
-        pick = lambda rows: pa.array([x.tobytes() for x in flat[rows]], pa.binary())
-        return pa.RecordBatch.from_arrays([pick(u), pick(label[u])], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pick(u), pick(label[u])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -227,17 +246,20 @@ def _join_sorted(budget: int, lanes: int, chunk_rows: int):
             if not b.num_rows:
                 continue
             raw = np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            held.append((b["grp"].to_numpy(), b["side"].to_numpy(zero_copy_only=False).astype(np.int64), raw))
+            name = np.frombuffer(b"".join(b["node"].to_pylist()), np.uint8).reshape(b.num_rows, -1) if known else raw
+            part = b["part"].to_numpy() if known else np.zeros(b.num_rows, np.int64)
+            held.append((b["grp"].to_numpy(), b["side"].to_numpy(zero_copy_only=False).astype(np.int64), raw, name, part))
             rows += b.num_rows
             if rows >= chunk_rows:
-                group, side, raw = together()
+                all_ = together()
+                group = all_[0]
                 last = int(np.searchsorted(-(group[::-1] == group[-1]).astype(np.int8), 0, "left"))
                 cut = len(group) - last  # the last group may go on
                 if cut:
-                    yield links(group[:cut], side[:cut], raw[:cut])
-                held, rows = [(group[cut:], side[cut:], raw[cut:])], last
+                    yield from links(*(x[:cut] for x in all_))
+                held, rows = [tuple(x[cut:] for x in all_)], last
         if rows:
-            yield links(*together())
+            yield from links(*together())
 
     return run
 
@@ -270,6 +292,7 @@ def _dealt(rows: DataFrame, budget: int, heavy: int, lanes: int) -> DataFrame:
     than the budget has left. Pairs of which one side is empty are dropped.
     """
     light = None
+    carried = [c for c in rows.columns if c not in ("grp", "side")]
     rows = rows.withColumn("used", F.lit(0))
     for i in range(8 * lanes + 1):
         sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("side").alias("lo"), F.max("side").alias("hi"))
@@ -290,7 +313,7 @@ def _dealt(rows: DataFrame, budget: int, heavy: int, lanes: int) -> DataFrame:
         p, q = F.when(second, other).otherwise(F.col("b")), F.when(second, F.col("b")).otherwise(other)
         side = F.when((F.col("side") == 0) & (F.col("x") == 0), 0).otherwise(F.when(second, 2).otherwise(1))
         used = (F.col("used") + F.bit_count("x")).cast("int")
-        rows = written(own.select(F.xxhash64("grp", p, q, F.lit(i)).alias("grp"), side.cast("byte").alias("side"), "code", used.alias("used")), "dealt")
+        rows = written(own.select(F.xxhash64("grp", p, q, F.lit(i)).alias("grp"), side.cast("byte").alias("side"), *carried, used.alias("used")), "dealt")
     return light
 
 
@@ -337,9 +360,11 @@ def components(docs: DataFrame, shingle: int = 3, budget: int = 2, blocks: int =
     return out.select("doc_id", F.lower(F.hex("code")).alias("fingerprint"), "component_id")
 
 
-#: For documents that share 0.8 of their shingles: cosine 2J/(1+J) = 0.889, so 15.2 % of a code's bits differ on average.
-LANES, SIMILARITY = 4, 0.8
-TABLES, ANCHOR_BITS = 40, 16
+#: Documents that share 0.8 of their shingles: cosine 2J/(1+J) = 0.889, so 15.2 % of a code's bits differ on average. The budget
+#: lies DEVIATIONS above that, as sets of four and five shingles differ in 18.8 %.
+LANES, SIMILARITY, DEVIATIONS = 4, 0.8, 6
+#: Minimum hashes of a band, and the probability with which a pair just at the similarity may have no band in common.
+BAND, MISSED = 5, 1e-4
 
 
 def bit_budget(similarity: float, lanes: int) -> int:
@@ -347,20 +372,106 @@ def bit_budget(similarity: float, lanes: int) -> int:
     return int(64 * lanes * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, lanes: int = LANES, tables: int = TABLES, anchor_bits: int = ANCHOR_BITS) -> DataFrame:
-    """docs without near copies: of each component the document with the smallest doc_id stays.
+def wide_budget(similarity: float, lanes: int) -> int:
+    """The average and so many standard deviations more."""
+    mean = bit_budget(similarity, lanes)
+    return int(mean + DEVIATIONS * (mean * (1 - mean / (64 * lanes))) ** 0.5)
+
+
+def bands_of(similarity: float) -> int:
+    """The number of bands that two documents of that similarity all miss with probability MISSED at most."""
+    return int(np.ceil(np.log(MISSED) / np.log(1 - similarity**BAND))) if similarity < 1 else 1
+
+
+def band_keys(shingles: np.ndarray, bands: int) -> list[int]:
+    """A key per band: a hash of its minimum hashes and its number; none for an empty set."""
+    if not len(shingles):
+        return []
+    odd = np.random.default_rng(SEED).integers(2**63, size=bands * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(len(odd), 2**64 - 1, np.uint64)
+    for a in range(0, len(shingles), 1024):
+        np.minimum(least, (shingles[a : a + 1024, None] * odd).min(0), out=least)
+    raw = least.tobytes()
+    return [xxhash.xxh64_intdigest(raw[8 * BAND * t : 8 * BAND * (t + 1)], t) - 2**63 for t in range(bands)]
+
+
+def sketches(docs: DataFrame, shingle: int, lanes: int, bands: int) -> DataFrame:
+    """doc_id, h (xxhash64 of the text), node (digest of the set of shingles), code of the set, keys of its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = (np.unique(shingle_hashes(t, shingle)) for t in b["text"].to_pylist())
+            found = [(xxhash.xxh3_128_digest(s.tobytes()), simhash(s, lanes), band_keys(s, bands)) for s in sets]
+            node, code, keys = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
+            cols = [b["doc_id"], b["h"], pa.array(node, pa.binary()), pa.array(code, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "node", "code", "keys"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return slim.mapInArrow(run, "doc_id long, h long, node binary, code binary, keys array<long>")
+
+
+def _same_row(docs: DataFrame, i: str, h: str) -> Column:
+    return (F.xxhash64(docs["text"]) == F.col(h)) & docs["doc_id"].cast("long").eqNullSafe(F.col(i))
+
+
+def shingle_sets(docs: DataFrame, found: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, s): the distinct shingle hashes of each of the nodes, from one of its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array(s, pa.list_(pa.int64()))], names=["node", "s"])
+
+    one = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("x"))
+    one = written(one.select("node", F.col("x.doc_id").alias("i"), F.col("x.h").alias("g")), "texts")
+    few = sizes_fit(one, BROADCAST_ROWS)
+    slim = docs.select("doc_id", "text")
+    texts = slim.join(F.broadcast(one) if few else one, _same_row(slim, "i", "g")).select("node", "text")
+    return written(texts.mapInArrow(run, "node binary, s array<long>"), "shingles")  # a row that repeats is there twice; links are made distinct
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The distinct (u, v) of which the Jaccard similarity of the two sets is at least that."""
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    both = both.select("u", "v", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("c"))
+    return written(both.where(F.col("c") / (F.col("n") + F.col("m") - F.col("c")) >= similarity).select("u", "v").distinct(), "verified")
+
+
+def similar(docs: DataFrame, found: DataFrame, shingle: int, similarity: float, lanes: int, heavy: int = HEAVY) -> DataFrame:
+    """(u, v) of nodes with at least that similarity, enough of them to connect all that such pairs connect."""
+    nodes = found.groupBy("node").agg(F.first("code").alias("code"), F.first("keys").alias("keys"))
+    rows = nodes.select("node", "code", F.explode("keys").alias("grp"))
+    ends = rows.groupBy("grp").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    rows = written(rows.join(ends, "grp"), "met")
+    sets = shingle_sets(docs, found, rows.select("node").distinct(), shingle)
+    stars = rows.select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v")
+    sure = verified(stars, sets, similarity)
+    roots = connected(sure)
+    rows = rows.select("grp", "node", "code").join(roots, "node", "left")
+    rows = rows.select("grp", F.lit(0).cast("byte").alias("side"), "code", "node", F.xxhash64(F.coalesce("root", "node")).alias("part"))
+    mixed = rows.groupBy("grp").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("grp")
+    rows = written(rows.join(mixed, "grp", "left_semi"), "open")
+    budget = wide_budget(similarity, lanes)
+    ready = _dealt(rows, budget, heavy, lanes).repartition("grp").sortWithinPartitions("grp", "side", "code")
+    more = ready.mapInArrow(_join_sorted(budget, lanes, CHUNK_ROWS, known=True), "u binary, v binary")
+    return sure.unionByName(verified(more, sets, similarity))
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, lanes: int = LANES) -> DataFrame:
+    """docs without near copies: of each component of documents that share so much of their shingles the one with the smallest doc_id stays.
 
     Rows with the same doc_id and text are one document and stay or go together.
     """
-    found = written(codes(docs, shingle, lanes), "fingerprints")
-    placed = assign(found, sampled_anchors(64 * lanes, anchor_bits, tables), bit_budget(similarity, lanes), lanes)
+    found = written(sketches(docs, shingle, lanes, bands_of(similarity)), "fingerprints")
+    roots = connected(similar(docs, found, shingle, similarity, lanes))
+    placed = found.select("doc_id", "h", "node").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "h")
     # the document that stays: smallest doc_id, then smallest hash of the text
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
     stays = placed.groupBy("root").agg(F.min(rank).alias("best")).select("root", "best.*")
-    gone = placed.select("root", "doc_id", "h").join(stays.select("root", F.col("doc_id").alias("d"), F.col("h").alias("g")), "root")
+    gone = placed.join(stays.select("root", F.col("doc_id").alias("d"), F.col("h").alias("g")), "root")
     gone = written(gone.where(~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))).select("doc_id", "h").distinct(), "dropped")
     i, h = fresh(docs, "gone_id", "gone_h")
     gone = gone.toDF(i, h)
     few = sizes_fit(gone, BROADCAST_ROWS)
-    same = F.xxhash64(docs["text"]) == F.col(h)
-    return docs.join(F.broadcast(gone) if few else gone, same & docs["doc_id"].cast("long").eqNullSafe(F.col(i)), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, _same_row(docs, i, h), "left_anti")

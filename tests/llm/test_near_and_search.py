@@ -106,6 +106,39 @@ def test_near_copies_of_odd_rows(odd, none):
     assert simhash_trie.drop_near_copies(none).count() == 0
 
 
+def sets_of(text, k=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_by_exact_similarity(spark):
+    """Pairs around the threshold, long and short: those at 0.8 or more lose a document, and no others do."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, want = [], {}
+    for n, aim in [(300, 0.75), (300, 0.79), (300, 0.8), (300, 0.81), (300, 0.85), (300, 0.9), (30, 0.75), (30, 0.8), (30, 0.9)] * 12:
+        w = [word() for _ in range(n)]
+        v, near = list(w), sets_of(" ".join(w))
+        while jaccard(near, sets_of(" ".join(v))) > aim + 0.01:  # the last step may fall on either side
+            v[rng.randrange(n)] = word()
+        i = 2 * len(want)
+        rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
+        want[i + 1] = jaccard(near, sets_of(" ".join(v))) >= 0.8
+    for _ in range(20):  # four shingles and five: 0.8 exactly
+        w = [word() for _ in range(9)]
+        i = 2 * len(want)
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w[:8]))]
+        want[i + 1] = True
+    assert 30 < sum(want.values()) < len(want) - 30
+    kept = {r.doc_id for r in simhash_trie.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, _ in rows if i % 2 == 0} <= kept
+    assert {i for i in want if i not in kept} == {i for i, near in want.items() if near}
+
+
 def passage(rng, n):
     return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
 
