@@ -59,6 +59,24 @@ def test_checks_and_context():
     assert pii.find_spans("a" * 200_000 + "@") == [] and pii.find_spans("1" * 200_000) == []  # linear in long runs
 
 
+def test_account_numbers_before_words():
+    de, gb, no = "DE89370400440532013000", "GB82WEST12345698765432", "NO9386011117947"
+    found = lambda t: [t[s:e] for k, s, e, _ in pii.find_spans(t) if k == "iban"]
+    for before in ("", "IBAN ", "REF ", "NR12 "):
+        for after in ("", " BIC COBADEFFXXX", " 12 EUR", " I did", " Ich", ".", " 1", " A B C D E F G H I J K L M N"):
+            for x in (de, gb, no, "DE89 3704 0044 0532 0130 00", de.lower()):
+                assert found(before + x + after) == [x]
+    assert found(f"{no} {no} {de} {gb}") == [no, no, de, gb]
+    assert found("DE88370400440532013000 BIC COBADEFFXXX") == [] and found("x" + de) == [] and found(de + "x") == []
+    assert pii.mask(f"IBAN {de} BIC COBADEFFXXX") == "IBAN <iban> BIC COBADEFFXXX"
+
+
+def test_long_secrets():
+    for x in ("sk-" + "aB3" * 60, "ghp_" + "aB3" * 20, "xoxb-" + "1234-" * 30 + "a"):
+        assert pii.mask(f"see {x} there") == "see <secret> there"
+    assert pii.mask("token: " + "aB3_" * 50 + " there") == "<secret> there"
+
+
 def test_pii_of_odd_rows(spark, odd, none):
     rows = pii.digest(odd).collect()
     assert len(rows) == odd.count() and {r.base_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
