@@ -1,22 +1,27 @@
 """SentencePiece encoding and decoding as joins.
 
-*Lexicon.* Texts are cut where no piece can reach across: before a run of spaces, and
-around line ends. The different units are counted over the corpus.
+*Lexicon.* Texts are cut where no piece can reach across: before a run of spaces, around
+line ends and, if the vocabulary allows it, where letters meet other characters. The
+different units are counted over the corpus.
 *Lattice.* Each unit of the lexicon is exploded into its substrings of at most the longest
 piece's length; an equi-join to the piece table turns them into edges, which are grouped by
 unit. Single characters without a piece are edges that stand for their UTF-8 bytes.
-*Fold.* For unigram models the best path is folded by ``aggregate`` over the edges in order of
-their ends (Viterbi). A model of merges (BPE) does not mean the path with the best sum of
-scores but the one its merges lead to, so there the fold joins neighbours along edges, best
-score first, leftmost of equal ones. That is what the library of that name does; a
-Viterbi fold over such a model gives other pieces for many words.
+*Fold.* ``aggregate`` folds the edges of a unit. For unigram models they come in the order
+of their ends and the state is the best path so far (Viterbi). A model of merges (BPE)
+does not mean the path with the best sum of scores but the one its merges lead to. There
+the edges come by rank, then place, and the state is the set of boundaries left: an edge
+that spans exactly two neighbours takes the boundary between them away. After a piece
+that may be part of one with a better rank the fold begins again, so the order is
+that of the library of that name; a Viterbi fold over such a model gives other pieces for many words.
 *Texts.* The ``HOT`` most frequent units' pieces are held by every task; other units of a
 text are joined to the lexicon, and their pieces put back in place.
 
 Defined cases: null counts as empty; an empty text has no pieces; repeated rows each get
-their pieces; a null doc_id is kept; units over MAX_UNIT characters are merged by a heap
-in the task that meets them, with the same result; a text that contains the character that stands for a space
-decodes to a space there; an empty table gives an empty table; other columns are ignored.
+their pieces; a null doc_id is kept; units over MAX_UNIT characters, whose boundaries no
+number holds, are merged by a heap in the task that meets them, with the same result; a
+text that contains the character that stands for a space decodes to a space there; an
+empty table gives an empty table; other columns are ignored by ``encode`` and carried by
+``decode``, whose new column gets a fresh name if its own is taken.
 """
 
 from __future__ import annotations
@@ -31,76 +36,103 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumisonde.llm.common import written
+from lumisonde.llm.common import fresh, written
 
 SPACE = "▁"
-UNIT = re.compile(r"\n| *[^ \n]+| +")
-MAX_UNIT = 256
-#: Units whose pieces every task holds; units that a counting task holds before it sends them on.
-HOT, HELD = 100_000, 300_000
+#: Where texts are cut: always, and if no piece mixes letters, digits and other characters.
+COARSE = r"\n| *[^ \n]+| +"
+FINE = r"\n| *(?:[^\W\d_¹²³]+|(?:[^\w \n]|[_¹²³])+|[^ \n])| +"
+MAX_UNIT = 60
+#: Units whose pieces every task holds; units that a counting task holds before it sends them on; units of one numpy batch.
+HOT, HELD, BATCH = 300_000, 300_000, 400_000
 #: Partitions of the lexicon for each of the session's shuffle partitions.
 SPLIT = 6
 #: Most pieces a table may have to be broadcast whole.
 MOST_PIECES = 1_000_000
+#: An edge of a model of merges is one number: rank, start, end, whether to begin again, id + 1 (0: no piece).
+ID_BITS, PLACE_BITS = 20, 6
+AGAIN = 1 << ID_BITS
+END_AT, START_AT, RANK_AT = ID_BITS + 1, ID_BITS + 1 + PLACE_BITS, ID_BITS + 1 + 2 * PLACE_BITS
 
 
 @dataclass(frozen=True)
 class Pieces:
-    """A vocabulary: pieces in order of their ids, their scores, ids of the 256 bytes, and whether it is one of merges."""
+    """A vocabulary: pieces in order of their ids, their scores, ids of the 256 bytes, whether it is one of merges, and where texts are cut."""
 
     pieces: tuple[str | None, ...]  # None for ids that no text is cut into
     scores: tuple[float, ...]
     byte_ids: tuple[int, ...]
     merges: bool
+    cut: str = COARSE
 
     @property
     def longest(self) -> int:
         return max(len(p) for p in self.pieces if p)
 
+    @property
+    def ranks(self) -> dict[str, int]:
+        """The rank of each piece, best score first."""
+        order = {s: r for r, s in enumerate(sorted(set(self.scores), reverse=True))}
+        return {p: order[s] for p, s in zip(self.pieces, self.scores, strict=True) if p}
+
+    def units(self, text: str | None) -> list[str]:
+        """The units of a text, with one more space in front."""
+        return re.findall(self.cut, " " + text.replace(SPACE, " ")) if text else []
+
     def table(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, score): as many rows as the vocabulary, whose size is fixed and checked."""
-        rows = [(p, i, s) for i, (p, s) in enumerate(zip(self.pieces, self.scores, strict=True)) if p]
-        if len(rows) > MOST_PIECES:
+        """(piece, id, score), or (piece, code) for a model of merges: as many rows as the vocabulary, whose size is fixed and checked."""
+        if len(self.pieces) > MOST_PIECES:
             raise ValueError("the vocabulary is too large to broadcast")
-        return spark.createDataFrame(rows, "piece string, id int, score double")
+        if not self.merges:
+            return spark.createDataFrame([(p, i, s) for i, (p, s) in enumerate(zip(self.pieces, self.scores, strict=True)) if p], "piece string, id int, score double")
+        ranks, again = self.ranks, parts_of_better(self.ranks)
+        return spark.createDataFrame([(p, (ranks[p] << RANK_AT) + AGAIN * (p in again) + i + 1) for i, p in enumerate(self.pieces) if p], "piece string, code long")
+
+
+def parts_of_better(ranks: dict[str, int]) -> set[str]:
+    """Pieces that begin or end a longer piece whose rank is as good or better."""
+    return {p for q, r in ranks.items() for k in range(2, len(q)) for p in (q[:k], q[-k:]) if ranks.get(p, -1) >= r}
 
 
 def load(path: str, merges: bool = True) -> Pieces:
-    """Reads a model file. Pieces must not have a line end, nor a space mark after another character."""
+    """Reads a model file. Pieces must not have a line end, nor a space mark after another character, and all bytes must have one."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     n = m.get_piece_size()
     plain = [not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i)) for i in range(n)]
     pieces = tuple(m.id_to_piece(i) if ok else None for i, ok in enumerate(plain))
-    if any("\n" in p or SPACE in p.lstrip(SPACE) for p in pieces if p):
-        raise ValueError("pieces reach across units")
     byte_ids = {int(m.id_to_piece(i)[3:5], 16): i for i in range(n) if m.is_byte(i)}
-    return Pieces(pieces, tuple(m.get_score(i) for i in range(n)), tuple(byte_ids.get(b, m.unk_id()) for b in range(256)), merges)
-
-
-def units(text: str | None) -> list[str]:
-    """The units of a text, with one more space in front."""
-    return UNIT.findall(" " + text.replace(SPACE, " ")) if text else []
+    if len(byte_ids) < 256:
+        raise ValueError("a model without pieces for all bytes")
+    whole = lambda cut: all(re.fullmatch(cut, p.replace(SPACE, " ")) and len(re.findall(cut, p.replace(SPACE, " "))) == 1 for p in pieces if p)
+    cut = next((c for c in (FINE, COARSE) if whole(c)), None)
+    if cut is None:
+        raise ValueError("pieces reach across units")
+    return Pieces(pieces, tuple(m.get_score(i) for i in range(n)), tuple(byte_ids[b] for b in range(256)), merges, cut)
 
 
-def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
+def lexicon(docs: DataFrame, vocabulary: Pieces, text: str = "text") -> DataFrame:
     """(unit, n) for each different unit of at most MAX_UNIT characters."""
 
+    def sent(held: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["unit", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         for b in batches:
-            for t in b["text"].to_pylist():
-                held.update(units(t))
+            for t in b["text"]:
+                held.update(vocabulary.units(t.as_py()))
                 if len(held) > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["unit", "n"])
-                    held.clear()
+                    yield sent(held)
+                    held = Counter()
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["unit", "n"])
+            yield sent(held)
 
     counts = docs.select(F.col(text).alias("text")).mapInArrow(run, "unit string, n long")
     # tasks have counted by themselves already; parts so small that the edges of one need no disk
@@ -111,20 +143,23 @@ def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
 def lattice(words: DataFrame, vocabulary: Pieces) -> DataFrame:
     """(unit, n, edges): edges (end, start, score, id) in the order of their ends; id -1 marks a character without a piece.
 
-    For a model of merges an edge is one number, (id + 1) * 2^18 + start * 512 + end, in no order.
+    For a model of merges (unit, n, chars, joins): edges as numbers, of one character and of more, the latter by rank and place.
     """
-    spark = words.sparkSession
     marked = F.translate("unit", " ", SPACE)
-    ends = lambda s: F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.char_length("unit") - s))
     starts = F.sequence(F.lit(0), F.char_length("unit") - 1)
-    each = words.select("unit", "n", marked.alias("m"), F.explode(starts).alias("start")).select("unit", "n", "m", "start", F.explode(ends(F.col("start"))).alias("size"))
+    each = words.select("unit", "n", marked.alias("m"), F.explode(starts).alias("start"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.char_length("m") - F.col("start")))
+    each = each.select("unit", "n", "m", "start", F.explode(sizes).alias("size"))
     each = each.select("unit", "n", "start", "size", F.substring("m", F.col("start") + 1, F.col("size")).alias("piece"))
-    met = each.join(F.broadcast(vocabulary.table(spark)), "piece", "left").where("id is not null or size = 1")
-    edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("score", F.lit(-1e6)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    if vocabulary.merges:
-        packed = F.coalesce(F.col("id") + 1, F.lit(0)).cast("long") * 2**18 + F.col("start") * 512 + F.col("start") + F.col("size")
-        return met.groupBy("unit", "n").agg(F.collect_list(packed).alias("edges"))
-    return met.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    met = each.join(F.broadcast(vocabulary.table(words.sparkSession)), "piece", "left")
+    end = F.col("start") + F.col("size")
+    if not vocabulary.merges:
+        edge = F.struct(end.alias("end"), "start", F.coalesce("score", F.lit(-1e6)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
+        return met.where("id is not null or size = 1").groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    edge = F.coalesce("code", F.lit(0)) + F.col("start").cast("long") * (1 << START_AT) + end.cast("long") * (1 << END_AT)
+    one = F.col("size") == 1
+    met = met.where("code is not null or size = 1").groupBy("unit", "n").agg(F.collect_list(F.when(one, edge)).alias("chars"), F.collect_list(F.when(~one, edge)).alias("joins"))
+    return met.withColumn("joins", F.sort_array("joins"))
 
 
 def viterbi(edges: Column, length: Column) -> Column:
@@ -142,19 +177,43 @@ def viterbi(edges: Column, length: Column) -> Column:
     return F.aggregate(edges, start, better, lambda s: F.element_at(s, -1)["ids"])
 
 
-def merged(length: int, edges: dict[int, tuple[int, int]]) -> list[int]:
-    """Ids after merging neighbours, lowest rank first and leftmost of equal ones; edges maps start * 512 + end to (rank, id)."""
-    at, ranks = list(range(length + 1)), {k: r for k, (r, i) in edges.items() if i >= 0}
-    while len(at) > 2:
-        best, where = None, 0
-        for i in range(len(at) - 2):
-            r = ranks.get(at[i] * 512 + at[i + 2])
-            if r is not None and (best is None or r < best):
-                best, where = r, i
-        if best is None:
-            break
-        del at[where + 1]
-    return [edges[a * 512 + b][1] if edges[a * 512 + b][1] >= 0 else -1 - a for a, b in zip(at, at[1:])]
+def _bit(place: Column, of: int = 1) -> Column:
+    return F.call_function("shiftleft", F.lit(of).cast("long"), place.cast("int"))
+
+
+def _ends(edge: Column) -> tuple[Column, Column]:
+    """The two boundaries of an edge, and those within it, as bits."""
+    low = 2**PLACE_BITS - 1
+    start, end = F.shiftright(edge, START_AT).bitwiseAND(low), F.shiftright(edge, END_AT).bitwiseAND(low)
+    return _bit(start).bitwiseOR(_bit(end)), _bit(end) - _bit(start, 2)
+
+
+def merging(chars: Column, joins: Column, length: Column) -> Column:
+    """Ids after merging neighbours, best rank first and leftmost of equal ones; -1 - start for characters without a piece.
+
+    The state is a bit for each boundary left, and whether to begin again. Each fold that ends early has merged something, so
+    as many folds as there are characters are enough; they are skipped once one has run to its end.
+    """
+    state = lambda bits, again: F.struct(bits.alias("bits"), again.alias("again"))
+
+    def join(s: Column, e: Column) -> Column:
+        ends, inner = _ends(e)
+        fits = ~s["again"] & (s["bits"].bitwiseAND(ends) == ends) & (F.bit_count(s["bits"].bitwiseAND(inner)) == 1)
+        return F.when(fits, state(s["bits"].bitwiseAND(F.bitwise_not(inner)), e.bitwiseAND(AGAIN) > 0)).otherwise(s)
+
+    def fold(s: Column, _: Column) -> Column:
+        return F.when(s["again"], F.aggregate(joins, state(s["bits"], F.lit(False)), join)).otherwise(s)
+
+    def names(s: Column) -> Column:
+        def left(e: Column) -> Column:
+            ends, inner = _ends(e)
+            return (s["bits"].bitwiseAND(ends) == ends) & (s["bits"].bitwiseAND(inner) == 0)
+
+        places = 2**PLACE_BITS - 1 << START_AT
+        found = F.sort_array(F.transform(F.filter(F.concat(chars, joins), left), lambda e: e.bitwiseAND(places + AGAIN - 1)))
+        return F.transform(found, lambda e: (F.when(e.bitwiseAND(AGAIN - 1) == 0, -1 - F.shiftright(e, START_AT)).otherwise(e.bitwiseAND(AGAIN - 1) - 1)).cast("int"))
+
+    return F.aggregate(F.sequence(F.lit(1), length), state(_bit(length + 1) - 1, F.lit(True)), fold, names)
 
 
 def merged_long(unit: str, known: dict[str, tuple[int, int]]) -> list[int]:
@@ -187,96 +246,135 @@ def merged_long(unit: str, known: dict[str, tuple[int, int]]) -> list[int]:
     return out
 
 
-def with_bytes(unit: str, ids: list[int], byte_ids: tuple[int, ...]) -> list[int]:
+def with_bytes(ids: Column, unit: Column, byte_ids: tuple[int, ...]) -> Column:
     """Ids with each mark -1 - start replaced by the ids of that character's bytes."""
-    if min(ids, default=0) >= 0:
-        return ids
-    out: list[int] = []
-    for i in ids:
-        out += [i] if i >= 0 else [byte_ids[b] for b in unit[-1 - i].encode()]
-    return out
+    named = F.array(*map(F.lit, byte_ids))
+
+    def spelled(start: Column) -> Column:
+        raw = F.hex(F.encode(F.substring(unit, start + 1, F.lit(1)), "UTF-8"))
+        return F.transform(F.sequence(F.lit(1), F.length(raw) - 1, F.lit(2)), lambda k: F.element_at(named, F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + 1))
+
+    full = F.flatten(F.transform(ids, lambda i: F.when(i < 0, spelled(-1 - i)).otherwise(F.array(i))))
+    return F.when(F.exists(ids, lambda i: i < 0), full).otherwise(ids)
 
 
 def encode_lexicon(words: DataFrame, vocabulary: Pieces) -> DataFrame:
     """(unit, n, ids) for each unit of a lexicon."""
-    spark = words.sparkSession
     edges = lattice(words, vocabulary)
-    byte_ids = vocabulary.byte_ids
-    order = {s: r for r, s in enumerate(sorted(set(vocabulary.scores), reverse=True))}
-    ranks = spark.sparkContext.broadcast([order[s] for s in vocabulary.scores] + [len(order)])  # the last one for id -1
-    if not vocabulary.merges:
-        edges = edges.withColumn("edges", viterbi(F.col("edges"), F.char_length("unit")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.array(ranks.value)
-        for b in batches:
-            names, out = b["unit"].to_pylist(), []
-            if vocabulary.merges:
-                flat = b["edges"].flatten().to_numpy()
-                cut = (b["edges"].offsets.to_numpy() - b["edges"].offsets[0].as_py()).tolist()
-                key = (flat % 2**18).tolist()
-                ids = flat // 2**18 - 1
-                value = list(zip(rank[ids].tolist(), ids.tolist(), strict=True))
-                for unit, a, z in zip(names, cut, cut[1:]):
-                    out.append(with_bytes(unit, merged(len(unit), dict(zip(key[a:z], value[a:z]))), byte_ids))
-            else:
-                out = [with_bytes(unit, ids, byte_ids) for unit, ids in zip(names, b["edges"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b["unit"], b["n"], pa.array(out, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
-
-    return edges.mapInArrow(run, "unit string, n long, ids array<int>")
+    length = F.char_length("unit")
+    path = merging(F.col("chars"), F.col("joins"), length) if vocabulary.merges else viterbi(F.col("edges"), length)
+    return edges.select("unit", "n", path.alias("ids")).select("unit", "n", with_bytes(F.col("ids"), F.col("unit"), vocabulary.byte_ids).alias("ids"))
+
+
+def most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """The units with at least so many occurrences that no more than most have them; counts of a power of 2^(1/8) go together."""
+    step = F.floor(8 * F.log2("n"))
+    total = F.sum("units").over(Window.orderBy(F.desc("step")))  # a few hundred steps
+    steps = table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("units")).withColumn("total", total)
+    least = steps.where(F.col("total") <= most).agg(F.min("step")).first()[0]
+    return table.where(step >= least) if least is not None else table.where("false")
+
+
+def _numbers(ks: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Numbers as bytes of seven bits each, the lowest first, a set top bit where more follow; one binary for each of the counts."""
+    size = 1 + sum((ks >= 1 << 7 * j).astype(np.int64) for j in (1, 2, 3))
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for j in range(4):
+        has = size > j
+        out[at[has] + j] = (ks[has] >> 7 * j & 127) | np.where(size[has] > j + 1, 128, 0)
+    ends = np.append(at, len(out))[np.concatenate(([0], np.cumsum(counts)))]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def _of_numbers(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and how many each row has."""
+    raw = np.frombuffer(b"".join(rows), np.uint8)
+    last = raw < 128
+    ends = np.flatnonzero(last)
+    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    ks = np.zeros(len(ends), np.int64)
+    for j in range(4):
+        has = starts + j <= ends
+        ks[has] |= (raw[starts[has] + j] & 127).astype(np.int64) << 7 * j
+    upto = np.concatenate(([0], np.cumsum(last)))[np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(int)]
+    return ks, np.diff(upto)
 
 
 def encode(docs: DataFrame, vocabulary: Pieces, text: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, ids per row of docs."""
     sc = docs.sparkSession.sparkContext
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    table = written(encode_lexicon(lexicon(slim), vocabulary), "lexicon")
-    top = table.orderBy(F.desc("n"), "unit").limit(hot).select("unit", "ids").toArrow()  # hot rows at most
-    cut, flat = top["ids"].combine_chunks().offsets.to_numpy().tolist(), top["ids"].combine_chunks().values.to_numpy()
-    held = sc.broadcast((dict(zip(top["unit"].to_pylist(), range(len(top)))), [flat[a:z].astype("<i4").tobytes() for a, z in zip(cut, cut[1:])]))
-    order = {s: r for r, s in enumerate(sorted(set(vocabulary.scores), reverse=True))}
-    known = sc.broadcast({p: (order[s], i) for i, (p, s) in enumerate(zip(vocabulary.pieces, vocabulary.scores, strict=True)) if p})
-    del top
+    table = written(encode_lexicon(lexicon(slim, vocabulary), vocabulary), "lexicon")
+    top = most_frequent(table, hot).select("unit", "ids").toArrow().combine_chunks()  # hot rows at most
+    lists = top["ids"].combine_chunks()
+    held = sc.broadcast((top["unit"].to_pylist(), lists.value_lengths().to_numpy(), lists.flatten().to_numpy()))
+    ranks = vocabulary.ranks
+    known = sc.broadcast({p: (ranks[p], i) for i, p in enumerate(vocabulary.pieces) if p})
+    del top, lists
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Units as numbers of hot ones, or -1; the others by name."""
-        get = held.value[0].get
+        """Units as numbers: 0 for those to be joined, 1 for long ones, both named in lists, and from 2 on the ones held."""
+        get = {u: i for i, u in enumerate(held.value[0], 2)}.get
         for b in batches:
-            found, rest = [], []
-            for t in b["text"].to_pylist():
-                us = units(t)
-                ks = np.fromiter((get(u, -1) for u in us), np.int32, len(us))
-                found.append(ks)
-                rest.append([us[i] for i in np.flatnonzero(ks < 0)])
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(found, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))], names=["doc_id", "h", "hot", "cold"])
+            a, ks, counts, cold, long = 0, [], [], [], []
+            for z, t in enumerate(b["text"], 1):
+                us = vocabulary.units(t.as_py())
+                own = np.fromiter((get(u, 0) for u in us), np.int64, len(us))
+                rest = np.flatnonzero(own == 0).tolist()
+                far = [i for i in rest if len(us[i]) > MAX_UNIT]
+                own[far] = 1
+                cold.append([us[i] for i in rest if own[i] == 0])
+                long.append([us[i] for i in far])
+                ks.append(own)
+                counts.append(len(us))
+                if sum(counts) >= BATCH or z == b.num_rows:
+                    cols = [b["doc_id"].slice(a, z - a), b["h"].slice(a, z - a), _numbers(np.concatenate(ks), np.array(counts))]
+                    cols += [pa.array(cold, pa.list_(pa.string())), pa.array(long, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "ks", "cold", "long"])
+                    a, ks, counts, cold, long = z, [], [], [], []
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = held.value[1]
+        _, held_size, held_ids = held.value
+        held_at = np.cumsum(held_size) - held_size
         for b in batches:
-            out = []
-            for hot_, cold, more in zip(b["hot"], b["cold"].to_pylist(), b["more"].to_pylist(), strict=True):
-                by_pos = {m["pos"]: m["ids"] for m in more or ()}
-                parts, k = [], 0
-                for i in hot_.values.to_numpy().tolist() if len(hot_.values) else ():
-                    if i >= 0:
-                        parts.append(names[i])
-                        continue
-                    ids = by_pos.get(k)
-                    if ids is None:
-                        marked = cold[k].replace(" ", SPACE)
-                        ids = with_bytes(marked, merged_long(marked, known.value), vocabulary.byte_ids)
-                    parts.append(np.asarray(ids, "<i4").tobytes())
-                    k += 1
-                out.append(np.frombuffer(b"".join(parts), "<i4"))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    first = slim.mapInArrow(numbered, "doc_id long, h long, hot array<int>, cold array<string>")
-    wanted = first.select("doc_id", "h", F.posexplode("cold").alias("pos", "unit"))
-    met = wanted.join(table.select("unit", "ids"), "unit").groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_list(F.struct("pos", "ids")).alias("more"))
-    # units too long for the lexicon are not in the table; they keep their names for the last step
-    slim_cold = F.transform("cold", lambda u: F.when(F.char_length(u) > MAX_UNIT, u))
-    left = first.withColumn("cold", slim_cold)
-    both = left.join(met, left["doc_id"].eqNullSafe(met["d"]) & (left["h"] == met["g"]), "left").select("doc_id", "hot", "cold", "more")
+            upto = np.cumsum(pc.binary_length(b["ks"]).to_numpy())
+            a = 0
+            while a < b.num_rows:
+                z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + BATCH, "right")))
+                c = b.slice(a, z - a)
+                ks, counts = _of_numbers(c["ks"].to_pylist())
+                place, found = c["more"].flatten().flatten()
+                owner = np.repeat(np.arange(len(counts)), pc.fill_null(pc.list_value_length(c["more"]), 0).to_numpy())
+                place = place.to_numpy()
+                twice = np.zeros(len(place), bool)  # rows that repeat have their pieces twice
+                twice[1:] = (owner[1:] == owner[:-1]) & (place[1:] == place[:-1])
+                found = found.filter(pa.array(~twice))
+                far = [merged_long(u.replace(" ", SPACE), known.value) for us in c["long"].to_pylist() for u in us]
+                far = [[j for i in ids for j in ([i] if i >= 0 else [vocabulary.byte_ids[x] for x in u[-1 - i].replace(" ", SPACE).encode()])] for ids, u in zip(far, (u for us in c["long"].to_pylist() for u in us), strict=True)]
+                size = np.zeros(len(ks), np.int64)
+                at = np.zeros(len(ks), np.int64)
+                is_held = ks >= 2
+                size[is_held], at[is_held] = held_size[ks[is_held] - 2], held_at[ks[is_held] - 2]
+                source = [held_ids]
+                for kind, sizes, ids in ((0, pc.list_value_length(found).to_numpy(), found.flatten().to_numpy()), (1, np.array([len(x) for x in far], np.int64), np.array([i for x in far for i in x], np.int32))):
+                    where = np.flatnonzero(ks == kind)
+                    if len(where) != len(sizes):
+                        raise RuntimeError("pieces of a unit are missing")
+                    size[where], at[where] = sizes, sum(map(len, source)) + np.cumsum(sizes) - sizes
+                    source.append(ids)
+                total = np.concatenate(([0], np.cumsum(size)))
+                ids = np.concatenate(source)[np.arange(total[-1]) + np.repeat(at - total[:-1], size)]
+                ends = total[np.concatenate(([0], np.cumsum(counts)))]
+                yield pa.RecordBatch.from_arrays([c["doc_id"], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
+                a = z
+
+    # computed twice, for the join and for the texts: what is sent is far smaller than what a table of it would take
+    first = slim.mapInArrow(numbered, "doc_id long, h long, ks binary, cold array<string>, long array<string>")
+    wanted = first.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.posexplode("cold").alias("pos", "unit"))
+    met = wanted.join(table.select("unit", "ids"), "unit").groupBy("d", "g").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("more"))
+    left = first.select("doc_id", "h", "ks", "long")
+    both = left.join(met, left["doc_id"].eqNullSafe(met["d"]) & (left["h"] == met["g"]), "left").select("doc_id", "ks", "long", "more")
     return both.mapInArrow(assembled, "doc_id long, ids array<int>")
 
 
@@ -288,14 +386,14 @@ def text_of(ids: list[int] | None, vocabulary: Pieces) -> str:
 
 
 def decode(rows: DataFrame, vocabulary: Pieces, ids: str = "ids", into: str = "text") -> DataFrame:
-    """rows with the text of an array of ids."""
+    """rows with the text of an array of ids, in a column of that name, or a fresh one if rows have it already."""
     sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf(T.StringType())
     def run(lists: pd.Series) -> pd.Series:
         return pd.Series([text_of(x, sent.value) for x in lists], dtype=object)
 
-    return rows.withColumn(into, run(F.col(ids)))
+    return rows.withColumn(fresh(rows, into)[0], run(F.col(ids)))
 
 
 DIGEST = T.StructType([T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType())])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -104,15 +105,49 @@ def test_pieces_are_the_librarys(spark, docs, odd, none, texts):
     assert piece_lattice.encode(none, vocabulary).count() == 0
 
 
-def test_heap_merges_like_scans():
-    import random
+def scanned(unit, known):
+    """Ids after merging neighbours, by looking at all of them before each merge; known maps a string to (rank, id)."""
+    at = list(range(len(unit) + 1))
+    while True:
+        found = [(known[unit[a:z]][0], k) for k, (a, z) in enumerate(zip(at, at[2:])) if unit[a:z] in known]
+        if not found:
+            return [known[unit[a:z]][1] if unit[a:z] in known else -1 - a for a, z in zip(at, at[1:])]
+        del at[min(found)[1] + 1]
 
+
+def test_fold_and_heap_merge_like_scans(spark):
     rng = random.Random(1)
-    known = {"a": (9, 0), "b": (9, 1), "ab": (2, 2), "ba": (1, 3), "aba": (0, 4), "abab": (1, 5), "bb": (1, 6), "aa": (1, 7)}
-    for _ in range(300):
-        unit = "".join(rng.choice("abc") for _ in range(rng.randint(1, 14)))
-        edges = {s * 512 + e: known.get(unit[s:e], (99, -1)) for s in range(len(unit)) for e in range(s + 1, len(unit) + 1) if unit[s:e] in known or e == s + 1}
-        assert piece_lattice.merged(len(unit), edges) == piece_lattice.merged_long(unit, known)
+    for trial in range(4):
+        pieces = sorted({"a", "b"} | {"".join(rng.choice("ab") for _ in range(rng.randint(2, 5))) for _ in range(12)})
+        scores = [float(rng.randint(-12, 0)) for _ in pieces]
+        vocabulary = piece_lattice.Pieces(tuple(pieces), tuple(scores), tuple(range(1000, 1256)), merges=True)
+        known = {p: (vocabulary.ranks[p], i) for i, p in enumerate(pieces)}
+        units = {"".join(rng.choice("aabbbcé") for _ in range(rng.randint(1, 14))) for _ in range(150)} | {"ab" * 30, "a" * 60}
+        frame = spark.createDataFrame([(u, 1) for u in units], "unit string, n long")
+        got = {r.unit: list(r.ids) for r in piece_lattice.encode_lexicon(frame, vocabulary).collect()}
+        for u in units:
+            want = scanned(u, known)
+            assert piece_lattice.merged_long(u, known) == want
+            assert got[u] == [j for i in want for j in ([i] if i >= 0 else [1000 + x for x in u[-1 - i].encode()])]
+
+
+def test_units_end_where_no_piece_reaches_across():
+    vocabulary = piece_lattice.load(public_tokenizers.path("piece_bpe_32k.model"))
+    assert vocabulary.cut == piece_lattice.FINE
+    text = "  a1 b, (c)²\t٣x_y\n\n  \nend"
+    assert "".join(vocabulary.units(text)) == " " + text and vocabulary.units("don't 12")[:4] == [" don", "'", "t", " 1"]
+
+
+def test_long_texts_and_clashing_columns(spark):
+    import sentencepiece
+
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    lib, vocabulary = sentencepiece.SentencePieceProcessor(model_file=file), piece_lattice.load(file)
+    rows = [(1, "word " * 60_000 + "x" * 5000 + " " * 3000 + "漢" * 300), (2, "\n".join("ab cd" for _ in range(40_000)))]
+    out = piece_lattice.encode(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary, hot=3)
+    assert {r.doc_id: list(r.ids) for r in out.collect()} == {i: lib.encode(t) for i, t in rows}
+    back = piece_lattice.decode(out.withColumn("text", F.lit("own")), vocabulary)
+    assert {r.doc_id: (r.text, r.text_) for r in back.collect()} == {i: ("own", t) for i, t in rows}
 
 
 def test_viterbi_is_the_best_path(spark):
