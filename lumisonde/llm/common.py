@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but space and the controls 9 to 13. bytes.split() splits on exactly these.
@@ -54,3 +54,12 @@ def ascii_lower(c: Column) -> Column:
 def sizes_fit(df: DataFrame, most: int) -> bool:
     """Whether df has at most so many rows; reads no more than it needs to tell."""
     return df.limit(most + 1).count() <= most
+
+
+def most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """The rows with the largest counts n, at most so many; counts of one power of 2^(1/8) stay or go together."""
+    step = F.floor(8 * F.log2("n"))
+    total = F.sum("rows").over(Window.orderBy(F.desc("step_")))  # a few hundred steps
+    steps = table.groupBy(step.alias("step_")).agg(F.count(F.lit(1)).alias("rows")).withColumn("total", total)
+    least = steps.where(F.col("total") <= most).agg(F.min("step_")).first()[0]
+    return table.where(step >= least) if least is not None else table.where("false")

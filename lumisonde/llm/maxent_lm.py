@@ -1,53 +1,65 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-*Factors.* A word's class is a hash of its last three bytes; the probability of a word is
-that of its class given the three classes before it, times that of the word within the
-class given the class just before. The most frequent words (``HEAD``) have a weight of
-their own; the others of a class share one outcome, within which they keep their
-smoothed share of the counts.
-*Features.* The class model sums hashed features of its context: single classes at
-distances one to three, the pairs (1,2) and the skip pair (1,3), and the triple. The word model
-has a bias and the class before.
-*Training.* One pass over all training texts counts words and (context, class) outcomes,
-a second one (context, word) outcomes; every task sends what it has counted. Gradients of
-the regularised likelihood are then computed by tasks over those counts, added up,
-and applied by Adam, round after round.
-*Scoring.* Tasks take batches of texts as numpy arrays of word numbers and look up
-log-probabilities. Only words outside the ``HOT`` most frequent ones, whose counts no
-task holds, are joined to the table of counts.
+*Factors.* A word's class is a hash of its last three bytes. The probability of a word is
+that of its class given the two words before it, times that of the word within the class
+given the word before it. The most frequent words (``HOT``) are outcomes of their own;
+the others of a class share one outcome, within which they keep their smoothed share of the counts.
+*Class factor.* A softmax over the classes and the end, whose hashed features are the word
+before, the word before that (a skip feature), and both together. Tasks follow the gradient
+over their own texts in numpy batches, starting from the same weights; the changes are
+averaged, each feature's by how often the task has seen it.
+*Word factor.* A feature for each pair of a word and the outcome after it that the
+training texts have; their number grows with the corpus. Pairs are keyed by a hash of the word
+before and the class (32 bits), and the outcome. Pairs of one key make one softmax, so
+parts of the range of keys are trained apart from each other: gradient steps over all
+pairs of a part at once, with a Gaussian prior.
+*Scoring.* Tasks turn texts into sparse batches: the keys that a batch needs, with the number
+of the text, packed by part. They meet the part's pairs and the counts of rarer words in one
+shuffle, are answered by sums per text, and go back to their batch in a second one.
 
 Defined cases: null text counts as empty; an empty text is the end token alone; repeated
 rows each get their score; without training texts all counts are zero; a null doc_id
-is a training row; an empty table gives an empty table; other columns are ignored.
+is a training row; an empty table gives an empty table; other columns are ignored. Words
+outside the HOT most frequent are looked up by 64 bits of hash.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumisonde.llm.common import words, written
+from lumisonde.llm.common import most_frequent, words, written
 
 CLASSES = 32
 #: The class of the start and the end of a text.
 EDGE = CLASSES
 OUT = CLASSES + 1
-#: Words with a weight of their own; words whose counts each task holds; both bound what is broadcast.
-HEAD, HOT = 4096, 131_072
-#: Hashed features of the class model.
-FEATURES = 1 << 13
-#: Rounds of Adam, its rate, and the precision of the Gaussian prior on all weights but the biases.
-ROUNDS, RATE, PENALTY = 30, 0.3, 4.0
-#: Different words that a counting task holds before it sends them on, and words of one numpy batch.
-HELD_WORDS, BATCH_WORDS = 250_000, 400_000
-#: Partitions of the counted outcomes, each of which sends a gradient of the model's size.
-GRADIENT_TASKS = 4
+#: Words that are outcomes of their own, held by every task; words that are class features of their own, the others of a class being one.
+HOT, CONTEXTS = 262_144, 8192
+#: Hashed features of two words, for the class.
+PAIRS = 1 << 13
+#: Rounds over the texts for the classes; rounds over the pairs of a part; precision of the prior on a pair's weight.
+ROUNDS, STEPS, PENALTY = 2, 20, 0.5
+#: Weight of a class feature's start, in words, and share of a word's curvature that one of its features answers for.
+START, CURVE = 4.0, 0.5
+#: Different words that a counting task holds, words of one numpy batch, and of one step of the gradient.
+HELD_WORDS, BATCH_WORDS, STEP_WORDS = 250_000, 1_000_000, 50_000
+#: Training tokens whose pairs make one part.
+PART_TOKENS = 2_000_000
+EDGE_HASH, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+ROWS = "part int, kind int, chunk long, keys binary, more binary"
+#: What a row of ROWS holds: counts of pairs, counts of words, keys of pairs or words that texts ask for, the texts.
+PAIR_COUNTS, WORD_COUNTS, PAIR_KEYS, WORD_KEYS, TEXTS = range(5)
 
 
 def held_out(key: str = "doc_id", folds: int = 5, fold: int = 1) -> Column:
@@ -66,263 +78,399 @@ def classes_of(ws: list[bytes]) -> np.ndarray:
     return (h >> np.uint32(27)).astype(np.int64)
 
 
-class Batch:
-    """Texts as arrays: words, their classes with three edges before and one after each text, and the places of targets."""
-
-    def __init__(self, texts: list[list[bytes]]):
-        self.words = [w for t in texts for w in t]
-        n = np.array([len(t) for t in texts])
-        self.lengths = n + 1
-        first = np.cumsum(n + 4) - n - 1  # of each text, among all places
-        self.cls = np.full(int((n + 4).sum()), EDGE, np.int64)
-        self.target = np.ones(len(self.cls), bool)
-        for k in (1, 2, 3):
-            self.target[first - k] = False
-        self.is_word = self.target.copy()
-        self.is_word[first + n] = False
-        self.cls[self.is_word] = classes_of(self.words)
-        at = np.flatnonzero(self.target)
-        self.c1, self.c2, self.c3 = (self.cls[at - k] for k in (1, 2, 3))
-        self.out = self.cls[at]
-        self.word_target = self.is_word[at]  # among targets
+def hashes_of(ws: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, ws), np.uint64, len(ws))
 
-    @property
-    def context(self) -> np.ndarray:
-        return (self.c1 * OUT + self.c2) * OUT + self.c3
+
+class Held:
+    """The words that a task holds, by number, and how many there may be."""
+
+    def __init__(self, ws: list[bytes], most: int):
+        self.most = most
+        self.number = {w: i for i, w in enumerate(ws)}.get
+        self.hashes = hashes_of(ws)
 
 
-def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Batch]]:
+class Batch:
+    """Texts as arrays of places: two edges before each text, its words, and one edge, its end. Targets are words and ends."""
+
+    def __init__(self, texts: list[list[bytes]], held: Held):
+        ws = [w for t in texts for w in t]
+        n = np.array([len(t) for t in texts], np.int64)
+        first = np.cumsum(n + 3) - n - 1
+        is_word = np.ones(int((n + 3).sum()), bool)
+        is_word[first - 2] = is_word[first - 1] = is_word[first + n] = False
+        target = is_word.copy()
+        target[first + n] = True
+        self.at, self.most = np.flatnonzero(target), held.most
+        self.word_at = np.flatnonzero(is_word[self.at])  # among targets
+        self.lengths, self.owner = n + 1, np.repeat(np.arange(len(n)), n + 1)
+        own = np.fromiter((held.number(w, -1) for w in ws), np.int64, len(ws))
+        hashed = np.empty(len(ws), np.uint64)
+        cold = np.flatnonzero(own < 0)
+        hashed[own >= 0] = held.hashes[own[own >= 0]]
+        hashed[cold] = hashes_of([ws[i] for i in cold.tolist()])
+        self.number, self.cls, self.hash = np.full(len(is_word), -1), np.full(len(is_word), EDGE), np.full(len(is_word), EDGE_HASH)
+        self.number[is_word], self.cls[is_word], self.hash[is_word] = own, classes_of(ws), hashed
+
+    @property
+    def outcome(self) -> np.ndarray:
+        """Of each word target: its number, or that of the rest of its class."""
+        at = self.at[self.word_at]
+        return np.where(self.number[at] >= 0, self.number[at], self.most + self.cls[at])
+
+    def features(self) -> np.ndarray:
+        """Rows of the class weights for each target, besides row 0, the bias."""
+        ctx = np.where((self.number >= 0) & (self.number < CONTEXTS), self.number, CONTEXTS + self.cls)
+        one, two = ctx[self.at - 1], ctx[self.at - 2]
+        both = (one.astype(np.uint64) * EDGE_HASH + two.astype(np.uint64) * ODD) >> np.uint64(40)
+        return np.stack((1 + one, 1 + CONTEXTS + OUT + two, 1 + 2 * (CONTEXTS + OUT) + (both % np.uint64(PAIRS)).astype(np.int64)))
+
+    def keys(self) -> np.ndarray:
+        """Of each word target: 32 bits of hash of the word before and the class, then the outcome."""
+        at = self.at[self.word_at]
+        group = (self.hash[at - 1] ^ (self.cls[at].astype(np.uint64) * ODD)) * EDGE_HASH >> np.uint64(32)
+        return group << np.uint64(32) | self.outcome.astype(np.uint64)
+
+
+def batched(batches: Iterator[pa.RecordBatch], held: Held) -> Iterator[tuple[list, Batch]]:
     """(doc_ids, Batch) of about BATCH_WORDS words; a text is never cut."""
     ids, texts, size = [], [], 0
     for b in batches:
-        for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+        for i, t in zip(b["doc_id"].to_pylist(), b["text"]):
             ids.append(i)
-            texts.append(words(t))
+            texts.append(words(t.as_py()))
             size += len(texts[-1])
-            if size >= BATCH_WORDS or len(texts) >= 5000:
-                yield ids, Batch(texts)
+            if size >= BATCH_WORDS or len(texts) >= 20_000:
+                yield ids, Batch(texts, held)
                 ids, texts, size = [], [], 0
     if texts:
-        yield ids, Batch(texts)
+        yield ids, Batch(texts, held)
+
+
+# -- packed arrays, dealt by parts ----------------------------------------------------------
+
+
+def packed(a: np.ndarray) -> bytes:
+    """Numbers, byte by byte: all first bytes, then all second ones, and so on, compressed."""
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
+
+
+def unpacked(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
+def dealt(keys: np.ndarray, more: np.ndarray, parts: int, kind: int, chunk: int) -> pa.RecordBatch:
+    """Sorted keys, and a number for each, as rows of ROWS, one a part."""
+    part = part_of(keys, parts)
+    at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(keys) else np.empty(0, np.int64)
+    rows = [(int(part[a]), kind, chunk, packed(np.diff(keys[a:z], prepend=np.uint64(0))), packed(more[a:z])) for a, z in zip(at, np.append(at[1:], len(keys)))]
+    return pa.RecordBatch.from_pylist([dict(zip(("part", "kind", "chunk", "keys", "more"), r)) for r in rows], SCHEMA)
+
+
+SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("more", pa.binary())])
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[at], np.add.reduceat(n[order], at) if len(at) else n[:0]
+
+
+# -- counting and training --------------------------------------------------------------------
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (word, class, n); kind 1: (context and class as one number, n); kind 2: n texts."""
+    """(word, class, n); the number of texts has a null word."""
     held: Counter = Counter()
-    outcomes = np.zeros(OUT**4, np.int32)
     texts = 0
 
-    def send(kind: int, ws: list[bytes] | None, ks: np.ndarray, ns: np.ndarray) -> pa.RecordBatch:
-        ws = pa.array(ws, pa.binary()) if ws is not None else pa.nulls(len(ks), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ks), kind, np.int32)), ws, pa.array(ks.astype(np.int64)), pa.array(ns.astype(np.int64))], names=["kind", "word", "k", "n"])
-
-    def flush() -> pa.RecordBatch:
-        ws = list(held)
-        out = send(0, ws, classes_of(ws), np.fromiter(held.values(), np.int64, len(held)))
-        held.clear()
-        return out
-
-    for ids, b in batched(batches):
-        texts += len(ids)
-        held.update(b.words)
-        outcomes += np.bincount(b.context * OUT + b.out, minlength=OUT**4).astype(np.int32)
-        if len(held) > HELD_WORDS:
-            yield flush()
+    def sent(ws: list[bytes | None], cls: np.ndarray, n: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ws, pa.binary()), pa.array(cls.astype(np.int32)), pa.array(n, pa.int64())], names=["word", "cls", "n"])
+
+    for b in batches:
+        for t in b["text"]:
+            held.update(words(t.as_py()))
+            if len(held) > HELD_WORDS:
+                yield sent(list(held), classes_of(list(held)), list(held.values()))
+                held = Counter()
+        texts += b.num_rows
     if held:
-        yield flush()
-    if texts:
-        k = np.flatnonzero(outcomes)
-        yield send(1, None, k, outcomes[k])
-        yield send(2, None, np.zeros(1), np.array([texts]))
-
-
-def _count_pairs(head: dict[bytes, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(context class and outcome as one number, n); outcomes are head words, then the rest of each class, then the end."""
-    size = HEAD + OUT
-    pairs = np.zeros(OUT * size, np.int64)
-    for _, b in batched(batches):
-        pairs += np.bincount(b.c1 * size + word_outcomes(b, head), minlength=len(pairs))
-    k = np.flatnonzero(pairs)
-    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(pairs[k])], names=["k", "n"])
-
-
-def word_outcomes(b: Batch, head: dict[bytes, int]) -> np.ndarray:
-    """For each target its outcome in the word model."""
-    get = head.get
-    own = np.fromiter((get(w, -1) for w in b.words), np.int64, len(b.words))
-    out = HEAD + b.out
-    at = np.flatnonzero(b.word_target)
-    out[at[own >= 0]] = own[own >= 0]
-    return out
-
-
-# -- the maximum-entropy models -----------------------------------------------------------
-
-
-def class_features() -> np.ndarray:
-    """Feature numbers of each context (c1, c2, c3): bias, three classes, two pairs, and the triple, hashed."""
-    c1, c2, c3 = (x.ravel() for x in np.meshgrid(*[np.arange(OUT)] * 3, indexing="ij"))
-    base = np.array([0, 1, 1 + OUT, 1 + 2 * OUT])
-    pairs = 1 + 3 * OUT
-    room = pairs + 2 * OUT * OUT
-    triple = room + ((c1 * 73856093) ^ (c2 * 19349663) ^ (c3 * 83492791)) % (FEATURES - room)
-    return np.column_stack((np.zeros_like(c1), base[1] + c1, base[2] + c2, base[3] + c3, pairs + c1 * OUT + c2, pairs + OUT * OUT + c1 * OUT + c3, triple))
-
-
-def word_features() -> np.ndarray:
-    """Bias and the class before."""
-    c = np.arange(OUT)
-    return np.column_stack((np.zeros_like(c), 1 + c))
-
-
-def log_softmax(z: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Logarithms of shares within groups of columns; group numbers each column's group."""
-    order = np.argsort(group, kind="stable")
-    starts = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) > 0)))
-    sizes = np.diff(np.append(starts, len(order)))
-    s = z[:, order]
-    s = s - np.repeat(np.maximum.reduceat(s, starts, axis=1), sizes, axis=1)
-    s = s - np.log(np.repeat(np.add.reduceat(np.exp(s), starts, axis=1), sizes, axis=1))
-    out = np.empty_like(s)
-    out[:, order] = s
-    return out
-
-
-def train(counts: DataFrame, features: np.ndarray, group: np.ndarray, size: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (feature, outcome) fitted to counts (context, outcome, n) by rounds of summed gradients."""
-    sc = counts.sparkSession.sparkContext
-    outs = len(group)
-    total = counts.groupBy("outcome").agg(F.sum("n").alias("n")).toPandas()  # one row for each outcome of the model
-    start = np.zeros(outs)
-    start[total["outcome"].to_numpy(int)] = total["n"].to_numpy(float)
-    n = max(1.0, start.sum())
-    w = np.zeros((size, outs), np.float32)
+        yield sent(list(held), classes_of(list(held)), list(held.values()))
+    yield sent([None], np.array([EDGE]), [texts])
+
+
+def class_log(w: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the classes' probabilities: (targets, OUT)."""
+    z = w[features[0]]
+    for f in features[1:]:
+        z += w[f]
+    z += w[0]
+    z -= z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def follow(w: np.ndarray, seen: np.ndarray, b: Batch) -> None:
+    """Gradient steps over a batch; w are the weights, seen how often each feature has occurred. Both are changed."""
+    features, out = b.features(), b.cls[b.at]
+    for a in range(0, len(out), STEP_WORDS):
+        f, o = features[:, a : a + STEP_WORDS], out[a : a + STEP_WORDS]
+        d = np.exp(class_log(w, f))
+        d[np.arange(len(o)), o] -= 1
+        w[0] -= d.sum(0) / (CURVE * (seen[0] + len(o)) + START)
+        seen[0] += len(o)
+        for x in f:
+            order = np.argsort(x)
+            at = np.flatnonzero(np.concatenate(([True], np.diff(x[order]) > 0)))
+            rows, n = x[order[at]], np.diff(np.append(at, len(x)))
+            seen[rows] += n
+            w[rows] -= np.add.reduceat(d[order], at, axis=0) / (CURVE * seen[rows] + START)[:, None]
+
+
+def train_classes(docs: DataFrame, ws: list[bytes], most: int, start: np.ndarray, rounds: int, groups: int) -> np.ndarray:
+    """Class weights after rounds over all texts; the tasks' changes are added up in so many groups."""
+    sc = docs.sparkSession.sparkContext
+    w = np.zeros((1 + 2 * (CONTEXTS + OUT) + PAIRS, OUT), np.float32)
     w[0] = np.log(start + 0.5)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    dealt = counts.repartition(GRADIENT_TASKS, "context")
-    dealt = written(dealt, "outcomes").coalesce(GRADIENT_TASKS)
-    for r in range(1, rounds + 1):
-        sent = sc.broadcast(w)
-
-        def gradient(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            rows = [(b["context"].to_numpy(), b["outcome"].to_numpy(), b["n"].to_numpy()) for b in batches if b.num_rows]
-            if not rows:
-                return
-            ctx, out, k = (np.concatenate(x) for x in zip(*rows, strict=True))
-            g = np.zeros((size, outs), np.float32)
-            seen = np.unique(ctx)
-            for a in range(0, len(seen), 2048):
-                part = seen[a : a + 2048]
-                lo, hi = part[0], part[-1]
-                use = (ctx >= lo) & (ctx <= hi)
-                x = np.zeros((len(part), outs), np.float32)
-                np.add.at(x, (np.searchsorted(part, ctx[use]), out[use]), k[use])
-                f = features[part]
-                p = np.exp(log_softmax(sent.value[f].sum(1), group))
-                mass = np.zeros((len(part), group.max() + 1), np.float32)
-                np.add.at(mass.T, group, x.T)
-                d = p * mass[:, group] - x
-                for j in range(f.shape[1]):
-                    np.add.at(g, f[:, j], d)
-            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary())], names=["g"])
-
-        sums = [np.frombuffer(x["g"], np.float32).reshape(w.shape) for x in dealt.mapInArrow(gradient, "g binary").collect()]  # GRADIENT_TASKS rows of the model's size
-        prior = PENALTY * w
-        prior[0] = 0
-        g = (sum(sums, np.zeros_like(w)) + prior) / n
-        m, v = 0.8 * m + 0.2 * g, 0.95 * v + 0.05 * g * g
-        w = (w - RATE * (1 - 0.9 * r / rounds) * (m / (1 - 0.8**r)) / (np.sqrt(v / (1 - 0.95**r)) + 1e-8)).astype(np.float32)
+    seen = np.zeros(len(w), np.float32)
+    for _ in range(rounds):
+        sent = sc.broadcast((ws, w, seen))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ws, w, before = sent.value
+            own, seen = w.copy(), before.copy()
+            for _, b in batched(batches, Held(ws, most)):
+                follow(own, seen, b)
+            n = seen - before
+            i = TaskContext.get().partitionId() % groups
+            rows = np.flatnonzero(n).astype(np.int32)
+            if len(rows):
+                d = ((own - w) * n[:, None])[rows]
+                cols = [pa.array([i]), pa.array([packed(rows)]), pa.array([packed(n[rows])]), pa.array([packed(d.ravel())])]
+                yield pa.RecordBatch.from_arrays(cols, names=["i", "rows", "n", "d"])
+
+        def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, d, tasks = np.zeros(len(seen), np.float32), np.zeros(w.shape, np.float32), 0
+            for b in batches:
+                tasks += b.num_rows
+                for r in b.to_pylist():
+                    rows = unpacked(r["rows"], np.int32)
+                    n[rows] += unpacked(r["n"], np.float32)
+                    d[rows] += unpacked(r["d"], np.float32).reshape(-1, OUT)
+            if tasks:
+                yield pa.RecordBatch.from_arrays([pa.array([tasks]), pa.array([n.tobytes()]), pa.array([d.tobytes()])], names=["tasks", "n", "d"])
+
+        moved = docs.mapInArrow(run, "i long, rows binary, n binary, d binary").repartition(groups, "i")
+        sums = moved.mapInArrow(together, "tasks long, n binary, d binary").collect()  # at most groups rows, each of the model's size
+        n = sum((np.frombuffer(r["n"], np.float32) for r in sums), np.zeros(len(w), np.float32))
+        d = sum((np.frombuffer(r["d"], np.float32).reshape(w.shape) for r in sums), np.zeros_like(w))
+        w, seen = w + d / np.maximum(n, 1)[:, None], seen + n / max(1, sum(r["tasks"] for r in sums))
         sent.destroy()
     return w
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> dict:
+def train_pairs(keys: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For distinct sorted keys with counts: by how much each pair's logarithm differs from its share's; then the groups, and that of other outcomes.
+
+    share: of each outcome within its class. All pairs step at once, by a bound of the curvature.
+    """
+    group = (keys >> np.uint64(32)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    sizes = np.diff(np.append(at, len(keys)))
+    wide = lambda x: np.repeat(x, sizes)
+    p0 = share[(keys & np.uint64(2**32 - 1)).astype(np.int64)]
+    total, other = wide(np.add.reduceat(n, at).astype(float)), np.maximum(1 - np.add.reduceat(p0, at), 0)
+    theta = np.zeros(len(keys))
+    for _ in range(STEPS):
+        e = p0 * np.exp(theta)
+        z = other + np.add.reduceat(e, at)
+        p = e / wide(z)
+        theta += np.clip((n - total * p - PENALTY * theta) / (total * p + PENALTY), -2, 2)
+    z = np.log(other + np.add.reduceat(p0 * np.exp(theta), at))
+    return theta - wide(z), group[at], -z
+
+
+@dataclass
+class Model:
+    """Counts and weights. Small parts are arrays; words and pairs are tables."""
+
+    table: DataFrame  # word, cls, c
+    pairs: DataFrame  # rows of ROWS
+    parts: int
+    tokens: int
+    vocabulary: int
+    ends: int
+    words: list[bytes]
+    counts: np.ndarray  # of words
+    share: np.ndarray  # of each outcome within its class
+    rest: np.ndarray  # log10 of the smoothed counts of the rest of each class
+    weights: np.ndarray  # of the class features
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS, most: int = HOT) -> Model:
     """Counts and weights from all rows of docs (doc_id, text)."""
     slim = docs.select(F.col("doc_id").cast("long"), "text")
-    counted = written(slim.mapInArrow(_count_words, "kind int, word binary, k long, n long"), "counted")
-    table = written(counted.where("kind = 0").groupBy("word", F.col("k").alias("cls")).agg(F.sum("n").alias("c")), "words")
-    outcomes = counted.where("kind = 1").groupBy("k").agg(F.sum("n").alias("n"))
-    ends = counted.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n, v = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    hot = table.orderBy(F.desc("c"), "word").limit(HOT).collect()  # HOT rows at most
-    head = {bytes(r["word"]): i for i, r in enumerate(hot[:HEAD])}
-    rest = {r["cls"]: (r["c"], r["v"]) for r in table.groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()}  # CLASSES rows
-    for r in hot[:HEAD]:
-        c, k = rest[r["cls"]]
-        rest[r["cls"]] = (c - r["c"], k - 1)
-    share = np.array([np.log10(rest.get(i, (0, 0))[0] + 0.5 * (rest.get(i, (0, 0))[1] + 1)) for i in range(CLASSES)])
-    by_class = outcomes.select(F.floor(F.col("k") / OUT).alias("context"), (F.col("k") % OUT).alias("outcome"), "n")
-    wc = train(by_class, class_features(), np.zeros(OUT, int), FEATURES, rounds)
-    sent = slim.sparkSession.sparkContext.broadcast(head)
-    pairs = slim.mapInArrow(lambda it: _count_pairs(sent.value, it), "k long, n long")
-    pairs = pairs.groupBy("k").agg(F.sum("n").alias("n"))
-    size = HEAD + OUT
-    by_word = pairs.select(F.floor(F.col("k") / size).alias("context"), (F.col("k") % size).alias("outcome"), "n")
-    group = np.concatenate((np.append([r["cls"] for r in hot[:HEAD]], np.full(HEAD - len(head), EDGE)), np.arange(OUT))).astype(int)
-    ww = train(by_word, word_features(), group, 1 + OUT, rounds)
-    features = class_features()
-    class_log = np.concatenate([log_softmax(wc[features[a : a + 4096]].sum(1), np.zeros(OUT, int)) for a in range(0, len(features), 4096)]) / np.log(10)
-    unused = np.where(np.arange(size) < HEAD, np.arange(size) >= len(head), False)
-    z = ww[word_features()].sum(1)
-    z[:, unused] = -1e9
-    word_log = log_softmax(z, group) / np.log(10)
-    return {
-        "table": table, "tokens": n + ends, "vocabulary": v + (ends > 0), "ends": ends, "head": head, "share": share,
-        "hot": {bytes(r["word"]): (i, r["c"]) for i, r in enumerate(hot)}, "class_log": class_log.astype(np.float32), "word_log": word_log.astype(np.float32),
-    }
-
-
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score per row of docs."""
-    spark = docs.sparkSession
-    hot_count = np.array([c for _, c in model["hot"].values()], float)
-    hot_log = np.log10(np.append(hot_count, 0) + 0.5)
-    hot = {w: i for w, (i, _) in model["hot"].items()}
-    sent = spark.sparkContext.broadcast((hot, hot_log, model["class_log"], model["word_log"], model["share"], model["ends"]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, hot_log, class_log, word_log, share, ends = sent.value
-        get, row = hot.get, TaskContext.get().partitionId() << 40
-        for ids, b in batched(batches):
-            own = np.fromiter((get(w, -1) for w in b.words), np.int64, len(b.words))
-            at = np.flatnonzero(b.word_target)
-            outcome = HEAD + b.out
-            is_head = (own >= 0) & (own < HEAD)
-            outcome[at[is_head]] = own[is_head]
-            base = np.full(len(b.out), np.log10(ends + 0.5))
-            base[at] = np.where(own >= 0, hot_log[own], 0.0)
-            full = class_log[b.context, b.out].astype(float) + word_log[b.c1, outcome]
-            rest = at[~is_head]
-            full[rest] += base[rest] - share[b.out[rest]]
-            known = np.full(len(b.out), ends > 0)
-            known[at] = own >= 0
-            starts = np.cumsum(b.lengths) - b.lengths
-            sums = [np.add.reduceat(x, starts) for x in (base, full, known.astype(np.int64))]
+    sc = slim.sparkSession.sparkContext
+    table = written(slim.mapInArrow(_count_words, "word binary, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("n")), "words")
+    by_class = {r["cls"]: (r["c"], r["v"]) for r in table.groupBy("cls").agg(F.sum("n").alias("c"), F.count("word").alias("v")).collect()}  # OUT rows
+    start, sizes = (np.array([by_class.get(i, (0, 0))[k] for i in range(OUT)], float) for k in (0, 1))
+    ends = int(start[EDGE])
+    table = table.where("word is not null")
+    hot = most_frequent(table, most).toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # at most so many rows
+    ws, counts, cls = hot["word"].to_pylist(), hot["n"].to_numpy(), hot["cls"].to_numpy()
+    rest = start[:CLASSES] - np.bincount(cls, counts, CLASSES) + 0.5 * (sizes[:CLASSES] - np.bincount(cls, minlength=CLASSES) + 1)
+    total = np.bincount(cls, counts, CLASSES) + rest
+    share = np.zeros(most + CLASSES)
+    share[: len(ws)], share[most:] = counts / total[cls], rest / total
+    tokens = int(start.sum())
+    parts = 1 + tokens // PART_TOKENS
+    weights = train_classes(slim, ws, most, start, rounds, 1 + math.isqrt(parts))
+    sent = sc.broadcast(ws)
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, b in batched(batches, Held(sent.value, most)):
+            keys = b.keys()
+            yield dealt(*summed(keys, np.ones(len(keys), np.uint64)), parts, PAIR_COUNTS, -1)
+
+    return Model(table, slim.mapInArrow(count_pairs, ROWS), parts, tokens, int(sizes.sum()) + (ends > 0), ends, ws, counts, share, np.log10(rest), weights)
+
+
+# -- scoring ----------------------------------------------------------------------------------
+
+
+def _answers(parts: int, share: np.ndarray, rows: Iterator[dict]) -> Iterator[dict]:
+    """Rows of ROWS in order of part and kind to answers (chunk, kind, keys, more): texts' numbers and sums."""
+    part, held, pairs, counts = None, {}, None, None
+    for r in rows:
+        if r["part"] != part:
+            part, held, pairs, counts = r["part"], {PAIR_COUNTS: [], WORD_COUNTS: []}, None, None
+        if r["kind"] == TEXTS:
+            yield r
+            continue
+        keys = np.cumsum(unpacked(r["keys"], np.uint64), dtype=np.uint64)
+        if r["kind"] in held:
+            same = held[r["kind"]]
+            same.append((keys, unpacked(r["more"], np.uint64)))
+            if sum(len(k) for k, _ in same[1:]) > max(PART_TOKENS, len(same[0][0])):
+                held[r["kind"]] = [summed(*map(np.concatenate, zip(*same)))]  # so that a heavy key takes no more room than its pairs
+            continue
+        none = [(np.empty(0, np.uint64), np.empty(0, np.uint64))]
+        texts, owner = np.unique(unpacked(r["more"], np.uint32), return_inverse=True)
+        if r["kind"] == PAIR_KEYS:
+            if pairs is None:
+                k, n = summed(*map(np.concatenate, zip(*(held[PAIR_COUNTS] or none))))
+                held[PAIR_COUNTS] = []
+                pairs = (k, *train_pairs(k, n, share)) if len(k) else (k, np.empty(0), np.empty(0, np.int64), np.empty(0))
+            k, r_pair, groups, r_group = pairs
+            value = np.zeros(len(keys))
+            if len(k):
+                g = (keys >> np.uint64(32)).astype(np.int64)
+                j = np.minimum(np.searchsorted(groups, g), len(groups) - 1)
+                value = np.where(groups[j] == g, r_group[j], 0.0)
+                i = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+                value = np.where(k[i] == keys, r_pair[i], value) / np.log(10)
+            sums = [np.bincount(owner, value)]
+        else:
+            if counts is None:
+                counts = summed(*map(np.concatenate, zip(*(held[WORD_COUNTS] or none))))
+                held[WORD_COUNTS] = []
+            k, n = counts
+            c = np.zeros(len(keys))
+            if len(k):
+                i = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+                c = np.where(k[i] == keys, n[i], 0).astype(float)
+            sums = [np.bincount(owner, np.log10(c + 0.5)), np.bincount(owner, c > 0)]
+        yield {"chunk": r["chunk"], "kind": r["kind"], "keys": packed(texts), "more": packed(np.concatenate(sums))}
+
+
+def _row_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score per row of docs.
+
+    docs must come in the same partitions and order if it is read again, as a table does.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((model.words, model.counts, model.share, model.rest, model.weights, model.ends))
+    parts = model.parts
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ws, counts, share, rest, weights, ends = sent.value
+        hot_log, share_log = np.log10(np.append(counts, 0) + 0.5), np.log10(np.maximum(share, 1e-300))
+        chunk = TaskContext.get().partitionId() << 32
+        for ids, b in batched(batches, Held(ws, len(share) - CLASSES)):
+            n, own, cls = len(b.at), b.number[b.at[b.word_at]], b.cls[b.at[b.word_at]]
+            base, full, known = np.full(n, np.log10(ends + 0.5)), np.empty(n), np.full(n, ends > 0)
+            base[b.word_at], known[b.word_at] = np.where(own >= 0, hot_log[own], 0.0), own >= 0
+            features, out = b.features(), b.cls[b.at]
+            for a in range(0, n, STEP_WORDS):
+                o = out[a : a + STEP_WORDS]
+                full[a : a + STEP_WORDS] = class_log(weights, features[:, a : a + STEP_WORDS])[np.arange(len(o)), o] / np.log(10)
+            full[b.word_at] += share_log[b.outcome] - np.where(own >= 0, 0.0, rest[cls])
+            base, full, known = (np.bincount(b.owner, x, len(ids)) for x in (base, full, known))
+            null = np.array([i is None for i in ids])
+            doc = np.array([i or 0 for i in ids], np.int64)
+            texts = np.concatenate([doc, null.astype(np.int64), b.lengths, known.astype(np.int64), base.view(np.int64), full.view(np.int64)])
+            yield pa.RecordBatch.from_pylist([{"part": chunk % parts, "kind": TEXTS, "chunk": chunk, "keys": b"", "more": packed(texts)}], SCHEMA)
+            owner = b.owner[b.word_at].astype(np.uint32)
             cold = np.flatnonzero(own < 0)
-            owner = np.searchsorted(starts, at[cold], "right") - 1
-            bounds = np.searchsorted(owner, np.arange(len(ids) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array([b.words[i] for i in cold.tolist()], pa.binary()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + len(ids))), pa.array(ids, pa.int64()), pa.array(b.lengths.astype(np.int64)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), lists],
-                names=["row", "doc_id", "n_tokens", "known", "base", "full", "cold"],
-            )
-            row += len(ids)
+            for kind, keys, text in ((PAIR_KEYS, b.keys(), owner), (WORD_KEYS, b.hash[b.at[b.word_at]][cold], owner[cold])):
+                order = np.argsort(keys, kind="stable")
+                yield dealt(keys[order], text[order], parts, kind, chunk)
+            chunk += 1
+
+    def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            held.append((hashes_of(b["word"].to_pylist()), b["n"].to_numpy().astype(np.uint64)))
+            if len(held) == 100:
+                yield dealt(*summed(*map(np.concatenate, zip(*held))), parts, WORD_COUNTS, -1)
+                held = []
+        if held:
+            yield dealt(*summed(*map(np.concatenate, zip(*held))), parts, WORD_COUNTS, -1)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _answers(parts, sent.value[2], _row_stream(batches)):
+            yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("chunk", "kind", "keys", "more")}], pa.schema([SCHEMA.field(k) for k in ("chunk", "kind", "keys", "more")]))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for r in _row_stream(batches):
+            if r["kind"] != TEXTS:
+                held.append(r)
+                continue
+            doc, null, lengths, known, base, full = unpacked(r["more"], np.int64).reshape(6, -1)
+            base, full, known = base.copy().view(float), full.copy().view(float), known.copy()
+            for h in held:
+                at, sums = unpacked(h["keys"], np.uint32), unpacked(h["more"], np.float64)
+                full[at] += sums[: len(at)]
+                if h["kind"] == WORD_KEYS:
+                    base[at] += sums[: len(at)]
+                    known[at] += sums[len(at) :].astype(np.int64)
+            held = []
+            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=null > 0), pa.array(lengths), pa.array(known), pa.array(base), pa.array(full)], names=["doc_id", "n_tokens", "n_known", "base", "full"])
 
     slim = docs.select(F.col("doc_id").cast("long"), "text")
-    # written first: the row numbers must not change if an executor is lost
-    scored = written(slim.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, full double, cold array<binary>"), "scored")
-    cold = scored.select("row", F.explode("cold").alias("word"))
-    cold = cold.join(model["table"].select("word", "c").hint("shuffle_hash"), "word", "left")
-    sums = cold.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.count("c").alias("found"))
-    out = scored.drop("cold").join(sums, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    total = float(np.log10(model["tokens"] + 0.5 * (model["vocabulary"] + 1)))
+    rows = model.pairs.unionByName(model.table.mapInArrow(word_counts, ROWS)).unionByName(slim.mapInArrow(ask, ROWS))
+    answers = rows.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(answer, "chunk long, kind int, keys binary, more binary")
+    out = answers.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(total, "doc_id long, n_tokens long, n_known long, base double, full double")
+    norm = float(np.log10(model.tokens + 0.5 * (model.vocabulary + 1)))
     return out.select(
         "doc_id",
         held_out().alias("held_out"),
         "n_tokens",
-        (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(model["tokens"]).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * total).alias("base_score"),
-        (F.col("full") + more).alias("score"),
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * norm).alias("base_score"),
+        F.col("full").alias("score"),
     )

@@ -37,11 +37,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumisonde.llm.common import fresh, written
+from lumisonde.llm.common import fresh, most_frequent, written
 
 SPACE = "▁"
 #: Where texts are cut: always, and if no piece mixes letters, digits and other characters.
@@ -266,15 +266,6 @@ def encode_lexicon(words: DataFrame, vocabulary: Pieces) -> DataFrame:
     return edges.select("unit", "n", path.alias("ids")).select("unit", "n", with_bytes(F.col("ids"), F.col("unit"), vocabulary.byte_ids).alias("ids"))
 
 
-def most_frequent(table: DataFrame, most: int) -> DataFrame:
-    """The units with at least so many occurrences that no more than most have them; counts of a power of 2^(1/8) go together."""
-    step = F.floor(8 * F.log2("n"))
-    total = F.sum("units").over(Window.orderBy(F.desc("step")))  # a few hundred steps
-    steps = table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("units")).withColumn("total", total)
-    least = steps.where(F.col("total") <= most).agg(F.min("step")).first()[0]
-    return table.where(step >= least) if least is not None else table.where("false")
-
-
 def _numbers(ks: np.ndarray, counts: np.ndarray) -> pa.Array:
     """Numbers as bytes of seven bits each, the lowest first, a set top bit where more follow; one binary for each of the counts."""
     size = 1 + sum((ks >= 1 << 7 * j).astype(np.int64) for j in (1, 2, 3))

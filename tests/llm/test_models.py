@@ -42,16 +42,14 @@ def test_rules_are_paths():
     assert rule_quality.paths(text) == [((a, True, 1.5),), ((a, True, 1.5), (b, True, 2.0)), tuple(sorted([(a, True, 1.5), (b, False, 2.0)])), ((a, False, 1.5),)]
 
 
-def lm(spark, rows, rounds=6):
+def lm(spark, rows, most=maxent_lm.HOT):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    return maxent_lm.score(frame, maxent_lm.fit(frame.where(~maxent_lm.held_out()), rounds))
+    return maxent_lm.score(frame, maxent_lm.fit(frame.where(~maxent_lm.held_out()), most=most))
 
 
-def test_base_score_is_that_of_the_counts(spark, texts, monkeypatch):
-    monkeypatch.setattr(maxent_lm, "HOT", 300)
-    monkeypatch.setattr(maxent_lm, "HELD_WORDS", 500)
+def test_base_score_is_that_of_the_counts(spark, texts):
     rows = [*list(texts.items())[:60], (-1, None), (-2, ""), (-3, "Of of OF unseenword")]
-    got = {r.doc_id: r for r in lm(spark, rows).collect()}
+    got = {r.doc_id: r for r in lm(spark, rows, 300).collect()}
     count, ends = Counter(), 0
     for i, t in rows:
         if zlib.crc32(str(i).encode()) % 5 != 1:
@@ -66,27 +64,85 @@ def test_base_score_is_that_of_the_counts(spark, texts, monkeypatch):
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
 
 
+class PlainScore:
+    """The model's score, word by word: class weights as fitted, pairs counted and fitted here."""
+
+    def __init__(self, m, texts):
+        self.m, self.number, self.count = m, {w: i for i, w in enumerate(m.words)}, Counter(w for t in texts for w in t)
+        self.most, self.pairs = len(m.share) - maxent_lm.CLASSES, {}
+        for t in texts:
+            for before, w in zip([None, *t], t):
+                self.pairs.setdefault((before, self.cls(w)), Counter())[self.outcome(w)] += 1
+        self.theta = {}
+        for key, seen in self.pairs.items():
+            th, total = dict.fromkeys(seen, 0.0), sum(seen.values())
+            for _ in range(500):
+                z = self.z(th)
+                for o, c in seen.items():
+                    p = m.share[o] * math.exp(th[o]) / z
+                    th[o] += 0.3 * (c - total * p - maxent_lm.PENALTY * th[o]) / (total * p * (1 - p) + maxent_lm.PENALTY)
+            self.theta[key] = th
+
+    def z(self, th):
+        return max(0.0, 1 - sum(self.m.share[o] for o in th)) + sum(self.m.share[o] * math.exp(x) for o, x in th.items())
+
+    def cls(self, w):
+        return int(maxent_lm.classes_of([w])[0])
+
+    def outcome(self, w):
+        return self.number.get(w, self.most + self.cls(w))
+
+    def ctx(self, w):
+        if w is None:
+            return maxent_lm.CONTEXTS + maxent_lm.EDGE
+        i = self.number.get(w, maxent_lm.CONTEXTS)
+        return i if i < maxent_lm.CONTEXTS else maxent_lm.CONTEXTS + self.cls(w)
+
+    def __call__(self, t):
+        out, side = 0.0, maxent_lm.CONTEXTS + maxent_lm.OUT
+        for two, one, w in zip([None, None, *t], [None, *t], [*t, None]):
+            a, b = self.ctx(one), self.ctx(two)
+            both = ((a * int(maxent_lm.EDGE_HASH) + b * int(maxent_lm.ODD)) % 2**64 >> 40) % maxent_lm.PAIRS
+            z = sum(self.m.weights[i].astype(float) for i in (0, 1 + a, 1 + side + b, 1 + 2 * side + both))
+            c = maxent_lm.EDGE if w is None else self.cls(w)
+            out += (z[c] - math.log(np.exp(z).sum())) / math.log(10)
+            if w is not None:
+                o, th = self.outcome(w), self.theta.get((one, c), {})
+                out += math.log10(self.m.share[o]) + (th.get(o, 0.0) - math.log(self.z(th))) / math.log(10)
+                if o >= self.most:
+                    out += math.log10(self.count[w] + 0.5) - self.m.rest[c]
+        return out
+
+
+def test_score_is_that_of_a_plain_model(spark, texts):
+    rows = [*list(texts.items())[:12], (-2, ""), (-3, "Of of OF unseenword of")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    train = frame.where(~maxent_lm.held_out())
+    model = maxent_lm.fit(train, most=200)
+    plain = PlainScore(model, [(r.text or "").encode().lower().split() for r in train.collect()])
+    got = {r.doc_id: r.score for r in maxent_lm.score(frame, model).collect()}
+    for i, t in rows:
+        assert got[i] == pytest.approx(plain((t or "").encode().lower().split()), rel=2e-3)
+    z = maxent_lm.class_log(model.weights, np.array([[1], [2 + maxent_lm.CONTEXTS], [3]]))
+    assert np.exp(z).sum() == pytest.approx(1, abs=1e-5)
+
+
 def test_model_is_better_than_its_base_on_held_out_text(spark):
-    r = queries.op4_lm_score(spark, BIG).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
-    assert r[1] > r[0]
+    r = queries.op4_lm_score(spark, BIG).where("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("score"), F.sum("n_tokens").alias("n")).first()
+    assert (r.score - r.base) / r.n > 0.1
 
 
-def test_probabilities_sum_to_less_than_one(spark):
-    """Over all known words after one context, the model's shares stay below 1, the rest being left to unknown words."""
-    rows = [(i, "a b c d e " * 20) for i in range(5, 25)]
-    model = maxent_lm.fit(spark.createDataFrame(rows, "doc_id long, text string"), 4)
-    words = [w for w in model["head"]]
-    cls = maxent_lm.classes_of(words)
-    edge = maxent_lm.EDGE
-    context = (edge * maxent_lm.OUT + edge) * maxent_lm.OUT + edge
-    total = sum(10 ** float(model["class_log"][context, c] + model["word_log"][edge, model["head"][w]]) for w, c in zip(words, cls))
-    assert 0 < total < 1
+def test_lm_gathers_more_from_more_text(spark, docs):
+    pairs = [sum(len(maxent_lm.unpacked(r.keys, np.uint64)) for r in maxent_lm.fit(docs.where(f"doc_id < {n}")).pairs.collect()) for n in (40, 160)]
+    assert pairs[1] > 2 * pairs[0] > 0
 
 
-def test_lm_without_texts(spark, odd, none):
+def test_lm_on_odd_rows(spark, odd, none):
     assert lm(spark, []).count() == 0
-    out = maxent_lm.score(odd.select("doc_id", "text"), maxent_lm.fit(none.select("doc_id", "text"), 2)).collect()
+    out = maxent_lm.score(odd.select("doc_id", "text"), maxent_lm.fit(none.select("doc_id", "text"))).collect()
     assert len(out) == odd.count() and all(r.n_known == 0 and r.train_tokens == 0 for r in out)
+    out = lm(spark, [(1, "a b " * 200_000), (2, "z" * 300_000), (3, "tie"), (3, "tie")], 2).collect()
+    assert sorted(r.n_tokens for r in out) == [2, 2, 2, 400_001]
 
 
 def test_pieces_are_the_librarys(spark, docs, odd, none, texts):
