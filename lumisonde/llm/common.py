@@ -63,3 +63,38 @@ def most_frequent(table: DataFrame, most: int) -> DataFrame:
     steps = table.groupBy(step.alias("step_")).agg(F.count(F.lit(1)).alias("rows")).withColumn("total", total)
     least = steps.where(F.col("total") <= most).agg(F.min("step_")).first()[0]
     return table.where(step >= least) if least is not None else table.where("false")
+
+
+#: A filter has about so many bits for each key, and no more than MOST_BITS, so what is broadcast is at most 32 MB.
+KEY_BITS, MOST_BITS = 16, 1 << 28
+
+
+def _filter_bits(h: Column, bits: int) -> list[tuple[Column, Column]]:
+    """The places of a hash in a filter: words, and bits within them."""
+    spots = [F.pmod(x, F.lit(bits)) for x in (h, F.xxhash64(h))]
+    return [(F.floor(x / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))) for x in spots]
+
+
+Filter = tuple[DataFrame, int]
+
+
+def filter_of(keys: DataFrame, key: Column) -> Filter:
+    """A bloom filter of the hashes in a column of keys: one row with an array of words, and its number of bits."""
+    spark = keys.sparkSession
+    bits = min(MOST_BITS, max(1 << 12, 1 << (KEY_BITS * keys.count()).bit_length()))
+    spots = keys.select(key.alias("h")).select(F.explode(F.array(*[F.struct(w.alias("w"), b.alias("b")) for w, b in _filter_bits(F.col("h"), bits)])).alias("x"))
+    every = spark.range(bits // 64).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("b"))
+    merged = spots.select("x.w", "x.b").unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
+    whole = merged.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bloom_words_"))
+    return written(whole, "filter"), bits
+
+
+def split_by(df: DataFrame, h: Column, by: Filter) -> tuple[DataFrame, DataFrame]:
+    """df's rows whose hash h may be in the filter, and those whose hash is certainly not, so that only the first need meet the keys in a shuffle.
+
+    If there are more keys than MOST_BITS can tell apart, more rows may be in it; none is lost.
+    """
+    (w1, b1), (w2, b2) = _filter_bits(h, by[1])
+    is_set = (F.get("bloom_words_", w1).bitwiseAND(b1) != 0) & (F.get("bloom_words_", w2).bitwiseAND(b2) != 0)
+    may, cannot = (df.join(F.broadcast(by[0]), is_set, how) for how in ("left_semi", "left_anti"))
+    return may, cannot

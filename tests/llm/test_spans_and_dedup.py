@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lumisonde.llm import ffd_packing, lsm_dedup, pii
 
@@ -98,28 +99,43 @@ def test_exact_dedup(spark, odd, none, docs):
     for frame in (odd, docs):
         rows = [(r.doc_id, r.text) for r in frame.collect()]
         for keep in ("largest", "smallest"):
-            for few in (0, 10**6):
-                out = lsm_dedup.dedup(frame, keep=keep, broadcast_digests=few)
-                assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in out.collect()) == groups(rows, keep)
+            out = lsm_dedup.dedup(frame, keep=keep)
+            assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in out.collect()) == groups(rows, keep)
     assert lsm_dedup.dedup(none).count() == 0
 
 
 def test_equal_digests_are_told_apart_by_bytes(spark, odd, monkeypatch):
-    from pyspark.sql import functions as F
-
     monkeypatch.setattr(lsm_dedup, "_digest", lambda text: F.unhex(F.lit("00")))
     out = lsm_dedup.dedup(odd)
     got = sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in out.collect())
     assert got == [x[:3] for x in groups([(r.doc_id, r.text) for r in odd.collect()], "largest")]
 
 
-def test_index_takes_more_batches(spark, docs):
-    path = lsm_dedup.flush(docs.where("doc_id < 100"))
-    lsm_dedup.flush(docs.where("doc_id >= 100"), path=path)
-    runs = spark.read.parquet(path)
-    assert runs.count() == docs.count()
-    one = runs.first()
-    assert lsm_dedup.lookup(runs, [bytes(one.digest)]).count() == lsm_dedup.compact(runs).where(runs.digest == one.digest).first().n
+def test_filters_lose_no_copy_and_settle_most_rows(spark, docs, monkeypatch):
+    from lumisonde.llm import common
+
+    keys = spark.range(0, 3000, 3).select(F.xxhash64("id").alias("k"))
+    for most in (1 << 28, 1 << 12):  # roomy, and too full to tell
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        may, cannot = common.split_by(spark.range(3000), F.xxhash64("id"), common.filter_of(keys, F.col("k")))
+        assert may.where("id % 3 = 0").count() == 1000 and may.count() + cannot.count() == 3000
+        assert cannot.count() > (1900 if most > 1 << 12 else 0)
+    monkeypatch.setattr(common, "MOST_BITS", 1 << 12)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in lsm_dedup.dedup(docs).collect()) == groups(rows, "largest")
+
+
+def test_index_takes_more_batches(spark, docs, monkeypatch):
+    monkeypatch.setattr(lsm_dedup, "FANOUT", 2)
+    index = lsm_dedup.Index(spark, "digest binary, id bigint, n bigint", "smallest")
+    for k in range(5):
+        index.flush(docs.where(f"doc_id % 5 = {k}"))
+    assert [len(x) for x in index.levels] == [1, 0, 1]
+    want = {r.h: (r.i, r.n) for r in docs.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).agg(F.min("doc_id").alias("i"), F.count("*").alias("n")).collect()}
+    got = index.lookup([bytes.fromhex(h) for h in list(want)[:20]]).collect()
+    assert {bytes(r.digest).hex(): (r.id, r.n) for r in got} == {h: want[h] for h in list(want)[:20]}
+    runs = index.read(index.levels[2]).select("digest", F.spark_partition_id().alias("p")).collect()
+    assert all(a.digest < b.digest for a, b in zip(runs, runs[1:]) if a.p == b.p)
 
 
 @settings(max_examples=150, deadline=None)
@@ -176,7 +192,7 @@ def test_encoder_is_the_tokenizer(texts):
     from tokenizers import Tokenizer
 
     file = public_tokenizers.path("word_bpe_49k.json")
-    t, encode = Tokenizer.from_file(file), ffd_packing.chunk_encoder(file)
+    t, encode = Tokenizer.from_file(file), ffd_packing.chunk_encoder(file)[0]
     t.encode_special_tokens = True
     odd = ["It's 'S it's, a.b. ÉCOLE, école. ÀÉ́ é, İ ΣΑΣ. <|endoftext|> x</w> a b, ,a .a A..", "ﬁn. ½ 12,5. don't.  x,y", "ŒUVRE. ǅ, ß. ẞ,"]
     for x in [*texts.values(), *odd]:
