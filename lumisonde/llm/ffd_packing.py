@@ -1,7 +1,7 @@
 """Sequence packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups.
 
-Documents are dealt to tasks by a hash of their identifier and text. Each task cuts its stream
-into groups of a bounded number of tokens and packs every group by itself:
+Documents are dealt to tasks by a hash of their identifier, text and place. Each task sorts its
+documents by that hash and cuts their stream into groups of a bounded number of tokens and packs every group by itself:
 
 1. Whole sequences are cut off the front of documents that exceed the capacity.
 2. The rests are placed by first-fit decreasing. The tree's leaves are the bins' free
@@ -42,8 +42,8 @@ STOP_AFTER_LETTER = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([.,])(?![^\x20\x09
 CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 #: Letters whose lower case and bytes are the same for any library.
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Chunks whose ids a worker keeps, twice at most: those met lately, and those met before.
-CACHED_CHUNKS = 300_000
+#: Chunks whose ids a task keeps, twice at most: those met lately, and those met before. A worker keeps the first between tasks.
+CACHED_CHUNKS = 200_000
 
 
 class Tournament:
@@ -159,12 +159,12 @@ def little(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-Encoder = Callable[[str | None], bytes]
+Encoder = tuple[Callable[[str | None], bytes], Callable[[], None]]
 _encoders: dict[str, Encoder] = {}
 
 
 def chunk_encoder(path: str) -> Encoder:
-    """Text to little-endian 32-bit ids, by a tokenizer file that drops white space.
+    """Text to little-endian 32-bit ids, by a tokenizer file that drops white space; and what a task calls at its end.
 
     Ids of chunks between white space are kept for reuse. Chunks of plain letters go to the
     file's merge rules directly, if that gives what the whole tokenizer gives.
@@ -213,8 +213,12 @@ def chunk_encoder(path: str) -> Encoder:
             lately, before = {}, lately
         return out
 
-    _encoders[path] = encode
-    return encode
+    def end() -> None:
+        before.clear()
+        pa.default_memory_pool().release_unused()
+
+    _encoders[path] = encode, end
+    return encode, end
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -226,7 +230,8 @@ def packed(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, made = chunk_encoder(tokenizer_file), TaskContext.get().partitionId() << 40, 0
+        encode, done = chunk_encoder(tokenizer_file)
+        part, made = TaskContext.get().partitionId() << 40, 0
         held, ids, tokens = [], [], 0
 
         def emit() -> pa.RecordBatch:
@@ -242,8 +247,8 @@ def packed(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=ARROW)
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                x = encode(text) + end
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                x = encode(text.as_py()) + end
                 if held and tokens + len(x) // 4 > group_tokens:
                     yield emit()
                     held, ids, tokens = [], [], 0
@@ -252,6 +257,9 @@ def packed(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
                 tokens += len(x) // 4
         if held:
             yield emit()
+        done()
 
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartition(F.xxhash64(F.lit("pack"), "doc_id", F.xxhash64("text")))
-    return dealt.mapInArrow(run, PIECES)
+    # rows that repeat are dealt by where they stand; sorted, so that a task that is done again packs the same sequences
+    key = F.xxhash64(F.lit("pack"), "doc_id", F.xxhash64("text"), F.spark_partition_id())
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", key).repartition("key").sortWithinPartitions("key", "doc_id")
+    return dealt.select("doc_id", "text").mapInArrow(run, PIECES)
