@@ -18,19 +18,33 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it; a new local one only where none is set."""
+    """The folder that the driver and all executors share, as the session names it; a new local one only where none is set and Spark runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumisonde-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+#: Has Spark remove the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
+    """df, written once as Parquet to the shared folder and read back: cuts lineage and survives lost executors.
+
+    What the query that writes it has shuffled is of no more use afterwards and is removed at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,13 +70,13 @@ def sizes_fit(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def most_frequent(table: DataFrame, most: int) -> DataFrame:
-    """The rows with the largest counts n, at most so many; counts of one power of 2^(1/8) stay or go together."""
+def most_frequent(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with the largest counts n, at most so many, and the others; counts of one power of 2^(1/8) stay together."""
     step = F.floor(8 * F.log2("n"))
     total = F.sum("rows").over(Window.orderBy(F.desc("step_")))  # a few hundred steps
     steps = table.groupBy(step.alias("step_")).agg(F.count(F.lit(1)).alias("rows")).withColumn("total", total)
     least = steps.where(F.col("total") <= most).agg(F.min("step_")).first()[0]
-    return table.where(step >= least) if least is not None else table.where("false")
+    return (table.where(step >= least), table.where(step < least)) if least is not None else (table.where("false"), table)
 
 
 #: A filter has about so many bits for each key, and no more than MOST_BITS, so what is broadcast is at most 32 MB.

@@ -37,6 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,9 +45,18 @@ from pyspark.sql import types as T
 from lumisonde.llm.common import fresh, most_frequent, written
 
 SPACE = "▁"
+
+
+def letter_ranges() -> list[tuple[str, str]]:
+    """First and last of each run of letters among the characters of two bytes."""
+    marks = [i for i in range(2, 1 << 16) if chr(i).isalpha() != chr(i - 1).isalpha()]
+    return [(chr(a), chr(z - 1)) for a, z in zip(marks[::2], marks[1::2])]
+
+
 #: Where texts are cut: always, and if no piece mixes letters, digits and other characters.
 COARSE = r"\n| *[^ \n]+| +"
-FINE = r"\n| *(?:[^\W\d_¹²³]+|(?:[^\w \n]|[_¹²³])+|[^ \n])| +"
+_ALPHA = "".join(f"{a}-{z}" for a, z in letter_ranges())
+FINE = rf"\n| *(?:[{_ALPHA}]+|[0-9]|[^{_ALPHA}0-9 \n]+)| +"
 MAX_UNIT = 60
 #: Units whose pieces every task holds; units that a counting task holds before it sends them on; units of one numpy batch.
 HOT, HELD, BATCH = 300_000, 300_000, 400_000
@@ -267,19 +277,21 @@ def encode_lexicon(words: DataFrame, vocabulary: Pieces) -> DataFrame:
 
 
 def _numbers(ks: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Numbers as bytes of seven bits each, the lowest first, a set top bit where more follow; one binary for each of the counts."""
+    """Numbers as bytes of seven bits each, the lowest first, a set top bit where more follow; one compressed binary for each of the counts."""
     size = 1 + sum((ks >= 1 << 7 * j).astype(np.int64) for j in (1, 2, 3))
     at = np.cumsum(size) - size
     out = np.empty(int(size.sum()), np.uint8)
     for j in range(4):
         has = size > j
         out[at[has] + j] = (ks[has] >> 7 * j & 127) | np.where(size[has] > j + 1, 128, 0)
-    ends = np.append(at, len(out))[np.concatenate(([0], np.cumsum(counts)))]
-    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+    ends = np.append(at, len(out))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+    raw, shrink = out.tobytes(), zstandard.ZstdCompressor(level=1, write_checksum=False).compress
+    return pa.array([shrink(raw[a:z]) for a, z in zip(ends, ends[1:])], pa.binary())
 
 
 def _of_numbers(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The numbers, and how many each row has."""
+    rows = list(map(zstandard.ZstdDecompressor().decompress, rows))
     raw = np.frombuffer(b"".join(rows), np.uint8)
     last = raw < 128
     ends = np.flatnonzero(last)
@@ -297,7 +309,8 @@ def encode(docs: DataFrame, vocabulary: Pieces, text: str = "text", hot: int = H
     sc = docs.sparkSession.sparkContext
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     table = written(encode_lexicon(lexicon(slim, vocabulary), vocabulary), "lexicon")
-    top = most_frequent(table, hot).select("unit", "ids").toArrow().combine_chunks()  # hot rows at most
+    top, rare = most_frequent(table, hot)
+    top = top.select("unit", "ids").toArrow().combine_chunks()  # hot rows at most
     lists = top["ids"].combine_chunks()
     held = sc.broadcast((top["unit"].to_pylist(), lists.value_lengths().to_numpy(), lists.flatten().to_numpy()))
     ranks = vocabulary.ranks
@@ -363,7 +376,7 @@ def encode(docs: DataFrame, vocabulary: Pieces, text: str = "text", hot: int = H
     # computed twice, for the join and for the texts: what is sent is far smaller than what a table of it would take
     first = slim.mapInArrow(numbered, "doc_id long, h long, ks binary, cold array<string>, long array<string>")
     wanted = first.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.posexplode("cold").alias("pos", "unit"))
-    met = wanted.join(table.select("unit", "ids"), "unit").groupBy("d", "g").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("more"))
+    met = wanted.join(rare.select("unit", "ids"), "unit").groupBy("d", "g").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("more"))
     left = first.select("doc_id", "h", "ks", "long")
     both = left.join(met, left["doc_id"].eqNullSafe(met["d"]) & (left["h"] == met["g"]), "left").select("doc_id", "ks", "long", "more")
     return both.mapInArrow(assembled, "doc_id long, ids array<int>")
