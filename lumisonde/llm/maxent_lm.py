@@ -49,7 +49,7 @@ HOT, CONTEXTS = 262_144, 8192
 #: Hashed features of two words, for the class.
 PAIRS = 1 << 13
 #: Rounds over the texts for the classes; rounds over the pairs of a part; precision of the prior on a pair's weight.
-ROUNDS, STEPS, PENALTY = 2, 20, 0.5
+ROUNDS, STEPS, PENALTY = 1, 20, 0.5
 #: Weight of a class feature's start, in words, and share of a word's curvature that one of its features answers for.
 START, CURVE = 4.0, 0.5
 #: Different words that a counting task holds, words of one numpy batch, and of one step of the gradient.
@@ -323,7 +323,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, most: int = HOT) -> Model:
     start, sizes = (np.array([by_class.get(i, (0, 0))[k] for i in range(OUT)], float) for k in (0, 1))
     ends = int(start[EDGE])
     table = table.where("word is not null")
-    hot = most_frequent(table, most).toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # at most so many rows
+    hot = most_frequent(table, most)[0].toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # at most so many rows
     ws, counts, cls = hot["word"].to_pylist(), hot["n"].to_numpy(), hot["cls"].to_numpy()
     rest = start[:CLASSES] - np.bincount(cls, counts, CLASSES) + 0.5 * (sizes[:CLASSES] - np.bincount(cls, minlength=CLASSES) + 1)
     total = np.bincount(cls, counts, CLASSES) + rest
@@ -462,7 +462,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     slim = docs.select(F.col("doc_id").cast("long"), "text")
     rows = model.pairs.unionByName(model.table.mapInArrow(word_counts, ROWS)).unionByName(slim.mapInArrow(ask, ROWS))
-    answers = rows.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(answer, "chunk long, kind int, keys binary, more binary")
+    answers = rows.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(answer, "chunk long, kind int, keys binary, more binary")
     out = answers.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(total, "doc_id long, n_tokens long, n_known long, base double, full double")
     norm = float(np.log10(model.tokens + 0.5 * (model.vocabulary + 1)))
     return out.select(
