@@ -11,15 +11,17 @@ run of at least ``guarantee`` words have a window in common inside it, so they s
 the same gram.
 *Join.* Each selected gram is joined to its first place in the corpus, by (doc_id, hash of
 the text, line): as many rows as selected grams, however often one occurs.
-*Extension.* From such a pair the match grows both ways while lines agree. A run longer than
-``guarantee`` has further selected grams, so a reach of EXTEND lines beyond is enough.
+*Extension.* From such a pair the match grows both ways while lines agree: lines are compared in
+blocks, and blocks are added as long as a match reaches the border of those compared.
 *Deletion.* The lines of every match go, but for its first place.
 
 Defined cases: null and empty texts come back as they are; rows with the same doc_id and
 text are one document and lose the same lines; a null doc_id counts as the smallest; a
 run that repeats within a document keeps its first copy; a document all of whose lines
 go has the empty text; an empty table gives an empty table; other columns are carried
-unchanged, and n_chars, where present, follows the text.
+unchanged, and n_chars, where present, follows the text; a column of the name of the count
+stays, and the count gets a fresh name. A text of very many lines is as many rows; a very
+long line is one.
 """
 
 from __future__ import annotations
@@ -27,23 +29,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumisonde.llm.common import fresh, written
+from lumisonde.llm.common import filter_of, fresh, split_by, written
 
+#: Words of a run that is found for certain, words of a gram, and lines that are compared at once around a seed.
 GUARANTEE, NOISE, EXTEND = 50, 25, 64
-#: Deleted lines that are broadcast as lists, about 20 bytes each; beyond, a shuffled join.
-BROADCAST_LINES = 500_000
 
 
 def _id(docs: DataFrame) -> Column:
     return F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
 
 
+def once(docs: DataFrame, text: str) -> DataFrame:
+    """(id, h, text) of each different document with a text. Only rows that repeat are shuffled, after one of each was picked on the map side."""
+    slim = docs.where(F.col(text) != "").select(_id(docs).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    key = F.xxhash64("id", "h")
+    twice = written(slim.groupBy("id", "h").count().where("count > 1").select(key.alias("k")), "repeats")
+    again, single = split_by(slim, key, filter_of(twice, F.col("k")))
+    return single.unionByName(again.groupBy("id", "h").agg(F.first("text").alias("text")))
+
+
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(id, h, i, pos, lh, n): the non-blank lines of each different document; i counts them, pos counts all lines."""
-    parts = F.transform(F.split(F.col(text), "\n", -1), lambda x, p: F.struct(p.alias("pos"), F.trim(x).alias("line")))
-    each = docs.where(F.col(text) != "").select(_id(docs).alias("id"), F.xxhash64(text).alias("h"), F.posexplode(F.filter(parts, lambda x: x["line"] != "")).alias("i", "x"))
-    each = each.select("id", "h", "i", "x.pos", F.unhex(F.md5("x.line")).alias("lh"), F.size(F.split("x.line", " +")).alias("n"))
-    return each.repartition("id", "h").dropDuplicates(["id", "h", "i"])
+    parts = F.transform(F.split("text", "\n", -1), lambda x, p: F.struct(p.alias("pos"), F.trim(x).alias("line")))
+    each = once(docs, text).select("id", "h", F.posexplode(F.filter(parts, lambda x: x["line"] != "")).alias("i", "x"))
+    return each.select("id", "h", "i", "x.pos", F.unhex(F.md5("x.line")).alias("lh"), F.size(F.split("x.line", " +")).alias("n"))
 
 
 def selected(found: DataFrame, guarantee: int = GUARANTEE, noise: int = NOISE) -> DataFrame:
@@ -65,34 +74,42 @@ def repeated(found: DataFrame, guarantee: int = GUARANTEE, noise: int = NOISE) -
     seeds = grams.join(firsts, "gram").where(F.struct("id", "h", "i") > F.col("f"))
     seeds = seeds.select("id", "h", "i", F.col("f.id").alias("fid"), F.col("f.h").alias("fh"), (F.col("i") - F.col("f.i")).alias("diag"))
     seeds = written(seeds, "seeds")
-    block = F.floor(F.col("i") / EXTEND)
-    reach = F.explode(F.array(*[block + F.lit(k) for k in (-1, 0, 1)]))
-    near = seeds.select("id", "h", "fid", "fh", "diag", reach.alias("block")).distinct()
-    twice = found.groupBy("lh").count().where("count > 1").select("lh")  # other lines cannot be part of a match
-    common = found.join(twice, "lh", "left_semi")
-    own = near.join(common.select("id", "h", block.alias("block"), "i", "pos", "lh"), ["id", "h", "block"])
-    other = common.select(F.col("id").alias("fid"), F.col("h").alias("fh"), F.col("i").alias("fi"), F.col("lh").alias("flh"))
-    equal = own.withColumn("fi", F.col("i") - F.col("diag")).join(other, ["fid", "fh", "fi"]).where("lh = flh")
     pair = ["id", "h", "fid", "fh", "diag"]
-    equal = equal.join(seeds.select(*pair, "i", F.lit(1).alias("seed")), [*pair, "i"], "left")
-    run = F.col("i") - F.row_number().over(Window.partitionBy(*pair).orderBy("i"))
-    equal = equal.withColumn("run", run)
-    hit = F.max("seed").over(Window.partitionBy(*pair, "run"))
-    return equal.withColumn("hit", hit).where("hit = 1").select("id", "h", "pos").distinct()
+    block = F.floor(F.col("i") / EXTEND)
+    twice = written(found.groupBy("lh").count().where("count > 1").select(F.xxhash64("lh").alias("k")), "twice")
+    common, _ = split_by(found, F.xxhash64("lh"), filter_of(twice, F.col("k")))  # other lines cannot be part of a match
+    ours = common.select("id", "h", block.alias("block"), "i", "pos", "lh")
+    theirs = common.select(F.col("id").alias("fid"), F.col("h").alias("fh"), F.col("i").alias("fi"), F.col("lh").alias("flh"))
+    near = written(seeds.select(*pair, F.explode(F.array(*[block + F.lit(k) for k in (-1, 0, 1)])).alias("block")).distinct(), "blocks")
+    while True:
+        equal = near.join(ours, ["id", "h", "block"]).withColumn("fi", F.col("i") - F.col("diag")).join(theirs, ["fid", "fh", "fi"]).where("lh = flh")
+        equal = equal.join(seeds.select(*pair, "i", F.lit(1).alias("seed")), [*pair, "i"], "left")
+        equal = equal.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(*pair).orderBy("i")))
+        hit = F.max("seed").over(Window.partitionBy(*pair, "run"))
+        hits = written(equal.withColumn("hit", hit).where("hit = 1").select(*pair, "run", "i", "pos"), "hits")
+        ends = hits.groupBy(*pair, "run").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+        beyond = F.array(F.when(F.col("lo") % EXTEND == 0, F.floor(F.col("lo") / EXTEND) - 1), F.when(F.col("hi") % EXTEND == EXTEND - 1, F.floor(F.col("hi") / EXTEND) + 1))
+        more = ends.select(*pair, F.explode(beyond).alias("block")).where("block >= 0").distinct()
+        more = written(more.join(near, [*pair, "block"], "left_anti"), "beyond")
+        if more.isEmpty():
+            return hits.select("id", "h", "pos").distinct()
+        near = written(near.unionByName(more), "blocks")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", guarantee: int = GUARANTEE, noise: int = NOISE, count_into: str | None = None) -> DataFrame:
     """docs without later copies of repeated runs; count_into names a column for the number of lines deleted."""
     gone = repeated(lines(docs, text), guarantee, noise).groupBy("id", "h").agg(F.collect_list("pos").alias("gone"))
     gone = written(gone, "gone")
-    size = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
     i, h, g = fresh(docs, "gone_id", "gone_h", "gone_lines")
+    touched, untouched = split_by(docs, F.xxhash64(_id(docs), F.xxhash64(docs[text])), filter_of(gone, F.xxhash64("id", "h")))
     gone = gone.toDF(i, h, g)
-    out = docs.join(F.broadcast(gone) if size <= BROADCAST_LINES else gone, (_id(docs) == F.col(i)) & (F.xxhash64(docs[text]) == F.col(h)), "left")
+    out = touched.join(gone, (_id(touched) == F.col(i)) & (F.xxhash64(touched[text]) == F.col(h)), "left")
     stay = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, p: ~F.array_contains(F.col(g), p)), "\n")
     out = out.withColumn(text, F.when(F.col(g).isNull(), F.col(text)).otherwise(stay))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(g).isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType)))
     if count_into:
-        out = out.withColumn(count_into, F.coalesce(F.size(g), F.lit(0)).cast("long"))
-    return out.drop(i, h, g)
+        (name,) = fresh(docs, count_into)
+        out = out.withColumn(name, F.coalesce(F.size(g), F.lit(0)).cast("long"))
+        untouched = untouched.withColumn(name, F.lit(0).cast("long"))
+    return out.drop(i, h, g).unionByName(untouched)

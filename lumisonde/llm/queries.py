@@ -101,9 +101,9 @@ m AS (SELECT doc_id, min(gram || lpad(CAST(1000000000 - i AS VARCHAR), 10, '0'))
 sel AS (SELECT DISTINCT doc_id, 1000000000 - CAST(substr(x, 33) AS BIGINT) AS i, substr(x, 1, 32) AS gram FROM m),
 f AS (SELECT gram, doc_id AS fid, i AS fi FROM sel QUALIFY row_number() OVER (PARTITION BY gram ORDER BY doc_id, i) = 1),
 seeds AS (SELECT s.doc_id, s.i, f.fid, s.i - f.fi AS diag FROM sel s JOIN f USING (gram) WHERE (s.doc_id, s.i) > (f.fid, f.fi)),
-near AS (SELECT DISTINCT doc_id, fid, diag, CAST(floor(i / 64) AS BIGINT) + k AS block FROM seeds, (VALUES (-1), (0), (1)) AS t(k)),
+near AS (SELECT DISTINCT doc_id, fid, diag FROM seeds),
 eq AS (SELECT n.doc_id, n.fid, n.diag, a.i, a.pos FROM near n
-       JOIN l a ON a.doc_id = n.doc_id AND CAST(floor(a.i / 64) AS BIGINT) = n.block
+       JOIN l a ON a.doc_id = n.doc_id
        JOIN l o ON o.doc_id = n.fid AND o.i = a.i - n.diag AND o.lh = a.lh),
 r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, fid, diag ORDER BY i) AS run FROM eq),
 hit AS (SELECT DISTINCT r.doc_id, r.fid, r.diag, r.run FROM r JOIN seeds s ON s.doc_id = r.doc_id AND s.fid = r.fid AND s.diag = r.diag AND s.i = r.i),

@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumisonde.llm.common import fresh, sizes_fit, words, written
+from lumisonde.llm.common import filter_of, fresh, split_by, words, written
 
 SEED = 42
 #: Codes of one key that one task takes at once; beyond, the key is dealt out over pairs of child nodes.
@@ -58,8 +58,6 @@ HEAVY = 20_000
 CHUNK_ROWS, CHUNK_PAIRS = 50_000, 100_000
 #: Pairs of nodes with so few pairs of codes are compared code by code.
 LEAF_PAIRS = 64
-#: Rows to drop that are broadcast, a few bytes each; beyond, a shuffled join.
-BROADCAST_ROWS = 500_000
 
 Anchors = list[list[int]]
 
@@ -410,6 +408,10 @@ def sketches(docs: DataFrame, shingle: int, lanes: int, bands: int) -> DataFrame
     return slim.mapInArrow(run, "doc_id long, h long, node binary, code binary, keys array<long>")
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"].cast("long"), F.xxhash64(docs["text"]))
+
+
 def _same_row(docs: DataFrame, i: str, h: str) -> Column:
     return (F.xxhash64(docs["text"]) == F.col(h)) & docs["doc_id"].cast("long").eqNullSafe(F.col(i))
 
@@ -424,9 +426,8 @@ def shingle_sets(docs: DataFrame, found: DataFrame, nodes: DataFrame, shingle: i
 
     one = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("x"))
     one = written(one.select("node", F.col("x.doc_id").alias("i"), F.col("x.h").alias("g")), "texts")
-    few = sizes_fit(one, BROADCAST_ROWS)
-    slim = docs.select("doc_id", "text")
-    texts = slim.join(F.broadcast(one) if few else one, _same_row(slim, "i", "g")).select("node", "text")
+    slim, _ = split_by(docs.select("doc_id", "text"), _row_hash(docs), filter_of(one, F.xxhash64("i", "g")))
+    texts = slim.join(one, _same_row(slim, "i", "g")).select("node", "text")
     return written(texts.mapInArrow(run, "node binary, s array<long>"), "shingles")  # a row that repeats is there twice; links are made distinct
 
 
@@ -471,7 +472,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMI
     stays = placed.groupBy("root").agg(F.min(rank).alias("best")).select("root", "best.*")
     gone = placed.join(stays.select("root", F.col("doc_id").alias("d"), F.col("h").alias("g")), "root")
     gone = written(gone.where(~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))).select("doc_id", "h").distinct(), "dropped")
+    maybe, stay = split_by(docs, _row_hash(docs), filter_of(gone, F.xxhash64("doc_id", "h")))
     i, h = fresh(docs, "gone_id", "gone_h")
     gone = gone.toDF(i, h)
-    few = sizes_fit(gone, BROADCAST_ROWS)
-    return docs.join(F.broadcast(gone) if few else gone, _same_row(docs, i, h), "left_anti")
+    return stay.unionByName(maybe.join(gone, _same_row(maybe, i, h), "left_anti"))
