@@ -77,15 +77,14 @@ def lpc(x: np.ndarray, order: int) -> np.ndarray:
 
 
 def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
-    """-ln(A/B) with tolerance r times the standard deviation; infinite where no template matches."""
+    """-ln(A/B) with tolerance r times the standard deviation; infinite where no template matches. Compared row by row, so memory grows with n only."""
     n, tol = len(x), r * x.std()
     if n <= m + 1 or tol == 0:
         return 0.0
 
     def matches(k: int) -> int:
         t = np.lib.stride_tricks.sliding_window_view(x, k)[: n - m]
-        d = np.abs(t[:, None] - t[None]).max(-1) <= tol
-        return int(d.sum() - len(t))
+        return sum(int((np.abs(t[i + 1 :] - t[i]).max(1) <= tol).sum()) for i in range(len(t) - 1))
 
     a, b = matches(m + 1), matches(m)
     return float(-np.log(a / b)) if a and b else float("inf")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumisonde.operators.ranks import ranked
+
 #: Cost model of the normalised minimum t-DCF for a fixed verification system. Fixed values.
 P_SPOOF, C_MISS_ASV, C_FA_ASV, C_MISS_CM, C_FA_CM = 0.05, 1.0, 10.0, 1.0, 10.0
 P_TARGET, P_NONTARGET = 0.9405, 0.0095
@@ -145,28 +147,28 @@ def det_curve(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """Miss and false-alarm rates when all samples up to a place in the order of scores are rejected; ties keep bona fide (y = 0) first.
 
     Bona fide samples have high values of 1 - p, so samples are rejected from the highest
-    p down to the lowest; a window sees all samples of a group.
+    p down to the lowest. Windows see distinct scores; samples of one score are ranked.
     """
-    order = Window.partitionBy(*by).orderBy(F.desc("p"), F.col("y"), F.col("id")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    at = scores.select(
-        *by,
-        F.count(F.lit(1)).over(order).alias("ord"),
-        F.sum((F.col("y") == 0).cast("long")).over(order).alias("missed"),
-        F.sum((F.col("y") == 1).cast("long")).over(order).alias("caught"),
-        F.sum((F.col("y") == 0).cast("long")).over(whole).alias("nb"),
-        F.sum((F.col("y") == 1).cast("long")).over(whole).alias("ns"),
-        F.col("p"),
-    ).where("nb > 0 and ns > 0")
+    at = by_score(scores, by).where("nn > 0 and np > 0").alias("s")
+    own = ranked(scores.select(*by, "p", "y", "id"), [*by, "p", "y"], ["id"], "k", "same").alias("o")
+    at = own.join(at, [F.col(f"o.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*by, "p")])
+    bona = F.col("o.y") == 0
+    missed = F.when(bona, F.col("s.fp") - F.col("s.neg") + F.col("k")).otherwise(F.col("s.fp"))
+    caught = F.when(bona, F.col("s.tp") - F.col("s.pos")).otherwise(F.col("s.tp") - F.col("s.pos") + F.col("k"))
+    at = at.select(*[f"o.{c}" for c in by], (missed + caught).alias("ord"), missed.alias("missed"), caught.alias("caught"), F.col("s.nn").alias("nb"), F.col("s.np").alias("ns"), F.col("o.p").alias("p"))
     curve = at.select(*by, "ord", F.col("p").alias("threshold"), (F.col("missed") / F.col("nb")).alias("pmiss"), ((F.col("ns") - F.col("caught")) / F.col("ns")).alias("pfa"))
     start = at.where("ord = 1").select(*by, F.lit(0).cast("long").alias("ord"), (F.col("p") + 1e-3).alias("threshold"), F.lit(0.0).alias("pmiss"), F.lit(1.0).alias("pfa"))
     return curve.unionByName(start)
 
 
 def min_tdcf(scores: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Normalised minimum t-DCF of the countermeasure; 1 where a class is missing."""
-    cost = (C1 * F.col("pmiss") + C2 * F.col("pfa")) / min(C1, C2)
-    found = det_curve(scores, by).groupBy(*by).agg(F.min(cost).alias("m"))
+    """Normalised minimum t-DCF of the countermeasure; 1 where a class is missing.
+
+    Within samples of one score the cost first rises, then falls, so the least lies at a distinct
+    score or at the start, where nothing is rejected.
+    """
+    cost = (C1 * F.col("fp") / F.col("nn") + C2 * (F.col("np") - F.col("tp")) / F.col("np")) / min(C1, C2)
+    found = by_score(scores, by).where("nn > 0 and np > 0").groupBy(*by).agg(F.least(F.min(cost), F.lit(C2 / min(C1, C2))).alias("m"))
     groups = scores.select(*by).distinct()
     return groups.join(found, list(by), "left").select(*by, F.coalesce("m", F.lit(1.0)).alias("min_tdcf"))
 

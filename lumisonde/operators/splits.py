@@ -1,7 +1,7 @@
 """Splits and folds without leakage. Order comes from a key column, never from a random generator, so they are the same on every run.
 
-Ranks within a class are windows partitioned by class and sorted by the key. Group and
-leave-one-out splits decide over a row for each group.
+Ranks within a class are exact and cut into ranges of the key, so no class is one task. A key
+is a list of columns, the first of which is a number or a time. Group splits decide over a row for each group.
 """
 
 from __future__ import annotations
@@ -11,23 +11,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumisonde.operators.ranks import ranked
 
-def stratified(rows: DataFrame, label: str, key: Column, test: float = 0.15, val: float = 0.15) -> DataFrame:
+Key = Sequence[Column | str]
+
+
+def stratified(rows: DataFrame, label: str, key: Key, test: float = 0.15, val: float = 0.15) -> DataFrame:
     """split is test, val or train, with each label's rows shared out in these proportions (floors)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    rn = F.row_number().over(Window.partitionBy(label).orderBy(key))
-    t, v = F.floor(n * test), F.floor(n * val)
-    return rows.withColumn("split", F.when(rn <= t, "test").when(rn <= t + v, "val").otherwise("train"))
+    t, v = F.floor(F.col("n") * test), F.floor(F.col("n") * val)
+    split = F.when(F.col("rn") <= t, "test").when(F.col("rn") <= t + v, "val").otherwise("train")
+    return ranked(rows, [label], key).withColumn("split", split).drop("rn", "n")
 
 
-def secure(rows: DataFrame, label: str, key: Column, test: float = 0.2, val: float = 0.2) -> DataFrame:
-    """Test first, then val as its share of what is left, so both are shares of the whole."""
-    return stratified(rows, label, key, test, val)
+def secure(rows: DataFrame, label: str, key: Key, test: float = 0.2, val: float = 0.2) -> DataFrame:
+    """Test first, then val as the share val / (1 - test) of what is left."""
+    t = F.floor(F.col("n") * test)
+    v = F.floor((F.col("n") - t) * (val / (1 - test)))
+    split = F.when(F.col("rn") <= t, "test").when(F.col("rn") <= t + v, "val").otherwise("train")
+    return ranked(rows, [label], key).withColumn("split", split).drop("rn", "n")
 
 
-def folds(rows: DataFrame, label: str, key: Column, k: int) -> DataFrame:
+def folds(rows: DataFrame, label: str, key: Key, k: int) -> DataFrame:
     """fold from 0 to k - 1, dealt in turn within each label."""
-    return rows.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1) % k)
+    return ranked(rows, [label], key).withColumn("fold", ((F.col("rn") - 1) % k).cast("int")).drop("rn", "n")
 
 
 def grouped(rows: DataFrame, group: str, parts: int) -> DataFrame:
@@ -39,34 +45,30 @@ def grouped(rows: DataFrame, group: str, parts: int) -> DataFrame:
     return rows.join(placed, group)
 
 
-def leave_one_out(rows: DataFrame, group: str, held: str, label: str, key: Column) -> DataFrame:
+def leave_one_out(rows: DataFrame, group: str, held: str, label: str, key: Key) -> DataFrame:
     """Test: all rows of one group (whatever the case of its name) and as many others of label 0; the rest trains."""
     own = F.lower(F.col(group)) == held.lower()
     marked = rows.withColumn("own", own)
     n = marked.agg(F.greatest(F.lit(1), F.count_if("own")).alias("n"))
     real = (~F.col("own")) & (F.col(label) == 0)
-    rn = F.row_number().over(Window.partitionBy(real).orderBy(key))
-    out = marked.withColumn("rn", F.when(real, rn)).join(F.broadcast(n), F.lit(True))
+    out = ranked(marked.withColumn("real_", real), ["real_"], key, size="all_").withColumn("rn", F.when(F.col("real_"), F.col("rn"))).drop("all_", "real_").join(F.broadcast(n), F.lit(True))
     return out.withColumn("split", F.when(F.col("own") | (F.coalesce(F.col("rn") <= F.col("n"), F.lit(False))), "test").otherwise("train")).drop("own", "rn", "n")
 
 
 def temporal(rows: DataFrame, by: Sequence[str], at: Sequence[str], test: float = 0.2, val: float = 0.2) -> DataFrame:
     """Per partition in order of time: the last share is test, the last share of the remainder val."""
-    w = Window.partitionBy(*by)
-    n, rn = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(*at))
-    rest = F.floor(n * (1 - test))
+    rest = F.floor(F.col("n") * (1 - test))
     train = F.floor(rest * (1 - val))
-    return rows.withColumn("split", F.when(rn <= train, "train").when(rn <= rest, "val").otherwise("test"))
+    return ranked(rows, by, at).withColumn("split", F.when(F.col("rn") <= train, "train").when(F.col("rn") <= rest, "val").otherwise("test")).drop("rn", "n")
 
 
-def time_series(rows: DataFrame, by: Sequence[str], at: Sequence[str], k: int, gap: int = 0) -> DataFrame:
-    """(fold, role) for each row and fold it is in: test blocks follow one another, training is all before, less a gap."""
-    w = Window.partitionBy(*by)
-    each = rows.withColumns({"n": F.count(F.lit(1)).over(w), "rn": F.row_number().over(w.orderBy(*at)) - 1})
+def time_series(rows: DataFrame, by: Sequence[str], at: Sequence[str], k: int, gap: int = 0, most: int | None = None) -> DataFrame:
+    """(fold, role) for each row and fold it is in: test blocks follow one another, training is all before, less a gap, at most so many rows."""
+    each = ranked(rows, by, at).withColumn("rn", F.col("rn") - 1)
     size = F.floor(F.col("n") / (k + 1))
     each = each.withColumn("size", size).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     start = F.col("n") - (k - F.col("fold")) * F.col("size")
-    role = F.when((F.col("rn") >= start) & (F.col("rn") < start + F.col("size")), "test").when(F.col("rn") < start - gap, "train")
+    role = F.when((F.col("rn") >= start) & (F.col("rn") < start + F.col("size")), "test").when((F.col("rn") < start - gap) & (F.col("rn") >= (start - gap - most if most is not None else 0)), "train")
     return each.withColumn("role", role).where("role is not null").drop("n", "rn", "size")
 
 

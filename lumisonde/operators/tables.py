@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumisonde.operators.ranks import percentiles, ranked
+
 # -- logs ---------------------------------------------------------------------------------
 
 
@@ -118,16 +120,14 @@ def first_copies(rows: DataFrame, content: Column, order: Sequence[Column | str]
 
 def round_robin(rows: DataFrame, group: str, order: str, keep: int) -> DataFrame:
     """The first keep rows when groups take turns, each in its own order."""
-    turn = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return rows.withColumn("turn", turn).orderBy("turn", group).limit(keep)
+    return ranked(rows, [group], [order], "turn", "n").drop("n").where(F.col("turn") <= keep).orderBy("turn", group).limit(keep)
 
 
 def balanced(rows: DataFrame, label: str, group: str, order: str, target: int) -> DataFrame:
     """Equal numbers of both labels, at most target, each chosen by turns among groups; kept tells who stays."""
     counts = rows.groupBy(label).count()
     quota = counts.agg(F.least(F.min("count"), F.lit(target)).alias("quota"), F.count(F.lit(1)).alias("labels"))
-    turn = F.row_number().over(Window.partitionBy(label, group).orderBy(order))
-    each = rows.withColumn("turn", turn)
+    each = ranked(rows, [label, group], [order], "turn", "n").drop("n")
     # place of a row when groups take turns: all rows of earlier turns, then the groups before it in its own turn
     turns = each.groupBy(label, "turn").count()
     before = F.sum("count").over(Window.partitionBy(label).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
@@ -137,9 +137,9 @@ def balanced(rows: DataFrame, label: str, group: str, order: str, target: int) -
     return each.join(F.broadcast(quota), F.lit(True)).withColumn("kept", (F.col("labels") > 1) & (F.col("before") + F.col("place") <= F.col("quota"))).drop("turn", "place", "before", "quota", "labels")
 
 
-def subsample(rows: DataFrame, label: str, key: Column, n: int) -> DataFrame:
-    """n rows of each label in the order of a key."""
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(label).orderBy(key))).where(F.col("rn") <= n).drop("rn")
+def subsample(rows: DataFrame, label: str, key: Sequence[Column | str], n: int) -> DataFrame:
+    """n rows of each label in the order of a key, whose first column is a number or a time."""
+    return ranked(rows, [label], key, size="all_").where(F.col("rn") <= n).drop("rn", "all_")
 
 
 # -- audits -----------------------------------------------------------------------------------
@@ -210,4 +210,5 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
 
 def latency(rows: DataFrame, model: str, ms: str) -> DataFrame:
     """Mean, spread, least, exact median and 95th percentile, and calls a second."""
-    return rows.groupBy(model).agg(F.avg(ms).alias("mean"), F.stddev_pop(ms).alias("std"), F.min(ms).alias("least"), F.percentile(ms, F.lit(0.5)).alias("p50"), F.percentile(ms, F.lit(0.95)).alias("p95")).withColumn("per_second", 1000 / F.col("mean"))
+    out = rows.groupBy(model).agg(F.avg(ms).alias("mean"), F.stddev_pop(ms).alias("std"), F.min(ms).alias("least"))
+    return out.join(percentiles(rows, [model], ms, {"p50": 0.5, "p95": 0.95}), model).withColumn("per_second", 1000 / F.col("mean"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumisonde.functions import arrays as a
@@ -68,9 +68,14 @@ def gain_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH o AS (SELECT user_id, (value <= lead(value) OVER w)::INT * 4 + (lead(value) OVER w <= lead(value, 2) OVER w)::INT * 2 + (value <= lead(value, 2) OVER w)::INT AS pat, lead(value, 2) OVER w IS NOT NULL AS whole FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), c AS (SELECT user_id, pat, count(*) AS n FROM o WHERE whole GROUP BY ALL), p AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c) SELECT user_id, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY user_id")
 def permutation_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(seq.alias("x"))
-    return rounded(e, "user_id", {"entropy": a.permutation_entropy(F.col("x"))})
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    x, y, z = F.col("value"), F.lead("value").over(w), F.lead("value", 2).over(w)
+    bit = lambda c, n: c.cast("int") * n
+    seen = table(spark, sf_dir, "events").select("user_id", z.isNotNull().alias("whole"), (bit(x <= y, 4) + bit(y <= z, 2) + bit(x <= z, 1)).alias("pattern"))
+    counts = seen.where("whole").groupBy("user_id", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n")
+    # -sum(p log p) from the counts of at most six patterns
+    return counts.groupBy("user_id").agg(F.round(F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total, 6).alias("entropy"))
 
 
 @query()
@@ -97,7 +102,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.sum("k").alias("total"), F.count("k").alias("n"))
 
 
-@query("SELECT doc_id, regexp_extract(source, '^[a-z]+', 0) AS source, lower(regexp_replace(concat(lang, '-', source), '[^A-Za-z0-9]', '', 'g')) AS slug, left(regexp_replace(left(text, 40), '[^A-Za-z0-9._-]+', '_', 'g'), 20) AS safe, CASE WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE) WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024.0::DOUBLE) ELSE printf('%.1f MB', n_chars / 1048576.0::DOUBLE) END AS size FROM documents")
+@query("SELECT doc_id, regexp_extract(source, '^[a-z]+', 0) AS source, lower(regexp_replace(concat(lang, '-', source), '[^A-Za-z0-9]', '', 'g')) AS slug, left(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), 20) AS safe, CASE WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE) WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024.0::DOUBLE) ELSE printf('%.1f MB', n_chars / 1048576.0::DOUBLE) END AS size FROM documents")
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", a.source_of(F.concat(F.lit("x/"), F.col("source"))).alias("source"), a.slug(F.concat_ws("-", "lang", "source")).alias("slug"), a.safe_name(F.left("text", F.lit(40)), 20).alias("safe"), a.human_size(F.col("n_chars").cast("double")).alias("size"))
+    return d.select("doc_id", a.source_of(F.concat(F.lit("x/"), F.col("source"))).alias("source"), a.slug(F.concat_ws("-", "lang", "source")).alias("slug"), a.safe_name(F.col("text"), 20).alias("safe"), a.human_size(F.col("n_chars").cast("double")).alias("size"))

@@ -159,10 +159,10 @@ def manifest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("prefix").agg(F.count(F.lit(1)).alias("files"), F.count("l").alias("identified"), F.count_if(F.col("l").isNull()).alias("missing"), F.count_distinct("source").alias("speakers"))
 
 
-@query("WITH s AS (SELECT source, CASE WHEN doc_id % 10 < 7 THEN 1 WHEN doc_id % 10 < 8 THEN 2 ELSE 4 END AS b FROM documents WHERE doc_id % 3 > 0 OR source < 'src2'), m AS (SELECT source, bit_or(b) AS m FROM s GROUP BY source) SELECT count_if(m & 5 = 5) AS train_and_test, count_if(m = 4) AS test_only, count_if(m & 6 = 6) AS val_and_test, count(*) AS groups FROM m")
+@query("WITH s AS (SELECT source, CASE WHEN doc_id % 10 < 7 THEN 1 WHEN doc_id % 10 < 8 THEN 2 ELSE 4 END AS b FROM documents), m AS (SELECT source, bit_or(b) AS m FROM s GROUP BY source) SELECT count_if(m & 5 = 5) AS train_and_test, count_if(m = 4) AS test_only, count_if(m & 6 = 6) AS val_and_test, count(*) AS groups FROM m")
 def split_overlap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("doc_id") % 10
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 > 0 OR source < 'src2'").select("source", F.when(r < 7, "train").when(r < 8, "val").otherwise("test").alias("split"))
+    d = table(spark, sf_dir, "documents").select("source", F.when(r < 7, "train").when(r < 8, "val").otherwise("test").alias("split"))
     return t.overlap(d, "split", "source")
 
 
@@ -233,7 +233,7 @@ def balanced_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SCORES} SELECT id, y FROM scores QUALIFY row_number() OVER (PARTITION BY y ORDER BY {KEY}, id) <= 40")
 def balanced_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.subsample(scores(spark, sf_dir).select("id", "y"), "y", F.struct(key(), F.col("id")), 40)
+    return t.subsample(scores(spark, sf_dir).select("id", "y"), "y", [key(), F.col("id")], 40)
 
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")

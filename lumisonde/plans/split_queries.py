@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumisonde.operators import splits as s
+from lumisonde.operators.ranks import percentiles, ranked
 from lumisonde.plans.registry import query
 from lumisonde.plans.relational_queries import KEY, key
 from lumisonde.plans.views import SCORES, scores
@@ -13,7 +14,7 @@ from lumisonde.session import table
 
 
 def _order():
-    return F.struct(key(), F.col("id"))
+    return [key(), F.col("id")]
 
 
 R = f"r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {KEY}, id) AS rn, count(*) OVER (PARTITION BY y) AS n FROM scores)"
@@ -96,9 +97,10 @@ def gaps_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH a AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id) SELECT user_id, round(list_reduce(v, lambda s, x: 0.3::DOUBLE * x + 0.7::DOUBLE * s), 6) AS ema FROM a")
 def ema_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(seq.alias("v"))
-    return e.select("user_id", F.round(F.aggregate(F.slice("v", 2, F.size("v")), F.get("v", F.lit(0)), lambda a, x: 0.3 * x + 0.7 * a), 6).alias("ema"))
+    # each value's weight in the last average, so no group is one array
+    e = ranked(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"])
+    weight = F.pow(F.lit(0.7), F.col("n") - F.col("rn")) * F.when(F.col("rn") == 1, 1.0).otherwise(0.3)
+    return e.groupBy("user_id").agg(F.round(F.sum(F.col("value") * weight), 6).alias("ema"))
 
 
 @query("SELECT event_type, arg_max(event_id, (value, -event_id)) AS peak_at, round(max(value), 6) AS peak FROM events GROUP BY event_type")
@@ -119,4 +121,5 @@ def grid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, " + ", ".join(f"round(quantile_cont(value, {q / 100}), 6) AS p{q}" for q in (10, 25, 75, 90, 95)) + " FROM events GROUP BY event_type")
 def frame_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", F.lit(q / 100)), 6).alias(f"p{q}") for q in (10, 25, 75, 90, 95)])
+    out = percentiles(table(spark, sf_dir, "events").select("event_type", "value"), ["event_type"], "value", {f"p{q}": q / 100 for q in (10, 25, 75, 90, 95)})
+    return out.withColumns({c: F.round(c, 6) for c in out.columns[1:]})
