@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -209,3 +209,34 @@ def human_duration(s: Column) -> Column:
 def chunks(x: Column, n: int) -> Column:
     """An array cut into arrays of n."""
     return F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(n)), lambda s: F.slice(x, s + 1, n))
+
+
+def standardized(x: Column, floor: float = 1e-6) -> Column:
+    """Less the mean, over the population's deviation or a floor."""
+    return let(mean(x), lambda mu: let(F.greatest(std(x), F.lit(floor)), lambda sd: F.transform(x, lambda v: (v - mu) / sd)))
+
+
+def edge_fit(x: Column, n: int) -> Column:
+    """Exactly n values: cut at the end, or the last one repeated; an empty array stays."""
+    return F.when(F.size(x) == 0, x).otherwise(F.slice(F.concat(x, F.array_repeat(F.element_at(x, -1), F.greatest(F.lit(n) - F.size(x), F.lit(0)))), 1, n))
+
+
+def aligned(rows: DataFrame, x: str) -> DataFrame:
+    """rows with an array filled up with zeros to the longest one of all."""
+    longest = rows.agg(F.max(F.size(x)).alias("longest_"))  # one row
+    filled = F.concat(x, F.array_repeat(F.lit(0.0), F.col("longest_") - F.size(x)))
+    return rows.join(F.broadcast(longest), F.lit(True)).withColumn(x, filled).drop("longest_")
+
+
+def iso_time(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def decimal_comma(number: Column) -> Column:
+    """A formatted number with points for thousands and a comma for decimals."""
+    return F.translate(number, ",.", ".,")
+
+
+def finite_or_null(v: Column) -> Column:
+    """Null in place of NaN and infinite values, which JSON does not have."""
+    return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)

@@ -136,6 +136,41 @@ def eer(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     return roc_points(scores, by).groupBy(*by).agg(best.alias("b")).select(*by, "b.eer", F.col("b.threshold").alias("eer_threshold"))
 
 
+def eer_by_interpolation(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Equal error rate where the ROC polyline meets 1 - FPR = TPR, and the threshold interpolated between the two vertices around."""
+    order = Window.partitionBy(*by).orderBy("ord")
+    gap = 1 - F.col("fpr") - F.col("tpr")
+    at = roc_points(scores, by).select(*by, "ord", "threshold", "fpr", gap.alias("gap"), F.lag("fpr").over(order).alias("f0"), F.lag("threshold").over(order).alias("t0"), F.lag(gap).over(order).alias("g0"))
+    share = F.when(F.col("g0") == F.col("gap"), 0.0).otherwise(F.col("g0") / (F.col("g0") - F.col("gap")))
+    root = F.col("f0") + share * (F.col("fpr") - F.col("f0"))
+    cut = F.when(F.col("t0") == float("inf"), F.col("threshold")).otherwise(F.col("t0") + share * (F.col("threshold") - F.col("t0")))
+    crossing = at.where((F.col("g0") >= 0) & (F.col("gap") <= 0))
+    return crossing.groupBy(*by).agg(F.min_by(F.struct(root.alias("eer"), cut.alias("threshold")), "ord").alias("b")).select(*by, "b.eer", F.col("b.threshold").alias("eer_threshold"))
+
+
+def multiclass_auc(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Areas of many classes from rows (id, label, cls, p), one for each class of each sample: each class against the rest, weighted by its samples; and each pair of classes, weighted by both's.
+
+    A class without samples, or with all of them, counts for nothing.
+    """
+    keys = list(by)
+    rest = roc_auc(scores.withColumn("y", (F.col("label") == F.col("cls")).cast("int")), [*keys, "cls"]).where("np > 0 and nn > 0")
+    ovr = rest.groupBy(*keys).agg((F.sum(F.col("auc") * F.col("np")) / F.sum("np")).alias("ovr"))
+    # a sample of class a with the score of class b is a negative of the pair's side b, and a positive of side a by its own
+    own = F.max(F.when(F.col("label") == F.col("cls"), F.col("p"))).over(Window.partitionBy(*keys, "id"))  # a row for each class
+    pos = scores.withColumn("own", own).where("label <> cls").select(*keys, F.col("label").alias("one"), F.col("cls").alias("other"), "id", F.col("own").alias("p"), F.lit(1).alias("y"))
+    neg = scores.where("label <> cls").select(*keys, F.col("cls").alias("one"), F.col("label").alias("other"), "id", "p", F.lit(0).alias("y"))
+    pair = roc_auc(pos.unionByName(neg), [*keys, "one", "other"]).where("np > 0 and nn > 0")
+    ovo = pair.groupBy(*keys).agg((F.sum(F.col("auc") * (F.col("np") + F.col("nn"))) / F.sum(F.col("np") + F.col("nn"))).alias("ovo"))
+    return ovr.join(ovo, keys, "left") if keys else ovr.join(F.broadcast(ovo), F.lit(True))  # one row each
+
+
+def fold_metrics(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Accuracy, precision, recall, f1 and area of each fold; the area of a fold with one class is 0."""
+    out = rates(confusion(scores, by)).join(roc_auc(scores, by).select(*by, "auc"), list(by))
+    return out.withColumn("auc", F.nanvl("auc", F.lit(0.0))).select(*by, "accuracy", "precision", "recall", "f1", "auc")
+
+
 def accuracy_at_eer(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """Accuracy at the threshold of the equal error rate."""
     at = scores.join(eer(scores, by), list(by))

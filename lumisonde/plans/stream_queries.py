@@ -14,8 +14,11 @@ from lumisonde.streaming import detector
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one, or a local one where none is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lumisonde-')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the shared one, or a local one where none is set and Spark runs on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='lumisonde-')}/stream-{uuid.uuid4().hex}"
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +40,10 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/data").select(*stream.columns)
 
 
-@query("WITH w AS (SELECT event_type, value, ts, time_bucket(INTERVAL 30 MINUTES, ts) - o * INTERVAL 30 MINUTES AS start FROM events, range(2) t(o)) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL")
+@query("WITH w AS (SELECT event_type, value, ts, time_bucket(INTERVAL 30 MINUTES, ts) - o * INTERVAL 30 MINUTES AS start FROM events, range(2) t(o)) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events) GROUP BY ALL")
 def watermark_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drained(detector.windowed(events_stream(spark, sf_dir)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """Windows that the watermark has closed, each written once; their state is freed."""
+    return drained(detector.windowed(events_stream(spark, sf_dir)), "append").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("WITH w AS (SELECT event_type, value, ts, time_bucket(INTERVAL 30 MINUTES, ts) - o * INTERVAL 30 MINUTES AS start FROM events, range(2) t(o)) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL")

@@ -113,3 +113,71 @@ def markdown(rows: DataFrame, most: int = 200) -> str:
     """A small table as text, of at most so many rows."""
     head = "| " + " | ".join(rows.columns) + " |\n|" + " --- |" * len(rows.columns)
     return "\n".join([head, *("| " + " | ".join(str(v) for v in r) + " |" for r in rows.limit(most).collect())])
+
+
+# -- logs as folders of Parquet ---------------------------------------------------------------
+
+
+def append(rows: DataFrame, folder: str) -> None:
+    """Insertion: new files beside the old ones."""
+    rows.write.mode("append").parquet(folder)
+
+
+def delete_all(spark: SparkSession, folder: str) -> None:
+    """Leaves a table without rows."""
+    schema = spark.read.parquet(folder).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(folder)
+
+
+def seeded(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """rows, or the first rows of a new table if there are none; looks at one row at most."""
+    return first.select(*rows.columns) if rows.isEmpty() else rows
+
+
+def by_id(rows: DataFrame, ids: Sequence[int], key: str = "id") -> DataFrame:
+    """A row for each id asked for, with found telling whether it exists; the condition on the key reaches the scan."""
+    asked = rows.sparkSession.createDataFrame([(i,) for i in ids], f"{key} long")
+    hits = rows.where(F.col(key).isin(list(ids))).withColumn("found", F.lit(True))
+    return F.broadcast(asked).join(hits, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def export_csv(rows: DataFrame, folder: str, order: Sequence[Column]) -> None:
+    """CSV with a header, in order from file to file."""
+    form = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    rows.orderBy(*order).write.mode("overwrite").option("timestampFormat", form).option("timestampNTZFormat", form).csv(folder, header=True)
+
+
+def save_table(rows: DataFrame, folder: str) -> None:
+    """A table as CSV and as JSON lines, for instance of speakers or predictions."""
+    rows.write.mode("overwrite").csv(f"{folder}/csv", header=True)
+    rows.write.mode("overwrite").json(f"{folder}/jsonl")
+
+
+def first_rows(spark: SparkSession, folder: str, most: int) -> DataFrame:
+    """So many rows of a folder of shards; shards beyond them are not read."""
+    return spark.read.parquet(folder).limit(most)
+
+
+def read_npz(spark: SparkSession, folder: str, split: str = "train", rows: int = 256) -> DataFrame:
+    """(path, split, index, x, y) of archives with arrays X_<split> and y_<split>, or X and y, which stand for the split named.
+
+    A task reads an archive and sends its rows in batches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    for name in z.files:
+                        if name != "X" and not name.startswith("X_"):
+                            continue
+                        part, x = name[2:] or split, z[name]
+                        y = z["y" + name[1:]] if "y" + name[1:] in z.files else np.full(len(x), -1)
+                        for a in range(0, len(x), rows):
+                            flat = x[a : a + rows].reshape(len(x[a : a + rows]), -1).astype(float)
+                            n = len(flat)
+                            cols = [pa.array([path] * n), pa.array([part] * n), pa.array(np.arange(a, a + n)), pa.array(list(flat), pa.list_(pa.float64())), pa.array(y[a : a + n].astype(np.int32))]
+                            yield pa.RecordBatch.from_arrays(cols, names=["path", "split", "index", "x", "y"])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", "true").load(folder)
+    return found.select("path", "content").mapInArrow(run, "path string, split string, index long, x array<double>, y int")
