@@ -3,42 +3,40 @@
 *Tree.* A path's segments, with digit runs written as ``<n>``, lead down a tree that starts
 at the host. Under a node a literal child stays if it has enough of the node's urls;
 all rarer ones become one wildcard child. Levels are built one after another over the
-distinct paths and their counts, each by one grouping with partial sums.
-*Merging.* The literal children of a node, in the order of their labelled rate, form one
-branch as long as neighbours do not differ by a two-proportion test.
+distinct paths and their counts, each by one grouping with partial sums, until no node that
+goes on has enough urls for a literal child; what is left of its paths is one wildcard.
+*Merging.* The children of a node, in the order of their labelled rate, join the branch
+before them as long as they do not differ from the whole of it by a two-proportion test.
 *Purity.* A branch's rate of bad labels is smoothed towards its host's, and that towards
 the whole table's; a branch with enough labels and a rate over the threshold rejects
 its urls.
 
-Labels come from the caller, or else from words in the url (``suspect``). Fixed rules, block
-or allow, go before the tree's verdict; the longest fitting rule wins.
+Fixed rules, block or allow, go before the tree's verdict; the longest fitting rule wins, of
+equally long ones the last in the order of host and path. Labels come from the caller; without any, the
+urls that a rule decides are the labelled ones, so that their templates speak for the others.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and is
-judged like the rest (its group has no bad labels, so it is allowed); an empty path is the host's
-own node; segments beyond DEPTH are one wildcard; repeated rows each get a verdict; an
-empty table gives an empty table; other columns are carried along, and clashing names
-get fresh ones.
+judged like the rest; an empty path is the host's own node; a very long path is one row like any other;
+repeated rows each get a verdict and count as often as they occur; labels of one key
+that differ count as bad; an empty table gives an empty table; other columns are carried
+along, and clashing names get fresh ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumisonde.llm.common import ascii_lower, fresh, written
 
-DEPTH = 6
 #: A literal child has at least so many urls and this share of its parent's, so a node has at most 1 / SHARE of them.
 LEAST, SHARE = 4, 0.02
-#: Two neighbouring branches are alike if their rates differ by less than so many standard errors.
+#: A child and a branch are alike if their rates differ by less than so many standard errors.
 ALIKE = 1.64
 #: Weight of the host's rate in a branch's, and of the table's rate in a host's, in labels.
 PRIOR = 4.0
 REJECT, LABELS = 0.5, 3
 
-#: Words that mark a url as unwanted when they stand between non-letters. Fixed values.
-SUSPECT_WORDS = ("ads", "adult", "bet", "bets", "casino", "escort", "farm", "gamble", "pills", "poker", "porn", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "xxx")
-
 Rule = tuple[str, str, str]  # block or allow, host, path
 
 
@@ -60,70 +58,82 @@ def _rest(url: Column) -> Column:
 def rule_of(rules: list[Rule], host_: Column, path_: Column) -> tuple[Column, Column]:
     """The longest fitting rule as text, and its verdict; null if none fits. A rule fits its host, all subdomains, and paths that start with its own."""
     text = verdict = F.lit(None).cast("string")
-    for kind, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for kind, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1], r[2])):
         fits = ((host_ == h) | F.endswith(host_, F.lit("." + h))) & F.startswith(path_, F.lit(p))
         text, verdict = F.when(fits, F.lit(h + p)).otherwise(text), F.when(fits, F.lit(kind)).otherwise(verdict)
     return text, verdict
 
 
-def suspect(host_: Column, path_: Column) -> Column:
-    """1 if the url has a suspect word, else 0."""
-    return F.regexp_like(F.concat_ws("/", host_, F.lower(path_)), F.lit(rf"(^|[^a-z])({'|'.join(SUSPECT_WORDS)})([^a-z]|$)")).cast("int")
+def segments(path_: Column) -> Column:
+    """The segments of a path, digit runs as <n>."""
+    return F.filter(F.split(F.regexp_replace(path_, "[0-9]+", "<n>"), "/"), lambda s: s != "")
 
 
-def templates(urls: DataFrame, depth: int = DEPTH, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def templates(urls: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """urls (host, path, y) to (host, segs, parent, template, n, labelled, bad) per distinct list of segments."""
-    segs = F.slice(F.filter(F.split(F.regexp_replace("path", "[0-9]+", "<n>"), "/"), lambda s: s != ""), 1, depth + 1)
-    segs = F.transform(segs, lambda s, i: F.when(i == depth, F.lit("**")).otherwise(s))
-    nodes = urls.select("host", segs.alias("segs"), "y").groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.count("y").alias("labelled"), F.coalesce(F.sum("y"), F.lit(0)).alias("bad"))
-    nodes = nodes.select("*", F.lit("").alias("parent"), F.lit("").alias("template"))
-    for level in range(depth + 1):
-        at = written(nodes.withColumn("seg", F.get("segs", F.lit(level))), "level")
-        if at.where(F.col("seg").isNotNull()).isEmpty():
-            return at.drop("seg")
-        children = at.where(F.col("seg").isNotNull()).groupBy("host", "template", "seg").agg(F.sum("n").alias("c"))
+    nodes = urls.select("host", segments(F.col("path")).alias("segs"), "y").groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.count("y").alias("labelled"), F.coalesce(F.sum("y"), F.lit(0)).alias("bad"))
+    nodes = nodes.select("*", F.lit("").alias("parent"), F.lit("").alias("template"), F.lit(False).alias("done"))
+    level = 0
+    while True:
+        at = nodes.withColumn("seg", F.when(~F.col("done"), F.get("segs", F.lit(level))))
         totals = at.groupBy("host", "template").agg(F.sum("n").alias("t"))
-        kept = children.join(totals, ["host", "template"]).where((F.col("c") >= least) & (F.col("c") >= share * F.col("t"))).select("host", "template", "seg", F.lit(True).alias("kept"))
+        at = written(at.join(totals, ["host", "template"]), "level")
+        if at.where((F.col("t") >= least) & F.col("seg").isNotNull()).isEmpty():
+            more = F.col("seg").isNotNull()
+            return at.select("host", "segs", "n", "labelled", "bad", F.when(more, F.col("template")).otherwise(F.col("parent")).alias("parent"), F.when(more, F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template"))
+        more, large = F.col("seg").isNotNull(), F.col("t") >= least
+        children = at.where(more & large).groupBy("host", "template", "seg").agg(F.sum("n").alias("c"), F.max("t").alias("t"))
+        kept = children.where((F.col("c") >= least) & (F.col("c") >= share * F.col("t"))).select("host", "template", "seg", F.lit(True).alias("kept"))
         at = at.join(kept, ["host", "template", "seg"], "left")
-        step = F.concat("template", F.lit("/"), F.when(F.col("kept"), F.col("seg")).otherwise(F.lit("*")))
-        more = F.col("seg").isNotNull()
-        nodes = at.select("host", "segs", "n", "labelled", "bad", F.when(more, F.col("template")).otherwise(F.col("parent")).alias("parent"), F.when(more, step).otherwise(F.col("template")).alias("template"))
-    return nodes
+        step = F.concat("template", F.lit("/"), F.when(F.col("kept"), F.col("seg")).when(large, F.lit("*")).otherwise(F.lit("**")))
+        parent, template = F.when(more, F.col("template")).otherwise(F.col("parent")), F.when(more, step).otherwise(F.col("template"))
+        nodes = at.select("host", "segs", "n", "labelled", "bad", parent.alias("parent"), template.alias("template"), (F.col("done") | (more & ~large)).alias("done"))
+        level += 1
+
+
+def _rate(bad: Column, labelled: Column) -> Column:
+    return (bad + 0.5) / (labelled + 1)
 
 
 def branches(nodes: DataFrame, alike: float = ALIKE, prior: float = PRIOR) -> DataFrame:
     """(host, template, branch, labelled, rate): templates with their merged branch and its smoothed rate."""
     each = nodes.groupBy("host", "parent", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    each = each.withColumn("rate", (F.col("bad") + 0.5) / (F.col("labelled") + 1))
-    order = Window.partitionBy("host", "parent").orderBy("rate", "template")
-    n0, b0 = F.lag("labelled").over(order), F.lag("bad").over(order)
-    pooled = (b0 + F.col("bad") + 1) / (n0 + F.col("labelled") + 2)
-    gap = F.col("rate") - F.lag("rate").over(order)
-    error = F.sqrt(pooled * (1 - pooled) * (1 / (n0 + 1) + 1 / (F.col("labelled") + 1)))
-    each = each.withColumn("apart", F.coalesce((gap > alike * error).cast("int"), F.lit(0)))
-    each = each.withColumn("branch", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = each.groupBy("host", "parent", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.collect_list("template").alias("templates"))
+    child = F.struct(_rate(F.col("bad"), F.col("labelled")).alias("rate"), "template", "labelled", "bad")
+    # a node has at most 1 / SHARE literal children and two wildcards
+    sets = each.groupBy("host", "parent").agg(F.sort_array(F.collect_list(child)).alias("children"))
+    branch = lambda labelled, bad, names: F.struct(labelled.alias("labelled"), bad.alias("bad"), names.alias("templates"))
+
+    def join(found: Column, c: Column) -> Column:
+        last = F.element_at(found, -1)
+        own, rest = F.array(branch(c["labelled"], c["bad"], F.array(c["template"]))), F.slice(found, 1, F.size(found) - 1)
+        n, m = last["labelled"] + 1, c["labelled"] + 1
+        pooled = (last["bad"] + c["bad"] + 1) / (n + m)
+        apart = F.abs(c["rate"] - _rate(last["bad"], last["labelled"])) > alike * F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+        both = F.array(branch(last["labelled"] + c["labelled"], last["bad"] + c["bad"], F.concat(last["templates"], F.array(c["template"]))))
+        return F.when(F.size(found) == 0, own).when(apart, F.concat(found, own)).otherwise(F.concat(rest, both))
+
+    start = F.slice(F.transform("children", lambda c: branch(c["labelled"], c["bad"], F.array(c["template"]))), 1, 0)
+    merged = sets.select("host", F.posexplode(F.aggregate("children", start, join)).alias("branch", "b")).select("host", "branch", "b.*")
     hosts = each.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"))
     whole = hosts.agg(F.sum("hl").alias("wl"), F.sum("hb").alias("wb"))  # one row
-    hosts = hosts.join(F.broadcast(whole), F.lit(True)).select("host", ((F.col("hb") + prior * (F.col("wb") + 0.5) / (F.col("wl") + 1)) / (F.col("hl") + prior)).alias("hr"))
+    hosts = hosts.join(F.broadcast(whole), F.lit(True)).select("host", ((F.col("hb") + prior * _rate(F.col("wb"), F.col("wl"))) / (F.col("hl") + prior)).alias("hr"))
     merged = merged.join(hosts, "host").withColumn("rate", (F.col("bad") + prior * F.col("hr")) / (F.col("labelled") + prior))
     return merged.select("host", F.explode("templates").alias("template"), "branch", "labelled", "rate")
 
 
 def judge(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, key: str = "page_id", url: str = "url", reject: float = REJECT, least: int = LABELS) -> DataFrame:
     """pages with host, path, rule, verdict, template and rate; labels, if given, has (key, y) with y 1 for unwanted urls."""
-    slim = pages.select(key, F.col(url).alias("url")).select(key, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    slim = pages.select(key, host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     if labels is None:
-        seen = slim.withColumn("y", suspect(F.col("host"), F.col("path")))
+        said = rule_of(rules, F.col("host"), F.col("path"))[1]
+        seen = slim.withColumn("y", F.when(said == "block", 1).when(said == "allow", 0))
     else:
         seen = slim.join(labels.groupBy(key).agg(F.max("y").cast("int").alias("y")), key, "left")
     nodes = written(templates(seen), "templates")
     judged = nodes.select("host", "segs", "template").join(branches(nodes), ["host", "template"])
     judged = judged.select("host", "segs", "template", "rate", ((F.col("rate") >= reject) & (F.col("labelled") >= least)).alias("bad"))
     h, p, s, rule, verdict, template, rate, bad = fresh(pages, "host", "path", "segs", "rule", "verdict", "template", "rate", "bad")
-    out = pages.withColumn(h, host(F.col(url))).withColumn(p, path(F.col(url)))
-    segs = F.slice(F.filter(F.split(F.regexp_replace(p, "[0-9]+", "<n>"), "/"), lambda x: x != ""), 1, DEPTH + 1)
-    out = out.withColumn(s, F.transform(segs, lambda x, i: F.when(i == DEPTH, F.lit("**")).otherwise(x)))
+    out = pages.withColumn(h, host(F.col(url))).withColumn(p, path(F.col(url))).withColumn(s, segments(F.col(p)))
     out = out.join(judged.toDF(h, s, template, rate, bad), [h, s], "left")
     text, said = rule_of(rules, F.col(h), F.col(p))
     own = F.when(F.col(bad), "block").otherwise("allow")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -219,6 +221,72 @@ def test_templates_and_purity(spark):
     assert got[0].template == "/bad/<n>/view.html" and got[1000].template == "/*"
 
 
+def plain_templates(rows):
+    """host, segments and label of each url to (template, rate, labels of the branch), by recursion."""
+    out, tree = {}, {}
+
+    def grow(host, some, depth, parent, template):
+        more = [r for r in some if len(rows[r][1]) > depth]
+        for r in set(some) - set(more):
+            tree.setdefault((host, parent), {}).setdefault(template, []).append(r)
+        if len(some) < url_templates.LEAST:
+            for r in more:
+                tree.setdefault((host, template), {}).setdefault(template + "/**", []).append(r)
+            return
+        count = Counter(rows[r][1][depth] for r in more)
+        kept = {x for x, c in count.items() if c >= url_templates.LEAST and c >= url_templates.SHARE * len(some)}
+        for x in {x if x in kept else "*" for x in count}:
+            grow(host, [r for r in more if (rows[r][1][depth] if rows[r][1][depth] in kept else "*") == x], depth + 1, template, f"{template}/{x}")
+
+    for host in {h for h, _, _ in rows.values()}:
+        grow(host, [r for r, (h, _, _) in rows.items() if h == host], 0, "", "")
+    rate = lambda b, n: (b + 0.5) / (n + 1)
+    tally = lambda some: (sum(rows[r][2] is not None for r in some), sum(rows[r][2] or 0 for r in some))
+    whole = tally(rows)
+    for (host, _), children in tree.items():
+        mine = tally([r for r, (h, _, _) in rows.items() if h == host])
+        prior = (mine[1] + url_templates.PRIOR * rate(whole[1], whole[0])) / (mine[0] + url_templates.PRIOR)
+        found = []
+        for _, name, n, b in sorted((rate(b, n), t, n, b) for t, some in children.items() for n, b in [tally(some)]):
+            if found:
+                n0, b0, names = found[-1]
+                pooled = (b0 + b + 1) / (n0 + n + 2)
+                if abs(rate(b, n) - rate(b0, n0)) <= url_templates.ALIKE * (pooled * (1 - pooled) * (1 / (n0 + 1) + 1 / (n + 1))) ** 0.5:
+                    found[-1] = (n0 + n, b0 + b, names + [name])
+                    continue
+            found.append((n, b, [name]))
+        for n, b, names in found:
+            for name in names:
+                for r in children[name]:
+                    out[r] = (name, (b + url_templates.PRIOR * prior) / (n + url_templates.PRIOR), n)
+    return out
+
+
+def test_tree_is_a_plain_one(spark):
+    rng = random.Random(4)
+    words = ["a", "b", "c", "news", "item7", "x/y", "deep/er/and/er/still/more/of/it"]
+    urls = [(i, f"http://h{rng.randint(0, 3)}.org/" + "/".join(rng.choices([*words, str(rng.randint(0, 99)), f"once{i}"], k=rng.randint(0, 4)))) for i in range(600)]
+    urls += [(1000 + i, "http://tie.org/a/b") for i in range(9)]  # urls that repeat
+    labels = [(i, rng.randint(0, 1) if "b" in u else 0) for i, u in urls if rng.random() < 0.6]
+    given = dict(labels)
+    plain = plain_templates({i: (u.split("/")[2], [re.sub("[0-9]+", "<n>", x) for x in u.split("/")[3:] if x], given.get(i)) for i, u in urls})
+    frame = spark.createDataFrame(urls, "page_id long, url string")
+    got = url_templates.judge(frame, [], spark.createDataFrame(labels, "page_id long, y int")).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        name, rate, n = plain[r.page_id]
+        assert (r.template, r.rate) == (name, pytest.approx(rate))
+        assert r.verdict == ("block" if rate >= url_templates.REJECT and n >= url_templates.LABELS else "allow")
+
+
+def test_rules_label_urls_and_long_paths_pass(spark):
+    rows = [(i, f"http://s.com/{'en' if i % 2 else 'fr'}/{i}") for i in range(40)] + [(50, "http://s.com/" + "p/" * 100_000), (51, "http://s.com/en/x" + "y" * 1_000_000)]
+    rules = [("block", "s.com", "/en/1"), ("allow", "s.com", "/fr/"), ("allow", "com", "/en/11"), ("block", "com", "/fr/99")]
+    got = {r.page_id: r for r in url_templates.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert got[3].rule is None and got[3].verdict == "block"  # most of its template is blocked by a rule
+    assert got[11].verdict == "block" and got[2].verdict == "allow" and {got[50].verdict, got[51].verdict} <= {"allow", "block"}
+
+
 def test_anchors_cover():
     anchors = simhash_trie.covering_anchors(64, 2, 4)
     for a in range(64):
