@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,3 +114,14 @@ def split_by(df: DataFrame, h: Column, by: Filter) -> tuple[DataFrame, DataFrame
     is_set = (F.get("bloom_words_", w1).bitwiseAND(b1) != 0) & (F.get("bloom_words_", w2).bitwiseAND(b2) != 0)
     may, cannot = (df.join(F.broadcast(by[0]), is_set, how) for how in ("left_semi", "left_anti"))
     return may, cannot
+
+
+def packed(a: np.ndarray) -> bytes:
+    """Numbers, byte by byte: all first bytes, then all second ones, and so on, compressed."""
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
+
+
+def unpacked(raw: bytes, kind: type) -> np.ndarray:
+    """The numbers of packed, in an array that may be changed."""
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()

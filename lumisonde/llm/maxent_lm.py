@@ -33,12 +33,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumisonde.llm.common import most_frequent, words, written
+from lumisonde.llm.common import most_frequent, packed, unpacked, words, written
 
 CLASSES = 32
 #: The class of the start and the end of a text.
@@ -151,16 +150,6 @@ def batched(batches: Iterator[pa.RecordBatch], held: Held) -> Iterator[tuple[lis
 # -- packed arrays, dealt by parts ----------------------------------------------------------
 
 
-def packed(a: np.ndarray) -> bytes:
-    """Numbers, byte by byte: all first bytes, then all second ones, and so on, compressed."""
-    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
-
-
-def unpacked(raw: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
 

@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding as joins.
 
 *Lexicon.* Texts are cut where no piece can reach across: before a run of spaces, around
-line ends and, if the vocabulary allows it, where letters meet other characters. The
-different units are counted over the corpus.
+line ends and, if the vocabulary allows it, where letters meet other characters. A task
+numbers the different units of a chunk of its texts and asks for their pieces; what all
+chunks ask for is the lexicon.
 *Lattice.* Each unit of the lexicon is exploded into its substrings of at most the longest
 piece's length; an equi-join to the piece table turns them into edges, which are grouped by
 unit. Single characters without a piece are edges that stand for their UTF-8 bytes.
@@ -13,8 +14,9 @@ the edges come by rank, then place, and the state is the set of boundaries left:
 that spans exactly two neighbours takes the boundary between them away. After a piece
 that may be part of one with a better rank the fold begins again, so the order is
 that of the library of that name; a Viterbi fold over such a model gives other pieces for many words.
-*Texts.* The ``HOT`` most frequent units' pieces are held by every task; other units of a
-text are joined to the lexicon, and their pieces put back in place.
+*Texts.* Chunks' requests meet the lexicon part by part, and the answers go back to the chunks'
+numbers, which are kept in a table bucketed by chunk. A unit that a third of all texts have is
+asked for once by each chunk.
 
 Defined cases: null counts as empty; an empty text has no pieces; repeated rows each get
 their pieces; a null doc_id is kept; units over MAX_UNIT characters, whose boundaries no
@@ -28,21 +30,24 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumisonde.llm.common import fresh, most_frequent, written
+from lumisonde.llm.common import fresh, packed, shared_dir, unpacked, written
 
 SPACE = "▁"
 
@@ -58,9 +63,9 @@ COARSE = r"\n| *[^ \n]+| +"
 _ALPHA = "".join(f"{a}-{z}" for a, z in letter_ranges())
 FINE = rf"\n| *(?:[{_ALPHA}]+|[0-9]|[^{_ALPHA}0-9 \n]+)| +"
 MAX_UNIT = 60
-#: Units whose pieces every task holds; units that a counting task holds before it sends them on; units of one numpy batch.
-HOT, HELD, BATCH = 300_000, 300_000, 400_000
-#: Partitions of the lexicon for each of the session's shuffle partitions.
+#: Units of a chunk of texts, about, and units of one numpy batch.
+CHUNK, BATCH = 1_500_000, 400_000
+#: Parts of the lexicon for each of the session's shuffle partitions.
 SPLIT = 6
 #: Most pieces a table may have to be broadcast whole.
 MOST_PIECES = 1_000_000
@@ -127,48 +132,59 @@ def load(path: str, merges: bool = True) -> Pieces:
     return Pieces(pieces, tuple(m.get_score(i) for i in range(n)), tuple(byte_ids[b] for b in range(256)), merges, cut)
 
 
-def lexicon(docs: DataFrame, vocabulary: Pieces, text: str = "text") -> DataFrame:
-    """(unit, n) for each different unit of at most MAX_UNIT characters."""
+def named(units: list[str]) -> bytes:
+    """Strings as one compressed binary: their sizes, then all their bytes."""
+    raw = [u.encode("utf-8", "surrogatepass") for u in units]
+    sizes = packed(np.fromiter(map(len, raw), np.uint32, len(raw)))
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.compress(b"".join(raw), 1)
 
-    def sent(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["unit", "n"])
+
+def names_of(raw: bytes) -> list[str]:
+    z = 4 + int.from_bytes(raw[:4], "little")
+    ends = np.concatenate(([0], np.cumsum(unpacked(raw[4:z], np.uint32), dtype=np.int64))).tolist()
+    text = zstandard.decompress(raw[z:])
+    return [text[a:b].decode("utf-8", "surrogatepass") for a, b in zip(ends, ends[1:])]
+
+
+def part_of(units: list[str], parts: int) -> np.ndarray:
+    """The part of the lexicon that a unit belongs to."""
+    return (np.fromiter((xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass")) for u in units), np.uint64, len(units)) % np.uint64(parts)).astype(np.int64)
+
+
+def lexicon(asked: DataFrame, parts: int) -> DataFrame:
+    """(unit) for each different unit that some chunk asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: set[str] = set()  # one part
         for b in batches:
-            for t in b["text"]:
-                held.update(vocabulary.units(t.as_py()))
-                if len(held) > HELD:
-                    yield sent(held)
-                    held = Counter()
-        if held:
-            yield sent(held)
+            for raw in b["units"]:
+                held.update(names_of(raw.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["unit"])
 
-    counts = docs.select(F.col(text).alias("text")).mapInArrow(run, "unit string, n long")
-    # tasks have counted by themselves already; parts so small that the edges of one need no disk
-    parts = SPLIT * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return counts.where(F.char_length("unit") <= MAX_UNIT).repartition(parts, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
+    units = asked.where("part >= 0").select("part", "units").repartitionById(parts, "part").mapInArrow(run, "unit string")
+    # parts so small that the edges of one need no disk
+    return units.repartition(parts, "unit")
 
 
 def lattice(words: DataFrame, vocabulary: Pieces) -> DataFrame:
-    """(unit, n, edges): edges (end, start, score, id) in the order of their ends; id -1 marks a character without a piece.
+    """(unit, edges): edges (end, start, score, id) in the order of their ends; id -1 marks a character without a piece.
 
-    For a model of merges (unit, n, chars, joins): edges as numbers, of one character and of more, the latter by rank and place.
+    For a model of merges (unit, chars, joins): edges as numbers, of one character and of more, the latter by rank and place.
     """
     marked = F.translate("unit", " ", SPACE)
     starts = F.sequence(F.lit(0), F.char_length("unit") - 1)
-    each = words.select("unit", "n", marked.alias("m"), F.explode(starts).alias("start"))
+    each = words.select("unit", marked.alias("m"), F.explode(starts).alias("start"))
     sizes = F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.char_length("m") - F.col("start")))
-    each = each.select("unit", "n", "m", "start", F.explode(sizes).alias("size"))
-    each = each.select("unit", "n", "start", "size", F.substring("m", F.col("start") + 1, F.col("size")).alias("piece"))
+    each = each.select("unit", "m", "start", F.explode(sizes).alias("size"))
+    each = each.select("unit", "start", "size", F.substring("m", F.col("start") + 1, F.col("size")).alias("piece"))
     met = each.join(F.broadcast(vocabulary.table(words.sparkSession)), "piece", "left")
     end = F.col("start") + F.col("size")
     if not vocabulary.merges:
         edge = F.struct(end.alias("end"), "start", F.coalesce("score", F.lit(-1e6)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-        return met.where("id is not null or size = 1").groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+        return met.where("id is not null or size = 1").groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     edge = F.coalesce("code", F.lit(0)) + F.col("start").cast("long") * (1 << START_AT) + end.cast("long") * (1 << END_AT)
     one = F.col("size") == 1
-    met = met.where("code is not null or size = 1").groupBy("unit", "n").agg(F.collect_list(F.when(one, edge)).alias("chars"), F.collect_list(F.when(~one, edge)).alias("joins"))
+    met = met.where("code is not null or size = 1").groupBy("unit").agg(F.collect_list(F.when(one, edge)).alias("chars"), F.collect_list(F.when(~one, edge)).alias("joins"))
     return met.withColumn("joins", F.sort_array("joins"))
 
 
@@ -269,116 +285,170 @@ def with_bytes(ids: Column, unit: Column, byte_ids: tuple[int, ...]) -> Column:
 
 
 def encode_lexicon(words: DataFrame, vocabulary: Pieces) -> DataFrame:
-    """(unit, n, ids) for each unit of a lexicon."""
+    """(unit, ids) for each unit of a lexicon."""
     edges = lattice(words, vocabulary)
     length = F.char_length("unit")
     path = merging(F.col("chars"), F.col("joins"), length) if vocabulary.merges else viterbi(F.col("edges"), length)
-    return edges.select("unit", "n", path.alias("ids")).select("unit", "n", with_bytes(F.col("ids"), F.col("unit"), vocabulary.byte_ids).alias("ids"))
+    return edges.select("unit", path.alias("ids")).select("unit", with_bytes(F.col("ids"), F.col("unit"), vocabulary.byte_ids).alias("ids"))
 
 
-def _numbers(ks: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Numbers as bytes of seven bits each, the lowest first, a set top bit where more follow; one compressed binary for each of the counts."""
+def _numbers(ks: np.ndarray) -> bytes:
+    """Numbers as bytes of seven bits each, the lowest first, a set top bit where more follow; compressed."""
     size = 1 + sum((ks >= 1 << 7 * j).astype(np.int64) for j in (1, 2, 3))
     at = np.cumsum(size) - size
     out = np.empty(int(size.sum()), np.uint8)
     for j in range(4):
         has = size > j
         out[at[has] + j] = (ks[has] >> 7 * j & 127) | np.where(size[has] > j + 1, 128, 0)
-    ends = np.append(at, len(out))[np.concatenate(([0], np.cumsum(counts)))].tolist()
-    raw, shrink = out.tobytes(), zstandard.ZstdCompressor(level=1, write_checksum=False).compress
-    return pa.array([shrink(raw[a:z]) for a, z in zip(ends, ends[1:])], pa.binary())
+    return zstandard.compress(out.tobytes(), 3)
 
 
-def _of_numbers(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers, and how many each row has."""
-    rows = list(map(zstandard.ZstdDecompressor().decompress, rows))
-    raw = np.frombuffer(b"".join(rows), np.uint8)
-    last = raw < 128
-    ends = np.flatnonzero(last)
+def _of_numbers(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    ends = np.flatnonzero(b < 128)
     starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
     ks = np.zeros(len(ends), np.int64)
     for j in range(4):
         has = starts + j <= ends
-        ks[has] |= (raw[starts[has] + j] & 127).astype(np.int64) << 7 * j
-    upto = np.concatenate(([0], np.cumsum(last)))[np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(int)]
-    return ks, np.diff(upto)
-
-
-def encode(docs: DataFrame, vocabulary: Pieces, text: str = "text", hot: int = HOT) -> DataFrame:
-    """doc_id, ids per row of docs."""
-    sc = docs.sparkSession.sparkContext
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    table = written(encode_lexicon(lexicon(slim, vocabulary), vocabulary), "lexicon")
-    top, rare = most_frequent(table, hot)
-    top = top.select("unit", "ids").toArrow().combine_chunks()  # hot rows at most
-    lists = top["ids"].combine_chunks()
-    held = sc.broadcast((top["unit"].to_pylist(), lists.value_lengths().to_numpy(), lists.flatten().to_numpy()))
-    ranks = vocabulary.ranks
-    known = sc.broadcast({p: (ranks[p], i) for i, p in enumerate(vocabulary.pieces) if p})
-    del top, lists
+        ks[has] |= (b[starts[has] + j] & 127).astype(np.int64) << 7 * j
+    return ks
+
+
+#: A chunk's row has part -1, its texts' identifiers and numbers of units, the part of each unit, and units too long for the lexicon;
+#: its other rows have the units that it asks a part for.
+ASKED = "chunk long, part int, units binary, docs binary, parts binary, stream binary"
+
+
+def ask(docs: DataFrame, vocabulary: Pieces, parts: int, text: str, most: int) -> DataFrame:
+    """Texts as numbers of the units of their chunk, the most frequent ones first, written by chunk: rows of ASKED."""
+    spark = docs.sparkSession
+    fields = [(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in ASKED.split(", ")]
+
+    def rows_of(chunk: int, ids: list, texts: list[np.ndarray], seen: list[str]) -> pa.RecordBatch:
+        ks = np.concatenate(texts)
+        order = np.argsort(-np.bincount(ks, minlength=len(seen)), kind="stable")
+        rank = np.empty(len(seen), np.int64)
+        rank[order] = np.arange(len(seen))
+        units = [seen[i] for i in order.tolist()]
+        part = part_of(units, parts)
+        part[[i for i, u in enumerate(units) if len(u) > MAX_UNIT]] = parts
+        null = np.array([i is None for i in ids], np.int64)
+        about = np.concatenate([np.array([i or 0 for i in ids], np.int64), null, np.array([len(t) for t in texts], np.int64)])
+        by_part = np.argsort(part, kind="stable")
+        at = np.searchsorted(part[by_part], np.arange(parts + 2)).tolist()
+        mine = [[units[i] for i in by_part[a:z].tolist()] for a, z in zip(at, at[1:])]
+        first = (chunk, -1, named(mine[parts]), packed(about), packed(part.astype(np.int32)) if len(part) else b"", _numbers(rank[ks]))
+        rows = [first, *((chunk, p, named(us), None, None, None) for p, us in enumerate(mine[:parts]) if us)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Units as numbers: 0 for those to be joined, 1 for long ones, both named in lists, and from 2 on the ones held."""
-        get = {u: i for i, u in enumerate(held.value[0], 2)}.get
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        number, ids, texts, size = defaultdict(count().__next__), [], [], 0
         for b in batches:
-            a, ks, counts, cold, long = 0, [], [], [], []
-            for z, t in enumerate(b["text"], 1):
+            for i, t in zip(b["doc_id"].to_pylist(), b["text"]):
                 us = vocabulary.units(t.as_py())
-                own = np.fromiter((get(u, 0) for u in us), np.int64, len(us))
-                rest = np.flatnonzero(own == 0).tolist()
-                far = [i for i in rest if len(us[i]) > MAX_UNIT]
-                own[far] = 1
-                cold.append([us[i] for i in rest if own[i] == 0])
-                long.append([us[i] for i in far])
-                ks.append(own)
-                counts.append(len(us))
-                if sum(counts) >= BATCH or z == b.num_rows:
-                    cols = [b["doc_id"].slice(a, z - a), b["h"].slice(a, z - a), _numbers(np.concatenate(ks), np.array(counts))]
-                    cols += [pa.array(cold, pa.list_(pa.string())), pa.array(long, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "ks", "cold", "long"])
-                    a, ks, counts, cold, long = z, [], [], [], []
+                ids.append(i)
+                texts.append(np.fromiter(map(number.__getitem__, us), np.int64, len(us)))
+                size += len(us)
+                if size >= most:
+                    yield rows_of(chunk, ids, texts, list(number))
+                    chunk, number, ids, texts, size = chunk + 1, defaultdict(count().__next__), [], [], 0
+        if ids:
+            yield rows_of(chunk, ids, texts, list(number))
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # a bucketed table: what a chunk gets back is brought to its texts, which are not shuffled
+    name = f"units_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slim.mapInArrow(run, ASKED).write.option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "chunk").saveAsTable(name)
+    return spark.table(name)
+
+
+def answers(asked: DataFrame, table: DataFrame, parts: int) -> DataFrame:
+    """(chunk, part, sizes, ids): the pieces of all units that a chunk asks a part for, in their order."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, sizes, ids = [], [], []
+        for b in batches:
+            units += b["unit"].to_pylist()
+            sizes.append(b["ids"].value_lengths().to_numpy())
+            ids.append(b["ids"].flatten().to_numpy())
+        if not units:
+            return
+        part = part_of(units, parts)
+        size, flat = np.concatenate(sizes).astype(np.int32), np.concatenate(ids).astype(np.int32)
+        at = np.cumsum(size) - size
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        for p in range(parts):
+            mine = order[cut[p] : cut[p + 1]]
+            if len(mine):
+                own = np.concatenate([flat[a : a + n] for a, n in zip(at[mine].tolist(), size[mine].tolist())])
+                cols = [pa.array([p], pa.int32()), pa.array([-1], pa.int64()), pa.array([named([units[i] for i in mine.tolist()])]), pa.array([packed(size[mine])]), pa.array([packed(own)])]
+                yield pa.RecordBatch.from_arrays(cols, names=["part", "chunk", "units", "sizes", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}  # one part; its pieces come before the chunks
+        for b in batches:
+            for r in b.to_pylist():
+                us = names_of(r["units"])
+                if r["chunk"] < 0:
+                    flat, ends = unpacked(r["ids"], np.int32), np.cumsum(unpacked(r["sizes"], np.int32)).tolist()
+                    known.update(zip(us, (flat[a:z] for a, z in zip([0, *ends], ends))))
+                    continue
+                found = list(map(known.__getitem__, us))
+                cols = [pa.array([r["chunk"]]), pa.array([r["part"]], pa.int32()), pa.array([packed(np.fromiter(map(len, found), np.int32, len(found)))]), pa.array([packed(np.concatenate(found))])]
+                yield pa.RecordBatch.from_arrays(cols, names=["chunk", "part", "sizes", "ids"])
+
+    kept = table.mapInArrow(dealt, "part int, chunk long, units binary, sizes binary, ids binary")
+    wanted = asked.where("part >= 0").select("part", "chunk", "units", F.lit(None).cast("binary").alias("sizes"), F.lit(None).cast("binary").alias("ids"))
+    met = kept.unionByName(wanted).repartitionById(parts, "part").sortWithinPartitions("part", "chunk")
+    return met.mapInArrow(run, "chunk long, part int, sizes binary, ids binary")
+
+
+def encode(docs: DataFrame, vocabulary: Pieces, text: str = "text", most: int = CHUNK) -> DataFrame:
+    """doc_id, ids per row of docs; most is the number of units after which a chunk of texts ends."""
+    spark = docs.sparkSession
+    parts = SPLIT * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = ask(docs, vocabulary, parts, text, most)
+    table = written(encode_lexicon(lexicon(asked, parts), vocabulary), "lexicon")
+    ranks = vocabulary.ranks
+    known = spark.sparkContext.broadcast({p: (ranks[p], i) for i, p in enumerate(vocabulary.pieces) if p})
+
+    def long_ids(unit: str) -> list[int]:
+        marked = unit.replace(" ", SPACE)
+        return [j for i in merged_long(marked, known.value) for j in ([i] if i >= 0 else [vocabulary.byte_ids[x] for x in marked[-1 - i].encode()])]
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, held_size, held_ids = held.value
-        held_at = np.cumsum(held_size) - held_size
         for b in batches:
-            upto = np.cumsum(pc.binary_length(b["ks"]).to_numpy())
-            a = 0
-            while a < b.num_rows:
-                z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + BATCH, "right")))
-                c = b.slice(a, z - a)
-                ks, counts = _of_numbers(c["ks"].to_pylist())
-                place, found = c["more"].flatten().flatten()
-                owner = np.repeat(np.arange(len(counts)), pc.fill_null(pc.list_value_length(c["more"]), 0).to_numpy())
-                place = place.to_numpy()
-                twice = np.zeros(len(place), bool)  # rows that repeat have their pieces twice
-                twice[1:] = (owner[1:] == owner[:-1]) & (place[1:] == place[:-1])
-                found = found.filter(pa.array(~twice))
-                far = [merged_long(u.replace(" ", SPACE), known.value) for us in c["long"].to_pylist() for u in us]
-                far = [[j for i in ids for j in ([i] if i >= 0 else [vocabulary.byte_ids[x] for x in u[-1 - i].replace(" ", SPACE).encode()])] for ids, u in zip(far, (u for us in c["long"].to_pylist() for u in us), strict=True)]
-                size = np.zeros(len(ks), np.int64)
-                at = np.zeros(len(ks), np.int64)
-                is_held = ks >= 2
-                size[is_held], at[is_held] = held_size[ks[is_held] - 2], held_at[ks[is_held] - 2]
-                source = [held_ids]
-                for kind, sizes, ids in ((0, pc.list_value_length(found).to_numpy(), found.flatten().to_numpy()), (1, np.array([len(x) for x in far], np.int64), np.array([i for x in far for i in x], np.int32))):
-                    where = np.flatnonzero(ks == kind)
-                    if len(where) != len(sizes):
-                        raise RuntimeError("pieces of a unit are missing")
-                    size[where], at[where] = sizes, sum(map(len, source)) + np.cumsum(sizes) - sizes
-                    source.append(ids)
-                total = np.concatenate(([0], np.cumsum(size)))
-                ids = np.concatenate(source)[np.arange(total[-1]) + np.repeat(at - total[:-1], size)]
-                ends = total[np.concatenate(([0], np.cumsum(counts)))]
-                yield pa.RecordBatch.from_arrays([c["doc_id"], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
-                a = z
-
-    # computed twice, for the join and for the texts: what is sent is far smaller than what a table of it would take
-    first = slim.mapInArrow(numbered, "doc_id long, h long, ks binary, cold array<string>, long array<string>")
-    wanted = first.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.posexplode("cold").alias("pos", "unit"))
-    met = wanted.join(rare.select("unit", "ids"), "unit").groupBy("d", "g").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("more"))
-    left = first.select("doc_id", "h", "ks", "long")
-    both = left.join(met, left["doc_id"].eqNullSafe(met["d"]) & (left["h"] == met["g"]), "left").select("doc_id", "ks", "long", "more")
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                doc, null, counts = unpacked(r["docs"], np.int64).reshape(3, -1)
+                part = unpacked(r["parts"], np.int32) if r["parts"] else np.empty(0, np.int32)
+                found = sorted(r["found"] or [], key=lambda x: x["part"])
+                far = [np.array(long_ids(u), np.int32) for u in names_of(r["units"])]
+                sizes = np.concatenate([*(unpacked(x["sizes"], np.int32) for x in found), np.fromiter(map(len, far), np.int32, len(far))]).astype(np.int64)
+                flat = np.concatenate([*(unpacked(x["ids"], np.int32) for x in found), *far, np.empty(0, np.int32)]).astype(np.int32)
+                if len(sizes) != len(part):
+                    raise RuntimeError("pieces of a unit are missing")
+                order = np.argsort(part, kind="stable")
+                size, at = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
+                size[order], at[order] = sizes, np.cumsum(sizes) - sizes
+                ks = _of_numbers(r["stream"])
+                ends = np.cumsum(counts)
+                a = 0
+                while a < len(doc):  # some texts at a time
+                    z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BATCH, "right")))
+                    own = ks[ends[a] - counts[a] : ends[z - 1]]
+                    total = np.concatenate(([0], np.cumsum(size[own])))
+                    ids = flat[np.arange(total[-1]) + np.repeat(at[own] - total[:-1], size[own])]
+                    cut = total[np.concatenate(([0], np.cumsum(counts[a:z])))]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[a:z], mask=null[a:z] > 0), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
+                    a = z
+
+    found = answers(asked, table, parts).groupBy(F.col("chunk").alias("c")).agg(F.collect_list(F.struct("part", "sizes", "ids")).alias("found"))
+    texts = asked.where("part = -1").select("chunk", "units", "docs", "parts", "stream")
+    both = texts.join(found, texts["chunk"] == found["c"], "left").select("units", "docs", "parts", "stream", "found")
     return both.mapInArrow(assembled, "doc_id long, ids array<int>")
 
 

@@ -150,11 +150,11 @@ def test_pieces_are_the_librarys(spark, docs, odd, none, texts):
 
     file = public_tokenizers.path("piece_bpe_32k.model")
     lib, vocabulary = sentencepiece.SentencePieceProcessor(model_file=file), piece_lattice.load(file)
-    for frame, hot in ((docs, 2000), (odd, 2)):
+    for frame, most in ((docs, 5000), (odd, 2)):
         by = {}
         for r in frame.collect():
             by.setdefault(r.doc_id, []).append(lib.encode(r.text or ""))
-        for r in piece_lattice.encode(frame, vocabulary, hot=hot).collect():
+        for r in piece_lattice.encode(frame, vocabulary, most=most).collect():
             assert list(r.ids) in by[r.doc_id]
     back = piece_lattice.decode(piece_lattice.encode(docs, vocabulary), vocabulary)
     assert {r.doc_id: r.text for r in back.collect()} == texts
@@ -200,7 +200,7 @@ def test_long_texts_and_clashing_columns(spark):
     file = public_tokenizers.path("piece_bpe_32k.model")
     lib, vocabulary = sentencepiece.SentencePieceProcessor(model_file=file), piece_lattice.load(file)
     rows = [(1, "word " * 60_000 + "x" * 5000 + " " * 3000 + "漢" * 300), (2, "\n".join("ab cd" for _ in range(40_000)))]
-    out = piece_lattice.encode(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary, hot=3)
+    out = piece_lattice.encode(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary, most=100_000)
     assert {r.doc_id: list(r.ids) for r in out.collect()} == {i: lib.encode(t) for i, t in rows}
     back = piece_lattice.decode(out.withColumn("text", F.lit("own")), vocabulary)
     assert {r.doc_id: (r.text, r.text_) for r in back.collect()} == {i: ("own", t) for i, t in rows}
