@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumisonde.functions import arrays as a
+from lumisonde.functions import frames as fr
 from lumisonde.functions import spectra
 from lumisonde.plans.registry import query
 from lumisonde.session import shipped, table
@@ -106,3 +107,41 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", a.source_of(F.concat(F.lit("x/"), F.col("source"))).alias("source"), a.slug(F.concat_ws("-", "lang", "source")).alias("slug"), a.safe_name(F.col("text"), 20).alias("safe"), a.human_size(F.col("n_chars").cast("double")).alias("size"))
+
+
+DFT = """s AS (SELECT vec_id, f, k, embedding[f * 8 + k + 1]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * k / 15)) AS v FROM embeddings, range(7) t(f), range(16) u(k)),
+ d AS (SELECT vec_id, f, b, sqrt(sum(v * cos(2 * pi() * k * b / 16)) ** 2 + sum(v * sin(2 * pi() * k * b / 16)) ** 2) AS m FROM s, range(9) r(b) GROUP BY ALL),
+ t AS (SELECT vec_id, f, sum(m) AS s, sum(b * 1000 * m) / (sum(m) + 1e-10) AS c, avg(m) AS mu, max(m) AS mx, exp(avg(ln(m + 1e-10))) / (avg(m) + 1e-10) AS flatness, sum(m * m) AS power,
+  regr_slope(ln(m + 1e-10), ln(greatest(b, 1) * 1000)) FILTER (b > 0) AS slope, sum(b * (m - m0)) / (36 * max(m0)) AS decrease FROM (SELECT *, first(m) OVER (PARTITION BY vec_id, f ORDER BY b) AS m0 FROM d) GROUP BY vec_id, f),
+ g AS (SELECT *, lag(m) OVER (PARTITION BY vec_id, b ORDER BY f) AS before, lag(m) OVER (PARTITION BY vec_id, f ORDER BY b) AS lower, sum(m * m) OVER (PARTITION BY vec_id, f ORDER BY b) AS upto FROM d),
+ e AS (SELECT vec_id, f, max(c) AS centroid, sum((b * 1000 - c) ** 2 * m / (s + 1e-10)) AS spread, sum((b * 1000 - c) ** 3 * m / (s + 1e-10)) AS m3, sum((b * 1000 - c) ** 4 * m / (s + 1e-10)) AS m4,
+  -sum(m / (s + 1e-10) * log2(m / (s + 1e-10) + 1e-10)) AS entropy, min(b * 1000) FILTER (upto >= 0.85::DOUBLE * power) AS rolloff, max(flatness) AS flatness, max(mx / (mu + 1e-10)) AS crest, max(slope) AS slope, max(decrease) AS decrease,
+  sum(abs(m - lower)) / (max(s) + 1e-10) AS irregularity, coalesce(sum(greatest(m - before, 0)), 0) AS flux FROM g JOIN t USING (vec_id, f) GROUP BY vec_id, f)"""
+FRAME = ("centroid", "spread", "entropy", "rolloff", "flatness", "crest", "slope", "decrease", "irregularity", "flux")
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fr.spectral(fr.transformed(clips(spark, sf_dir), "vec_id", "x", 16, 8), "vec_id", 16, 16000.0)
+
+
+@query(f"WITH {DFT} SELECT vec_id, f::INT AS frame, {', '.join(f'round({c}, 4) AS {c}' for c in FRAME)}, round(m3 / (sqrt(spread) + 1e-10) ** 3, 4) AS skewness, round(m4 / (sqrt(spread) + 1e-10) ** 4 - 3, 4) AS kurtosis FROM e")
+@shipped
+def frame_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frames(spark, sf_dir).select("vec_id", "frame", *[F.round(c, 4).alias(c) for c in (*FRAME, "skewness", "kurtosis")])
+
+
+@query(f"WITH {DFT} SELECT vec_id, {', '.join(f'round({f}({c}), 4) AS {c}_{n}' for c in ('centroid', 'flux') for n, f in (('mean', 'avg'), ('std', 'stddev_pop'), ('min', 'min'), ('max', 'max')))} FROM e GROUP BY vec_id")
+@shipped
+def frame_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fr.summarized(_frames(spark, sf_dir), "vec_id", ["centroid", "flux"])
+    return out.select("vec_id", *[F.round(c, 4).alias(c) for c in out.columns[1:]])
+
+
+@query()
+@shipped
+def frame_cepstra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per frame mel bands in dB, liftered and linear cepstra, and the slopes of the first."""
+    m = fr.transformed(clips(spark, sf_dir), "vec_id", "x", 32, 8, fr.hamming(32))
+    m = m.withColumn("mel", fr.bands(F.col("m"), fr.triangles(fr.mel_edges(8, 80.0, 8000.0), 32, 16000.0)))
+    m = fr.lfcc(fr.mfcc(fr.decibels(m, "vec_id", "mel"), "vec_id", 32, 16000.0, 6, 8), 32, 16000.0, 6, 8)
+    return fr.delta(m, "vec_id", "mfcc").select("vec_id", "frame", "mel", "mfcc", "lfcc", "delta")

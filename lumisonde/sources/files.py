@@ -159,7 +159,7 @@ def first_rows(spark: SparkSession, folder: str, most: int) -> DataFrame:
 
 
 def read_npz(spark: SparkSession, folder: str, split: str = "train", rows: int = 256) -> DataFrame:
-    """(path, split, index, x, y) of archives with arrays X_<split> and y_<split>, or X and y, which stand for the split named.
+    """(path, split, row, x, y) of archives with arrays X_<split> and y_<split>, or X and y, which stand for the split named.
 
     A task reads an archive and sends its rows in batches.
     """
@@ -177,7 +177,7 @@ def read_npz(spark: SparkSession, folder: str, split: str = "train", rows: int =
                             flat = x[a : a + rows].reshape(len(x[a : a + rows]), -1).astype(float)
                             n = len(flat)
                             cols = [pa.array([path] * n), pa.array([part] * n), pa.array(np.arange(a, a + n)), pa.array(list(flat), pa.list_(pa.float64())), pa.array(y[a : a + n].astype(np.int32))]
-                            yield pa.RecordBatch.from_arrays(cols, names=["path", "split", "index", "x", "y"])
+                            yield pa.RecordBatch.from_arrays(cols, names=["path", "split", "row", "x", "y"])
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", "true").load(folder)
-    return found.select("path", "content").mapInArrow(run, "path string, split string, index long, x array<double>, y int")
+    return found.select("path", "content").mapInArrow(run, "path string, split string, row long, x array<double>, y int")
