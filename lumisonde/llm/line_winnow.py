@@ -12,7 +12,7 @@ the same gram.
 *Join.* Each selected gram is joined to its first place in the corpus, by (doc_id, hash of
 the text, line): as many rows as selected grams, however often one occurs.
 *Extension.* From such a pair the match grows both ways while lines agree: lines are compared in
-blocks, and blocks are added as long as a match reaches the border of those compared.
+blocks, and twice as many blocks are added each time a match reaches the border of those compared.
 *Deletion.* The lines of every match go, but for its first place.
 
 Defined cases: null and empty texts come back as they are; rows with the same doc_id and
@@ -81,6 +81,7 @@ def repeated(found: DataFrame, guarantee: int = GUARANTEE, noise: int = NOISE) -
     ours = common.select("id", "h", block.alias("block"), "i", "pos", "lh")
     theirs = common.select(F.col("id").alias("fid"), F.col("h").alias("fh"), F.col("i").alias("fi"), F.col("lh").alias("flh"))
     near = written(seeds.select(*pair, F.explode(F.array(*[block + F.lit(k) for k in (-1, 0, 1)])).alias("block")).distinct(), "blocks")
+    step = 1
     while True:
         equal = near.join(ours, ["id", "h", "block"]).withColumn("fi", F.col("i") - F.col("diag")).join(theirs, ["fid", "fh", "fi"]).where("lh = flh")
         equal = equal.join(seeds.select(*pair, "i", F.lit(1).alias("seed")), [*pair, "i"], "left")
@@ -88,12 +89,15 @@ def repeated(found: DataFrame, guarantee: int = GUARANTEE, noise: int = NOISE) -
         hit = F.max("seed").over(Window.partitionBy(*pair, "run"))
         hits = written(equal.withColumn("hit", hit).where("hit = 1").select(*pair, "run", "i", "pos"), "hits")
         ends = hits.groupBy(*pair, "run").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
-        beyond = F.array(F.when(F.col("lo") % EXTEND == 0, F.floor(F.col("lo") / EXTEND) - 1), F.when(F.col("hi") % EXTEND == EXTEND - 1, F.floor(F.col("hi") / EXTEND) + 1))
-        more = ends.select(*pair, F.explode(beyond).alias("block")).where("block >= 0").distinct()
+        first, last = F.floor(F.col("lo") / EXTEND), F.floor(F.col("hi") / EXTEND)
+        below = F.when((F.col("lo") % EXTEND == 0) & (first > 0), F.sequence(F.greatest(first - step, F.lit(0).cast("long")), first - 1))
+        above = F.when(F.col("hi") % EXTEND == EXTEND - 1, F.sequence(last + 1, last + step))
+        none = F.array().cast("array<long>")
+        more = ends.select(*pair, F.explode(F.concat(F.coalesce(below, none), F.coalesce(above, none))).alias("block")).distinct()
         more = written(more.join(near, [*pair, "block"], "left_anti"), "beyond")
         if more.isEmpty():
             return hits.select("id", "h", "pos").distinct()
-        near = written(near.unionByName(more), "blocks")
+        near, step = written(near.unionByName(more), "blocks"), 2 * step
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", guarantee: int = GUARANTEE, noise: int = NOISE, count_into: str | None = None) -> DataFrame:

@@ -158,6 +158,55 @@ def test_passages_go_but_for_the_first(spark):
     assert out[2].text == "\n".join(was[2].split("\n")[::2])
 
 
+def test_runs_go_but_for_a_bounded_rest(spark):
+    """Against all pairs of lines: of each run of 50 words that stands earlier, under 50 words stay; what goes stands earlier in a run of 25 words."""
+    rng = random.Random(8)
+    pool = [[passage(rng, rng.choice([3, 8, 20, 60])) for _ in range(rng.choice([6, 30, 200]))] for _ in range(6)]
+    rows = []
+    for i in range(14):
+        parts = []
+        for _ in range(3):
+            src = rng.choice(pool)
+            a = rng.randrange(len(src))
+            parts += [passage(rng, 7), *src[a : a + rng.choice([2, 6, 150])], ""]
+        rows.append((i, "\n".join(parts)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {(r.id, r.pos) for r in line_winnow.repeated(line_winnow.lines(frame)).collect()}
+    docs = [[(k, x, len(x.split())) for k, x in enumerate(t.split("\n")) if x] for _, t in rows]
+    in_run = set()
+    for i, mine in enumerate(docs):
+        for j, other in enumerate(docs[: i + 1]):
+            for diag in range(-len(other) + 1, len(mine)):
+                if i == j and diag <= 0:
+                    continue
+                run = []
+                for k in range(max(0, diag), min(len(mine), len(other) + diag) + 1):
+                    if k < min(len(mine), len(other) + diag) and mine[k][1] == other[k - diag][1]:
+                        run.append(mine[k])
+                        continue
+                    size = sum(n for *_, n in run)
+                    if size >= 25:
+                        in_run |= {(i, pos) for pos, *_ in run}
+                    if size >= 50:
+                        assert sum(n for pos, _, n in run if (i, pos) not in gone) < 50
+                    run = []
+    assert gone and gone <= in_run
+
+
+def test_matches_extend_through_long_runs(spark):
+    rng = random.Random(9)
+    base = [passage(rng, 6) for _ in range(900)]
+    early = [(i, "\n".join(base[5 * i + 1 : 5 * i + 7])) for i in range(170)]  # the first places of all grams
+    rows = [*early, (1000, "\n".join(base)), (1001, "\n".join(base))]
+    gone = {(r.id, r.pos) for r in line_winnow.repeated(line_winnow.lines(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert len({p for i, p in gone if i == 1001}) >= 840
+
+
+def test_count_keeps_a_column_of_its_name(spark):
+    out = line_winnow.dedup_lines(spark.createDataFrame([(1, "a", 7)], "doc_id long, text string, n int"), count_into="n")
+    assert out.columns == ["doc_id", "text", "n", "n_"] and out.first().n == 7 and out.first().n_ == 0
+
+
 def test_short_lines_stay(spark):
     rows = [(i, f"line {i} of its own\nAll rights reserved.") for i in range(5)]
     out = line_winnow.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
