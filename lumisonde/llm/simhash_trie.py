@@ -23,10 +23,10 @@ nodes eight bits further down, again and again, so no task holds an unbounded gr
 *Near copies by similarity.* ``drop_near_copies`` uses codes only to propose. Its nodes are
 distinct sets of shingles. Nodes meet if a band of minimum hashes is equal, which a pair
 at the similarity asked for misses with probability MISSED at most. First each node is
-paired with the least and the largest node it meets; then, by the trie join, with all
-others it meets that are within a wide budget of bits and not connected yet. Every pair
-proposed is verified by the exact Jaccard similarity of the two sets, and only verified
-pairs are links.
+paired with the least and the largest node of a band, and with the one that meets most others; then, by the trie join, with all
+others it meets that are within a wide budget of bits and not connected yet; these rows carry their
+sets, as a large band has many pairs and few of them are links. Every pair proposed is verified
+by the exact Jaccard similarity of the two sets, and only verified pairs are links.
 
 *Components.* Links from all tables are joined by alternating large-star and small-star
 steps; each step is written to the shared folder.
@@ -56,6 +56,8 @@ SEED = 42
 HEAVY = 20_000
 #: Rows that a task joins in one go (whole keys), and node pairs that it expands in one go.
 CHUNK_ROWS, CHUNK_PAIRS = 50_000, 100_000
+#: The same for rows that carry their sets.
+CHUNK_SETS = 5_000
 #: Pairs of nodes with so few pairs of codes are compared code by code.
 LEAF_PAIRS = 64
 
@@ -212,10 +214,24 @@ def trie_pairs(words_: np.ndarray, roots: np.ndarray, budget: int, label: np.nda
             stack.append((depth + 1, children))
 
 
-def _join_sorted(budget: int, lanes: int, chunk_rows: int, known: bool = False):
-    """Rows sorted by group, side and code to (u, v): links of a spanning forest per group, or, where components are known, all pairs between them."""
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted arrays of distinct numbers share so much of all their numbers."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or len(x) / len(y) < similarity:
+        return False
+    c = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return c / (len(x) + len(y) - c) >= similarity
 
-    def links(group: np.ndarray, side: np.ndarray, raw: np.ndarray, name: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+
+def _join_sorted(budget: int, lanes: int, chunk_rows: int, similarity: float = 0.0):
+    """Rows sorted by group, side and code to (u, v): links of a spanning forest per group.
+
+    With a similarity, rows also have a node, its component so far, and its set; a link is then a pair with that similarity.
+    """
+    known = similarity > 0
+
+    def links(group: np.ndarray, side: np.ndarray, raw: np.ndarray, name: np.ndarray, part: np.ndarray, sets: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         ends = np.append(starts[1:], len(group))
         cross = side[starts] > 0  # side 0: a group paired with itself; sides 1 and 2: one with the other
@@ -225,9 +241,14 @@ def _join_sorted(budget: int, lanes: int, chunk_rows: int, known: bool = False):
         codes_ = raw.view(">u8").astype(np.uint64).reshape(-1, lanes)
         pick = lambda rows: pa.array([x.tobytes() for x in name[rows]], pa.binary())
         if known:
+            found = []
             for i, j in trie_pairs(codes_, roots, budget, part):
-                for a in range(0, len(i), chunk_rows):
-                    yield pa.RecordBatch.from_arrays([pick(i[a : a + chunk_rows]), pick(j[a : a + chunk_rows])], names=["u", "v"])
+                for a, b in zip(i.tolist(), j.tolist()):
+                    if part[a] != part[b] and _alike(sets[a], sets[b], similarity):
+                        found.append((a, b))
+                        part[part == part[b]] = part[a]
+            u, v = (np.array(x, np.int64) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pick(u), pick(v)], names=["u", "v"])
             return
         label = trie_links(codes_, roots, budget)
         u = np.flatnonzero(label != np.arange(len(label)))
@@ -245,8 +266,13 @@ def _join_sorted(budget: int, lanes: int, chunk_rows: int, known: bool = False):
                 continue
             raw = np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).reshape(b.num_rows, -1)
             name = np.frombuffer(b"".join(b["node"].to_pylist()), np.uint8).reshape(b.num_rows, -1) if known else raw
-            part = b["part"].to_numpy() if known else np.zeros(b.num_rows, np.int64)
-            held.append((b["grp"].to_numpy(), b["side"].to_numpy(zero_copy_only=False).astype(np.int64), raw, name, part))
+            part = b["part"].to_numpy().copy() if known else np.zeros(b.num_rows, np.int64)
+            sets = np.empty(b.num_rows, object)
+            if known:
+                flat, ends = b["s"].flatten().to_numpy().view(np.uint64), np.cumsum(b["s"].value_lengths().to_numpy()).tolist()
+                for k, (a, z) in enumerate(zip([0, *ends], ends)):
+                    sets[k] = flat[a:z]
+            held.append((b["grp"].to_numpy(), b["side"].to_numpy(zero_copy_only=False).astype(np.int64), raw, name, part, sets))
             rows += b.num_rows
             if rows >= chunk_rows:
                 all_ = together()
@@ -443,20 +469,24 @@ def similar(docs: DataFrame, found: DataFrame, shingle: int, similarity: float,
     """(u, v) of nodes with at least that similarity, enough of them to connect all that such pairs connect."""
     nodes = found.groupBy("node").agg(F.first("code").alias("code"), F.first("keys").alias("keys"))
     rows = nodes.select("node", "code", F.explode("keys").alias("grp"))
-    ends = rows.groupBy("grp").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    ends = rows.groupBy("grp").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
     rows = written(rows.join(ends, "grp"), "met")
+    # the node that meets most others: among copies of one text that text, to which all are closer than to each other
+    met = rows.select("grp", "node").join(rows.groupBy("node").agg(F.sum("size").alias("met")), "node")
+    centre = met.groupBy("grp").agg(F.max(F.struct("met", "node")).alias("x")).select("grp", F.col("x.node").alias("centre"))
     sets = shingle_sets(docs, found, rows.select("node").distinct(), shingle)
-    stars = rows.select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v")
+    stars = rows.join(centre, "grp").select(F.col("node").alias("u"), F.explode(F.array("lo", "hi", "centre")).alias("v")).where("u <> v")
     sure = verified(stars, sets, similarity)
     roots = connected(sure)
-    rows = rows.select("grp", "node", "code").join(roots, "node", "left")
+    # among three nodes or fewer the pairs above are all pairs
+    rows = rows.where("size > 3").select("grp", "node", "code").join(roots, "node", "left")
     rows = rows.select("grp", F.lit(0).cast("byte").alias("side"), "code", "node", F.xxhash64(F.coalesce("root", "node")).alias("part"))
     mixed = rows.groupBy("grp").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("grp")
     rows = written(rows.join(mixed, "grp", "left_semi"), "open")
     budget = wide_budget(similarity, lanes)
-    ready = _dealt(rows, budget, heavy, lanes).repartition("grp").sortWithinPartitions("grp", "side", "code")
-    more = ready.mapInArrow(_join_sorted(budget, lanes, CHUNK_ROWS, known=True), "u binary, v binary")
-    return sure.unionByName(verified(more, sets, similarity))
+    ready = _dealt(rows, budget, heavy, lanes).join(sets.dropDuplicates(["node"]), "node").repartition("grp").sortWithinPartitions("grp", "side", "code")
+    more = ready.select("grp", "side", "code", "node", "part", "s").mapInArrow(_join_sorted(budget, lanes, CHUNK_SETS, similarity), "u binary, v binary")
+    return sure.unionByName(more.distinct())
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, lanes: int = LANES) -> DataFrame:
