@@ -220,7 +220,7 @@ def follow(w: np.ndarray, seen: np.ndarray, b: Batch) -> None:
             at = np.flatnonzero(np.concatenate(([True], np.diff(x[order]) > 0)))
             rows, n = x[order[at]], np.diff(np.append(at, len(x)))
             seen[rows] += n
-            w[rows] -= np.add.reduceat(d[order], at, axis=0) / (CURVE * seen[rows] + START)[:, None]
+            w[rows] -= np.add.reduceat(d.take(order, axis=0), at, axis=0) / (CURVE * seen[rows] + START)[:, None]
 
 
 def train_classes(docs: DataFrame, ws: list[bytes], most: int, start: np.ndarray, rounds: int, groups: int) -> np.ndarray:
