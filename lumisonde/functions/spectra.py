@@ -104,7 +104,7 @@ def higuchi(x: np.ndarray, most: int = 6) -> float:
 
 
 def hurst(x: np.ndarray) -> float:
-    """Slope of log rescaled range over log segment length."""
+    """Slope of log rescaled range over log segment length; by definition the first ten segments of each length."""
     sizes = np.unique(np.logspace(np.log10(4), np.log10(max(5, len(x) // 2)), 8).astype(int))
     rs = []
     for s in sizes:
