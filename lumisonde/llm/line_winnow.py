@@ -90,10 +90,12 @@ def repeated(found: DataFrame, guarantee: int = GUARANTEE, noise: int = NOISE) -
         hits = written(equal.withColumn("hit", hit).where("hit = 1").select(*pair, "run", "i", "pos"), "hits")
         ends = hits.groupBy(*pair, "run").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
         first, last = F.floor(F.col("lo") / EXTEND), F.floor(F.col("hi") / EXTEND)
-        below = F.when((F.col("lo") % EXTEND == 0) & (first > 0), F.sequence(F.greatest(first - step, F.lit(0).cast("long")), first - 1))
-        above = F.when(F.col("hi") % EXTEND == EXTEND - 1, F.sequence(last + 1, last + step))
-        none = F.array().cast("array<long>")
-        more = ends.select(*pair, F.explode(F.concat(F.coalesce(below, none), F.coalesce(above, none))).alias("block")).distinct()
+        below = F.when((F.col("lo") % EXTEND == 0) & (first > 0), F.struct((first - 1).alias("block"), F.lit(-1).alias("way")))
+        above = F.when(F.col("hi") % EXTEND == EXTEND - 1, F.struct((last + 1).alias("block"), F.lit(1).alias("way")))
+        asked = ends.select(*pair, F.explode(F.array_compact(F.array(below, above))).alias("x")).select(*pair, "x.*").distinct()
+        asked = asked.join(near, [*pair, "block"], "left_anti")  # only where the next block has not been compared
+        reach = F.sequence(F.col("block"), F.greatest(F.col("block") + F.col("way") * (step - 1), F.lit(0).cast("long")))
+        more = asked.select(*pair, F.explode(reach).alias("block")).distinct()
         more = written(more.join(near, [*pair, "block"], "left_anti"), "beyond")
         if more.isEmpty():
             return hits.select("id", "h", "pos").distinct()

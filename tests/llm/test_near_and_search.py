@@ -202,6 +202,15 @@ def test_matches_extend_through_long_runs(spark):
     assert len({p for i, p in gone if i == 1001}) >= 840
 
 
+def test_copies_that_end_with_a_block_settle(spark):
+    """Matches that reach the last line of a document, at the border of a block, ask for nothing beyond."""
+    rng = random.Random(10)
+    base = [passage(rng, 8) for _ in range(2 * line_winnow.EXTEND)]
+    rows = [(i, "\n".join(base)) for i in range(3)] + [(9, "\n".join(base[: line_winnow.EXTEND]))]
+    gone = {(r.id, r.pos) for r in line_winnow.repeated(line_winnow.lines(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert gone == {(i, p) for i in (1, 2) for p in range(len(base))} | {(9, p) for p in range(line_winnow.EXTEND)}
+
+
 def test_count_keeps_a_column_of_its_name(spark):
     out = line_winnow.dedup_lines(spark.createDataFrame([(1, "a", 7)], "doc_id long, text string, n int"), count_into="n")
     assert out.columns == ["doc_id", "text", "n", "n_"] and out.first().n == 7 and out.first().n_ == 0
