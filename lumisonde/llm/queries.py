@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisonde.llm import ffd_packing, hamming_topk, line_winnow, lsm_dedup, maxent_lm, pii, piece_lattice, rule_quality, simhash_trie, url_templates
+from lumisonde.llm import ffd_packing, hamming_topk, line_winnow, lsm_dedup, maxent_lm, merkle_manifest, pii, piece_lattice, rule_quality, simhash_trie, url_templates
 from lumisonde.session import shipped, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,7 +83,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ffd_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_urls, op2_pieces, op3_quality, op4_lm_score, op5_simhash, op6_lines, op7_personal_data, op8_top_k, op9_exact_dedup, op10_packing)}
+@shipped
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_urls, op2_pieces, op3_quality, op4_lm_score, op5_simhash, op6_lines, op7_personal_data, op8_top_k, op9_exact_dedup, op10_packing, op13_manifest)
+}
 
 OP6_SQL = """
 WITH l AS (
@@ -129,4 +137,56 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_
 SELECT query_id, rank, vec_id, CAST(distance AS INTEGER) AS distance FROM r WHERE rank <= 10
 """
 
-ORACLE: dict[str, str] = {"op8_top_k": OP8_SQL, "op6_lines": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+OP13_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT list(list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, i) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)),
+d AS (
+  SELECT doc_id, source, lang, n_chars, text,
+         CASE WHEN doc_id IS NOT NULL AND xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
+                lambda c, s: xor(c >> 8, t[(xor(c, s) & 255) + 1]), 4294967295), 4294967295) % 5 = 0
+              THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed_text
+  FROM documents, bits),
+f AS (
+  SELECT doc_id, source,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail, coalesce(strlen(changed_text) || ':' || changed_text, '-') AS changed_tail
+  FROM d),
+h AS (SELECT doc_id, source, sha256(head || tail) AS leaf, sha256(head || changed_tail) AS changed FROM f),
+s AS (SELECT source, n, row_number() OVER (ORDER BY encode(source) NULLS FIRST) AS tree, count(*) OVER () AS sources
+      FROM (SELECT source, count(*) AS n FROM h GROUP BY source)),
+l AS (SELECT h.doc_id, s.tree, row_number() OVER (PARTITION BY s.tree ORDER BY h.doc_id NULLS FIRST, h.leaf) - 1 AS pos, s.n, s.sources, h.leaf, h.changed
+      FROM h JOIN s ON h.source IS NOT DISTINCT FROM s.source),
+nodes AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS digest FROM l
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 16, n),
+tops AS (
+  SELECT 0 AS level, n.tree - 1 AS pos, s.sources AS n, n.digest FROM nodes n JOIN s ON s.tree = n.tree WHERE n.n = 1
+  UNION ALL
+  SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 16, n),
+low AS (
+  SELECT l.tree, l.pos, o.level, coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos < o.pos), '') AS l, coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos > o.pos), '') AS r
+  FROM l JOIN nodes o ON o.tree = l.tree AND o.n > 1 AND o.pos = l.pos >> (4 * o.level)
+  JOIN nodes x ON x.tree = o.tree AND x.level = o.level AND x.pos >> 4 = o.pos >> 4
+  GROUP BY l.tree, l.pos, o.level, o.pos),
+high AS (
+  SELECT s.tree, o.level, coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos < o.pos), '') AS l, coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos > o.pos), '') AS r
+  FROM s JOIN tops o ON o.n > 1 AND o.pos = (s.tree - 1) >> (4 * o.level)
+  JOIN tops x ON x.level = o.level AND x.pos >> 4 = o.pos >> 4
+  GROUP BY s.tree, o.level, o.pos),
+p AS (
+  SELECT l.doc_id, l.tree, l.leaf, l.changed, coalesce(a.steps, []) || coalesce(b.steps, []) AS steps
+  FROM l
+  LEFT JOIN (SELECT tree, pos, list({'l': l, 'r': r} ORDER BY level) AS steps FROM low GROUP BY tree, pos) a ON a.tree = l.tree AND a.pos = l.pos
+  LEFT JOIN (SELECT tree, list({'l': l, 'r': r} ORDER BY level) AS steps FROM high GROUP BY tree) b ON b.tree = l.tree),
+o AS (
+  SELECT p.doc_id, p.leaf, t.digest AS subroot, r.digest AS root,
+         sha256(array_to_string(list_transform(p.steps, lambda x: x.l || x.r), '')) AS proof_sha256,
+         list_reduce(p.steps, lambda x, y: {'l': sha256(y.l || x.l || y.r), 'r': ''}, {'l': p.changed, 'r': ''}).l AS folded_root
+  FROM p JOIN (SELECT tree, digest FROM nodes WHERE n = 1) t ON t.tree = p.tree, (SELECT digest FROM tops WHERE n = 1) r)
+SELECT *, folded_root = root AS verified FROM o
+"""
+
+ORACLE: dict[str, str] = {"op8_top_k": OP8_SQL, "op6_lines": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op13_manifest": OP13_SQL}
