@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisonde.llm import ffd_packing, hamming_topk, line_winnow, lsm_dedup, maxent_lm, merkle_manifest, pii, piece_lattice, rule_quality, simhash_trie, url_templates
+from lumisonde.llm import ffd_packing, hamming_topk, hard_negatives, line_winnow, lsm_dedup, maxent_lm, merkle_manifest, pii, piece_lattice, rule_quality, simhash_trie, url_templates
 from lumisonde.session import shipped, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ffd_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@shipped
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 @shipped
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
@@ -90,7 +96,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_urls, op2_pieces, op3_quality, op4_lm_score, op5_simhash, op6_lines, op7_personal_data, op8_top_k, op9_exact_dedup, op10_packing, op13_manifest)
+    for f in (op1_urls, op2_pieces, op3_quality, op4_lm_score, op5_simhash, op6_lines, op7_personal_data, op8_top_k, op9_exact_dedup, op10_packing, op11_hard_negatives, op13_manifest)
 }
 
 OP6_SQL = """
@@ -137,6 +143,25 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_
 SELECT query_id, rank, vec_id, CAST(distance AS INTEGER) AS distance FROM r WHERE rank <= 10
 """
 
+OP11_SQL = """
+WITH v AS (
+  SELECT DISTINCT ON (vec_id) vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(greatest(least(CAST(x AS DOUBLE) * 256, 16777216), -16777216)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  ORDER BY vec_id, label, x),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         coalesce(list_sum(list_transform(list_zip(a.x, b.x), lambda z: coalesce(z[1] * z[2], 0))), 0)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
 OP13_SQL = """
 WITH RECURSIVE bits AS (
   SELECT list(list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, i) ORDER BY i) AS t
@@ -189,4 +214,4 @@ o AS (
 SELECT *, folded_root = root AS verified FROM o
 """
 
-ORACLE: dict[str, str] = {"op8_top_k": OP8_SQL, "op6_lines": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op13_manifest": OP13_SQL}
+ORACLE: dict[str, str] = {"op8_top_k": OP8_SQL, "op6_lines": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op13_manifest": OP13_SQL}
