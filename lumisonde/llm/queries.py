@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisonde.llm import ffd_packing, hamming_topk, hard_negatives, line_winnow, lsm_dedup, maxent_lm, merkle_manifest, pii, piece_lattice, rule_quality, simhash_trie, url_templates
+from lumisonde.llm import dom_extraction, ffd_packing, hamming_topk, hard_negatives, line_winnow, lsm_dedup, maxent_lm, merkle_manifest, pii, piece_lattice, rule_quality, simhash_trie, url_templates
 from lumisonde.session import shipped, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
 
 
+@shipped
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return dom_extraction.extract(pages, dom_extraction.fit(pages))
+
+
 @shipped
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
@@ -96,7 +102,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_urls, op2_pieces, op3_quality, op4_lm_score, op5_simhash, op6_lines, op7_personal_data, op8_top_k, op9_exact_dedup, op10_packing, op11_hard_negatives, op13_manifest)
+    for f in (op1_urls, op2_pieces, op3_quality, op4_lm_score, op5_simhash, op6_lines, op7_personal_data, op8_top_k, op9_exact_dedup, op10_packing, op11_hard_negatives, op12_main_text, op13_manifest)
 }
 
 OP6_SQL = """
