@@ -12,7 +12,7 @@ the same gram.
 *Join.* Each selected gram is joined to its first place in the corpus, by (doc_id, hash of
 the text, line): as many rows as selected grams, however often one occurs.
 *Extension.* From such a pair the match grows both ways while lines agree: lines are compared in
-blocks, and twice as many blocks are added each time a match reaches the border of those compared.
+blocks around each pair, and only the matches that reach the border of these go on, by twice as many blocks each time.
 *Deletion.* The lines of every match go, but for its first place.
 
 Defined cases: null and empty texts come back as they are; rows with the same doc_id and
@@ -81,25 +81,44 @@ def repeated(found: DataFrame, guarantee: int = GUARANTEE, noise: int = NOISE) -
     ours = common.select("id", "h", block.alias("block"), "i", "pos", "lh")
     theirs = common.select(F.col("id").alias("fid"), F.col("h").alias("fh"), F.col("i").alias("fi"), F.col("lh").alias("flh"))
     near = written(seeds.select(*pair, F.explode(F.array(*[block + F.lit(k) for k in (-1, 0, 1)])).alias("block")).distinct(), "blocks")
-    step = 1
-    while True:
-        equal = near.join(ours, ["id", "h", "block"]).withColumn("fi", F.col("i") - F.col("diag")).join(theirs, ["fid", "fh", "fi"]).where("lh = flh")
-        equal = equal.join(seeds.select(*pair, "i", F.lit(1).alias("seed")), [*pair, "i"], "left")
-        equal = equal.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(*pair).orderBy("i")))
-        hit = F.max("seed").over(Window.partitionBy(*pair, "run"))
-        hits = written(equal.withColumn("hit", hit).where("hit = 1").select(*pair, "run", "i", "pos"), "hits")
-        ends = hits.groupBy(*pair, "run").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
-        first, last = F.floor(F.col("lo") / EXTEND), F.floor(F.col("hi") / EXTEND)
-        below = F.when((F.col("lo") % EXTEND == 0) & (first > 0), F.struct((first - 1).alias("block"), F.lit(-1).alias("way")))
-        above = F.when(F.col("hi") % EXTEND == EXTEND - 1, F.struct((last + 1).alias("block"), F.lit(1).alias("way")))
-        asked = ends.select(*pair, F.explode(F.array_compact(F.array(below, above))).alias("x")).select(*pair, "x.*").distinct()
-        asked = asked.join(near, [*pair, "block"], "left_anti")  # only where the next block has not been compared
-        reach = F.sequence(F.col("block"), F.greatest(F.col("block") + F.col("way") * (step - 1), F.lit(0).cast("long")))
-        more = asked.select(*pair, F.explode(reach).alias("block")).distinct()
-        more = written(more.join(near, [*pair, "block"], "left_anti"), "beyond")
-        if more.isEmpty():
-            return hits.select("id", "h", "pos").distinct()
-        near, step = written(near.unionByName(more), "blocks"), 2 * step
+    equal = _equal(near, ours, theirs).join(seeds.select(*pair, "i", F.lit(1).alias("seed")), [*pair, "i"], "left")
+    equal = equal.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(*pair).orderBy("i")))
+    hit = F.max("seed").over(Window.partitionBy(*pair, "run"))
+    hits = written(equal.withColumn("hit", hit).where("hit = 1").select(*pair, "run", "i", "pos"), "hits")
+    ends = hits.groupBy(*pair, "run").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+    below = F.when((F.col("lo") % EXTEND == 0) & (F.col("lo") > 0), F.struct(F.lit(-1).alias("way"), F.col("lo").alias("at"), (F.floor(F.col("lo") / EXTEND) - 1).alias("block")))
+    above = F.when(F.col("hi") % EXTEND == EXTEND - 1, F.struct(F.lit(1).alias("way"), F.col("hi").alias("at"), (F.floor(F.col("hi") / EXTEND) + 1).alias("block")))
+    open_ = ends.select(*pair, F.explode(F.array_compact(F.array(below, above))).alias("x")).select(*pair, "x.*").distinct()
+    open_ = written(open_.join(near, [*pair, "block"], "left_anti").drop("block"), "open")  # only where the next block has not been compared
+    found, blocks = hits.select("id", "h", "pos"), 1
+    while not open_.isEmpty():
+        more = written(_continued(open_, ours, theirs, blocks), "further")
+        found = found.unionByName(more.select("id", "h", "pos"))
+        whole = more.groupBy(*pair, "way", "at").agg(F.max("k").alias("k")).where(F.col("k") == blocks * EXTEND)
+        open_, blocks = written(whole.select(*pair, "way", (F.col("at") + F.col("way") * F.col("k")).alias("at")), "open"), 2 * blocks
+    return found.distinct()
+
+
+def _equal(asked: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """The lines of the blocks asked for that are those of the other document."""
+    lines = asked.join(ours, ["id", "h", "block"]).withColumn("fi", F.col("i") - F.col("diag"))
+    return lines.join(theirs, ["fid", "fh", "fi"]).where("lh = flh")
+
+
+def _continued(open_: DataFrame, ours: DataFrame, theirs: DataFrame, blocks: int) -> DataFrame:
+    """open_ (ends of matches at a block's border) with each line (pos, k-th from there) by which they go on within so many blocks.
+
+    Only lines of the blocks and documents asked for, as filters tell, are shuffled.
+    """
+    next_ = F.floor(F.col("at") / EXTEND) + F.col("way")
+    reach = F.sequence(next_, F.greatest(next_ + F.col("way") * (blocks - 1), F.lit(0).cast("long")))
+    asked = open_.withColumn("block", F.explode(F.when(next_ >= 0, reach)))
+    here, there = F.xxhash64("id", "h", "block"), F.xxhash64("fid", "fh")
+    ours, _ = split_by(ours, here, filter_of(asked.select("id", "h", "block").distinct(), here))
+    theirs, _ = split_by(theirs, there, filter_of(open_.select("fid", "fh").distinct(), there))
+    ordered = Window.partitionBy("id", "h", "fid", "fh", "diag", "way", "at").orderBy("k")
+    equal = _equal(asked, ours, theirs).withColumn("k", F.col("way") * (F.col("i") - F.col("at")))
+    return equal.withColumn("rn", F.row_number().over(ordered)).where("rn = k").drop("rn")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", guarantee: int = GUARANTEE, noise: int = NOISE, count_into: str | None = None) -> DataFrame:
