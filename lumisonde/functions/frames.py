@@ -1,13 +1,14 @@
 """Short-time analysis: clips to frames, frames to magnitudes, then features of frames as expressions and of clips as aggregates.
 
-Only the transform of a batch of frames is numpy. A frame is a row, so a long clip is spread
-over tasks and no clip is one array of frames.
+A frame is a row, cut from its clip where the row is made, so no array holds more than one of them. Transforms and
+products with matrices (filter banks, cosines) of a batch of frames are numpy; a bank of any size is one matrix in the function, not literals in the plan.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,43 +19,73 @@ from pyspark.sql import types as T
 from lumisonde.functions import arrays as a
 
 TINY = 1e-10
+DOUBLES = T.ArrayType(T.DoubleType())
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def magnitudes(frames: pd.Series) -> pd.Series:
-    """Magnitudes of the transform of each windowed frame. Frames of a batch that have one length are transformed at once."""
-    out = [None] * len(frames)
+def batched(frames: pd.Series, of: Callable[[np.ndarray], np.ndarray]) -> pd.Series:
+    """of, applied to the frames of each length at once; none for none."""
+    out: list = [None] * len(frames)
     by_size: dict[int, list[int]] = {}
     for i, x in enumerate(frames):
         if x is not None and len(x):
             by_size.setdefault(len(x), []).append(i)
     for rows in by_size.values():
-        for i, m in zip(rows, np.abs(np.fft.rfft(np.stack([frames.iloc[i] for i in rows])))):
-            out[i] = m
-    return pd.Series(out)
+        for i, v in zip(rows, of(np.stack([frames.iloc[i] for i in rows]))):
+            out[i] = v
+    return pd.Series(out, dtype=object)
 
 
-def hann(n: int) -> list[float]:
-    return [0.5 - 0.5 * math.cos(2 * math.pi * k / (n - 1)) for k in range(n)]
+def per_batch(of: Callable[[np.ndarray], np.ndarray], frames: Column, kind: T.DataType = DOUBLES) -> Column:
+    """A function of stacked frames, as a column; declared nondeterministic so that no plan computes it twice for a row, or within a lambda."""
 
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            out = batched(b, of)
+            yield out.astype(float) if kind == T.DoubleType() else out
 
-def hamming(n: int) -> list[float]:
-    return [0.54 - 0.46 * math.cos(2 * math.pi * k / (n - 1)) for k in range(n)]
+    return run.asNondeterministic()(frames)
+
+
+def magnitudes(frames: Column) -> Column:
+    """Magnitudes of the transform of each frame."""
+    return per_batch(lambda x: np.abs(np.fft.rfft(x)), frames)
+
+
+def through(x: Column, matrix: np.ndarray, squared: bool = False) -> Column:
+    """The product of a matrix with each frame (or its squares)."""
+    m = np.ascontiguousarray(np.asarray(matrix, float).T)
+    return per_batch(lambda v: (v * v if squared else v) @ m, x)
+
+
+def hann(n: int) -> Column:
+    return constants(0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1)))
+
+
+def hamming(n: int) -> Column:
+    return constants(0.54 - 0.46 * np.cos(2 * np.pi * np.arange(n) / (n - 1)))
 
 
 def constants(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """One literal that holds all the numbers: a text that the optimizer reads once."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), DOUBLES)
 
 
 def dot(x: Column, y: Column) -> Column:
     return a.total(F.zip_with(x, y, lambda p, q: p * q))
 
 
-def transformed(clips: DataFrame, key: str, x: str, size: int, hop: int, window: Sequence[float] | None = None) -> DataFrame:
+def cut(clips: DataFrame, key: str, x: str, size: int, hop: int) -> DataFrame:
+    """(key, frame, w): all full frames of each clip, a row each."""
+    last = F.floor((F.size(x) - size) / hop).cast("int")
+    each = clips.where(F.size(x) >= size).select(key, x, F.explode(F.sequence(F.lit(0), last)).alias("frame"))
+    return each.select(key, "frame", F.slice(x, F.col("frame") * hop + 1, size).alias("w"))
+
+
+def transformed(clips: DataFrame, key: str, x: str, size: int, hop: int, window: Column | None = None) -> DataFrame:
     """(key, frame, m): magnitudes of all full frames of each clip, under a window (Hann unless given)."""
-    cut = clips.select(key, F.posexplode(a.segments(F.col(x), size, hop, size)).alias("frame", "w"))
-    shaped = F.zip_with("w", constants(window or hann(size)), lambda v, h: v * h)
-    return cut.select(key, "frame", magnitudes(shaped).alias("m"))
+    shaped = F.zip_with("w", hann(size) if window is None else window, lambda v, h: v * h)
+    return cut(clips, key, x, size, hop).select(key, "frame", magnitudes(shaped).alias("m"))
 
 
 def spectral(frames: DataFrame, key: str, size: int, rate: float) -> DataFrame:
@@ -125,14 +156,14 @@ def linear_edges(bands: int, low: float, high: float) -> list[float]:
 
 def bands(m: Column, filters: Sequence[Sequence[float]]) -> Column:
     """The power of a frame in each band."""
-    power = F.transform(m, lambda v: v * v)
-    return a.let(power, lambda q: F.array(*[dot(q, constants(w)) for w in filters]))
+    return through(m, np.array(filters), squared=True)
 
 
 def cosines(x: Column, bands_: int, n: int) -> Column:
     """The first n coefficients of the orthonormal cosine transform, type two."""
-    row = lambda j: [math.cos(math.pi * j * (2 * k + 1) / (2 * bands_)) * math.sqrt((1 if j == 0 else 2) / bands_) for k in range(bands_)]
-    return a.let(x, lambda v: F.array(*[dot(v, constants(row(j))) for j in range(n)]))
+    j, k = np.arange(n)[:, None], np.arange(bands_)
+    basis = np.cos(np.pi * j * (2 * k + 1) / (2 * bands_)) * np.sqrt(np.where(j == 0, 1, 2) / bands_)
+    return through(x, basis)
 
 
 def decibels(frames: DataFrame, key: str, x: str, floor: float = TINY) -> DataFrame:

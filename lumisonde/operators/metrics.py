@@ -1,7 +1,8 @@
 """Evaluation of binary detectors, grouped by any columns: a score p in [0, 1], a label y in {0, 1}, decision p >= threshold.
 
 Curves are built over distinct scores: rows are counted by (group, score) first, with
-partial sums, so a window sees a row for each distinct score and not for each sample.
+partial sums. Real scores are nearly all distinct, so the order of a group's scores is then cut
+into ranges (``ranks``) and no window has a group alone for its key.
 Where a group lacks a class, metrics of ranking are NaN.
 """
 
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumisonde.operators.ranks import ranked
+from lumisonde.operators.ranks import ordered, ranked
 
 #: Cost model of the normalised minimum t-DCF for a fixed verification system. Fixed values.
 P_SPOOF, C_MISS_ASV, C_FA_ASV, C_MISS_CM, C_FA_CM = 0.05, 1.0, 10.0, 1.0, 10.0
@@ -90,12 +91,10 @@ def sweep(scores: DataFrame, by: Sequence[str], thresholds: Sequence[float] = (0
     return rates(confusion(each, [*by, "threshold"], F.col("threshold")))
 
 
-def by_score(scores: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per distinct score: its positives and negatives, those at or above it (tp, fp), and the group's (np, nn)."""
+def by_score(scores: DataFrame, by: Sequence[str], number: str | None = None, after: dict[str, str] | None = None) -> DataFrame:
+    """Per distinct score: its positives and negatives, those at or above it (tp, fp), and the group's (np, nn); if asked its number from the highest, and values of the next lower one."""
     each = scores.groupBy(*by, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    down = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return each.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "np": F.sum("pos").over(whole), "nn": F.sum("neg").over(whole)})
+    return ordered(each, by, [-F.col("p")], number=number, sums={"tp": "pos", "fp": "neg"}, totals={"np": "pos", "nn": "neg"}, after=after)
 
 
 def roc_auc(scores: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -108,22 +107,17 @@ def roc_auc(scores: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def pr_auc(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """Area under precision over recall by trapezoids, from (0, 1)."""
-    at = by_score(scores, by).withColumns({"recall": ratio(F.col("tp"), F.col("np")), "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp"))})
-    order = Window.partitionBy(*by).orderBy(F.desc("p"))
-    r0, p0 = F.lag("recall", 1, 0.0).over(order), F.lag("precision", 1, 1.0).over(order)
-    at = at.withColumn("piece", (F.col("recall") - r0) * (F.col("precision") + p0) / 2)
+    at, tp, fp = by_score(scores, by), F.col("tp"), F.col("fp")
+    t0, f0 = tp - F.col("pos"), fp - F.col("neg")  # at the score before
+    at = at.withColumn("piece", (ratio(tp, F.col("np")) - ratio(t0, F.col("np"))) * (ratio(tp, tp + fp) + ratio(t0, t0 + f0, 1.0)) / 2)
     out = at.groupBy(*by).agg(F.sum("piece").alias("a"), F.max("np").alias("np"), F.max("nn").alias("nn"))
     return out.select(*by, F.when((F.col("np") > 0) & (F.col("nn") > 0), F.col("a")).otherwise(nan()).alias("pr_auc"))
 
 
 def roc_points(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """Vertices of the ROC curve: points where the slope changes, and both ends. ord counts from the highest score."""
-    at = by_score(scores, by).where("np > 0 and nn > 0")
-    order = Window.partitionBy(*by).orderBy(F.desc("p"))
-    back = (F.col("tp") - F.lag("tp", 1, 0).over(order), F.col("fp") - F.lag("fp", 1, 0).over(order))
-    on = (F.lead("tp").over(order) - F.col("tp"), F.lead("fp").over(order) - F.col("fp"))
-    turn = on[0].isNull() | (back[0] != on[0]) | (back[1] != on[1])
-    at = at.withColumn("vertex", turn).withColumn("ord", F.row_number().over(order))
+    at = by_score(scores, by, "ord", {"on_pos": "pos", "on_neg": "neg"}).where("np > 0 and nn > 0")
+    at = at.withColumn("ord", F.col("ord").cast("int")).withColumn("vertex", F.col("on_pos").isNull() | (F.col("on_pos") != F.col("pos")) | (F.col("on_neg") != F.col("neg")))
     points = at.where("vertex").select(*by, "ord", F.col("p").alias("threshold"), (F.col("fp") / F.col("nn")).alias("fpr"), (F.col("tp") / F.col("np")).alias("tpr"))
     start = at.where("ord = 1").select(*by, F.lit(0).alias("ord"), F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(start)
@@ -138,9 +132,9 @@ def eer(scores: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def eer_by_interpolation(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """Equal error rate where the ROC polyline meets 1 - FPR = TPR, and the threshold interpolated between the two vertices around."""
-    order = Window.partitionBy(*by).orderBy("ord")
     gap = 1 - F.col("fpr") - F.col("tpr")
-    at = roc_points(scores, by).select(*by, "ord", "threshold", "fpr", gap.alias("gap"), F.lag("fpr").over(order).alias("f0"), F.lag("threshold").over(order).alias("t0"), F.lag(gap).over(order).alias("g0"))
+    points = roc_points(scores, by).withColumn("gap", gap)
+    at = ordered(points, by, ["ord"], before={"f0": "fpr", "t0": "threshold", "g0": "gap"})
     share = F.when(F.col("g0") == F.col("gap"), 0.0).otherwise(F.col("g0") / (F.col("g0") - F.col("gap")))
     root = F.col("f0") + share * (F.col("fpr") - F.col("f0"))
     cut = F.when(F.col("t0") == float("inf"), F.col("threshold")).otherwise(F.col("t0") + share * (F.col("threshold") - F.col("t0")))

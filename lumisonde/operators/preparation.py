@@ -157,3 +157,31 @@ def hours(rows: DataFrame, group: str, order: str, seconds: str, probe: int = 15
     """Hours of each group, from the mean of its first rows and its number of rows."""
     each = ranked(rows, [group], [order], "rn", "n")
     return each.groupBy(group).agg((F.avg(F.when(F.col("rn") <= probe, F.col(seconds))) * F.max("n") / 3600).alias("hours"))
+
+
+def label_mismatch(rows: DataFrame, by: Sequence[str], path: str, label: str, warn: float = 0.01) -> DataFrame:
+    """Per group how many paths name a label, the share of these where it is not the row's, and whether that is too much."""
+    told = a.label_of(F.col(path))
+    rate = F.avg((F.col(label) != told).cast("int"))
+    return rows.groupBy(*by).agg(F.count(told).alias("told"), rate.alias("mismatch"), (rate > warn).alias("warn"))
+
+
+def zipped(one: DataFrame, two: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows of two sequences of each group at the same place (from 1), with all columns of the first and those of the second that it lacks; groups whose sequences differ in length have none."""
+    left, right = ranked(one, by, order, "place", "rows_"), ranked(two, by, order, "place", "rows_")
+    kept = [c for c in two.columns if c not in one.columns]
+    return left.join(right.select(*by, "place", "rows_", *kept), [*by, "place", "rows_"]).drop("rows_")
+
+
+def unequal(one: DataFrame, two: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Groups whose sequences differ in length, with both lengths."""
+    both = one.select(*by, F.lit(1).alias("left_"), F.lit(0).alias("right_")).unionByName(two.select(*by, F.lit(0).alias("left_"), F.lit(1).alias("right_")))
+    counts = both.groupBy(*by).agg(F.sum("left_").alias("left_rows"), F.sum("right_").alias("right_rows"))
+    return counts.where(F.col("left_rows") != F.col("right_rows"))
+
+
+def fit_set(rows: DataFrame, split: str, key: str, x: str, snrs: Sequence[float]) -> DataFrame:
+    """What a classical model is fitted on: rows of train and val, and a noisy copy of each for each ratio; origin says which."""
+    own = rows.where(F.col(split).isin("train", "val"))
+    plain = own.withColumns({"origin": F.col(split), "snr": F.lit(None).cast("double")})
+    return plain.unionByName(with_noise(own, key, x, snrs).withColumn("origin", F.lit("noisy")))

@@ -1,14 +1,16 @@
-"""Exact ranks and percentiles within groups of any size.
+"""Exact ranks, running sums, neighbours and percentiles within groups of any size.
 
 A window over a group with a third of all rows would be one task. Here the order is cut into
 ranges by approximate quantiles of its first column; windows see a range of a group each, and
-the counts of earlier ranges are added.
+what the earlier and later ranges of the group hold (counts, sums, border rows) is joined from a
+table with a row for each range of each group. Cutting runs a job while the plan is built.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,24 +22,85 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], into: str = "rn", size: str = "n", ranges: int = RANGES) -> DataFrame:
-    """rows with their rank from 1 within their group, and the group's size. The first of order is a number or a time.
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _range_of(x: Column, cuts: Sequence[float]) -> Column:
+    """How many of the ascending cuts are at most x: first by every 16th of them, then among 16. One literal, however many there are."""
+    if not cuts:
+        return F.lit(0)
+    among = lambda c: F.size(F.filter(c, lambda v: v <= x))
+    every = F.lit(np.array(cuts, np.float64))
+    skipped = 16 * F.greatest(among(F.lit(np.array(cuts[::16], np.float64))) - 1, F.lit(0))
+    return F.when(x.isNull(), 0).otherwise(skipped + among(F.slice(every, skipped + 1, 16)))
+
+
+def ordered(
+    rows: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column | str],
+    number: str | None = None,
+    size: str | None = None,
+    sums: Mapping[str, Column | str] | None = None,
+    totals: Mapping[str, Column | str] | None = None,
+    before: Mapping[str, Column | str] | None = None,
+    after: Mapping[str, Column | str] | None = None,
+    ranges: int = RANGES,
+) -> DataFrame:
+    """rows with, for their place in the order of their group: its number from 1, the group's size, running sums up to and with the row, the group's totals, and values of the row before and after.
 
-    Many rows with one value of it are one range; the further columns order them.
+    Columns of order ascend; the first is a number or a time. Many rows with one value of it are one range; the further columns order them.
+    Summed values must not be null.
     """
+    sums, totals, before, after = sums or {}, totals or {}, before or {}, after or {}
     first = _col(order[0])
     x = (F.unix_micros(first.cast("timestamp")) if dict(rows.select(first.alias("x")).dtypes)["x"].startswith("timestamp") else first).cast("double")
     cuts = rows.agg(F.percentile_approx(x, [k / ranges for k in range(1, ranges)], F.lit(1000)).alias("c")).first()["c"] or []  # ranges - 1 numbers
-    part = sum((F.coalesce(x >= c, F.lit(False)).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    cut = rows.withColumn("range_", part)
-    groups = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    part = _range_of(x, sorted(set(cuts)))
+    piece, own, info = fresh(rows, "range_", "own_", "info_")
+    local = Window.partitionBy(*by, piece).orderBy(*map(_col, order))
+    cut = rows.withColumn(piece, part)
+    shown = lambda kept: F.struct(*[_col(c).alias(n) for n, c in kept.items()])
+    key = F.struct(*[_col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    made = [F.count(F.lit(1)).alias("count")] + [F.sum(_col(c)).alias(f"sum_{n}") for n, c in {**sums, **totals}.items()]
+    made += [F.max_by(shown(before), key).alias("last")] * bool(before) + [F.min_by(shown(after), key).alias("first")] * bool(after)
     # a row for each range of each group
-    counts = cut.groupBy(*by, "range_").agg(F.count(F.lit(1)).alias("count_"))
-    before = F.sum("count_").over(groups.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(*by, "range_", F.coalesce(before, F.lit(0)).alias("before_"), F.sum("count_").over(groups).alias(size))
-    own = F.row_number().over(Window.partitionBy(*by, "range_").orderBy(*map(_col, order)))
-    out = cut.withColumn("own_", own).alias("l").join(counts.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "range_")])
-    return out.select(*[f"l.{c}" for c in rows.columns], (F.col("own_") + F.col("before_")).alias(into), F.col(size))
+    table = cut.groupBy(*by, piece).agg(F.struct(*made).alias(info))
+    groups = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    up, of = groups.orderBy(piece), lambda n: F.col(f"{info}.{n}")
+    earlier = up.rowsBetween(Window.unboundedPreceding, -1)
+    made = [F.coalesce(F.sum(of("count")).over(earlier), F.lit(0)).alias("before"), F.sum(of("count")).over(groups).alias("size"), of("count").alias("count")]
+    made += [F.sum(of(f"sum_{n}")).over(earlier).alias(f"sum_{n}") for n in sums] + [F.sum(of(f"sum_{n}")).over(groups).alias(f"total_{n}") for n in totals]
+    made += [F.lag(of("last")).over(up).alias("last")] * bool(before) + [F.lead(of("first")).over(up).alias("first")] * bool(after)
+    table = table.select(*by, piece, F.struct(*made).alias(info))
+    cut = cut.withColumn(own, F.row_number().over(local))
+    names = {n: f"{n}_" for n in (*sums, *before, *after)}
+    names = dict(zip(names, fresh(cut, *names.values())))
+    cut = cut.withColumns({names[n]: F.sum(_col(c)).over(local.rowsBetween(Window.unboundedPreceding, 0)) for n, c in sums.items()})
+    cut = cut.withColumns({names[n]: F.lag(_col(c)).over(local) for n, c in before.items()} | {names[n]: F.lead(_col(c)).over(local) for n, c in after.items()})
+    out = cut.alias("l").join(table.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, piece)])
+    of = lambda n: F.col(f"r.{info}.{n}")
+    left = lambda n: F.col(f"l.{n}")
+    added = [(left(own) + of("before")).alias(number)] if number else []
+    added += [of("size").alias(size)] if size else []
+    added += [(left(names[n]) + F.coalesce(of(f"sum_{n}"), F.lit(0))).alias(n) for n in sums] + [of(f"total_{n}").alias(n) for n in totals]
+    added += [F.when(left(own) == 1, of(f"last.{n}")).otherwise(left(names[n])).alias(n) for n in before]
+    added += [F.when(left(own) == of("count"), of(f"first.{n}")).otherwise(left(names[n])).alias(n) for n in after]
+    return out.select(*[left(c) for c in rows.columns if c not in {number, size, *sums, *totals, *before, *after}], *added)
+
+
+def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], into: str = "rn", size: str = "n", ranges: int = RANGES) -> DataFrame:
+    """rows with their rank from 1 within their group, and the group's size."""
+    return ordered(rows, by, order, number=into, size=size, ranges=ranges)
 
 
 def percentiles(rows: DataFrame, by: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:

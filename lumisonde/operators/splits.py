@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumisonde.operators import preparation
 from lumisonde.operators.ranks import ranked
 
 Key = Sequence[Column | str]
@@ -39,12 +40,69 @@ def folds(rows: DataFrame, label: str, key: Key, k: int) -> DataFrame:
 def grouped(rows: DataFrame, group: str, parts: int) -> DataFrame:
     """fold such that a group is in one fold only: groups by falling size are dealt forth and back over the folds."""
     sizes = rows.groupBy(group).count()
-    rank = F.row_number().over(Window.orderBy(F.desc("count"), group)) - 1  # a row for each group
+    rank = F.col("rn") - 1
     turn, at = F.floor(rank / parts), rank % parts
-    placed = sizes.select(group, F.when(turn % 2 == 0, at).otherwise(parts - 1 - at).cast("int").alias("fold"))
+    placed = ranked(sizes, [], [-F.col("count"), group]).select(group, F.when(turn % 2 == 0, at).otherwise(parts - 1 - at).cast("int").alias("fold"))
     return rows.join(placed, group)
 
 
+#: Groups that one fold over groups deals, on average.
+DEALT = 4_096
+
+
+def stratified_groups(rows: DataFrame, label: str, group: str, parts: int, dealt: int = DEALT) -> DataFrame:
+    """fold such that a group is in one fold only and the labels' shares are alike in all.
+
+    Groups are taken by falling size, each into the fold whose counts, relative to even ones, it raises least: a fold over a row
+    for each group. Where there are many groups, a hash deals them into lots of about ``dealt`` groups that are settled on their own, so
+    that no task sees all.
+    """
+    counts = rows.groupBy(group, label).agg(F.count(F.lit(1)).alias("n_"))
+    labels = [r[0] for r in counts.select(label).distinct().orderBy(label).limit(1_000).collect()]  # classes are few
+    each = counts.groupBy(group).agg(F.array(*[F.coalesce(F.sum(F.when(F.col(label).eqNullSafe(F.lit(v)), F.col("n_"))), F.lit(0)).cast("double") for v in labels]).alias("c_"))
+    lots = max(1, -(-each.count() // dealt))
+    spread = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    each = each.withColumns({"size_": spread(F.col("c_")), "lot_": F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(lots))})
+    row = F.struct((-F.col("size_")).alias("size"), F.xxhash64(F.col(group).cast("string")).alias("h"), F.col(group).alias("g"), F.col("c_").alias("c"))
+    zeros = F.array_repeat(F.array_repeat(F.lit(0.0), len(labels)), parts)
+    total = lambda rs: F.transform(F.sequence(F.lit(0), F.lit(len(labels) - 1)), lambda i: F.aggregate(rs, F.lit(0.0), lambda s, r: s + F.get(r["c"], i)))
+    lot = each.groupBy("lot_").agg(F.sort_array(F.collect_list(row)).alias("rows_"))  # about ``dealt`` groups
+    lot = lot.withColumn("even_", F.transform(total(F.col("rows_")), lambda v: F.greatest(v / parts, F.lit(1e-9))))
+    # how far a fold's counts would be above the even share, over all labels
+    excess = lambda have, c: F.aggregate(F.zip_with(F.zip_with(have, c, lambda u, v: u + v), "even_", lambda u, e: u / e), F.lit(0.0), lambda s, v: s + v * v) - F.aggregate(F.zip_with(have, "even_", lambda u, e: u / e), F.lit(0.0), lambda s, v: s + v * v)
+    kind = rows.schema[group].dataType.simpleString()
+    state = f"struct<have: array<array<double>>, out: array<struct<g: {kind}, f: int>>>"
+    start = F.struct(zeros.alias("have"), F.array().alias("out")).cast(state)
+
+    def step(s: Column, r: Column) -> Column:
+        best = F.array_min(F.transform(s["have"], lambda h, f: F.struct(F.round(excess(h, r["c"]), 9).alias("e"), f.alias("f"))))["f"]
+        have = F.transform(s["have"], lambda h, f: F.when(f == best, F.zip_with(h, r["c"], lambda u, v: u + v)).otherwise(h))
+        return F.struct(have.alias("have"), F.concat(s["out"], F.array(F.struct(r["g"].alias("g"), best.alias("f")))).alias("out")).cast(state)
+
+    placed = lot.select(F.explode(F.aggregate("rows_", start, step, lambda s: s["out"])).alias("p")).select(F.col("p.g").alias("g_"), F.col("p.f").alias("fold"))
+    return rows.join(placed, F.col(group).eqNullSafe(F.col("g_"))).drop("g_")
+
+
+def by_mode(rows: DataFrame, label: str, key: Key, group: str | None = None, speaker: str | None = None, generator: str | None = None, hold_speaker: str | None = None, hold_generator: str | None = None, parts: int = 6) -> DataFrame:
+    """rows with split (train, val, test) and the mode that made it, the first that is asked for and possible: a speaker held out, a generator held out, by speaker, by group, or stratified.
+
+    A held-out name's rows are the test side, with as many others of label 0; of the rest a part of each label validates. Grouped modes put whole groups into the folds of
+    ``stratified_groups``: the first tests, the second validates.
+    """
+    mode = preparation.split_strategy(rows, label, group, speaker, generator, hold_speaker, hold_generator)
+    if mode.startswith("holdout"):
+        column, held = (speaker, hold_speaker) if mode == "holdout_speaker" else (generator, hold_generator)
+        out = leave_one_out(rows, column, held, label, key)
+        rest = folds(out.where("split = 'train'"), label, key, parts)
+        out = out.where("split = 'test'").unionByName(rest.withColumn("split", F.when(F.col("fold") == 0, "val").otherwise("train")).drop("fold"))
+    elif mode in ("speaker_split", "group_split"):
+        out = stratified_groups(rows, label, speaker if mode == "speaker_split" else group, parts)
+        out = out.withColumn("split", F.when(F.col("fold") == 0, "test").when(F.col("fold") == 1, "val").otherwise("train")).drop("fold")
+    else:
+        out = stratified(rows, label, key)
+    return out.withColumn("mode", F.lit(mode))
+
+
 def leave_one_out(rows: DataFrame, group: str, held: str, label: str, key: Key) -> DataFrame:
     """Test: all rows of one group (whatever the case of its name) and as many others of label 0; the rest trains."""
     own = F.lower(F.col(group)) == held.lower()

@@ -88,16 +88,22 @@ def variant(wanted: DataFrame, known: DataFrame, key: str, kind: str, value: str
     return wanted.join(own, [key, kind], "left").join(base, key, "left").select(*wanted.columns, F.coalesce("own", "base").alias(value))
 
 
+def numbered(values: DataFrame, column: str, into: str) -> DataFrame:
+    """Distinct values numbered from 0 in order, in ranges of the bytes they begin with or of the numbers they are."""
+    first = F.col(column)
+    if dict(values.dtypes)[column] == "string":
+        first = F.conv(F.rpad(F.hex(F.substring(first.cast("binary"), 1, 6)), 12, "0"), 16, 10)
+    return ranked(values.select(column).distinct().withColumn("first_", first.cast("double")), [], ["first_", column], into, "n_").select(column, (F.col(into) - 1).cast("int").alias(into))
+
+
 def encode(rows: DataFrame, column: str, into: str = "code") -> DataFrame:
-    """Values numbered from 0 in order; the window sees a row for each value."""
-    codes = rows.select(column).distinct().withColumn(into, F.row_number().over(Window.orderBy(column)) - 1)
-    return rows.join(codes, column)
+    """Values numbered from 0 in order."""
+    return rows.join(numbered(rows, column, into), column)
 
 
 def blocks(rows: DataFrame, index: str, size: int, owners: DataFrame, owner: str) -> DataFrame:
     """Each row's owner: rows index // size belong to the owner of that rank; beyond the last, null."""
-    ranked = owners.select(owner).distinct().withColumn("block", F.row_number().over(Window.orderBy(owner)) - 1)
-    return rows.withColumn("block", F.floor(F.col(index) / size).cast("int")).join(ranked, "block", "left")
+    return rows.withColumn("block", F.floor(F.col(index) / size).cast("int")).join(numbered(owners, owner, "block"), "block", "left")
 
 
 def first_match(names: DataFrame, name: str, priors: Sequence[tuple[str, float]], default: float = 0.6) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisonde.functions import arrays as a
 from lumisonde.functions import frames as fr
-from lumisonde.functions import spectra
+from lumisonde.operators.ranks import ordered
 from lumisonde.plans.registry import query
 from lumisonde.session import shipped, table
 
@@ -69,32 +69,38 @@ def gain_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH o AS (SELECT user_id, (value <= lead(value) OVER w)::INT * 4 + (lead(value) OVER w <= lead(value, 2) OVER w)::INT * 2 + (value <= lead(value, 2) OVER w)::INT AS pat, lead(value, 2) OVER w IS NOT NULL AS whole FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), c AS (SELECT user_id, pat, count(*) AS n FROM o WHERE whole GROUP BY ALL), p AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c) SELECT user_id, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY user_id")
 def permutation_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    x, y, z = F.col("value"), F.lead("value").over(w), F.lead("value", 2).over(w)
+    e = ordered(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], after={"y": "value"})
+    e = ordered(e, ["user_id"], ["ts", "event_id"], after={"z": "y"})
+    x, y, z = F.col("value"), F.col("y"), F.col("z")
     bit = lambda c, n: c.cast("int") * n
-    seen = table(spark, sf_dir, "events").select("user_id", z.isNotNull().alias("whole"), (bit(x <= y, 4) + bit(y <= z, 2) + bit(x <= z, 1)).alias("pattern"))
+    seen = e.select("user_id", z.isNotNull().alias("whole"), (bit(x <= y, 4) + bit(y <= z, 2) + bit(x <= z, 1)).alias("pattern"))
     counts = seen.where("whole").groupBy("user_id", "pattern").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n")
     # -sum(p log p) from the counts of at most six patterns
     return counts.groupBy("user_id").agg(F.round(F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total, 6).alias("entropy"))
 
 
-@query()
-@shipped
-def spectral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clips(spark, sf_dir).select("vec_id", spectra.spectral_udf(16000.0)("x").alias("s")).select("vec_id", "s.*")
+DFT64 = """s AS (SELECT vec_id, k, embedding[k + 1]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * k / 63)) AS v FROM embeddings, range(64) u(k)),
+ d AS (SELECT vec_id, b, sqrt(sum(v * cos(2 * pi() * k * b / 64)) ** 2 + sum(v * sin(2 * pi() * k * b / 64)) ** 2) AS m FROM s, range(33) r(b) GROUP BY ALL),
+ t AS (SELECT vec_id, sum(m) AS s, sum(b * 250 * m) / (sum(m) + 1e-10) AS c, sum(m * m) AS power, avg(m) AS mu, max(m) AS mx, exp(avg(ln(m + 1e-10))) AS g FROM d GROUP BY vec_id)"""
 
 
-@query()
+@query(f"WITH {DFT64}, u AS (SELECT vec_id, b, sum(m * m) OVER (PARTITION BY vec_id ORDER BY b) AS upto FROM d), o AS (SELECT vec_id, min(b * 250.0::DOUBLE) FILTER (upto >= 0.85::DOUBLE * power) AS rolloff FROM u JOIN t USING (vec_id) GROUP BY vec_id) SELECT vec_id, round(max(c), 3) AS centroid, round(sum((b * 250 - c) ** 2 * m / (s + 1e-10)), 1) AS spread, round(-sum(m / (s + 1e-10) * log2(m / (s + 1e-10) + 1e-10)), 6) AS entropy, max(rolloff) AS rolloff, round(max(g / (mu + 1e-10)), 6) AS flatness, round(max(mx / (mu + 1e-10)), 6) AS crest, round(sum(m * m) FILTER (b > 16) / (max(power) + 1e-10), 6) AS high_share FROM d JOIN t USING (vec_id) JOIN o USING (vec_id) GROUP BY vec_id")
 @shipped
-def cepstral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clips(spark, sf_dir).select("vec_id", spectra.mfcc_udf(16000.0)("x").alias("mfcc"), spectra.lpc_udf(8)("x").alias("lpc"))
+def spectral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of whole clips, as one frame each."""
+    out = fr.spectral(fr.transformed(clips(spark, sf_dir), "vec_id", "x", 64, 64), "vec_id", 64, 16000.0)
+    power = F.transform("m", lambda v: v * v)
+    high = a.total(F.slice(power, 18, 64)) / (a.total(power) + 1e-10)
+    return out.select("vec_id", F.round("centroid", 3).alias("centroid"), F.round("spread", 1).alias("spread"), F.round("entropy", 6).alias("entropy"), "rolloff", F.round("flatness", 6).alias("flatness"), F.round("crest", 6).alias("crest"), F.round(high, 6).alias("high_share"))
 
 
-@query()
+@query(f"WITH {DFT64}, l AS (SELECT j, b, greatest(0, least((b * 250 - j * 8000 / 9.0::DOUBLE) / (8000 / 9.0::DOUBLE), ((j + 2) * 8000 / 9.0::DOUBLE - b * 250) / (8000 / 9.0::DOUBLE))) AS w FROM range(8) t(j), range(33) u(b)), e AS (SELECT vec_id, j, ln(sum(m * m * w) + 1e-6) AS e FROM d JOIN l USING (b) GROUP BY ALL) SELECT vec_id, c::INT AS coefficient, round(sum(e * cos(pi() * c * (2 * j + 1) / 16)) * sqrt(CASE WHEN c = 0 THEN 1 ELSE 2 END / 8.0::DOUBLE), 6) AS value FROM e, range(5) t(c) GROUP BY vec_id, c")
 @shipped
-def complexity_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clips(spark, sf_dir).select("vec_id", spectra.complexity_udf()("x").alias("s")).select("vec_id", "s.*")
+def cepstral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear cepstra of whole clips, as one frame each."""
+    out = fr.lfcc(fr.transformed(clips(spark, sf_dir), "vec_id", "x", 64, 64), 64, 16000.0, 5, 8)
+    return out.select("vec_id", F.posexplode("lfcc").alias("coefficient", "value")).withColumn("value", F.round("value", 6))
 
 
 @query("SELECT event_type, sum(CAST(props->>'k' AS BIGINT)) AS total, count(props->>'k') AS n FROM events GROUP BY event_type")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumisonde.operators import metrics as m
 from lumisonde.plans.registry import query
-from lumisonde.plans.views import SCORES, scores
+from lumisonde.plans.views import REAL_SCORES, SCORES, real_scores, scores
 from lumisonde.session import table
 
 BY_SCORE = (
@@ -119,3 +119,31 @@ def score_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("event_id") % 7
     p = F.when(r == 0, float("nan")).when(r == 1, float("inf")).when(r == 2, float("-inf")).otherwise(F.col("value") / 100.0)
     return table(spark, sf_dir, "events").select("event_id", m.sanitize(p).alias("p"))
+
+
+# -- scores that are nearly all different --------------------------------------------------------
+
+REAL_BY_SCORE = BY_SCORE.format(g="source").replace(SCORES, REAL_SCORES)
+REAL_VERTICES = VERTICES.format(g="source").replace(SCORES, REAL_SCORES)
+
+
+@query(f"WITH {REAL_BY_SCORE}, t AS (SELECT *, tp / greatest(np, 1) AS r, tp / (tp + fp) AS q FROM b), s AS (SELECT *, (r - lag(r, 1, 0.0) OVER w) * (q + lag(q, 1, 1.0) OVER w) / 2 AS piece FROM t WINDOW w AS (PARTITION BY source ORDER BY p DESC)) SELECT source, round(sum(pos * (nn - fp) + 0.5 * pos * neg)::DOUBLE / (max(np) * max(nn)), 6) AS auc, round(sum(piece), 6) AS pr_auc, count(*) AS scores FROM s GROUP BY source")
+def areas_of_real_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = real_scores(spark, sf_dir)
+    out = m.roc_auc(s, ["source"]).join(m.pr_auc(s, ["source"]), "source").join(s.groupBy("source").agg(F.count_distinct("p").alias("scores")), "source")
+    return out.select("source", F.round("auc", 6).alias("auc"), F.round("pr_auc", 6).alias("pr_auc"), "scores")
+
+
+@query(f"WITH {REAL_VERTICES} SELECT source, ord::INTEGER AS ord, round(threshold, 9) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM v")
+def roc_of_real_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.roc_points(real_scores(spark, sf_dir), ["source"]).withColumns({c: F.round(c, n) for c, n in (("threshold", 9), ("fpr", 6), ("tpr", 6))})
+
+
+@query(f"WITH {REAL_VERTICES}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(abs(fpr - (1 - tpr)), 12), ord) AS k FROM v) SELECT source, round((fpr + 1 - tpr) / 2, 6) AS eer, round(threshold, 9) AS eer_threshold FROM r WHERE k = 1")
+def eer_of_real_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.eer(real_scores(spark, sf_dir), ["source"]).withColumns({"eer": F.round("eer", 6), "eer_threshold": F.round("eer_threshold", 9)})
+
+
+@query(f"WITH {REAL_BY_SCORE} SELECT source, round(least(min(({m.C1!r}::DOUBLE * fp / nn + {m.C2!r}::DOUBLE * (np - tp) / np) / {min(m.C1, m.C2)!r}::DOUBLE), {m.C2 / min(m.C1, m.C2)!r}::DOUBLE), 6) AS min_tdcf FROM b GROUP BY source")
+def tdcf_of_real_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.min_tdcf(real_scores(spark, sf_dir), ["source"]).withColumn("min_tdcf", F.round("min_tdcf", 6))

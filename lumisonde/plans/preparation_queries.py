@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisonde.functions import arrays as a
+from lumisonde.operators import audit, fusion, splits
 from lumisonde.operators import metrics as m
 from lumisonde.operators import preparation as prep
 from lumisonde.operators import tables as t
+from lumisonde.plans.fusion_queries import MODELS, models
 from lumisonde.plans.registry import query
 from lumisonde.plans.views import HISTORY, SCORES, history, scores
 from lumisonde.session import table
@@ -89,10 +91,20 @@ def minimum_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", seconds.alias("seconds"), F.when(seconds < 0.3, "shorter than 0.3 s").alias("error"))
 
 
-@query(f"WITH {SCORES} SELECT l.doc_id, l.toxic, s.p FROM labels l JOIN scores s ON s.id = l.doc_id WHERE s.p < 1")
+@query("WITH a AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents SEMI JOIN labels USING (doc_id) WHERE doc_id % 3 = 0), b AS (SELECT source, toxic, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents JOIN labels USING (doc_id) WHERE doc_id % 3 = 1) SELECT source, a.k AS place, n_chars, toxic FROM a JOIN b USING (source, k, n)")
 def scores_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scores(spark, sf_dir).select(F.col("id").alias("doc_id"), F.when(F.col("p") < 1, F.col("p")).otherwise(float("nan")).alias("p"))
-    return table(spark, sf_dir, "labels").select("doc_id", "toxic").join(s, "doc_id").where(~F.isnan("p"))
+    """Two sequences of a source put together by place; sources whose sequences differ in length go."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    labels = table(spark, sf_dir, "labels")
+    one = d.join(labels, "doc_id", "left_semi").where("doc_id % 3 = 0")
+    two = d.join(labels, "doc_id").where("doc_id % 3 = 1").select("source", "doc_id", "toxic")
+    return prep.zipped(one, two, ["source"], ["doc_id"]).select("source", "place", "n_chars", "toxic")
+
+
+@query("WITH a AS (SELECT source, count(*) AS left_rows FROM documents WHERE doc_id % 2 = 0 GROUP BY source), b AS (SELECT source, count(*) AS right_rows FROM documents JOIN labels USING (doc_id) WHERE doc_id % 3 > 0 GROUP BY source) SELECT source, coalesce(left_rows, 0) AS left_rows, coalesce(right_rows, 0) AS right_rows FROM a FULL JOIN b USING (source) WHERE left_rows IS DISTINCT FROM right_rows")
+def lengths_that_differ(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return prep.unequal(d.where("doc_id % 2 = 0"), d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").where("doc_id % 3 > 0"), ["source"])
 
 
 CODES = {"de": 3, "en": 1, "es": 4, "fr": 2}
@@ -143,19 +155,23 @@ def segment_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("segments"), F.round(F.sum("value"), 3).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_distinct("user_id").alias("sources"))
 
 
-@query("SELECT lang, round(avg((quality <> toxic)::INT), 6) AS mismatch, avg((quality <> toxic)::INT) > 0.01 AS warn FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+@query("WITH p AS (SELECT lang, quality, CASE WHEN n_chars % 3 = 0 THEN 0 WHEN n_chars % 3 = 1 THEN 1 END AS told FROM documents JOIN labels USING (doc_id)) SELECT lang, count(told) AS told, round(avg((quality <> told)::INT), 6) AS mismatch, avg((quality <> told)::INT) > 0.01 AS warn FROM p GROUP BY lang")
 def label_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
-    rate = F.avg((F.col("quality") != F.col("toxic")).cast("int"))
-    return j.groupBy("lang").agg(F.round(rate, 6).alias("mismatch"), (rate > 0.01).alias("warn"))
+    """Labels against what the folders of paths say; a path that says nothing does not count."""
+    folder = F.when(F.col("n_chars") % 3 == 0, "real").when(F.col("n_chars") % 3 == 1, "fake").otherwise("other")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat_ws("/", F.lit("/data"), folder, F.concat("doc_id", F.lit(".wav"))).alias("path"))
+    out = prep.label_mismatch(d.join(table(spark, sf_dir, "labels"), "doc_id"), ["lang"], "path", "quality")
+    return out.withColumn("mismatch", F.round("mismatch", 6))
 
 
-@query(f"WITH {HISTORY} SELECT model_name, count(*) AS total, count_if(is_fake) AS fakes, round(count_if(is_fake) / count(*), 6) AS ratio, round(avg(confidence) FILTER (is_fake), 6) AS fake_confidence, round(avg(confidence) FILTER (NOT is_fake), 6) AS real_confidence, count_if(confidence >= 0.6) AS sure FROM history GROUP BY model_name")
+@query(f"WITH {SCORES}, {MODELS}, c AS (SELECT id, model, (p > 0.5)::INT AS label, round(CASE WHEN p > 0.5 THEN p ELSE 1 - p END, 9) AS conf FROM m), g AS (SELECT id, count(DISTINCT label) AS k, arg_max(label, (conf, model)) AS label, avg(conf) AS mean, max(conf) AS best FROM c GROUP BY id), o AS (SELECT id, label, k = 1 AS agreed, CASE WHEN k = 1 THEN mean ELSE 0.8 * best END AS confidence FROM g) SELECT s.source, count(*) AS total, count_if(label = 1) AS fakes, round(count_if(label = 1) / count(*), 6) AS ratio, round(avg(agreed::INT), 6) AS agreement, round(avg(confidence) FILTER (label = 1), 5) AS fake_confidence, round(avg(confidence) FILTER (label = 0), 5) AS real_confidence, count_if(confidence >= 0.7) AS sure FROM o JOIN scores s USING (id) GROUP BY s.source")
 def consensus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("confidence")
-    return history(spark, sf_dir).groupBy("model_name").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if("is_fake").alias("fakes"), F.round(F.count_if("is_fake") / F.count(F.lit(1)), 6).alias("ratio"),
-        F.round(F.avg(F.when(F.col("is_fake"), c)), 6).alias("fake_confidence"), F.round(F.avg(F.when(~F.col("is_fake"), c)), 6).alias("real_confidence"), F.count_if(c >= 0.6).alias("sure"),
+    """Over the consensus of several models, by source."""
+    each = fusion.consensus(models(spark, sf_dir), "id").join(scores(spark, sf_dir).select("id", "source"), "id")
+    c, fake = F.col("confidence"), F.col("label") == 1
+    return each.groupBy("source").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(fake).alias("fakes"), F.round(F.count_if(fake) / F.count(F.lit(1)), 6).alias("ratio"), F.round(F.avg(F.col("agreed").cast("int")), 6).alias("agreement"),
+        F.round(F.avg(F.when(fake, c)), 5).alias("fake_confidence"), F.round(F.avg(F.when(~fake, c)), 5).alias("real_confidence"), F.count_if(c >= 0.7).alias("sure"),
     )
 
 
@@ -193,20 +209,57 @@ def scaler_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("train", "whole")})
 
 
-@query(f"WITH {SCORES}, g AS (SELECT source, max((y = 0)::INT) AS a, max((y = 1)::INT) AS b FROM scores GROUP BY source) SELECT CASE WHEN count(*) >= 3 AND sum(a) >= 2 AND sum(b) >= 2 THEN 'group_split' ELSE 'stratified' END AS by_source, 'holdout_speaker' AS by_speaker, 'stratified' AS by_label FROM g")
+@query(f"WITH {SCORES}, m AS (SELECT *, lower(source) = 'src1' AS own FROM scores), n AS (SELECT greatest(1, count_if(own)) AS n FROM m), r AS (SELECT id, y, own, CASE WHEN NOT own AND y = 0 THEN row_number() OVER (PARTITION BY NOT own AND y = 0 ORDER BY id) END AS rn FROM m), t AS (SELECT id, y, own OR coalesce(rn <= n, false) AS test FROM r, n), f AS (SELECT *, row_number() OVER (PARTITION BY test, y ORDER BY id) AS k FROM t) SELECT id, y, CASE WHEN test THEN 'test' WHEN (k - 1) % 6 = 0 THEN 'val' ELSE 'train' END AS split, 'holdout_speaker' AS mode FROM f")
 def split_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scores(spark, sf_dir)
-    found = (prep.split_strategy(s, "y", group="source"), prep.split_strategy(s, "y", group="source", speaker="source", hold_speaker="SRC1"), prep.split_strategy(s, "y", group="y"))
-    return spark.createDataFrame([found], "by_source string, by_speaker string, by_label string")
+    """A speaker held out goes before a generator held out and before groups."""
+    s = scores(spark, sf_dir).select("id", "y", "source", "lang")
+    return splits.by_mode(s, "y", ["id"], group="source", speaker="source", generator="lang", hold_speaker="SRC1", hold_generator="en").select("id", "y", "split", "mode")
+
+
+@query(f"WITH {SCORES}, r AS (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY id) AS rn, count(*) OVER (PARTITION BY y) AS n FROM scores) SELECT id, y, CASE WHEN rn <= floor(n * 0.15::DOUBLE) THEN 'test' WHEN rn <= floor(n * 0.15::DOUBLE) * 2 THEN 'val' ELSE 'train' END AS split, 'stratified' AS mode FROM r")
+def split_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two groups of one label each are too few to split by: rows are shared out by label."""
+    s = scores(spark, sf_dir).select("id", "y", F.concat(F.lit("g"), "y").alias("g"))
+    return splits.by_mode(s, "y", ["id"], group="g").select("id", "y", "split", "mode")
+
+
+@query()
+def grouped_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole sources on one side each, with labels in like shares."""
+    s = scores(spark, sf_dir).select("id", "y", "source")
+    return splits.by_mode(s, "y", ["id"], group="source").select("id", "y", "source", "split", "mode")
+
 
+@query()
+def shortcut_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the parity of an embedding's label shows in trivial features of it; groups of ten neighbours stay together."""
+    clips = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("y"), F.floor(F.col("vec_id") / 10).alias("g"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    rows = clips.select("y", "g", *[c.alias(n) for n, c in audit.features(F.col("x")).items()])
+    out = audit.shortcuts(rows, "y", "g")
+    return out.withColumns({c: F.round(c, 6) for c in ("accuracy", "drop")})
 
-@query("SELECT s::DOUBLE AS snr, count(*) AS n, true AS near FROM embeddings, (VALUES (30), (20), (10)) AS v(s) GROUP BY s")
+
+@query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda u: u::DOUBLE) AS x FROM embeddings), s AS (SELECT vec_id, list_sum(list_transform(x, lambda u: u * u)) / 64 AS e, list_sum(x) / 64 AS m, list_max(list_transform(x, lambda u: abs(u))) AS p, x FROM v) SELECT vec_id, round(sqrt(e), 6) AS rms, round(m, 6) AS offset, round(list_sum(list_transform(x, lambda u: abs(u))) / 64, 6) AS abs_mean, round(list_stddev_pop(x), 6) AS std, round(p, 6) AS largest, round(p / sqrt(e), 6) AS crest, round(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN (x[i] < 0) <> (x[i + 1] < 0) THEN 1 ELSE 0 END)) / 63, 6) AS zero_crossings, round(len(list_filter(x, lambda u: abs(u) < 1e-3)) / 64, 6) AS silent_share, round(len(list_filter(x, lambda u: abs(u) >= 0.99)) / 64, 6) AS clipped_share, round(e * 64, 6) AS energy, 64.0::DOUBLE AS length, round(list_sum(list_transform(range(1, 64), lambda i: abs(x[i + 1] - x[i]))) / 63, 6) AS first_difference FROM s")
+def shortcut_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[F.round(c, 6).alias(n) for n, c in audit.features(x).items()])
+
+
+@query("WITH e AS (SELECT vec_id, CASE WHEN vec_id % 10 < 7 THEN 'train' WHEN vec_id % 10 < 8 THEN 'val' ELSE 'test' END AS split FROM embeddings) SELECT vec_id, split AS origin, NULL::DOUBLE AS snr FROM e WHERE split <> 'test' UNION ALL SELECT vec_id, 'noisy', s::DOUBLE FROM e, (VALUES (30), (20), (10)) AS v(s) WHERE split <> 'test'")
+def fit_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training and validation rows, and a noisy copy of each for each ratio."""
+    k = F.col("vec_id") % 10
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.when(k < 7, "train").when(k < 8, "val").otherwise("test").alias("split"))
+    return prep.fit_set(e, "split", "vec_id", "x", [30, 20, 10]).select("vec_id", "origin", "snr")
+
+
+@query()
 def noisy_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratio that each copy has; the noise comes from a hash that SQL lacks, so tests hold its distribution."""
     clean = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    noisy = prep.with_noise(clean, "vec_id", "x", [30, 20, 10]).withColumnRenamed("x", "y").join(clean, "vec_id")
-    noise = a.energy(F.zip_with("y", "x", lambda p, q: p - q))
-    got = 10 * F.log10(F.sum(a.energy(F.col("x"))) / F.sum(noise))
-    return noisy.groupBy("snr").agg(F.count(F.lit(1)).alias("n"), (F.abs(got - F.col("snr")) < 1).alias("near"))
+    noisy = prep.with_noise(clean.withColumn("clean", F.col("x")), "vec_id", "x", [30, 20, 10])
+    noise = a.energy(F.zip_with("x", "clean", lambda p, q: p - q))
+    return noisy.select("vec_id", "snr", F.round(10 * F.log10(a.energy(F.col("clean")) / noise), 6).alias("measured"))
 
 
 EERS = f"""WITH {SCORES}, c AS (SELECT lang, p, count_if(y = 1) AS pos, count_if(y = 0) AS neg FROM scores GROUP BY ALL),
@@ -266,12 +319,14 @@ def appended_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(h.schema).parquet(path)
 
 
-@query("SELECT 0::BIGINT AS n")
+@query(f"WITH {HISTORY} SELECT id, filename, model_name FROM history WHERE model_name = 'purchase'")
 def all_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h, path = history(spark, sf_dir), _folder(spark)
+    """All rows go, then others come: only these are read."""
+    h, path = history(spark, sf_dir).select("id", "filename", "model_name"), _folder(spark)
     files.append(h, path)
     files.delete_all(spark, path)
-    return spark.read.schema(h.schema).parquet(path).agg(F.count(F.lit(1)).alias("n"))
+    files.append(h.where("model_name = 'purchase'"), path)
+    return spark.read.schema(h.schema).parquet(path)
 
 
 @query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, 'seeded'")

@@ -24,5 +24,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _part in ("metric_queries", "relational_queries", "split_queries", "fusion_queries", "array_queries", "stream_queries", "preparation_queries"):
+for _part in ("metric_queries", "relational_queries", "split_queries", "fusion_queries", "array_queries", "stream_queries", "preparation_queries", "voice_queries"):
     importlib.import_module(f"lumisonde.plans.{_part}")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumisonde.operators import splits as s
-from lumisonde.operators.ranks import percentiles, ranked
+from lumisonde.operators.ranks import ordered, percentiles, ranked
 from lumisonde.plans.registry import query
 from lumisonde.plans.relational_queries import KEY, key
 from lumisonde.plans.views import SCORES, scores
@@ -67,31 +67,32 @@ def minmax_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- ordered rows ---------------------------------------------------------------------------
 
 
-def _by_user():
-    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+TIME = ["ts", "event_id"]
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+
 
 @query("SELECT event_id, round(value - lag(value) OVER w, 6) AS diff, round(sum(value) OVER (w ROWS UNBOUNDED PRECEDING), 4) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def first_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = F.sum("value").over(_by_user().rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") - F.lag("value").over(_by_user()), 6).alias("diff"), F.round(total, 4).alias("total"))
+    e = ordered(_events(spark, sf_dir), ["user_id"], TIME, sums={"total": "value"}, before={"last": "value"})
+    return e.select("event_id", F.round(F.col("value") - F.col("last"), 6).alias("diff"), F.round("total", 4).alias("total"))
 
 
 @query("WITH m AS (SELECT user_id, value, avg(value) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m3, avg(value) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m5, row_number() OVER w AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, round(avg(abs(value - m3)) FILTER (rn > 1 AND rn < n) / avg(value), 6) AS rap, round(avg(abs(value - m5)) FILTER (rn > 2 AND rn < n - 1) / avg(value), 6) AS ppq FROM m GROUP BY user_id")
 def perturbation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, n = F.col("value"), F.count(F.lit(1)).over(Window.partitionBy("user_id"))
-    m = table(spark, sf_dir, "events").select("user_id", "value", F.avg(v).over(_by_user().rowsBetween(-1, 1)).alias("m3"), F.avg(v).over(_by_user().rowsBetween(-2, 2)).alias("m5"), F.row_number().over(_by_user()).alias("rn"), n.alias("n"))
-    rap = F.avg(F.when((F.col("rn") > 1) & (F.col("rn") < F.col("n")), F.abs(v - F.col("m3")))) / F.avg(v)
-    ppq = F.avg(F.when((F.col("rn") > 2) & (F.col("rn") < F.col("n") - 1), F.abs(v - F.col("m5")))) / F.avg(v)
-    return m.groupBy("user_id").agg(F.round(rap, 6).alias("rap"), F.round(ppq, 6).alias("ppq"))
+    m = ordered(_events(spark, sf_dir), ["user_id"], TIME, before={"a": "value"}, after={"b": "value"})
+    m = ordered(m, ["user_id"], TIME, before={"aa": "a"}, after={"bb": "b"})
+    v = F.col("value")
+    three, five = (F.col("a") + v + F.col("b")) / 3, (F.col("aa") + F.col("a") + v + F.col("b") + F.col("bb")) / 5  # null at the ends
+    return m.groupBy("user_id").agg(F.round(F.avg(F.abs(v - three)) / F.avg(v), 6).alias("rap"), F.round(F.avg(F.abs(v - five)) / F.avg(v), 6).alias("ppq"))
 
 
 @query("WITH f AS (SELECT *, value > 20 AS voiced FROM events), c AS (SELECT *, CASE WHEN voiced IS DISTINCT FROM lag(voiced) OVER w THEN 1 ELSE 0 END AS change FROM f WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), i AS (SELECT *, sum(change) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM c) SELECT user_id, island::BIGINT AS island, count(*) AS frames, min(ts) AS started, max(ts) AS ended FROM i WHERE voiced GROUP BY user_id, island HAVING count(*) >= 3")
 def gaps_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("voiced", F.col("value") > 20)
-    e = e.withColumn("change", (~F.col("voiced").eqNullSafe(F.lag("voiced").over(_by_user()))).cast("int"))
-    e = e.withColumn("island", F.sum("change").over(_by_user().rowsBetween(Window.unboundedPreceding, 0)))
+    e = ordered(_events(spark, sf_dir).withColumn("voiced", F.col("value") > 20), ["user_id"], TIME, before={"last": "voiced"})
+    e = ordered(e.withColumn("change", (~F.col("voiced").eqNullSafe(F.col("last"))).cast("int")), ["user_id"], TIME, sums={"island": "change"})
     return e.where("voiced").groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("frames"), F.min("ts").alias("started"), F.max("ts").alias("ended")).where("frames >= 3")
 
 
@@ -116,7 +117,8 @@ def next_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH g AS (SELECT user_id, round(avg(value), 3) AS score FROM events GROUP BY user_id) SELECT user_id, score, rank() OVER (ORDER BY score DESC)::INT AS rank FROM g ORDER BY rank, user_id LIMIT 5")
 def grid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg("value"), 3).alias("score"))
-    return g.withColumn("rank", F.rank().over(Window.orderBy(F.desc("score")))).orderBy("rank", "user_id").limit(5)
+    first = g.orderBy(F.desc("score"), "user_id").limit(5)  # a rank needs none of the rows below
+    return first.withColumn("rank", F.rank().over(Window.orderBy(F.desc("score"))))
 
 
 @query("SELECT event_type, " + ", ".join(f"round(quantile_cont(value, {q / 100}), 6) AS p{q}" for q in (10, 25, 75, 90, 95)) + " FROM events GROUP BY event_type")

@@ -20,6 +20,18 @@ SCORES = """scores AS (SELECT d.doc_id AS id, l.quality AS y, least(1.0::DOUBLE,
   FROM documents d JOIN labels l USING (doc_id))"""
 
 
+def real_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, y, p, source): a score for each line item, nearly all of them different numbers."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus")
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    p = (F.col("l_extendedprice") / 200000.0) * 0.9 + ((key * 7919) % 1000003) / 20000060.0
+    return items.select(key.alias("id"), (F.col("l_returnflag") == "R").cast("int").alias("y"), p.alias("p"), F.col("l_linestatus").alias("source"))
+
+
+REAL_SCORES = """scores AS (SELECT l_orderkey * 8 + l_linenumber AS id, (l_returnflag = 'R')::INT AS y,
+  (l_extendedprice / 200000.0::DOUBLE) * 0.9::DOUBLE + ((l_orderkey * 8 + l_linenumber) * 7919 % 1000003) / 20000060.0::DOUBLE AS p, l_linestatus AS source FROM lineitem)"""
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, filename, is_fake, confidence, model_name, created_at): a log of analyses, from events."""
     e = table(spark, sf_dir, "events")

@@ -11,7 +11,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumisonde.functions import arrays as a
-from lumisonde.functions import spectra
 from lumisonde.operators import splits, tables
 from lumisonde.sources import files
 from lumisonde.streaming import detector
@@ -43,16 +42,6 @@ def test_shapes(spark):
     assert one(spark, [float("nan"), 1.0, float("inf")], a.clean(F.col("x"))) == [0.0, 1.0, 0.0]
 
 
-def test_spectrum_of_a_tone():
-    t = np.arange(512) / 16000
-    s = spectra.spectral(np.sin(2 * np.pi * 2000 * t), 16000)
-    assert abs(s["centroid"] - 2000) < 60 and s["flatness"] < 0.05
-    assert abs(spectra.lpc(np.cos(0.3 * np.arange(4000)), 2) - [2 * np.cos(0.3), -1]).max() < 0.02  # the estimate leans towards 0 by about 40 / 4000
-    rng = np.random.default_rng(0)
-    assert 0.3 < spectra.dfa(rng.normal(size=2000)) < 0.7 and spectra.higuchi(rng.normal(size=2000)) > 1.8
-    assert spectra.dct(np.ones(8), 3) == pytest.approx([math.sqrt(8), 0, 0], abs=1e-9)
-
-
 def test_stream_steps():
     state, out = None, []
     for k in range(0, 40, 4):
