@@ -117,6 +117,7 @@ def paths(tree: list[DataFrame], above: DataFrame | None = None) -> DataFrame:
             found = roots
             continue
         inner = nodes.where("n > 1").select("tree", "at", F.shiftright("at", RUN_BITS).alias("up")).join(siblings(nodes), ["tree", "at"], "left")
+        found = written(found, "paths")  # of a sixteenth of the nodes
         inner = inner.join(found.select("tree", F.col("at").alias("up"), "path"), ["tree", "up"])
         found = inner.select("tree", "at", F.concat(F.array(F.coalesce("step", alone)), "path").alias("path")).unionByName(roots)
     return found
