@@ -4,7 +4,8 @@
 at the host. Under a node a literal child stays if it has enough of the node's urls;
 all rarer ones become one wildcard child. Levels are built one after another over the
 distinct paths and their counts, each by one grouping with partial sums, until no node that
-goes on has enough urls for a literal child; what is left of its paths is one wildcard.
+goes on has enough urls for a literal child; what is left of its paths is one wildcard. A
+stretch without branches is one step, so the number of steps is that of branchings on the way down, not of segments.
 *Merging.* The children of a node, in the order of their labelled rate, join the branch
 before them as long as they do not differ from the whole of it by a two-proportion test.
 *Purity.* A branch's rate of bad labels is smoothed towards its host's, and that towards
@@ -69,14 +70,25 @@ def segments(path_: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(path_, "[0-9]+", "<n>"), "/"), lambda s: s != "")
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """How many leading elements two arrays share."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"))
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    return F.aggregate(same, start, lambda s, e: F.struct((s["n"] + (s["open"] & e).cast("int")).alias("n"), (s["open"] & e).alias("open")), lambda s: s["n"])
+
+
 def templates(urls: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """urls (host, path, y) to (host, segs, parent, template, n, labelled, bad) per distinct list of segments."""
+    """urls (host, path, y) to (host, segs, parent, template, n, labelled, bad) per distinct list of segments.
+
+    A round takes each node one level down; where all that go on from a node share their next segments, it goes down all of these at once.
+    """
     nodes = urls.select("host", segments(F.col("path")).alias("segs"), "y").groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.count("y").alias("labelled"), F.coalesce(F.sum("y"), F.lit(0)).alias("bad"))
-    nodes = nodes.select("*", F.lit("").alias("parent"), F.lit("").alias("template"), F.lit(False).alias("done"))
-    level = 0
+    nodes = nodes.select("*", F.lit("").alias("parent"), F.lit("").alias("template"), F.lit(False).alias("done"), F.lit(0).alias("level"))
     while True:
-        at = nodes.withColumn("seg", F.when(~F.col("done"), F.get("segs", F.lit(level))))
-        totals = at.groupBy("host", "template").agg(F.sum("n").alias("t"))
+        at = nodes.withColumn("seg", F.when(~F.col("done"), F.get("segs", F.col("level"))))
+        rest = F.when(F.col("seg").isNotNull(), F.slice("segs", F.col("level") + 1, F.size("segs")))
+        goes = F.coalesce(F.sum(F.when(F.col("seg").isNotNull(), F.col("n"))), F.lit(0))
+        totals = at.groupBy("host", "template").agg(F.sum("n").alias("t"), goes.alias("goes"), _shared(F.min(rest), F.max(rest)).alias("shared"))  # the first and last in order share what all do
         at = written(at.join(totals, ["host", "template"]), "level")
         if at.where((F.col("t") >= least) & F.col("seg").isNotNull()).isEmpty():
             more = F.col("seg").isNotNull()
@@ -85,10 +97,12 @@ def templates(urls: DataFrame, least: int = LEAST, share: float = SHARE) -> Data
         children = at.where(more & large).groupBy("host", "template", "seg").agg(F.sum("n").alias("c"), F.max("t").alias("t"))
         kept = children.where((F.col("c") >= least) & (F.col("c") >= share * F.col("t"))).select("host", "template", "seg", F.lit(True).alias("kept"))
         at = at.join(kept, ["host", "template", "seg"], "left")
-        step = F.concat("template", F.lit("/"), F.when(F.col("kept"), F.col("seg")).when(large, F.lit("*")).otherwise(F.lit("**")))
-        parent, template = F.when(more, F.col("template")).otherwise(F.col("parent")), F.when(more, step).otherwise(F.col("template"))
-        nodes = at.select("host", "segs", "n", "labelled", "bad", parent.alias("parent"), template.alias("template"), (F.col("done") | (more & ~large)).alias("done"))
-        level += 1
+        down = F.when(more & F.coalesce("kept", F.lit(False)), F.greatest(F.lit(1), F.coalesce("shared", F.lit(0)))).otherwise(F.lit(1))
+        literal = lambda k: F.concat(F.lit("/"), F.array_join(F.slice("segs", F.col("level") + 1, k), "/"))
+        step = F.concat("template", F.when(F.col("kept"), literal(down)).when(large, F.lit("/*")).otherwise(F.lit("/**")))
+        above = F.when(down > 1, F.concat("template", literal(down - 1))).otherwise(F.col("template"))
+        parent, template = F.when(more, above).otherwise(F.col("parent")), F.when(more, step).otherwise(F.col("template"))
+        nodes = at.select("host", "segs", "n", "labelled", "bad", parent.alias("parent"), template.alias("template"), (F.col("done") | (more & ~large)).alias("done"), F.when(more, F.col("level") + down).otherwise(F.col("level")).alias("level"))
 
 
 def _rate(bad: Column, labelled: Column) -> Column:

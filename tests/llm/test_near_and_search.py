@@ -351,3 +351,18 @@ def test_anchors_cover():
         for b in range(64):
             assert any(a not in x and b not in x for x in map(set, anchors))
     assert len(simhash_trie.sampled_anchors(256, 16, 40)) == 40 and SF
+
+
+def test_very_deep_urls_with_copies(spark):
+    """Five copies each of paths of a thousand segments: a few steps, and the templates of a tree built segment by segment."""
+    import time
+
+    from lumisonde.llm import url_templates
+
+    name = lambda k: "".join(chr(97 + k // b % 26) for b in (676, 26, 1))  # noqa: E731  without digits
+    deep = ["/" + "/".join(name(k) + ("x" if k == turn else "") for k in range(1000)) for turn in (-1, 500, 990)]
+    rows = [(i, f"http://h.example{p}") for i, p in enumerate(deep * 5)] + [(100, "http://h.example/aaa"), (101, "http://h.example/aaa/aab")]
+    started = time.time()
+    got = {r.page_id: r for r in url_templates.judge(spark.createDataFrame(rows, "page_id long, url string"), []).collect()}
+    assert time.time() - started < 120 and len(got) == len(rows)
+    assert all(got[i].template == deep[i % 3] for i in range(15)) and got[100].template == "/aaa" and got[101].template == "/aaa/aab"
