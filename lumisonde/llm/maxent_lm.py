@@ -5,9 +5,10 @@ that of its class given the two words before it, times that of the word within t
 given the word before it. The most frequent words (``HOT``) are outcomes of their own;
 the others of a class share one outcome, within which they keep their smoothed share of the counts.
 *Class factor.* A softmax over the classes and the end, whose hashed features are the word
-before, the word before that (a skip feature), and both together. Tasks follow the gradient
-over their own texts in numpy batches, starting from the same weights; the changes are
-averaged, each feature's by how often the task has seen it.
+before, the word before that (a skip feature), and both together. Texts are dealt into shards
+by a hash of each, and ordered by it; a shard follows the gradient over its texts in numpy batches, all
+starting from the same weights; the changes are averaged, each feature's by how often the shard has seen it. Shards and their order
+depend on the texts alone, so files, partitions and cluster do not change a score.
 *Word factor.* A feature for each pair of a word and the outcome after it that the
 training texts have; their number grows with the corpus. Pairs are keyed by a hash of the word
 before and the class (32 bits), and the outcome. Pairs of one key make one softmax, so
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumisonde.llm.common import most_frequent, packed, unpacked, words, written
+from lumisonde.llm.common import cleaned, most_frequent, packed, unpacked, words, written
 
 CLASSES = 32
 #: The class of the start and the end of a text.
@@ -55,6 +56,8 @@ START, CURVE = 4.0, 0.5
 HELD_WORDS, BATCH_WORDS, STEP_WORDS = 250_000, 1_000_000, 50_000
 #: Training tokens whose pairs make one part.
 PART_TOKENS = 2_000_000
+#: Training tokens of a shard, on average.
+SHARD_TOKENS = 2_000_000
 EDGE_HASH, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 ROWS = "part int, kind int, chunk long, keys binary, more binary"
 #: What a row of ROWS holds: counts of pairs, counts of words, keys of pairs or words that texts ask for, the texts.
@@ -223,9 +226,11 @@ def follow(w: np.ndarray, seen: np.ndarray, b: Batch) -> None:
             w[rows] -= np.add.reduceat(d.take(order, axis=0), at, axis=0) / (CURVE * seen[rows] + START)[:, None]
 
 
-def train_classes(docs: DataFrame, ws: list[bytes], most: int, start: np.ndarray, rounds: int, groups: int) -> np.ndarray:
-    """Class weights after rounds over all texts; the tasks' changes are added up in so many groups."""
-    sc = docs.sparkSession.sparkContext
+def train_classes(docs: DataFrame, ws: list[bytes], most: int, start: np.ndarray, rounds: int, groups: int, shards: int) -> np.ndarray:
+    """Class weights after rounds over all texts, dealt into shards; the shards' changes are added up in so many groups."""
+    spark = docs.sparkSession
+    sc = spark.sparkContext
+    dealt_ = docs.withColumn("h", F.xxhash64("doc_id", "text")).repartition(shards, "h").sortWithinPartitions("h").select("doc_id", "text")
     w = np.zeros((1 + 2 * (CONTEXTS + OUT) + PAIRS, OUT), np.float32)
     w[0] = np.log(start + 0.5)
     seen = np.zeros(len(w), np.float32)
@@ -238,12 +243,12 @@ def train_classes(docs: DataFrame, ws: list[bytes], most: int, start: np.ndarray
             for _, b in batched(batches, Held(ws, most)):
                 follow(own, seen, b)
             n = seen - before
-            i = TaskContext.get().partitionId() % groups
+            shard = TaskContext.get().partitionId()
             rows = np.flatnonzero(n).astype(np.int32)
             if len(rows):
                 d = ((own - w) * n[:, None])[rows]
-                cols = [pa.array([i]), pa.array([packed(rows)]), pa.array([packed(n[rows])]), pa.array([packed(d.ravel())])]
-                yield pa.RecordBatch.from_arrays(cols, names=["i", "rows", "n", "d"])
+                cols = [pa.array([shard % groups]), pa.array([shard]), pa.array([packed(rows)]), pa.array([packed(n[rows])]), pa.array([packed(d.ravel())])]
+                yield pa.RecordBatch.from_arrays(cols, names=["i", "shard", "rows", "n", "d"])
 
         def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, d, tasks = np.zeros(len(seen), np.float32), np.zeros(w.shape, np.float32), 0
@@ -256,8 +261,9 @@ def train_classes(docs: DataFrame, ws: list[bytes], most: int, start: np.ndarray
             if tasks:
                 yield pa.RecordBatch.from_arrays([pa.array([tasks]), pa.array([n.tobytes()]), pa.array([d.tobytes()])], names=["tasks", "n", "d"])
 
-        moved = docs.mapInArrow(run, "i long, rows binary, n binary, d binary").repartition(groups, "i")
-        sums = moved.mapInArrow(together, "tasks long, n binary, d binary").collect()  # at most groups rows, each of the model's size
+        moved = dealt_.mapInArrow(run, "i long, shard long, rows binary, n binary, d binary").repartition(groups, "i").sortWithinPartitions("i", "shard")
+        with cleaned(spark):
+            sums = moved.mapInArrow(together, "tasks long, n binary, d binary").collect()  # at most groups rows, each of the model's size
         n = sum((np.frombuffer(r["n"], np.float32) for r in sums), np.zeros(len(w), np.float32))
         d = sum((np.frombuffer(r["d"], np.float32).reshape(w.shape) for r in sums), np.zeros_like(w))
         w, seen = w + d / np.maximum(n, 1)[:, None], seen + n / max(1, sum(r["tasks"] for r in sums))
@@ -320,7 +326,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, most: int = HOT) -> Model:
     share[: len(ws)], share[most:] = counts / total[cls], rest / total
     tokens = int(start.sum())
     parts = 1 + tokens // PART_TOKENS
-    weights = train_classes(slim, ws, most, start, rounds, 1 + math.isqrt(parts))
+    weights = train_classes(slim, ws, most, start, rounds, 1 + math.isqrt(parts), 1 + tokens // SHARD_TOKENS)
     sent = sc.broadcast(ws)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

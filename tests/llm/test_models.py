@@ -226,3 +226,18 @@ def test_viterbi_is_the_best_path(spark):
 
 def test_sf_is_there():
     assert SF
+
+
+def test_scores_do_not_depend_on_files(spark, docs, tmp_path, monkeypatch):
+    """One, four and sixteen files of the same rows, several shards."""
+    monkeypatch.setattr(maxent_lm, "SHARD_TOKENS", 20_000)
+    rows = docs.select("doc_id", "text")
+    found = []
+    for k in (1, 4, 16):
+        rows.repartition(k).write.parquet(str(tmp_path / str(k)))
+        frame = spark.read.option("openCostInBytes", "1").parquet(str(tmp_path / str(k)))
+        got = maxent_lm.score(frame, maxent_lm.fit(frame.where(~maxent_lm.held_out()))).collect()
+        found.append({r.doc_id: (r.base_score, r.score) for r in got})
+    assert found[0].keys() == found[1].keys() == found[2].keys()
+    for other in found[1:]:
+        assert all(abs(a - b) <= 1e-6 * abs(a) for i in other for a, b in zip(found[0][i], other[i]))
