@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisonde.functions import frames as fr
-from lumisonde.functions import prediction, voice, wavelets
-from lumisonde.operators import intervals, neighbours, peaks, scaling
-from lumisonde.plans.array_queries import V, clips
+from lumisonde.functions import perceptual, prediction, voice, wavelets
+from lumisonde.operators import intervals, neighbours, peaks, scaling, speech
+from lumisonde.plans.array_queries import DFT64, V, clips
 from lumisonde.plans.registry import query
 from lumisonde.session import shipped, table
 
@@ -228,3 +228,77 @@ def wavelet_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares and entropies of four levels under the filter of eight taps."""
     p = wavelets.pyramid(clips(spark, sf_dir), "x", 4)
     return p.select("vec_id", *[F.round(c, 6).alias(n) for n, c in wavelets.energies(p, 4).items()])
+
+
+# -- perceptual measures: clips as one frame of 64 samples ---------------------------------------
+
+
+def _spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fr.transformed(clips(spark, sf_dir), "vec_id", "x", 64, 64)
+
+
+def _scale(name: str, z: str, count: int) -> str:
+    return f"""{name} AS (SELECT vec_id, least(floor({z.format(f='b * 250')} / {z.format(f='8000')} * {count}), {count - 1}) AS k, sum(m * m) AS e FROM d GROUP BY ALL),
+ {name}p AS (SELECT vec_id, k, e / (sum(e) OVER (PARTITION BY vec_id) + 1e-10) AS p FROM {name}), {name}c AS (SELECT vec_id, sum(k * p) AS c FROM {name}p GROUP BY vec_id),
+ {name}m AS (SELECT vec_id, max(c) AS centroid, sqrt(sum(p * (k - c) ** 2)) AS spread, -sum(p * log2(p + 1e-10)) AS entropy FROM {name}p JOIN {name}c USING (vec_id) GROUP BY vec_id)"""
+
+
+BARK, ERB = "(13 * atan(0.00076::DOUBLE * {f}) + 3.5::DOUBLE * atan(({f} / 7500.0::DOUBLE) ** 2))", "(21.4::DOUBLE * log10(1 + 0.00437::DOUBLE * {f}))"
+
+
+@query(f"WITH {DFT64}, {_scale('bark', BARK, 24)}, {_scale('erb', ERB, 40)} SELECT vec_id, " + ", ".join(f"round({n}m.{c}, 5) AS {n}_{c}" for n in ("bark", "erb") for c in ("centroid", "spread", "entropy")) + " FROM barkm JOIN erbm USING (vec_id)")
+@shipped
+def auditory_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = perceptual.band_measures(perceptual.band_measures(_spectra(spark, sf_dir), 64, 16000.0), 64, 16000.0, "erb", 40)
+    return _round(out.drop("frame", "m"), "vec_id", places=5)
+
+
+@query(f"""WITH {DFT64}, z AS (SELECT vec_id, b, m, m * m AS p, {BARK.format(f='b * 250')} AS z FROM d), l AS (SELECT vec_id, avg((p / (mx * mx)) ** 0.3::DOUBLE) AS loudness, 0.11::DOUBLE * sum(p * z * CASE WHEN z > 15.8::DOUBLE THEN 0.066::DOUBLE * exp(0.171::DOUBLE * z) ELSE 1 END) / sum(p) AS sharpness,
+ regr_slope(20 * log10(m + 1e-10), b * 250.0::DOUBLE) FILTER (b * 250 BETWEEN 100 AND 8000) AS tilt, sum(p) FILTER (b * 250 <= 500) / (sum(p) + 1e-10) AS low, sum(p) FILTER (b * 250 BETWEEN 500 AND 1000) / (sum(p) + 1e-10) AS mid, sum(p) FILTER (b * 250 > 4000) / (sum(p) + 1e-10) AS high FROM z JOIN t USING (vec_id) GROUP BY vec_id),
+ r AS (SELECT x.vec_id, sum(x.m * y.m * exp(-(y.b - x.b) * 2.5::DOUBLE)) AS roughness FROM d x JOIN d y ON y.vec_id = x.vec_id AND y.b > x.b AND y.b <= x.b + 4 GROUP BY x.vec_id)
+ SELECT vec_id, round(loudness, 6) AS loudness, round(sharpness, 6) AS sharpness, round(tilt, 8) AS tilt, round(low, 6) AS low, round(mid, 6) AS mid, round(high, 6) AS high, round(roughness, 6) AS roughness FROM l JOIN r USING (vec_id)""")
+@shipped
+def loudness_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, out = F.col("m"), perceptual.loudness(_spectra(spark, sf_dir), 64, 16000.0)
+    share = perceptual.subbands(m, 64, 16000.0)
+    made = {"loudness": F.col("loudness"), "sharpness": F.col("sharpness"), "low": share["band_0_500"], "mid": share["band_500_1000"], "high": share["high_share"], "roughness": perceptual.roughness(m, 64, 16000.0)}
+    return out.select("vec_id", F.round(perceptual.tilt(m, 64, 16000.0), 8).alias("tilt"), *[F.round(c, 6).alias(n) for n, c in made.items()])
+
+
+@query(f"""WITH {DFT64}, n AS (SELECT vec_id, b, m, lag(m) OVER w AS u, lead(m) OVER w AS v, max(m) OVER (PARTITION BY vec_id) AS top, sum(m * m) OVER (PARTITION BY vec_id) AS e FROM d WINDOW w AS (PARTITION BY vec_id ORDER BY b)), k AS (SELECT vec_id, b, m, e, arg_min(b, (-m, b)) OVER (PARTITION BY vec_id) AS f FROM n WHERE m > u AND m > v AND m >= 0.1::DOUBLE * top),
+ h AS (SELECT vec_id, sum(m * abs(b / f - greatest(floor(b / f + 0.5), 1))) / sum(m) AS inharmonicity, sum(m * m) / (max(e) + 1e-10) AS tonality FROM k GROUP BY vec_id),
+ c AS (SELECT vec_id, (round(12 * log2(b * 250 / 440.0::DOUBLE))::INT + 9 + 120) % 12 AS c, sum(m * m) AS e FROM d WHERE b > 0 GROUP BY ALL), q AS (SELECT vec_id, max(e) FILTER (c = 11) / max(e) AS class_b, max(e) FILTER (c = 9) / max(e) AS class_a FROM c GROUP BY vec_id)
+ SELECT vec_id, round(inharmonicity, 6) AS inharmonicity, round(tonality, 6) AS tonality, round(coalesce(class_b, 0), 6) AS class_b, round(coalesce(class_a, 0), 6) AS class_a FROM q JOIN h USING (vec_id)""")
+@shipped
+def harmonicity_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = perceptual.chroma(perceptual.harmonicity(_spectra(spark, sf_dir), 64, 16000.0), 64, 16000.0)
+    at = lambda k, n: F.round(F.get("chroma", F.lit(k)), 6).alias(n)
+    return out.select("vec_id", F.round("inharmonicity", 6).alias("inharmonicity"), F.round("tonality", 6).alias("tonality"), at(11, "class_b"), at(9, "class_a"))
+
+
+# -- speech: frames of 8 samples, every 4, at 100 samples a second --------------------------------
+
+SPEECH = f"""{V}, e AS (SELECT vec_id, f, x[f * 4 + 1:f * 4 + 8] AS w FROM v, range(15) t(f)), h AS (SELECT vec_id, f, w, list_transform(range(8), lambda i: w[i + 1] * (0.5 - 0.5 * cos(2 * pi() * i / 7))) AS g FROM e),
+ r AS (SELECT vec_id, f, list_sum(list_transform(w, lambda u: u * u)) AS e, list_transform(range(8), lambda k: list_sum(list_transform(range(8 - k), lambda i: g[i + 1] * g[i + 1 + k]))) AS r FROM h),
+ j AS (SELECT vec_id, f, e / 8 > 0.01::DOUBLE AS s, r[1] > 0.001::DOUBLE AND list_max(r[2:]) > 0.3::DOUBLE * r[1] AS v FROM r),
+ y AS (SELECT DISTINCT vec_id, unnest(range(f * 4, CASE WHEN f = 14 THEN 64 ELSE f * 4 + 4 END)) AS p FROM j WHERE s), u AS (SELECT DISTINCT vec_id, unnest(range(f * 4, f * 4 + 4)) AS p FROM j WHERE v)"""
+
+
+@query(f"""WITH {SPEECH}, a AS (SELECT vec_id, unnest(range(64)) AS p FROM v), z AS (SELECT 'speech' AS kind, * FROM y UNION ALL SELECT 'vowel', * FROM u UNION ALL SELECT 'pause', * FROM (SELECT * FROM a EXCEPT SELECT * FROM y) UNION ALL SELECT 'consonant', * FROM (SELECT * FROM y EXCEPT SELECT * FROM u)),
+ i AS (SELECT kind, vec_id, p, p - row_number() OVER (PARTITION BY kind, vec_id ORDER BY p) AS k FROM z) SELECT kind, vec_id, min(p) AS start, max(p) + 1 AS "end" FROM i GROUP BY kind, vec_id, k""")
+@shipped
+def speech_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = clips(spark, sf_dir)
+    out = None
+    for kind, of in (("speech", speech.speech), ("pause", speech.pauses), ("vowel", speech.vowels), ("consonant", speech.consonants)):
+        found = of(c, "vec_id", "x", 8, 4).select(F.lit(kind).alias("kind"), "vec_id", "start", "end")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query()
+@shipped
+def speech_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = clips(spark, sf_dir)
+    beats = speech.rhythm(c, "vec_id", "x", 8, 4, 100.0)
+    return _round(speech.summary(c, "vec_id", "x", 8, 4, 100.0).join(beats, "vec_id", "left"), "vec_id")

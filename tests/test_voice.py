@@ -210,3 +210,51 @@ def test_neighbours_across_ranges(spark):
         assert {(r.id, r.k, r.s, r.b, r.a) for r in got.collect()} == want
     clash = rows.withColumns({"range_": F.lit(1), "own_": F.lit(2), "info_": F.lit(3)})
     assert ordered(clash, ["g"], ["v"], number="k").columns == [*clash.columns, "k"]
+
+
+def test_speech_of_bursts(spark):
+    """Three bursts of a tone, and one of noise, between silences."""
+    from lumisonde.operators import speech
+
+    rate, rng = 8000, np.random.default_rng(3)
+    x = np.zeros(3 * rate)
+    for start, end in ((0.2, 0.5), (1.0, 1.3), (1.8, 2.5)):
+        i = np.arange(int(start * rate), int(end * rate))
+        x[i] = 0.5 * np.sin(2 * np.pi * 150 * i / rate)
+    i = np.arange(int(2.5 * rate), int(2.8 * rate))
+    x[i] = rng.normal(0, 0.3, len(i))
+    c = clips(spark, x, np.zeros(2000))
+    size, hop = 400, 160
+    near = lambda spans, want: len(spans) == len(want) and all(abs(s - a * rate) <= size and abs(e - b * rate) <= size for (s, e), (a, b) in zip(spans, want))
+    of = lambda f, k: sorted((r.start, r.end) for r in f(c, "id", "x", size, hop).collect() if r.id == k)
+    assert near(of(speech.speech, 0), [(0.2, 0.5), (1.0, 1.3), (1.8, 2.8)]) and of(speech.speech, 1) == []
+    assert near(of(speech.pauses, 0), [(0, 0.2), (0.5, 1.0), (1.3, 1.8), (2.8, 3.0)]) and of(speech.pauses, 1) == [(0, 2000)]
+    assert near(of(speech.vowels, 0), [(0.2, 0.5), (1.0, 1.3), (1.8, 2.5)])
+    assert near([s for s in of(speech.consonants, 0) if s[1] - s[0] > size], [(2.5, 2.8)])
+    s = {r.id: r for r in speech.summary(c, "id", "x", size, hop, rate).collect()}
+    assert s[0].speech_count == 3 and s[0].breathing >= 2 and s[0].continuous == 1 and s[1].speech_count == 0 and s[1].syllables == 1 and s[1].pause_ratio == 1
+
+
+def test_smoothing_keeps_polynomials(spark):
+    from lumisonde.operators import speech
+
+    t = np.arange(40.0)
+    cubic = (t**3 / 50 - t**2 + 3).tolist()
+    rows = spark.createDataFrame([(0, cubic), (1, [1.0, 5.0]), (2, [1.0, 2.0, 4.0, 8.0])], "id int, x array<double>")
+    got = {r.id: r.s for r in rows.select("id", speech.smoothed(F.col("x")).alias("s")).collect()}
+    assert np.allclose(got[0], cubic) and got[1] == [1.0, 5.0] and len(got[2]) == 4
+    noisy = np.sin(t / 6) + np.random.default_rng(0).normal(0, 0.3, 40)
+    out = spark.createDataFrame([(noisy.tolist(),)], "x array<double>").select(speech.smoothed(F.col("x")).alias("s")).first().s
+    for i in range(10, 30):
+        assert out[i] == pytest.approx(np.polyval(np.polyfit(np.arange(-10, 11), noisy[i - 10 : i + 11], 3), 0))
+    assert out[2] == pytest.approx(np.polyval(np.polyfit(np.arange(21), noisy[:21], 3), 2))
+
+
+def test_pitch_classes_and_harmonics(spark):
+    from lumisonde.functions import perceptual
+
+    t = np.arange(4096) / RATE
+    c = clips(spark, np.sin(2 * np.pi * 880 * t), sum(np.sin(2 * np.pi * 200 * k * t) / k for k in range(1, 6)), np.sin(2 * np.pi * 700 * t) + 0.5 * np.sin(2 * np.pi * 1050 * t))
+    m = fr.transformed(c, "id", "x", 4096, 4096)
+    got = {r.id: r for r in perceptual.chroma(perceptual.harmonicity(m, 4096, RATE), 4096, RATE).collect()}
+    assert np.argmax(got[0].chroma) == 9 and got[1].inharmonicity < 0.02 and got[2].inharmonicity > 0.1 and got[0].tonality > 0.3
