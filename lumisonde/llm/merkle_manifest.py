@@ -77,7 +77,7 @@ def leaves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def levels(nodes: DataFrame) -> list[DataFrame]:
-    """Tables (tree, at, n, digest) of every level, from nodes up; a tree is in the levels up to the one where it has one node."""
+    """Tables (tree, at, n, digest) of every level, from nodes up, which may have more columns; a tree is in the levels up to the one where it has one node."""
     most = nodes.agg(F.max("n")).first()[0] or 0
     out = [nodes]
     while most > 1:
@@ -96,58 +96,61 @@ def coordinates() -> Column:
 
 
 def siblings(nodes: DataFrame) -> DataFrame:
-    """(tree, at, step): for each node that is not alone in its run, the digests left and right of it there."""
-    asked = nodes.where("n > 1").select("tree", "at", F.explode(coordinates()).alias("other"))
-    found = asked.join(nodes.select("tree", F.col("at").alias("other"), "digest"), ["tree", "other"])
-    run = found.groupBy("tree", "at").agg(F.sort_array(F.collect_list(F.struct("other", "digest"))).alias("run"))
-    part = lambda keep: joined(F.transform(F.filter("run", keep), lambda x: x["digest"]))
+    """(tree, up, at, own, step): nodes whose level has more than theirs, with all their columns as own, the place of their parent, and the digests left and right of them in their run.
+
+    Coordinates meet the nodes in one join; what they found and the nodes' own rows are then grouped where the runs are, so that parents can be joined there.
+    """
+    up = F.shiftright("at", RUN_BITS).alias("up")
+    inner = nodes.where("n > 1")
+    found = inner.select("tree", up, "at", F.explode(coordinates()).alias("other")).join(nodes.select("tree", F.col("at").alias("other"), "digest"), ["tree", "other"])
+    own = F.struct(*nodes.columns)
+    kind = nodes.select(own.alias("own")).schema["own"].dataType
+    rows = found.select("tree", "up", "at", F.struct("other", "digest").alias("s"), F.lit(None).cast(kind).alias("own"))
+    none = "struct<other: bigint, digest: binary>"
+    rows = rows.unionByName(inner.select("tree", up, "at", F.lit(None).cast(none).alias("s"), own.alias("own"))).repartition("tree", "up")
+    run = rows.groupBy("tree", "up", "at").agg(F.first("own", ignorenulls=True).alias("own"), F.sort_array(F.collect_list("s")).alias("run"))
+    part = lambda keep: F.aggregate(F.filter("run", keep), F.lit(b""), lambda x, y: F.concat(x, y["digest"]))
     step = F.struct(part(lambda x: x["other"] < F.col("at")).alias("left"), part(lambda x: x["other"] > F.col("at")).alias("right"))
-    return run.select("tree", "at", step.alias("step"))
+    return run.select("tree", "up", "at", "own", step.alias("step"))
 
 
 def paths(tree: list[DataFrame], above: DataFrame | None = None) -> DataFrame:
-    """(tree, at, path): for each node of the lowest level its steps to the root. above: (tree, path) from each tree's root on."""
-    alone = F.struct(F.lit("").alias("left"), F.lit("").alias("right"))
-    none = F.expr("cast(array() as array<struct<left: string, right: string>>)")
+    """The nodes of the lowest level with path, their steps to the root, and subroot. above: (tree, path, subroot) of what each tree's root has; by default it has no step and is none."""
+    none = F.expr("cast(array() as array<struct<left: binary, right: binary>>)")
     found = None
-    for nodes in reversed(tree):
-        roots = nodes.where("n = 1").select("tree", "at")
-        roots = roots.join(above, "tree") if above is not None else roots.select("tree", "at", none.alias("path"))
-        if found is None:
-            found = roots
-            continue
-        inner = nodes.where("n > 1").select("tree", "at", F.shiftright("at", RUN_BITS).alias("up")).join(siblings(nodes), ["tree", "at"], "left")
-        found = written(found, "paths")  # of a sixteenth of the nodes
-        inner = inner.join(found.select("tree", F.col("at").alias("up"), "path"), ["tree", "up"])
-        found = inner.select("tree", "at", F.concat(F.array(F.coalesce("step", alone)), "path").alias("path")).unionByName(roots)
+    for k, nodes in reversed(list(enumerate(tree))):
+        roots = nodes.where("n = 1")
+        roots = roots.join(above, "tree") if above is not None else roots.withColumns({"path": none, "subroot": F.lit(None).cast("string")})
+        if found is not None:
+            parents = found.select("tree", F.col("at").alias("up"), F.col("path").alias("rest"), "subroot")
+            inner = siblings(nodes).join(parents, ["tree", "up"])
+            roots = inner.select(*[f"own.{c}" for c in nodes.columns], F.concat(F.array("step"), "rest").alias("path"), "subroot").unionByName(roots)
+        found = written(roots, "paths") if k else roots
     return found
 
 
 def proof_of(path: Column) -> Column:
     """The digest of all siblings, level by level, from left to right."""
-    return F.sha2(F.array_join(F.transform(path, lambda s: F.concat(s["left"], s["right"])), ""), 256)
+    return F.sha2(F.array_join(F.transform(path, lambda s: F.concat(as_hex(s["left"]), as_hex(s["right"]))), ""), 256)
 
 
 def folded(leaf: Column, path: Column) -> Column:
     """The root that a leaf and its siblings give."""
-    return F.aggregate(path, as_hex(leaf), lambda x, s: F.sha2(F.concat(s["left"], x, s["right"]), 256))
+    return F.aggregate(path, as_hex(leaf), lambda x, s: F.sha2(F.concat(as_hex(s["left"]), x, as_hex(s["right"])), 256))
 
 
 def manifest(docs: DataFrame) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) for every row of docs."""
     rows, trees = leaves(docs)
-    every = levels(rows.select("tree", "at", "n", "digest"))
-    tops = every[0].where("n = 1")
+    every = levels(rows)
+    tops = every[0].where("n = 1").select("tree", "digest")
     for nodes in every[1:]:
-        tops = tops.unionByName(nodes.where("n = 1"))
-    count = trees.count()
-    one = tops.select(F.lit(0).cast("long").alias("tree"), (F.col("tree") - 1).alias("at"), F.lit(count).cast("long").alias("n"), "digest")
+        tops = tops.unionByName(nodes.where("n = 1").select("tree", "digest"))
+    one = tops.select(F.lit(0).cast("long").alias("tree"), (F.col("tree") - 1).alias("at"), F.lit(trees.count()).cast("long").alias("n"), "digest")
     last = levels(written(one, "subroots"))
     top = last[-1].select(as_hex(F.col("digest")).alias("r")).first()  # of one row, if any
-    upper = paths(last).select((F.col("at") + 1).alias("tree"), "path")
-    upper = upper.join(tops.select("tree", as_hex(F.col("digest")).alias("subroot")), "tree")
-    steps = paths(every, upper.select("tree", "path"))
-    out = rows.drop("n").join(steps, ["tree", "at"]).join(upper.select("tree", "subroot"), "tree")
-    out = out.withColumn("folded_root", folded(F.col("changed"), F.col("path"))).withColumn("root", F.lit(top["r"] if top else None).cast("string"))
-    proof = proof_of(F.col("path")).alias("proof_sha256")
-    return out.select("doc_id", as_hex(F.col("digest")).alias("leaf"), "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+    upper = paths(last).select((F.col("at") + 1).alias("tree"), "path", as_hex(F.col("digest")).alias("subroot"))
+    out = paths(every, written(upper, "upper"))
+    # paths go no further than here
+    out = out.select("doc_id", as_hex(F.col("digest")).alias("leaf"), "subroot", F.lit(top["r"] if top else None).cast("string").alias("root"), proof_of(F.col("path")).alias("proof_sha256"), folded(F.col("changed"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
