@@ -109,3 +109,23 @@ def recurrence(series: DataFrame, by: Sequence[str], at: str, x: str, m: int = 3
         *keys, (zero("points") / (F.col("size") * F.col("size"))).alias("recurrence_rate"), share(on, zero("points")).alias("determinism"), share(zero("vertical"), zero("points")).alias("laminarity"),
         share(on, count).alias("mean_diagonal"), F.greatest(zero("longest"), F.when(main, F.col("size")).otherwise(0)).cast("bigint").alias("longest_diagonal"),
     )
+
+
+def correlation_dimension(series: DataFrame, by: Sequence[str], at: str, x: str, m: int = 3, low: float = 0.1, high: float = 1.0, count: int = 10) -> DataFrame:
+    """(by, pairs, dimension): the slope of the log share of pairs of templates within a radius over its log, for radii from low to high deviations evenly spaced by logarithm; 0 for a constant series, null where fewer than two radii have pairs.
+
+    Pairs are found once, at the largest radius, and counted by the smallest that holds them.
+    """
+    keys = list(by)
+    points = embedded(series, keys, at, x, m).join(_with_radius(series, keys, x, high), keys)
+    found = pairs(points, keys, m, F.col("radius"), "euclid")
+    far = F.sqrt(F.aggregate(F.zip_with("a.v", "b.v", lambda u, w: u - w), F.lit(0.0), lambda s, d: s + d * d))
+    radii = [low * (high / low) ** (k / (count - 1)) for k in range(count)]
+    # at radius k: pairs within it
+    within = [F.count_if(far <= F.col("radius_") * (r / high)).alias(f"c{k}_") for k, r in enumerate(radii)]
+    counts = found.where("radius_ > 0").groupBy(*keys).agg(*within, F.count(F.lit(1)).alias("pairs"))
+    rows = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("r"), F.col(f"c{k}_").alias("c")) for k, r in enumerate(radii)])).alias("p")
+    slopes = counts.select(*keys, "pairs", rows).where("p.c > 0").groupBy(*keys, "pairs").agg(F.regr_slope(F.log("p.c"), F.log("p.r")).alias("dimension"))
+    flat = _with_radius(series, keys, x, 1.0).select(*keys, (F.coalesce(F.col("radius"), F.lit(0.0)) == 0).alias("flat_"))
+    out = flat.join(slopes, keys, "left")
+    return out.select(*keys, F.coalesce("pairs", F.lit(0)).alias("pairs"), F.when(F.col("flat_"), 0.0).otherwise(F.col("dimension")).alias("dimension"))

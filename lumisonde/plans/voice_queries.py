@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumisonde.functions import arrays as a
 from lumisonde.functions import frames as fr
-from lumisonde.functions import perceptual, prediction, voice, wavelets
-from lumisonde.operators import intervals, neighbours, peaks, scaling, speech
-from lumisonde.plans.array_queries import DFT64, V, clips
+from lumisonde.functions import perceptual, prediction, timefreq, voice, wavelets
+from lumisonde.operators import audit, augment, intervals, neighbours, peaks, scaling, speech
+from lumisonde.plans.array_queries import DFT, DFT64, V, clips
 from lumisonde.plans.registry import query
 from lumisonde.session import shipped, table
 
@@ -302,3 +303,86 @@ def speech_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = clips(spark, sf_dir)
     beats = speech.rhythm(c, "vec_id", "x", 8, 4, 100.0)
     return _round(speech.summary(c, "vec_id", "x", 8, 4, 100.0).join(beats, "vec_id", "left"), "vec_id")
+
+
+# -- time and frequency: frames of 16 samples, every 8 -------------------------------------------
+
+
+@query(f"""WITH {DFT}, q AS (SELECT *, sum(m) OVER (PARTITION BY vec_id, f ORDER BY b) AS upto, lag(m) OVER (PARTITION BY vec_id, b ORDER BY f) AS before FROM d), o AS (SELECT vec_id, f, sum(m) AS s, sum(m * m) AS power, sum(b * m) / (sum(m) + 1e-10) AS c FROM d GROUP BY vec_id, f)
+ SELECT vec_id, f::INT AS frame, round(max(power), 6) AS power, round(max(c), 6) AS centroid, round(sqrt(sum(m * (b - c) ** 2) / (max(s) + 1e-10)), 6) AS bandwidth, min(b) FILTER (upto >= 0.85::DOUBLE * s)::INT AS rolloff, round(coalesce(sum((m - before) ** 2), 0), 6) AS flux,
+ round(-sum(m * m / (power + 1e-10) * ln(m * m / (power + 1e-10) + 1e-10)), 6) AS entropy, round(max(m * m / (power + 1e-10)), 6) AS concentration, round(coalesce(sum(m * m) FILTER (b = 1), 0) / (max(power) + 1e-10), 6) AS octave0, round(coalesce(sum(m * m) FILTER (b BETWEEN 4 AND 7), 0) / (max(power) + 1e-10), 6) AS octave2
+ FROM q JOIN o USING (vec_id, f) GROUP BY vec_id, f""")
+@shipped
+def spectrogram_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fr.transformed(clips(spark, sf_dir), "vec_id", "x", 16, 8)
+    out = timefreq.spectrogram(m, "vec_id", 16).withColumn("o_", timefreq.octaves(F.col("m"), 16, 3))
+    made = {c: F.col(c) for c in ("power", "centroid", "bandwidth", "flux", "entropy", "concentration")} | {f"octave{k}": F.get("o_", F.lit(k)) for k in (0, 2)}
+    return out.select("vec_id", "frame", "rolloff", *[F.round(c, 6).alias(n) for n, c in made.items()])
+
+
+@query()
+@shipped
+def instantaneous_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelope and instantaneous frequency of clips, and their length at half the rate."""
+    out = timefreq.resampled(clips(spark, sf_dir).withColumn("h", timefreq.instantaneous(F.col("x"), 16000.0)), "x", 16000, 8000)
+    names = ("envelope_mean", "envelope_std", "frequency_mean", "frequency_std")
+    return out.select("vec_id", *[F.round(F.get("h", F.lit(k)), 4).alias(n) for k, n in enumerate(names)], F.size("x").alias("samples"), F.round(a.rms(F.col("x")), 6).alias("rms"))
+
+
+@query()
+@shipped
+def line_spectral_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = prediction.predicted(clips(spark, sf_dir).withColumnRenamed("x", "w"), 6).select("vec_id", "c")
+    # c is an aggregate over lambdas, which no Python function can take: it is written where frames are kept; here it is exploded and gathered
+    c = p.select("vec_id", F.posexplode("c").alias("i", "v")).groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s")).select("vec_id", F.col("s.v").alias("c"))
+    return c.select("vec_id", timefreq.line_spectra(F.col("c")).alias("w")).select("vec_id", F.posexplode("w").alias("number", "radians")).withColumn("radians", F.round("radians", 5))
+
+
+# -- tabular features, copies --------------------------------------------------------------------
+
+
+@query(f"WITH {V}, m AS (SELECT vec_id, x, list_avg(x) AS mean, list_var_pop(x) AS m2 FROM v) SELECT vec_id, round(mean, 6) AS mean, round(sqrt(m2), 6) AS std, round(list_avg(list_transform(x, lambda u: (u - mean) ** 3)) / m2 ** 1.5, 6) AS skew, round(list_sum(list_transform(x, lambda u: u * u)), 6) AS energy, round(quantile_cont(u, 0.25), 6) AS q25, round(median(u), 6) AS median, round(quantile_cont(u, 0.75), 6) AS q75 FROM m, unnest(x) AS t(u) GROUP BY vec_id, x, mean, m2")
+@shipped
+def tabular_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of clips with quartiles of their samples."""
+    c = clips(spark, sf_dir)
+    x, s = F.col("x"), a.statistics(F.col("x"))
+    base = c.select("vec_id", *[s[n].alias(n) for n in ("mean", "std", "skew", "energy")])
+    q = c.select("vec_id", F.explode("x").alias("u")).groupBy("vec_id").agg(*[F.percentile("u", F.lit(p)).alias(n) for n, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))])
+    return _round(base.join(q, "vec_id"), "vec_id")
+
+
+@query()
+@shipped
+def profile_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and deviations of cepstra, their slopes, spectral moments and trivial features: one row of numbers a clip."""
+    c = clips(spark, sf_dir)
+    m = fr.mfcc(fr.transformed(c, "vec_id", "x", 32, 8, fr.hamming(32)), "vec_id", 32, 16000.0, 6, 8, centred=False)
+    d = fr.delta(m, "vec_id", "mfcc")
+    at = lambda f, col, k, n: f(F.get(col, F.lit(k))).alias(f"{col}{k}_{n}")
+    made = [at(f, col, k, n) for col in ("mfcc", "delta") for k in range(6) for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    spectral = fr.summarized(fr.spectral(fr.transformed(c, "vec_id", "x", 16, 8), "vec_id", 16, 16000.0), "vec_id", ["centroid", "spread", "rolloff"])
+    out = d.groupBy("vec_id").agg(*made).join(spectral, "vec_id").join(c.select("vec_id", *[v.alias(k) for k, v in audit.features(F.col("x")).items()]), "vec_id")
+    return _round(out, "vec_id", places=4)
+
+
+CODED = "sign(u) * ln(1 + 255 * least(abs(u), 1)) / ln(256)"
+
+
+@query(f"WITH {V}, k AS (SELECT vec_id, list_transform(x, lambda u: floor(({CODED} + 1) / 2 * 255 + 0.5) / 255 * 2 - 1) AS k FROM v) SELECT vec_id, round(list_sum(list_transform(k, lambda u: sign(u) * (256 ** abs(u) - 1) / 255)), 6) AS total, round(list_max(list_transform(k, lambda u: sign(u) * (256 ** abs(u) - 1) / 255)), 6) AS most, len(list_distinct(k)) AS levels FROM k")
+def coded_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = augment.copies(clips(spark, sf_dir), "vec_id", "x", ["code"])
+    return c.select("vec_id", F.round(a.total(F.col("x")), 6).alias("total"), F.round(F.array_max("x"), 6).alias("most"), F.size(F.array_distinct("x")).cast("bigint").alias("levels"))
+
+
+@query()
+def altered_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every kind, told by their energy."""
+    c = augment.copies(clips(spark, sf_dir), "vec_id", "x")
+    return c.select("vec_id", "copy", F.round(a.energy(F.col("x")), 6).alias("energy"))
+
+
+@query(f"WITH {V}, g AS (SELECT vec_id, x, list_stddev_pop(x) AS sd FROM v), p AS (SELECT vec_id, sd, sqrt((x[i] - x[j]) ** 2 + (x[i + 1] - x[j + 1]) ** 2 + (x[i + 2] - x[j + 2]) ** 2) AS d FROM g, range(1, 63) s(i), range(1, 63) t(j) WHERE i < j), r AS (SELECT 0.1::DOUBLE * pow(10, k / 9.0::DOUBLE) AS r FROM range(10) u(k)), c AS (SELECT vec_id, r, count(*) AS c FROM p, r WHERE d <= sd * r GROUP BY vec_id, r), n AS (SELECT vec_id, count(*) AS pairs FROM p WHERE d <= sd GROUP BY vec_id), o AS (SELECT vec_id, CASE WHEN count(*) > 1 THEN regr_slope(ln(c), ln(r)) END AS dimension FROM c GROUP BY vec_id) SELECT v.vec_id, coalesce(pairs, 0) AS pairs, round(dimension, 5) AS dimension FROM v LEFT JOIN n USING (vec_id) LEFT JOIN o USING (vec_id)")
+def correlation_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neighbours.correlation_dimension(scaling.series_of(clips(spark, sf_dir), "vec_id", "x"), ["vec_id"], "i", "x")
+    return out.withColumn("dimension", F.round("dimension", 5))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import tarfile
 import wave
+import zipfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -158,26 +160,45 @@ def first_rows(spark: SparkSession, folder: str, most: int) -> DataFrame:
     return spark.read.parquet(folder).limit(most)
 
 
-def read_npz(spark: SparkSession, folder: str, split: str = "train", rows: int = 256) -> DataFrame:
-    """(path, split, row, x, y) of archives with arrays X_<split> and y_<split>, or X and y, which stand for the split named.
+def members(spark: SparkSession, folder: str, most: int = 1 << 28) -> DataFrame:
+    """(archive, member, safe, size, content) of the files in all ZIP and TAR archives under a folder.
 
-    A task reads an archive and sends its rows in batches.
+    A member is unsafe if its name is absolute, leads out of the folder it would be written to, or it is a link; its content is null, as is that of members over ``most`` bytes.
     """
 
+    def safe(name: str) -> bool:
+        parts = name.replace("\\", "/").split("/")
+        return bool(name) and not name.startswith(("/", "\\")) and ".." not in parts and ":" not in parts[0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(archive: str, name: str, good: bool, size: int, read) -> pa.RecordBatch:
+            body = read() if good and size <= most else None
+            return pa.RecordBatch.from_pylist([{"archive": archive, "member": name, "safe": good, "size": size, "content": body}], schema)
+
+        schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("safe", pa.bool_()), ("size", pa.int64()), ("content", pa.binary())])
         for b in batches:
             for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
-                with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                    for name in z.files:
-                        if name != "X" and not name.startswith("X_"):
-                            continue
-                        part, x = name[2:] or split, z[name]
-                        y = z["y" + name[1:]] if "y" + name[1:] in z.files else np.full(len(x), -1)
-                        for a in range(0, len(x), rows):
-                            flat = x[a : a + rows].reshape(len(x[a : a + rows]), -1).astype(float)
-                            n = len(flat)
-                            cols = [pa.array([path] * n), pa.array([part] * n), pa.array(np.arange(a, a + n)), pa.array(list(flat), pa.list_(pa.float64())), pa.array(y[a : a + n].astype(np.int32))]
-                            yield pa.RecordBatch.from_arrays(cols, names=["path", "split", "row", "x", "y"])
-
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", "true").load(folder)
-    return found.select("path", "content").mapInArrow(run, "path string, split string, row long, x array<double>, y int")
+                if path.endswith(".zip"):
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        for i in z.infolist():
+                            if not i.is_dir():
+                                yield row(path, i.filename, safe(i.filename) and (i.external_attr >> 28) != 0xA, i.file_size, lambda z=z, i=i: z.read(i))
+                else:
+                    with tarfile.open(fileobj=io.BytesIO(content)) as t:
+                        for i in t:
+                            if not i.isdir():
+                                yield row(path, i.name, safe(i.name) and i.isreg(), i.size, lambda t=t, i=i: t.extractfile(i).read())
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{zip,tar,tar.gz,tgz}").option("recursiveFileLookup", "true").load(folder)
+    return found.select("path", "content").mapInArrow(run, "archive string, member string, safe boolean, size long, content binary")
+
+
+def save_json(rows: DataFrame, folder: str) -> None:
+    rows.write.mode("overwrite").json(folder)
+
+
+def load_json(spark: SparkSession, folder: str, default: DataFrame) -> DataFrame:
+    """The rows of a folder of JSON lines, with the columns and types of default; default itself where there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(default.schema).json(folder) if there else default

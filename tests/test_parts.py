@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumisonde.functions import arrays as a
 from lumisonde.operators import splits, tables
-from lumisonde.sources import files
+from lumisonde.sources import archives, files
 from lumisonde.streaming import detector
 
 
@@ -171,7 +171,7 @@ def test_unknown_labels_and_npz(spark, tmp_path):
     with pytest.raises(ValueError, match="zz"):
         preparation.encoded(spark.createDataFrame([("en",), ("zz",)], "lang string"), "lang", {"en": 1})
     np.savez(tmp_path / "d.npz", X_train=np.arange(12).reshape(3, 2, 2), y_train=np.array([0, 1, 0]), X_test=np.ones((2, 4)), y_test=np.array([1, 1]))
-    got = files.read_npz(spark, str(tmp_path), rows=2).collect()
+    got = archives.read_rows(spark, str(tmp_path), rows=2).collect()
     assert sorted((r.split, r.row, r.x, r.y) for r in got) == [("test", 0, [1.0] * 4, 1), ("test", 1, [1.0] * 4, 1), ("train", 0, [0.0, 1.0, 2.0, 3.0], 0), ("train", 1, [4.0, 5.0, 6.0, 7.0], 1), ("train", 2, [8.0, 9.0, 10.0, 11.0], 0)]
     frame = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
     files.save_table(frame, str(tmp_path / "t"))
