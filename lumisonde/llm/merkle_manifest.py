@@ -123,7 +123,7 @@ def paths(tree: list[DataFrame], above: DataFrame | None = None) -> DataFrame:
         roots = roots.join(above, "tree") if above is not None else roots.withColumns({"path": none, "subroot": F.lit(None).cast("string")})
         if found is not None:
             parents = found.select("tree", F.col("at").alias("up"), F.col("path").alias("rest"), "subroot")
-            inner = siblings(nodes).join(parents, ["tree", "up"])
+            inner = siblings(nodes).join(parents.hint("merge"), ["tree", "up"])  # files of paths are far smaller than paths, so no broadcast by their size
             roots = inner.select(*[f"own.{c}" for c in nodes.columns], F.concat(F.array("step"), "rest").alias("path"), "subroot").unionByName(roots)
         found = written(roots, "paths") if k else roots
     return found
