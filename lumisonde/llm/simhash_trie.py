@@ -224,6 +224,31 @@ def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return c / (len(x) + len(y) - c) >= similarity
 
 
+#: Bins of the histograms that bound what two sets share, and pairs that are bounded at once.
+BINS, BOUNDED = 256, 16_384
+
+
+def histograms(sets: np.ndarray) -> np.ndarray:
+    """How many numbers of each set fall into each bin; a set with more than fit in 16 bits has none and is not bounded."""
+    out = np.zeros((len(sets), BINS), np.uint16)
+    for k, s in enumerate(sets):
+        n = np.bincount((s % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+        out[k] = n if n.max(initial=0) < 1 << 16 else 0
+    return out
+
+
+def may_be_alike(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, bins: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether pairs of sets can have a similarity: by their sizes, and by the most that they can share, which is the sum of the smaller counts of each bin."""
+    small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    may = (small > 0) & (small >= similarity * large)
+    for a in range(0, len(i), BOUNDED):
+        at = a + np.flatnonzero(may[a : a + BOUNDED])
+        shared = np.minimum(bins[i[at]], bins[j[at]]).sum(1, dtype=np.int64)
+        counted = bins[i[at]].any(1) & bins[j[at]].any(1)
+        may[at] = ~counted | (shared >= similarity * (sizes[i[at]] + sizes[j[at]] - shared) * (1 - 1e-12))
+    return may
+
+
 def _join_sorted(budget: int, lanes: int, chunk_rows: int, similarity: float = 0.0):
     """Rows sorted by group, side and code to (u, v): links of a spanning forest per group.
 
@@ -242,8 +267,10 @@ def _join_sorted(budget: int, lanes: int, chunk_rows: int, similarity: float = 0
         pick = lambda rows: pa.array([x.tobytes() for x in name[rows]], pa.binary())
         if known:
             found = []
+            sizes, bins = np.array([len(x) for x in sets], np.int64), histograms(sets)
             for i, j in trie_pairs(codes_, roots, budget, part):
-                for a, b in zip(i.tolist(), j.tolist()):
+                may = may_be_alike(i, j, sizes, bins, similarity)  # all pairs, as arrays; what is left is compared
+                for a, b in zip(i[may].tolist(), j[may].tolist()):
                     if part[a] != part[b] and _alike(sets[a], sets[b], similarity):
                         found.append((a, b))
                         part[part == part[b]] = part[a]

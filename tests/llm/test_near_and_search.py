@@ -366,3 +366,33 @@ def test_very_deep_urls_with_copies(spark):
     got = {r.page_id: r for r in url_templates.judge(spark.createDataFrame(rows, "page_id long, url string"), []).collect()}
     assert time.time() - started < 120 and len(got) == len(rows)
     assert all(got[i].template == deep[i % 3] for i in range(15)) and got[100].template == "/aaa" and got[101].template == "/aaa/aab"
+
+
+def test_bounds_of_similarity_lose_no_pair():
+    """Sets with a common core: pairs at the similarity or more always pass, and of those around 0.6 hardly any do."""
+    import time
+
+    from lumisonde.llm import simhash_trie as st
+
+    rng = np.random.default_rng(7)
+    core = rng.integers(0, 1 << 63, 225).astype(np.uint64)
+
+    def family(n, common, own):
+        out = np.empty(n, object)
+        for k in range(n):
+            out[k] = np.unique(np.concatenate([core[:common], rng.integers(0, 1 << 63, own).astype(np.uint64)]))
+        return out
+
+    mixed = np.concatenate([family(20, c, 240 - c) for c in (225, 215, 200, 180, 60)] + [family(3, 0, 0)])
+    i, j = np.triu_indices(len(mixed), 1)
+    may = st.may_be_alike(i, j, np.array([len(s) for s in mixed]), st.histograms(mixed), 0.8)
+    alike = np.array([st._alike(mixed[a], mixed[b], 0.8) for a, b in zip(i, j)])
+    assert alike.any() and not (alike & ~may).any()
+    huge = np.empty(2, object)
+    huge[:] = [np.arange(70_000, dtype=np.uint64) * np.uint64(st.BINS)] * 2  # more in one bin than is counted
+    assert st.may_be_alike(np.array([0]), np.array([1]), np.array([70_000] * 2), st.histograms(huge), 0.8).all()
+    far = family(3000, 225, 75)  # all pairs near 0.6
+    i, j = np.triu_indices(len(far), 1)
+    started = time.time()
+    may = st.may_be_alike(i, j, np.array([len(s) for s in far]), st.histograms(far), 0.8)
+    assert time.time() - started < 60 and may.mean() < 0.01
