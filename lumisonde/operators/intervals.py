@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumisonde.operators.ranks import ordered
+from lumisonde.operators.ranks import cuts_of, ordered
 
 #: A condition on whether a position lies in the first and in the second set.
 Rule = Callable[[Column, Column], Column]
@@ -28,12 +28,13 @@ def _borders(spans: DataFrame, by: Sequence[str], one: int, two: int) -> DataFra
 def combined(first: DataFrame, second: DataFrame, by: Sequence[str], rule: Rule) -> DataFrame:
     """(by, start, end): the maximal intervals where rule(in first, in second) holds. Both have by, start and end; outside of all intervals rule must not hold."""
     changes = _borders(first, by, 1, 0).unionByName(_borders(second, by, 0, 1)).groupBy(*by, "at_").agg(F.sum("one_").alias("one_"), F.sum("two_").alias("two_"))
-    swept = ordered(changes, by, ["at_"], sums={"n1_": "one_", "n2_": "two_"})
+    cuts = cuts_of(first.select("start").unionByName(second.select("start")), "start")
+    swept = ordered(changes, by, ["at_"], sums={"n1_": "one_", "n2_": "two_"}, cuts=cuts)
     holds = rule(F.col("n1_") > 0, F.col("n2_") > 0)
     held = rule(F.col("n1_") - F.col("one_") > 0, F.col("n2_") - F.col("two_") > 0)
     turns = swept.where(holds != held).select(*by, "at_", holds.cast("int").alias("starts_"))
     # the k-th start belongs to the k-th end
-    counted = ordered(turns, by, ["at_"], sums={"nth_": "starts_"})
+    counted = ordered(turns, by, ["at_"], sums={"nth_": "starts_"}, cuts=cuts)
     return counted.groupBy(*by, "nth_").agg(F.min("at_").alias("start"), F.max("at_").alias("end")).select(*by, "start", "end")
 
 

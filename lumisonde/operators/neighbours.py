@@ -13,14 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumisonde.operators.ranks import ordered
+from lumisonde.operators.ranks import cuts_of, ordered
 
 
 def embedded(series: DataFrame, by: Sequence[str], at: str, x: str, m: int) -> DataFrame:
     """(by, i, v, n): templates of m values in a row, numbered from 0, with the series' length; the last m - 1 places have none."""
-    out = ordered(series.select(*by, at, F.col(x).alias("x0")), by, [at], number="i", size="n", after={"x1": "x0"})
+    cuts = cuts_of(series, at)
+    out = ordered(series.select(*by, at, F.col(x).alias("x0")), by, [at], number="i", size="n", after={"x1": "x0"}, cuts=cuts)
     for k in range(2, m):
-        out = ordered(out, by, ["i"], after={f"x{k}": f"x{k - 1}"})
+        out = ordered(out, by, [at], after={f"x{k}": f"x{k - 1}"}, cuts=cuts)
     names = [f"x{k}" for k in range(m)]
     whole = F.col("i") <= F.col("n") - m + 1
     return out.where(whole).select(*by, (F.col("i") - 1).alias("i"), F.array(*names).alias("v"), "n")

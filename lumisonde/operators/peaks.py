@@ -12,25 +12,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumisonde.operators.ranks import ordered
+from lumisonde.operators.ranks import cuts_of, ordered
 
 
-def candidates(rows: DataFrame, by: Sequence[str], at: str, value: str, height: Column | float | None = None) -> DataFrame:
+def candidates(rows: DataFrame, by: Sequence[str], at: str, value: str, height: Column | float | None = None, cuts: Sequence[float] | None = None) -> DataFrame:
     """(by, at, value) of rows higher than those before and after them; the first and last of a series, and plateaus, are none."""
-    seen = ordered(rows.select(*by, at, value), by, [at], before={"before_": value}, after={"after_": value})
+    seen = ordered(rows.select(*by, at, value), by, [at], before={"before_": value}, after={"after_": value}, cuts=cuts)
     high = (F.col(value) > F.col("before_")) & (F.col(value) > F.col("after_"))
     return seen.where(high if height is None else high & (F.col(value) >= height)).select(*by, at, value)
 
 
-def _chains(found: DataFrame, by: Sequence[str], at: str, distance: int) -> DataFrame:
+def _chains(found: DataFrame, by: Sequence[str], at: str, distance: int, cuts: Sequence[float] | None) -> DataFrame:
+    cuts = cuts_of(found, at) if cuts is None else cuts
     apart = F.coalesce((F.col(at) - F.col("last_") >= distance).cast("int"), F.lit(1))
-    seen = ordered(found, by, [at], before={"last_": at}).withColumn("apart_", apart)
-    return ordered(seen, by, [at], sums={"chain_": "apart_"})
+    seen = ordered(found, by, [at], before={"last_": at}, cuts=cuts).withColumn("apart_", apart)
+    return ordered(seen, by, [at], sums={"chain_": "apart_"}, cuts=cuts)
 
 
-def picked(found: DataFrame, by: Sequence[str], at: str, value: str, distance: int, highest: bool = False) -> DataFrame:
+def picked(found: DataFrame, by: Sequence[str], at: str, value: str, distance: int, highest: bool = False, cuts: Sequence[float] | None = None) -> DataFrame:
     """The candidates that stay: each in its turn stays if none within the distance has. Turns go from left to right, or from the highest to the lowest (later first among equals)."""
-    chains = _chains(found, by, at, distance)
+    chains = _chains(found, by, at, distance, cuts)
     row = F.struct((-F.col(value) if highest else F.lit(0.0)).alias("v"), (-F.col(at) if highest else F.col(at)).alias("a"))
     place = lambda r: -r["a"] if highest else r["a"]
     none = F.array().cast("array<bigint>")

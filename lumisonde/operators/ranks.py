@@ -44,6 +44,18 @@ def _range_of(x: Column, cuts: Sequence[float]) -> Column:
     return F.when(x.isNull(), 0).otherwise(skipped + among(F.slice(every, skipped + 1, 16)))
 
 
+def _number(rows: DataFrame, value: Column | str) -> Column:
+    c = _col(value)
+    timed = dict(rows.select(c.alias("x")).dtypes)["x"].startswith("timestamp")
+    return (F.unix_micros(c.cast("timestamp")) if timed else c).cast("double")
+
+
+def cuts_of(rows: DataFrame, value: Column | str, ranges: int = RANGES) -> list[float]:
+    """Where to cut the order of a number or time into ranges of about as many rows: a job over rows, whose result (ranges - 1 numbers) serves every ``ordered`` by the same value."""
+    found = rows.agg(F.percentile_approx(_number(rows, value), [k / ranges for k in range(1, ranges)], F.lit(1000)).alias("c")).first()["c"]
+    return sorted(set(found or []))
+
+
 def ordered(
     rows: DataFrame,
     by: Sequence[str],
@@ -55,17 +67,16 @@ def ordered(
     before: Mapping[str, Column | str] | None = None,
     after: Mapping[str, Column | str] | None = None,
     ranges: int = RANGES,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """rows with, for their place in the order of their group: its number from 1, the group's size, running sums up to and with the row, the group's totals, and values of the row before and after.
 
     Columns of order ascend; the first is a number or a time. Many rows with one value of it are one range; the further columns order them.
-    Summed values must not be null.
+    Summed values must not be null. cuts, if given, are those of ``cuts_of``: rows may then be costly to make, as no job reads them here.
     """
     sums, totals, before, after = sums or {}, totals or {}, before or {}, after or {}
-    first = _col(order[0])
-    x = (F.unix_micros(first.cast("timestamp")) if dict(rows.select(first.alias("x")).dtypes)["x"].startswith("timestamp") else first).cast("double")
-    cuts = rows.agg(F.percentile_approx(x, [k / ranges for k in range(1, ranges)], F.lit(1000)).alias("c")).first()["c"] or []  # ranges - 1 numbers
-    part = _range_of(x, sorted(set(cuts)))
+    cuts = cuts_of(rows, order[0], ranges) if cuts is None else cuts
+    part = _range_of(_number(rows, order[0]), cuts)
     piece, own, info = fresh(rows, "range_", "own_", "info_")
     local = Window.partitionBy(*by, piece).orderBy(*map(_col, order))
     cut = rows.withColumn(piece, part)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumisonde.functions import arrays as a
 from lumisonde.functions import frames as fr
-from lumisonde.operators.ranks import ordered
+from lumisonde.operators.ranks import cuts_of, ordered
 from lumisonde.plans.registry import query
 from lumisonde.session import shipped, table
 
@@ -69,8 +69,10 @@ def gain_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH o AS (SELECT user_id, (value <= lead(value) OVER w)::INT * 4 + (lead(value) OVER w <= lead(value, 2) OVER w)::INT * 2 + (value <= lead(value, 2) OVER w)::INT AS pat, lead(value, 2) OVER w IS NOT NULL AS whole FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), c AS (SELECT user_id, pat, count(*) AS n FROM o WHERE whole GROUP BY ALL), p AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c) SELECT user_id, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY user_id")
 def permutation_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ordered(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], after={"y": "value"})
-    e = ordered(e, ["user_id"], ["ts", "event_id"], after={"z": "y"})
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    cuts = cuts_of(e, "ts")
+    e = ordered(e, ["user_id"], ["ts", "event_id"], after={"y": "value"}, cuts=cuts)
+    e = ordered(e, ["user_id"], ["ts", "event_id"], after={"z": "y"}, cuts=cuts)
     x, y, z = F.col("value"), F.col("y"), F.col("z")
     bit = lambda c, n: c.cast("int") * n
     seen = e.select("user_id", z.isNotNull().alias("whole"), (bit(x <= y, 4) + bit(y <= z, 2) + bit(x <= z, 1)).alias("pattern"))

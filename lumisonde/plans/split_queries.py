@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumisonde.operators import splits as s
-from lumisonde.operators.ranks import ordered, percentiles, ranked
+from lumisonde.operators.ranks import cuts_of, ordered, percentiles, ranked
 from lumisonde.plans.registry import query
 from lumisonde.plans.relational_queries import KEY, key
 from lumisonde.plans.views import SCORES, scores
@@ -82,8 +82,10 @@ def first_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH m AS (SELECT user_id, value, avg(value) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m3, avg(value) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m5, row_number() OVER w AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, round(avg(abs(value - m3)) FILTER (rn > 1 AND rn < n) / avg(value), 6) AS rap, round(avg(abs(value - m5)) FILTER (rn > 2 AND rn < n - 1) / avg(value), 6) AS ppq FROM m GROUP BY user_id")
 def perturbation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = ordered(_events(spark, sf_dir), ["user_id"], TIME, before={"a": "value"}, after={"b": "value"})
-    m = ordered(m, ["user_id"], TIME, before={"aa": "a"}, after={"bb": "b"})
+    e = _events(spark, sf_dir)
+    cuts = cuts_of(e, "ts")
+    m = ordered(e, ["user_id"], TIME, before={"a": "value"}, after={"b": "value"}, cuts=cuts)
+    m = ordered(m, ["user_id"], TIME, before={"aa": "a"}, after={"bb": "b"}, cuts=cuts)
     v = F.col("value")
     three, five = (F.col("a") + v + F.col("b")) / 3, (F.col("aa") + F.col("a") + v + F.col("b") + F.col("bb")) / 5  # null at the ends
     return m.groupBy("user_id").agg(F.round(F.avg(F.abs(v - three)) / F.avg(v), 6).alias("rap"), F.round(F.avg(F.abs(v - five)) / F.avg(v), 6).alias("ppq"))
@@ -91,8 +93,10 @@ def perturbation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH f AS (SELECT *, value > 20 AS voiced FROM events), c AS (SELECT *, CASE WHEN voiced IS DISTINCT FROM lag(voiced) OVER w THEN 1 ELSE 0 END AS change FROM f WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), i AS (SELECT *, sum(change) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM c) SELECT user_id, island::BIGINT AS island, count(*) AS frames, min(ts) AS started, max(ts) AS ended FROM i WHERE voiced GROUP BY user_id, island HAVING count(*) >= 3")
 def gaps_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ordered(_events(spark, sf_dir).withColumn("voiced", F.col("value") > 20), ["user_id"], TIME, before={"last": "voiced"})
-    e = ordered(e.withColumn("change", (~F.col("voiced").eqNullSafe(F.col("last"))).cast("int")), ["user_id"], TIME, sums={"island": "change"})
+    e = _events(spark, sf_dir)
+    cuts = cuts_of(e, "ts")
+    e = ordered(e.withColumn("voiced", F.col("value") > 20), ["user_id"], TIME, before={"last": "voiced"}, cuts=cuts)
+    e = ordered(e.withColumn("change", (~F.col("voiced").eqNullSafe(F.col("last"))).cast("int")), ["user_id"], TIME, sums={"island": "change"}, cuts=cuts)
     return e.where("voiced").groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("frames"), F.min("ts").alias("started"), F.max("ts").alias("ended")).where("frames >= 3")
 
 

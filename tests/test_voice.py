@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumisonde.functions import frames as fr
 from lumisonde.functions import prediction, voice, wavelets
 from lumisonde.operators import intervals, neighbours, peaks, scaling
-from lumisonde.operators.ranks import ordered
+from lumisonde.operators.ranks import cuts_of, ordered
 
 RATE = 16000
 
@@ -148,7 +148,7 @@ def test_exponents_of_noise_and_walks(spark):
 
 @pytest.mark.parametrize("ranges", [1, 5])
 def test_interval_sets(spark, ranges, monkeypatch):
-    monkeypatch.setattr(intervals, "ordered", lambda *a, **k: ordered(*a, **k, ranges=ranges))
+    monkeypatch.setattr(intervals, "cuts_of", lambda *a: cuts_of(*a, ranges=ranges))
     rng = random.Random(ranges)
     spans = lambda n: [(k, s, s + rng.randint(0, 9)) for k in (None, 1, 2) for s in (rng.randint(0, 80) for _ in range(n))]
     one, two = spans(9), spans(6)
@@ -165,12 +165,12 @@ def test_interval_sets(spark, ranges, monkeypatch):
 
 @pytest.mark.parametrize("ranges", [1, 7])
 def test_peaks_are_those_of_plain_loops(spark, ranges, monkeypatch):
-    monkeypatch.setattr(peaks, "ordered", lambda *a, **k: ordered(*a, **k, ranges=ranges))
+    monkeypatch.setattr(peaks, "cuts_of", lambda *a: cuts_of(*a, ranges=ranges))
     rng = random.Random(ranges)
     x = [round(rng.random(), 1) for _ in range(400)]
     found = [i for i in range(1, 399) if x[i] > x[i - 1] and x[i] > x[i + 1]]
     rows = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)] + [("b", 0, 1.0)], "k string, i long, v double")
-    c = peaks.candidates(rows, ["k"], "i", "v").cache()
+    c = peaks.candidates(rows, ["k"], "i", "v", cuts=cuts_of(rows, "i", ranges)).cache()
     assert sorted(r.i for r in c.collect()) == found
     assert sorted(r.i for r in peaks.candidates(rows, ["k"], "i", "v", 0.8).collect()) == [i for i in found if x[i] >= 0.8]
     for distance in (1, 4, 11):
