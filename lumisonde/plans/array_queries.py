@@ -132,10 +132,11 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.spectral(fr.transformed(clips(spark, sf_dir), "vec_id", "x", 16, 8), "vec_id", 16, 16000.0)
 
 
-@query(f"WITH {DFT} SELECT vec_id, f::INT AS frame, {', '.join(f'round({c}, 4) AS {c}' for c in FRAME)}, round(m3 / (sqrt(spread) + 1e-10) ** 3, 4) AS skewness, round(m4 / (sqrt(spread) + 1e-10) ** 4 - 3, 4) AS kurtosis FROM e")
+@query(f"WITH {DFT} SELECT vec_id, f::INT AS frame, {', '.join(f'CASE WHEN round({c}, 4) = 0 THEN 0.0::DOUBLE ELSE round({c}, 4) END AS {c}' for c in FRAME)}, round(m3 / (sqrt(spread) + 1e-10) ** 3, 4) AS skewness, round(m4 / (sqrt(spread) + 1e-10) ** 4 - 3, 4) AS kurtosis FROM e")
 @shipped
 def frame_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _frames(spark, sf_dir).select("vec_id", "frame", *[F.round(c, 4).alias(c) for c in (*FRAME, "skewness", "kurtosis")])
+    plain = lambda c: F.when(F.round(c, 4) == 0, 0.0).otherwise(F.round(c, 4)).alias(c)  # noqa: E731  no negative zero
+    return _frames(spark, sf_dir).select("vec_id", "frame", *[plain(c) for c in FRAME], *[F.round(c, 4).alias(c) for c in ("skewness", "kurtosis")])
 
 
 @query(f"WITH {DFT} SELECT vec_id, {', '.join(f'round({f}({c}), 4) AS {c}_{n}' for c in ('centroid', 'flux') for n, f in (('mean', 'avg'), ('std', 'stddev_pop'), ('min', 'min'), ('max', 'max')))} FROM e GROUP BY vec_id")
