@@ -13,6 +13,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def to_places(v: Column | str, n: int) -> Column:
+    """A double rounded half away from zero, as SQL engines round doubles: scaled by a power of ten, rounded, scaled back. A small negative number becomes a negative zero.
+
+    Spark's own round takes the shortest decimal text of a double, which differs at ties and has no negative zero.
+    """
+    c = F.col(v) if isinstance(v, str) else v
+    return F.signum(c) * F.round(F.abs(c) * 10.0**n, 0) / 10.0**n
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 

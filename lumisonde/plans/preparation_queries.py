@@ -351,7 +351,7 @@ def array_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda e: e.cast("double")).alias("x"))
     ragged = x.withColumn("r", F.slice("x", F.lit(1), (F.col("vec_id") % 64 + 1).cast("int")))
     out = a.aligned(ragged, "r").select("vec_id", a.standardized(F.col("x")).alias("z"), a.edge_fit(F.col("x"), 70).alias("edge"), F.col("r").alias("aligned"))
-    return out.select("vec_id", *[F.transform(c, lambda v: F.round(v, 6)).alias(c) for c in ("z", "edge", "aligned")])
+    return out.select("vec_id", *[F.transform(c, lambda v: a.to_places(v, 6)).alias(c) for c in ("z", "edge", "aligned")])
 
 
 @query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings), p AS (SELECT vec_id, i, list_concat(x[i * 8 + 1:i * 8 + 16], list_transform(range(16 - len(x[i * 8 + 1:i * 8 + 16])), lambda k: 0.0::DOUBLE)) AS w FROM v, range(8) t(i)) SELECT vec_id, i::INT AS segment, list_transform(w, lambda v: round(v, 6)) AS w FROM p")
