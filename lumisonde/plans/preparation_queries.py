@@ -358,7 +358,7 @@ def array_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def padded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda e: e.cast("double")).alias("x"))
     s = x.select("vec_id", F.posexplode(a.segments(F.col("x"), 16, 8, pad=True)).alias("segment", "w"))
-    return s.withColumn("w", F.transform("w", lambda v: F.round(v, 6)))
+    return s.withColumn("w", F.transform("w", lambda v: a.to_places(v, 6)))
 
 
 @query("SELECT o_orderkey, translate(format('{:,.2f}', o_totalprice), ',.', '.,') AS money, translate(format('{:.1f}', o_totalprice / 10000), '.', ',') || '%' AS share, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso, strptime(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), '%Y-%m-%dT%H:%M:%S') = date_trunc('second', o_orderdate) AS back FROM orders")

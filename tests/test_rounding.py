@@ -49,3 +49,7 @@ CLIP = "vec_id long, label int, embedding array<float>"
 
 def test_array_shapes_small_negatives(spark, tmp_path):
     assert any("-0.0" in r for r in same(spark, tmp_path, "array_shapes", "embeddings", CLIPS, CLIP))
+
+
+def test_padded_windows_small_negatives(spark, tmp_path):
+    assert any("-0.0" in r for r in same(spark, tmp_path, "padded_windows", "embeddings", CLIPS, CLIP))
