@@ -38,7 +38,7 @@ PREPARED = f"""{CLIPS}, c AS (SELECT vec_id, len(list_filter(x, lambda v: NOT is
 @query(f"WITH {PREPARED} SELECT vec_id, state, CASE WHEN state = 'ok' THEN list_transform(x, lambda v: round(v * 0.95::DOUBLE / top, 6)) END AS x FROM s")
 def prepare_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = prep.prepared(faulty_clips(spark, sf_dir), "x", 16_000, least=0.001, most=30.0, tallest=100.0)
-    return out.select("vec_id", "state", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+    return out.select("vec_id", "state", F.transform("x", lambda v: a.to_places(v, 6)).alias("x"))
 
 
 @query(f"WITH {CLIPS} SELECT count(*) AS n, min(len(x)) = max(len(x)) AS one_shape, count_if(len(list_filter(x, lambda v: NOT isfinite(v))) > 0) = 0 AS finite, count_if(label NOT IN (0, 1)) = 0 AS binary, least(count_if(label = 0), count_if(label = 1)) >= 2 AS enough FROM clips")

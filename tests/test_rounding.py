@@ -53,3 +53,7 @@ def test_array_shapes_small_negatives(spark, tmp_path):
 
 def test_padded_windows_small_negatives(spark, tmp_path):
     assert any("-0.0" in r for r in same(spark, tmp_path, "padded_windows", "embeddings", CLIPS, CLIP))
+
+
+def test_prepare_clips_small_negatives(spark, tmp_path):
+    assert any("-0.0" in r for r in same(spark, tmp_path, "prepare_clips", "embeddings", CLIPS, CLIP))
