@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumisonde.functions.arrays import to_places
 from lumisonde.operators import metrics as m
 from lumisonde.plans.registry import query
 from lumisonde.plans.views import REAL_SCORES, SCORES, real_scores, scores
@@ -31,27 +32,27 @@ COUNTS = "count_if(y = 1 AND p >= {t}) AS tp, count_if(y = 0 AND p < {t}) AS tn,
 
 @query(f"WITH {BY_SCORE.format(g='source')} SELECT source, max(np)::BIGINT AS np, max(nn)::BIGINT AS nn, CASE WHEN max(np) > 0 AND max(nn) > 0 THEN round(sum(pos * (nn - fp) + 0.5 * pos * neg)::DOUBLE / (max(np) * max(nn)), 6) ELSE 'nan'::DOUBLE END AS auc FROM b GROUP BY source")
 def auc_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.roc_auc(scores(spark, sf_dir), ["source"]).withColumn("auc", F.round("auc", 6))
+    return m.roc_auc(scores(spark, sf_dir), ["source"]).withColumn("auc", to_places("auc", 6))
 
 
 @query(f"WITH {BY_SCORE.format(g='lang')}, t AS (SELECT lang, p, np, nn, tp / greatest(np, 1) AS r, tp / (tp + fp) AS q FROM b), s AS (SELECT *, (r - lag(r, 1, 0.0) OVER w) * (q + lag(q, 1, 1.0) OVER w) / 2 AS piece FROM t WINDOW w AS (PARTITION BY lang ORDER BY p DESC)) SELECT lang, CASE WHEN max(np) > 0 AND max(nn) > 0 THEN round(sum(piece), 6) ELSE 'nan'::DOUBLE END AS pr_auc FROM s GROUP BY lang")
 def pr_auc_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.pr_auc(scores(spark, sf_dir), ["lang"]).withColumn("pr_auc", F.round("pr_auc", 6))
+    return m.pr_auc(scores(spark, sf_dir), ["lang"]).withColumn("pr_auc", to_places("pr_auc", 6))
 
 
 @query(f"WITH {VERTICES.format(g='lang')} SELECT lang, ord::INTEGER AS ord, threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM v")
 def roc_curve_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.roc_points(scores(spark, sf_dir), ["lang"]).withColumns({"fpr": F.round("fpr", 6), "tpr": F.round("tpr", 6)})
+    return m.roc_points(scores(spark, sf_dir), ["lang"]).withColumns({"fpr": to_places("fpr", 6), "tpr": to_places("tpr", 6)})
 
 
 @query(f"WITH {VERTICES.format(g='lang')}, r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(abs(fpr - (1 - tpr)), 12), ord) AS k FROM v) SELECT lang, round((fpr + 1 - tpr) / 2, 6) AS eer, threshold AS eer_threshold FROM r WHERE k = 1")
 def eer_vertex_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.eer(scores(spark, sf_dir), ["lang"]).withColumn("eer", F.round("eer", 6))
+    return m.eer(scores(spark, sf_dir), ["lang"]).withColumn("eer", to_places("eer", 6))
 
 
 @query(f"WITH {VERTICES.format(g='lang')}, r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(abs(fpr - (1 - tpr)), 12), ord) AS k FROM v) SELECT s.lang, round(avg(CASE WHEN (s.p >= r.threshold) = (s.y = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy_at_eer FROM scores s JOIN r ON r.lang = s.lang AND k = 1 GROUP BY s.lang")
 def accuracy_at_eer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.accuracy_at_eer(scores(spark, sf_dir), ["lang"]).withColumn("accuracy_at_eer", F.round("accuracy_at_eer", 6))
+    return m.accuracy_at_eer(scores(spark, sf_dir), ["lang"]).withColumn("accuracy_at_eer", to_places("accuracy_at_eer", 6))
 
 
 DET = (
@@ -65,12 +66,12 @@ d AS (SELECT source, ord, p AS threshold, missed / nb AS pmiss, (ns - caught) /
 
 @query(f"WITH {DET} SELECT source, ord, round(threshold, 6) AS threshold, round(pmiss, 6) AS pmiss, round(pfa, 6) AS pfa FROM d")
 def det_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.det_curve(scores(spark, sf_dir), ["source"]).withColumns({c: F.round(c, 6) for c in ("threshold", "pmiss", "pfa")})
+    return m.det_curve(scores(spark, sf_dir), ["source"]).withColumns({c: to_places(c, 6) for c in ("threshold", "pmiss", "pfa")})
 
 
 @query(f"WITH {DET}, t AS (SELECT source, min(({m.C1!r} * pmiss + {m.C2!r} * pfa) / {min(m.C1, m.C2)!r}) AS x FROM d GROUP BY source) SELECT s.source, round(coalesce(x, 1.0), 6) AS min_tdcf FROM (SELECT DISTINCT source FROM scores) s LEFT JOIN t USING (source)")
 def min_tdcf_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.min_tdcf(scores(spark, sf_dir), ["source"]).withColumn("min_tdcf", F.round("min_tdcf", 6))
+    return m.min_tdcf(scores(spark, sf_dir), ["source"]).withColumn("min_tdcf", to_places("min_tdcf", 6))
 
 
 @query(f"WITH {SCORES}, c AS (SELECT lang, {COUNTS.format(t='0.5')} FROM scores GROUP BY lang) SELECT lang, tp, tn, fp, fn, {RATES}, CASE WHEN tn + fp = 0 THEN 0 ELSE tn::DOUBLE / (tn + fp) END AS specificity, CASE WHEN fp + tn = 0 THEN 0 ELSE fp::DOUBLE / (fp + tn) END AS fpr, CASE WHEN fn + tp = 0 THEN 0 ELSE fn::DOUBLE / (fn + tp) END AS fnr, CASE WHEN tn + fn = 0 THEN 0 ELSE tn::DOUBLE / (tn + fn) END AS npv FROM c")
@@ -89,7 +90,7 @@ k AS (SELECT lang, label, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp::DOUBLE / (tp +
 
 @query(f"WITH {CLASS} SELECT lang, label::VARCHAR AS label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM k UNION ALL SELECT lang, 'macro', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support)::BIGINT FROM k GROUP BY lang UNION ALL SELECT lang, 'weighted', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support)::BIGINT FROM k GROUP BY lang")
 def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.report(scores(spark, sf_dir), ["lang"]).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+    return m.report(scores(spark, sf_dir), ["lang"]).withColumns({c: to_places(c, 6) for c in ("precision", "recall", "f1")})
 
 
 @query(f"WITH {SCORES}, c AS (SELECT lang, threshold, {COUNTS.format(t='threshold')} FROM scores, (VALUES (0.3::DOUBLE), (0.4::DOUBLE), (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE)) t(threshold) GROUP BY lang, threshold) SELECT lang, threshold, tp, tn, fp, fn, {RATES} FROM c")
@@ -99,7 +100,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SCORES}, z AS (SELECT lang, y, ln(greatest(1e-7, least(1 - 1e-7, p)) / (1 - greatest(1e-7, least(1 - 1e-7, p)))) AS z FROM scores), g AS (SELECT lang, k, avg(CASE WHEN y = 1 THEN -ln(greatest(1e-12, least(1 - 1e-12, 1 / (1 + exp(-z / (k / 10.0::DOUBLE)))))) ELSE -ln(1 - greatest(1e-12, least(1 - 1e-12, 1 / (1 + exp(-z / (k / 10.0::DOUBLE)))))) END) AS nll FROM z, range(5, 50) t(k) GROUP BY lang, k), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(nll, 9), k) AS o FROM g) SELECT lang, k / 10.0::DOUBLE AS temperature, round(nll, 6) AS nll FROM r WHERE o = 1")
 def temperature_grid_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.temperature_grid(scores(spark, sf_dir), ["lang"]).withColumn("nll", F.round("nll", 6))
+    return m.temperature_grid(scores(spark, sf_dir), ["lang"]).withColumn("nll", to_places("nll", 6))
 
 
 @query(f"WITH {SCORES}, n AS (SELECT lang, y, CASE WHEN c = 'snr30' THEN p WHEN c = 'snr20' THEN CASE WHEN id % 5 = 0 THEN 1 - p ELSE p END ELSE CASE WHEN id % 2 = 0 THEN 1 - p ELSE p END END AS p, c FROM scores, (VALUES ('snr30'), ('snr20'), ('snr10')) t(c)), a AS (SELECT lang, c, round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END), 6) AS a FROM n GROUP BY lang, c) SELECT lang, max(a) FILTER (c = 'snr30') AS snr30, max(a) FILTER (c = 'snr20') AS snr20, max(a) FILTER (c = 'snr10') AS snr10 FROM a GROUP BY lang")
@@ -111,7 +112,7 @@ def robustness_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BY_SCORE.format(g='lang')}, u AS (SELECT lang, CASE WHEN max(np) > 0 AND max(nn) > 0 THEN sum(pos * (nn - fp) + 0.5 * pos * neg)::DOUBLE / (max(np) * max(nn)) ELSE 'nan'::DOUBLE END AS auc FROM b GROUP BY lang), k AS (SELECT lang, avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) AS accuracy FROM scores GROUP BY lang) SELECT lang, round(accuracy, 6) AS accuracy, round(auc, 6) AS auc, NOT isnan(auc) AND auc >= 0.6 AND accuracy >= 0.55 AS converged FROM u JOIN k USING (lang)")
 def convergence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.evaluate(scores(spark, sf_dir), ["lang"]).select("lang", F.round("accuracy", 6).alias("accuracy"), F.round("auc", 6).alias("auc"), "converged")
+    return m.evaluate(scores(spark, sf_dir), ["lang"]).select("lang", to_places("accuracy", 6).alias("accuracy"), to_places("auc", 6).alias("auc"), "converged")
 
 
 @query("WITH s AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE ELSE value / 100.0::DOUBLE END AS p FROM events) SELECT event_id, CASE WHEN isnan(p) THEN 0.5 ELSE greatest(0.0, least(1.0, p)) END AS p FROM s")
@@ -131,19 +132,19 @@ REAL_VERTICES = VERTICES.format(g="source").replace(SCORES, REAL_SCORES)
 def areas_of_real_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = real_scores(spark, sf_dir)
     out = m.roc_auc(s, ["source"]).join(m.pr_auc(s, ["source"]), "source").join(s.groupBy("source").agg(F.count_distinct("p").alias("scores")), "source")
-    return out.select("source", F.round("auc", 6).alias("auc"), F.round("pr_auc", 6).alias("pr_auc"), "scores")
+    return out.select("source", to_places("auc", 6).alias("auc"), to_places("pr_auc", 6).alias("pr_auc"), "scores")
 
 
 @query(f"WITH {REAL_VERTICES} SELECT source, ord::INTEGER AS ord, round(threshold, 9) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM v")
 def roc_of_real_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.roc_points(real_scores(spark, sf_dir), ["source"]).withColumns({c: F.round(c, n) for c, n in (("threshold", 9), ("fpr", 6), ("tpr", 6))})
+    return m.roc_points(real_scores(spark, sf_dir), ["source"]).withColumns({c: to_places(c, n) for c, n in (("threshold", 9), ("fpr", 6), ("tpr", 6))})
 
 
 @query(f"WITH {REAL_VERTICES}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(abs(fpr - (1 - tpr)), 12), ord) AS k FROM v) SELECT source, round((fpr + 1 - tpr) / 2, 6) AS eer, round(threshold, 9) AS eer_threshold FROM r WHERE k = 1")
 def eer_of_real_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.eer(real_scores(spark, sf_dir), ["source"]).withColumns({"eer": F.round("eer", 6), "eer_threshold": F.round("eer_threshold", 9)})
+    return m.eer(real_scores(spark, sf_dir), ["source"]).withColumns({"eer": to_places("eer", 6), "eer_threshold": to_places("eer_threshold", 9)})
 
 
 @query(f"WITH {REAL_BY_SCORE} SELECT source, round(least(min(({m.C1!r}::DOUBLE * fp / nn + {m.C2!r}::DOUBLE * (np - tp) / np) / {min(m.C1, m.C2)!r}::DOUBLE), {m.C2 / min(m.C1, m.C2)!r}::DOUBLE), 6) AS min_tdcf FROM b GROUP BY source")
 def tdcf_of_real_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.min_tdcf(real_scores(spark, sf_dir), ["source"]).withColumn("min_tdcf", F.round("min_tdcf", 6))
+    return m.min_tdcf(real_scores(spark, sf_dir), ["source"]).withColumn("min_tdcf", to_places("min_tdcf", 6))

@@ -57,3 +57,10 @@ def test_padded_windows_small_negatives(spark, tmp_path):
 
 def test_prepare_clips_small_negatives(spark, tmp_path):
     assert any("-0.0" in r for r in same(spark, tmp_path, "prepare_clips", "embeddings", CLIPS, CLIP))
+
+
+def test_roc_rates_at_ties(spark, tmp_path):
+    # 640 negatives: 41 / 640 and others are ties at six places, where binary products fall to either side
+    flags = [("R" if k % 2 else "A") for k in range(1280)]
+    rows = [(k + 1, 1, 900.0 + 150.0 * k, f, "O") for k, f in enumerate(flags)]
+    same(spark, tmp_path, "roc_of_real_scores", "lineitem", rows, "l_orderkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_linestatus string")
