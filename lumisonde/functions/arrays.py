@@ -202,17 +202,23 @@ def safe_name(text: Column, most: int = 100) -> Column:
     return F.left(F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "_"), F.lit(most))
 
 
+def fixed(v: Column, n: int) -> Column:
+    """A number with n decimals as printf writes it: rounded from its exact binary value, ties to even. ``format_string`` rounds the shortest decimal text of a double, half up."""
+    return F.translate(F.format_number(v, n), ",", "")
+
+
 def human_size(n: Column) -> Column:
     """Bytes with one decimal, in steps of 1024."""
-    out = F.format_string("%.1f TB", F.bround(n / 1024.0**4, 1))
+    out = F.concat(fixed(n / 1024.0**4, 1), F.lit(" TB"))
     for k, unit in reversed(list(enumerate(["B", "KB", "MB", "GB"]))):
-        out = F.when(n < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**k, 1))).otherwise(out)
+        out = F.when(n < 1024.0 ** (k + 1), F.concat(fixed(n / 1024.0**k, 1), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
 def human_duration(s: Column) -> Column:
     """Seconds, minutes or hours with one decimal."""
-    return F.when(s < 60, F.format_string("%.1fs", s)).when(s < 3600, F.format_string("%.1fmin", s / 60)).otherwise(F.format_string("%.1fh", s / 3600))
+    told = lambda v, unit: F.concat(fixed(v, 1), F.lit(unit))
+    return F.when(s < 60, told(s, "s")).when(s < 3600, told(s / 60, "min")).otherwise(told(s / 3600, "h"))
 
 
 def chunks(x: Column, n: int) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumisonde.functions.arrays import fixed
 from lumisonde.operators.ranks import percentiles, ranked
 
 # -- logs ---------------------------------------------------------------------------------
@@ -33,7 +34,7 @@ def search(log: DataFrame, model: str | None = None, fake: bool | None = None, t
 
 def display(log: DataFrame) -> DataFrame:
     """A log's rows as text: verdict, confidence in percent, N/A for what is missing."""
-    percent = F.format_string("%.1f%%", F.col("confidence") * 100)
+    percent = F.concat(fixed(F.col("confidence") * 100, 1), F.lit("%"))
     return log.select(
         "id",
         F.coalesce("filename", F.lit("N/A")).alias("filename"),

@@ -365,7 +365,7 @@ def padded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     price, at = F.col("o_totalprice"), F.col("o_orderdate").cast("timestamp")
     iso = a.iso_time(at)
-    return table(spark, sf_dir, "orders").select("o_orderkey", a.decimal_comma(F.format_number(price, 2)).alias("money"), F.concat(a.decimal_comma(F.format_string("%.1f", price / 10000)), F.lit("%")).alias("share"), iso.alias("iso"), (F.to_timestamp(iso) == F.date_trunc("second", at)).alias("back"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", a.decimal_comma(F.format_number(price, 2)).alias("money"), F.concat(a.decimal_comma(a.fixed(price / 10000, 1)), F.lit("%")).alias("share"), iso.alias("iso"), (F.to_timestamp(iso) == F.date_trunc("second", at)).alias("back"))
 
 
 @query("SELECT event_id, json_object('value', CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END IS NULL, 'kind', event_type) AS plain, event_type || '.' || (props->>'k') AS flat FROM events")

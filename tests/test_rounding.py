@@ -64,3 +64,12 @@ def test_roc_rates_at_ties(spark, tmp_path):
     flags = [("R" if k % 2 else "A") for k in range(1280)]
     rows = [(k + 1, 1, 900.0 + 150.0 * k, f, "O") for k, f in enumerate(flags)]
     same(spark, tmp_path, "roc_of_real_scores", "lineitem", rows, "l_orderkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_linestatus string")
+
+
+ORDERS = [(k, 500.0 * k - 1000.0, f"1995-01-{1 + k % 28:02d}") for k in range(400)] + [(1000, 1234567.891, "1996-02-03"), (1001, 12500000.0, "1996-02-03")]
+
+
+def test_formats_at_ties(spark, tmp_path):
+    """0.15 is less than its digits say, 0.25 is a tie."""
+    rows = [(k, p, __import__("datetime").datetime.fromisoformat(d)) for k, p, d in ORDERS]
+    same(spark, tmp_path, "formats", "orders", rows, "o_orderkey long, o_totalprice double, o_orderdate timestamp_ntz")
