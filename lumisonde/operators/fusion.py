@@ -67,13 +67,20 @@ def fuse(rows: DataFrame, sample: str, weight: str = "w") -> DataFrame:
     """
     vote = F.col("p") > 0.5
     n = F.count(F.lit(1))
+    rows = rows.withColumns({"p": F.col("p").cast("double"), weight: F.col(weight).cast("double")})
     out = rows.groupBy(sample).agg(
-        (F.sum(F.col("p") * F.col(weight)) / F.sum(weight)).alias("weighted"),
-        F.avg("p").alias("soft"),
+        F.sort_array(F.collect_list(F.struct("model", "p", F.col(weight).alias("w")))).alias("parts_"),  # a row for each model
+        F.count("p").alias("scored_"),
         F.count_if(vote).alias("votes"),
         n.alias("models"),
         F.max_by("p", F.struct(F.round(F.abs(F.col("p") - 0.5), 9), F.col("model"))).alias("max_conf"),
     )
+    # the last digit of a sum depends on its order, and majority on whether a mean is 0.4 or just above: sums go by model, however rows arrive
+    summed = lambda of: F.aggregate("parts_", F.lit(0.0), lambda s, m: s + F.coalesce(of(m), F.lit(0.0)))
+    any_ = F.col("scored_") > 0
+    soft = F.when(any_, summed(lambda m: m["p"]) / F.col("scored_"))
+    weighted = F.when(any_, summed(lambda m: m["p"] * m["w"]) / summed(lambda m: m["w"]))
+    out = out.select(sample, weighted.alias("weighted"), soft.alias("soft"), "votes", "models", "max_conf")
     unsure = (F.col("soft") > 0.4) & (F.col("soft") < 0.6)
     out = out.withColumn("majority", F.when(unsure, F.col("soft")).otherwise((2 * F.col("votes") > F.col("models")).cast("double")))
     return out.withColumn("agreement", F.greatest("votes", F.col("models") - F.col("votes")) / F.col("models"))

@@ -73,3 +73,18 @@ def test_formats_at_ties(spark, tmp_path):
     """0.15 is less than its digits say, 0.25 is a tie."""
     rows = [(k, p, __import__("datetime").datetime.fromisoformat(d)) for k, p, d in ORDERS]
     same(spark, tmp_path, "formats", "orders", rows, "o_orderkey long, o_totalprice double, o_orderdate timestamp_ntz")
+
+
+def test_fusion_does_not_depend_on_the_order_of_rows(spark):
+    """The sum of three scores is 1.2 in one order and just above in another; their mean is then 0.4 or just above, and majority the vote or the mean."""
+    from itertools import permutations
+
+    from lumisonde.operators.fusion import fuse
+
+    parts = [(k, m, p, 1.0) for k in range(1, 10) for m, p in (("a", k / 10), ("b", 1 - k / 10), ("c", 0.2))]
+    seen = set()
+    for order in permutations("abc"):
+        rows = [spark.createDataFrame([r for r in parts if r[1] == m], "id int, model string, p double, w double").coalesce(1) for m in order]
+        out = fuse(rows[0].unionByName(rows[1]).unionByName(rows[2]).coalesce(1), "id")
+        seen.add(str(sorted(map(tuple, out.collect()))))
+    assert len(seen) == 1
