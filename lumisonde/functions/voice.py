@@ -130,11 +130,12 @@ def perturbation(frames: DataFrame, key: str, rate: float) -> DataFrame:
 
 def pitch_strength(frames: DataFrame, rate: float) -> DataFrame:
     """frames (f0, voiced, w) with the autocorrelation at the period over that at 0; 0 where a frame is not voiced or too short."""
-    lag = F.floor(rate / F.col("f0")).cast("int")
-    r = autocorrelations(F.col("w"), 4096)
-    out = frames.withColumn("r_", r)
-    at = F.when(F.col("voiced") & (lag < F.size("w")) & (F.get("r_", F.lit(0)) > 0), F.get("r_", lag) / F.get("r_", F.lit(0)))
-    return out.withColumn("strength", F.coalesce(at, F.lit(0.0))).drop("r_")
+    lag, n = F.floor(rate / F.col("f0")).cast("int"), F.size("w")
+    # two sums a frame: the transform gives all lags, of which one is asked for
+    kept = F.greatest(n - lag, F.lit(0))
+    own, shifted = a.energy(F.col("w")), fr.dot(F.slice("w", F.lit(1), kept), F.slice("w", lag + 1, kept))
+    at = F.when(F.col("voiced") & (lag < n) & (own > 0), shifted / own)
+    return frames.withColumn("strength", F.coalesce(at, F.lit(0.0)))
 
 
 def harmonics_to_noise(frames: DataFrame, key: str, size: int, rate: float, harmonics: int = 5, reach: int = 2) -> DataFrame:

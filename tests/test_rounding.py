@@ -88,3 +88,16 @@ def test_fusion_does_not_depend_on_the_order_of_rows(spark):
         out = fuse(rows[0].unionByName(rows[1]).unionByName(rows[2]).coalesce(1), "id")
         seen.add(str(sorted(map(tuple, out.collect()))))
     assert len(seen) == 1
+
+
+def test_pitch_strength_has_no_rows_of_lags(spark):
+    """Frames of any length: a period over 4,096 samples counts as well, and no array of lags goes through Python."""
+    from lumisonde.functions import voice
+
+    w = [math.sin(2 * math.pi * k / 5000) for k in range(12000)]
+    df = spark.createDataFrame([(1, w, 3.2, True), (2, w[:100], 3.2, True), (3, w, 3.2, False)], "id int, w array<double>, f0 double, voiced boolean")
+    out = voice.pitch_strength(df, 16000.0)
+    want = sum(u * v for u, v in zip(w, w[5000:])) / sum(u * u for u in w)
+    got = [r["strength"] for r in out.orderBy("id").collect()]
+    assert abs(got[0] - want) < 1e-12 and got[1:] == [0.0, 0.0]
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
