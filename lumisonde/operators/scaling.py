@@ -12,10 +12,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of series that a task gets, if series are shorter.
+ROWS = 50_000
+
 
 def series_of(clips: DataFrame, key: str, x: str) -> DataFrame:
-    """(key, i, x) of an array column."""
-    return clips.select(key, F.posexplode(x).alias("i", "x"))
+    """(key, i, x) of an array column.
+
+    Clips are dealt by key before they become rows, into as many parts as leave about ``ROWS`` rows in one (this takes a pass over the lengths): what is done by key then needs no further
+    shuffle, and a task's rows do not grow with the table. Left to itself Spark would join the parts again, as they are small until rows come of them.
+    """
+    rows = clips.agg(F.sum(F.size(x).cast("long")).alias("n")).first()["n"] or 0
+    parts = max(clips.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS))
+    return clips.select(key, x).repartition(parts, key).select(key, F.posexplode(x).alias("i", "x"))
 
 
 def _sized(series: DataFrame, by: Sequence[str]) -> DataFrame:
