@@ -30,7 +30,7 @@ def embedded(series: DataFrame, by: Sequence[str], at: str, x: str, m: int) -> D
 def pairs(points: DataFrame, by: Sequence[str], m: int, radius: Column, metric: str = "max", strict: bool = False) -> DataFrame:
     """(by, i, j) with i < j, and both points' other columns as a and b: all pairs of a series' points (i, v, ...) within its radius.
 
-    metric is max or euclid. A radius of 0 finds equal points. A point asks 3^m cells, itself and those around, for points of larger number.
+    metric is max or euclid. A radius of 0 finds equal points. A point asks its own cell for points of larger number, and the cells on one side of it, half of those around, for all.
     """
     wide = F.when(radius > 0, radius).otherwise(F.lit(1.0))
     cell = lambda v, k: F.floor(F.get(v, F.lit(k)) / F.col("r_")).cast("bigint")
@@ -39,13 +39,19 @@ def pairs(points: DataFrame, by: Sequence[str], m: int, radius: Column, metric:
     rest = F.struct(*[c for c in points.columns if c not in (*by, "i")])
     cells = points.withColumn("r_", wide).withColumn("radius_", radius)
     cells = cells.select(*by, "i", rest.alias("p"), F.array(*[cell("v", k) for k in range(dims)]).alias("c"), "radius_")
-    steps = [F.array(*x) for x in ([[F.lit(i)] for i in (-1, 0, 1)] if dims == 1 else [[F.lit(i), F.lit(j)] for i in (-1, 0, 1) for j in (-1, 0, 1)])]
-    asked = cells.select(*by, "i", F.col("p").alias("a"), "radius_", F.explode(F.array(*[F.zip_with("c", s, lambda u, d: u + d) for s in steps])).alias("c"))
+    # itself and the cells on one side: of two cells side by side only one asks the other
+    steps = [[0], [1]] if dims == 1 else [[0, 0], [0, 1], [1, -1], [1, 0], [1, 1]]
+    step = lambda k, s: F.struct(F.lit(k > 0).alias("other"), F.zip_with("c", F.array(*map(F.lit, s)), lambda u, d: u + d).alias("c"))
+    asked = cells.select(*by, "i", F.col("p").alias("a"), "radius_", F.explode(F.array(*[step(k, s) for k, s in enumerate(steps)])).alias("s"))
+    asked = asked.select(*by, "i", "a", "radius_", F.col("s.other").alias("other_"), F.col("s.c").alias("c"))
     there = cells.select(*by, F.col("i").alias("j"), F.col("p").alias("b"), "c")
     off = F.zip_with("a.v", "b.v", lambda u, w: F.abs(u - w))
     far = F.array_max(off) if metric == "max" else F.sqrt(F.aggregate(off, F.lit(0.0), lambda s, d: s + d * d))
     near = far < F.col("radius_") if strict else far <= F.col("radius_")
-    return asked.join(there, [*by, "c"]).where((F.col("i") < F.col("j")) & near).select(*by, "i", "j", "a", "b", "radius_")
+    found = asked.join(there, [*by, "c"]).where((F.col("other_") | (F.col("i") < F.col("j"))) & near)
+    first = F.col("i") < F.col("j")
+    swapped = lambda u, v: F.when(first, F.col(u)).otherwise(F.col(v)).alias(u)
+    return found.select(*by, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), swapped("a", "b"), swapped("b", "a"), "radius_")
 
 
 def _with_radius(series: DataFrame, by: Sequence[str], x: str, r: float) -> DataFrame:
