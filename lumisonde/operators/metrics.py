@@ -23,6 +23,10 @@ C1 = P_TARGET * (C_MISS_CM - C_MISS_ASV * PMISS_ASV) - P_NONTARGET * C_FA_ASV *
 C2 = C_FA_CM * P_SPOOF * (1 - PMISS_SPOOF_ASV)
 
 
+#: Scores in a range of a curve.
+ROWS = 200_000
+
+
 def nan() -> Column:
     return F.lit(float("nan"))
 
@@ -94,7 +98,7 @@ def sweep(scores: DataFrame, by: Sequence[str], thresholds: Sequence[float] = (0
 def by_score(scores: DataFrame, by: Sequence[str], number: str | None = None, after: dict[str, str] | None = None) -> DataFrame:
     """Per distinct score: its positives and negatives, those at or above it (tp, fp), and the group's (np, nn); if asked its number from the highest, and values of the next lower one."""
     each = scores.groupBy(*by, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    return ordered(each, by, [-F.col("p")], cuts=cuts_of(scores, -F.col("p")), number=number, sums={"tp": "pos", "fp": "neg"}, totals={"np": "pos", "nn": "neg"}, after=after)
+    return ordered(each, by, [-F.col("p")], cuts=cuts_of(scores, -F.col("p"), each=ROWS), number=number, sums={"tp": "pos", "fp": "neg"}, totals={"np": "pos", "nn": "neg"}, after=after)
 
 
 def roc_auc(scores: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -134,7 +138,7 @@ def eer_by_interpolation(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """Equal error rate where the ROC polyline meets 1 - FPR = TPR, and the threshold interpolated between the two vertices around."""
     gap = 1 - F.col("fpr") - F.col("tpr")
     points = roc_points(scores, by).withColumn("gap", gap)
-    at = ordered(points, by, [-F.col("threshold"), "ord"], cuts=cuts_of(scores, -F.col("p")), before={"f0": "fpr", "t0": "threshold", "g0": "gap"})
+    at = ordered(points, by, [-F.col("threshold"), "ord"], cuts=cuts_of(scores, -F.col("p"), each=ROWS), before={"f0": "fpr", "t0": "threshold", "g0": "gap"})
     share = F.when(F.col("g0") == F.col("gap"), 0.0).otherwise(F.col("g0") / (F.col("g0") - F.col("gap")))
     root = F.col("f0") + share * (F.col("fpr") - F.col("f0"))
     cut = F.when(F.col("t0") == float("inf"), F.col("threshold")).otherwise(F.col("t0") + share * (F.col("threshold") - F.col("t0")))

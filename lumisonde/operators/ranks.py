@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Ranges of the order, unless the caller names another number.
 RANGES = 32
+#: Ranges at most, where their number follows that of the rows.
+MOST = 1024
 
 
 def _col(c: Column | str) -> Column:
@@ -50,10 +52,18 @@ def _number(rows: DataFrame, value: Column | str) -> Column:
     return (F.unix_micros(c.cast("timestamp")) if timed else c).cast("double")
 
 
-def cuts_of(rows: DataFrame, value: Column | str, ranges: int = RANGES) -> list[float]:
-    """Where to cut the order of a number or time into ranges of about as many rows: a job over rows, whose result (ranges - 1 numbers) serves every ``ordered`` by the same value."""
-    found = rows.agg(F.percentile_approx(_number(rows, value), [k / ranges for k in range(1, ranges)], F.lit(1000)).alias("c")).first()["c"]
-    return sorted(set(found or []))
+def cuts_of(rows: DataFrame, value: Column | str, ranges: int = RANGES, each: int | None = None) -> list[float]:
+    """Where to cut the order of a number or time into ranges of about as many rows: a job over rows, whose result (ranges - 1 numbers) serves every ``ordered`` by the same value.
+
+    With each, there are more ranges the more rows there are (doubled until about ``each`` rows are left in one, ``MOST`` at most), so that a range does not grow with the table. This is for few
+    groups: the table of ranges has a row for each range of each group.
+    """
+    q = max(ranges, MOST) if each else ranges
+    found = rows.agg(F.percentile_approx(_number(rows, value), [k / q for k in range(1, q)], F.lit(10 * q if each else 1000)).alias("c"), F.count(F.lit(1)).alias("n")).first()
+    cuts, step = found["c"] or [], q // ranges
+    while each and step > 1 and found["n"] * step > each * q:
+        step //= 2
+    return sorted(set(cuts[step - 1 :: step]))
 
 
 def ordered(
