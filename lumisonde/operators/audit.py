@@ -16,9 +16,13 @@ from pyspark.sql import functions as F
 
 from lumisonde.functions import arrays as a
 from lumisonde.operators import splits
+from lumisonde.operators.ranks import RANGES, ordered
 
 FEATURES = ("rms", "offset", "abs_mean", "std", "largest", "crest", "zero_crossings", "silent_share", "clipped_share", "energy", "length", "first_difference")
 
+#: Cuts of 64-bit hashes into even ranges, which no job has to find.
+EVEN = [-(2.0**63) + k * 2.0**64 / RANGES for k in range(1, RANGES)]
+
 
 def features(x: Column) -> dict[str, Column]:
     """The twelve global features of an array of samples; 0 where one is undefined."""
@@ -59,7 +63,7 @@ def shortcuts(rows: DataFrame, label: str, group: str, names: Sequence[str] = FE
     out = score(test).select(F.lit(None).cast("string").alias("feature"), "accuracy")
     for name in names:
         # a feature's values in an order of their own: row k gets the value of the k-th row by a hash
-        own, other = (splits.ranked(test.withColumn("h_", F.xxhash64("id_", F.lit(s))), [], ["h_", "id_"], "k_", "n_") for s in (f"{name}{seed}", f"{seed}{name}"))
+        own, other = (ordered(test.withColumn("h_", F.xxhash64("id_", F.lit(s))), [], ["h_", "id_"], number="k_", size="n_", cuts=EVEN) for s in (f"{name}{seed}", f"{seed}{name}"))
         mixed = own.drop(name, "h_", "n_").join(other.select("k_", name), "k_")
         out = out.unionByName(score(mixed).select(F.lit(name).alias("feature"), "accuracy"))
     whole = F.max(F.when(F.col("feature").isNull(), F.col("accuracy")))
