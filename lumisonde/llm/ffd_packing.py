@@ -21,11 +21,13 @@ is a group of its own; memory then grows with that document only.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +35,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 CAPACITY = 4096
 END_ID = 2
 #: Tokens of a group, about: 4 bytes each in memory.
 GROUP_TOKENS = 1 << 21
-#: A full stop or comma after a letter and before white space: a token of its own for tokenizers that split off punctuation.
-STOP_AFTER_LETTER = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([.,])(?![^\x20\x09-\x0D])")
 CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
-#: Letters whose lower case and bytes are the same for any library.
-LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Chunks whose ids a task keeps, twice at most: those met lately, and those met before. A worker keeps the first between tasks.
+#: How a tokenizer file may prepare text so that Latin-1 text can be cut here: the same words, lower case by character.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: The words of that split in lower-cased Latin-1 text, which NFC leaves as it is.
+LATIN_WORD = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾\x09-\x0D\x20\x85\xA0]+")
+#: Words and chunks whose ids a task keeps, twice at most: those met lately, and those met before. A worker keeps the first between tasks.
 CACHED_CHUNKS = 200_000
 
 
@@ -159,6 +166,32 @@ def little(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+class Found(dict):
+    """What a function gives for each key, kept; a key that is not here is looked up in those kept before."""
+
+    def __init__(self, find: Callable[[str], bytes], before: dict[str, bytes]):
+        self.find, self.before = find, before
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.before.get(key)
+        self[key] = ids = self.find(key) if ids is None else ids
+        return ids
+
+
+def cut_by_latin(tokenizer: Tokenizer) -> bool:
+    """Whether LATIN_WORD cuts lower-cased Latin-1 text into the words that the tokenizer merges one by one."""
+    plan = json.loads(tokenizer.to_str())
+    steps = plan["normalizer"], plan["pre_tokenizer"], plan["post_processor"]
+    return steps == (NORMALIZER, {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}, None) and all(t["special"] for t in plan["added_tokens"])
+
+
+def is_latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 Encoder = tuple[Callable[[str | None], bytes], Callable[[], None]]
 _encoders: dict[str, Encoder] = {}
 
@@ -166,8 +199,8 @@ _encoders: dict[str, Encoder] = {}
 def chunk_encoder(path: str) -> Encoder:
     """Text to little-endian 32-bit ids, by a tokenizer file that drops white space; and what a task calls at its end.
 
-    Ids of chunks between white space are kept for reuse. Chunks of plain letters go to the
-    file's merge rules directly, if that gives what the whole tokenizer gives.
+    Words of Latin-1 text go to the file's merge rules, if it cuts such text as LATIN_WORD does. Other chunks between
+    white space go to the whole tokenizer. The ids of both are kept for reuse.
     """
     if path in _encoders:
         return _encoders[path]
@@ -175,46 +208,35 @@ def chunk_encoder(path: str) -> Encoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    rules, as_letters = tokenizer.model, byte_letters()
-    lately: dict[str, bytes] = {}
-    before: dict[str, bytes] = {}
+    merged, as_letters = tokenizer.model.tokenize, byte_letters()
 
-    def whole(chunks: list[str]) -> list[bytes]:
-        return [little(e.ids) for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else []
+    def whole(chunk: str) -> bytes:
+        return little(tokenizer.encode(chunk, add_special_tokens=False).ids)
 
-    def by_rules(chunk: str) -> bytes:
-        found = rules.tokenize(chunk.lower().encode().decode("latin-1").translate(as_letters))
-        return little([t.id for t in found])
+    def by_rules(word: str) -> bytes:
+        plain = word.isascii() and word.isalnum()  # stands for itself
+        return little([t.id for t in merged(word if plain else word.encode().decode("latin-1").translate(as_letters))])
 
-    probes = ["straightforwardly", "Einverständnis", "FRANÇAIS", "corazón", "ßÿñ", "q"]
-    direct = whole(probes) == [by_rules(x) for x in probes]
-    apart = all(whole([w + c]) == [b"".join(whole([w, c]))] for w in probes for c in ".,")
-    lower = whole([x.upper() for x in probes if x.isascii()]) == whole([x for x in probes if x.isascii()])
+    probes = ["straightforwardly", "einverständnis", "français", "corazón", "ßÿñ", "q", "7", "½", "...", "'ll"]
+    latin = cut_by_latin(tokenizer) and all(whole(x) == by_rules(x) for x in probes)
+    words, chunks = Found(by_rules, {}), Found(lambda c: b"".join(map(words.__getitem__, LATIN_WORD.findall(c.lower()))) if latin and is_latin(c) else whole(c), {})
 
     def encode(text: str | None) -> bytes:
-        nonlocal lately, before
         if not text:
             return b""
-        if lower and text.isascii():
-            text = text.lower()
-        chunks = CHUNK.findall(STOP_AFTER_LETTER.sub(r" \1", text) if apart else text)
-        hard = []
-        for c in set(chunks):
-            if c not in lately:
-                if (ids := before.get(c)) is not None:
-                    lately[c] = ids
-                elif direct and LETTERS.fullmatch(c):
-                    lately[c] = by_rules(c)
-                else:
-                    hard.append(c)
-        lately.update(zip(hard, whole(hard), strict=True))
-        out = b"".join(map(lately.__getitem__, chunks))
-        if len(lately) > CACHED_CHUNKS:
-            lately, before = {}, lately
+        if latin and is_latin(text):
+            out = b"".join(map(words.__getitem__, LATIN_WORD.findall(text.lower())))
+        else:
+            out = b"".join(map(chunks.__getitem__, CHUNK.findall(text)))
+        for kept in (words, chunks):
+            if len(kept) > CACHED_CHUNKS:
+                kept.before = dict(kept)
+                kept.clear()
         return out
 
     def end() -> None:
-        before.clear()
+        for kept in (words, chunks):
+            kept.before = {}
         pa.default_memory_pool().release_unused()
 
     _encoders[path] = encode, end

@@ -197,3 +197,30 @@ def test_encoder_is_the_tokenizer(texts):
     odd = ["It's 'S it's, a.b. ÉCOLE, école. ÀÉ́ é, İ ΣΑΣ. <|endoftext|> x</w> a b, ,a .a A..", "ﬁn. ½ 12,5. don't.  x,y", "ŒUVRE. ǅ, ß. ẞ,"]
     for x in [*texts.values(), *odd]:
         assert encode(x) == np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_encoder_is_the_tokenizer_on_all_latin_characters():
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    t, encode = Tokenizer.from_file(file), ffd_packing.chunk_encoder(file)[0]
+    t.encode_special_tokens = True
+    every = [chr(i) for i in range(256)]
+    for x in ["".join(every), *(f"a{c}b{c}{c} {c}'s'{c} 1{c}É{c}œ" for c in every), *(f"a{c}b'{c}LL" for c in every)]:
+        assert encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_a_word_is_merged_once_whatever_stands_by_it(monkeypatch):
+    merged = []
+
+    class Counted(ffd_packing.Found):
+        def __missing__(self, key):
+            merged.append(key)
+            return super().__missing__(key)
+
+    monkeypatch.setattr(ffd_packing, "Found", Counted, raising=False)
+    monkeypatch.setattr(ffd_packing, "_encoders", {})
+    encode = ffd_packing.chunk_encoder(public_tokenizers.path("word_bpe_49k.json"))[0]
+    for end in ("", ",", ".", "###", ",%%%", "!!", "&&&", "***."):
+        encode(f"Über{end} über{end} ÜBER{end} plain{end} 12{end} Plain{end}")
+    assert sorted(merged) == sorted({"über", "plain", "1", "2", ",", ".", "###", ",%%%", "!!", "&&&", "***."})
