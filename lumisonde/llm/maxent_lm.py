@@ -30,6 +30,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,8 @@ ROUNDS, STEPS, PENALTY = 1, 20, 0.5
 START, CURVE = 4.0, 0.5
 #: Different words that a counting task holds, words of one numpy batch, and of one step of the gradient.
 HELD_WORDS, BATCH_WORDS, STEP_WORDS = 250_000, 1_000_000, 50_000
+#: Targets whose class probabilities are worked out at a time, so that they stay in a core's cache; logarithms that float32 can raise as they are.
+BLOCK, SAFE = 4096, 60
 #: Training tokens whose pairs make one part.
 PART_TOKENS = 2_000_000
 #: Training tokens of a shard, on average.
@@ -90,14 +93,15 @@ class Held:
     def __init__(self, ws: list[bytes], most: int):
         self.most = most
         self.number = {w: i for i, w in enumerate(ws)}.get
-        self.hashes = hashes_of(ws)
+        # the last one is that of no word, which number -1 finds
+        self.hashes, self.classes = np.append(hashes_of(ws), EDGE_HASH), np.append(classes_of(ws), EDGE)
 
 
 class Batch:
     """Texts as arrays of places: two edges before each text, its words, and one edge, its end. Targets are words and ends."""
 
     def __init__(self, texts: list[list[bytes]], held: Held):
-        ws = [w for t in texts for w in t]
+        ws = list(chain.from_iterable(texts))
         n = np.array([len(t) for t in texts], np.int64)
         first = np.cumsum(n + 3) - n - 1
         is_word = np.ones(int((n + 3).sum()), bool)
@@ -107,13 +111,13 @@ class Batch:
         self.at, self.most = np.flatnonzero(target), held.most
         self.word_at = np.flatnonzero(is_word[self.at])  # among targets
         self.lengths, self.owner = n + 1, np.repeat(np.arange(len(n)), n + 1)
-        own = np.fromiter((held.number(w, -1) for w in ws), np.int64, len(ws))
-        hashed = np.empty(len(ws), np.uint64)
+        own = np.fromiter(map(held.number, ws, repeat(-1)), np.int64, len(ws))
+        hashed, cls = held.hashes[own], held.classes[own]
         cold = np.flatnonzero(own < 0)
-        hashed[own >= 0] = held.hashes[own[own >= 0]]
-        hashed[cold] = hashes_of([ws[i] for i in cold.tolist()])
+        rare = [ws[i] for i in cold.tolist()]
+        hashed[cold], cls[cold] = hashes_of(rare), classes_of(rare)
         self.number, self.cls, self.hash = np.full(len(is_word), -1), np.full(len(is_word), EDGE), np.full(len(is_word), EDGE_HASH)
-        self.number[is_word], self.cls[is_word], self.hash[is_word] = own, classes_of(ws), hashed
+        self.number[is_word], self.cls[is_word], self.hash[is_word] = own, cls, hashed
 
     @property
     def outcome(self) -> np.ndarray:
@@ -176,6 +180,13 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.add.reduceat(n[order], at) if len(at) else n[:0]
 
 
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with how often each occurs."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[at], np.diff(np.append(at, len(keys))).astype(np.uint64)
+
+
 # -- counting and training --------------------------------------------------------------------
 
 
@@ -199,14 +210,31 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield sent([None], np.array([EDGE]), [texts])
 
 
-def class_log(w: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the classes' probabilities: (targets, OUT)."""
+def class_powers(w: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(targets, OUT) logarithms of the classes' probabilities up to a number for each target, their powers, and the powers' sums."""
     z = w[features[0]]
     for f in features[1:]:
         z += w[f]
     z += w[0]
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    if z.size and not (z.max() < SAFE and z.min() > -SAFE):
+        z -= z.max(1, keepdims=True)
+    e = np.exp(z)
+    return z, e, e @ np.ones(e.shape[1], e.dtype)
+
+
+def class_log(w: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the classes' probabilities: (targets, OUT)."""
+    z, _, total = class_powers(w, features)
+    return z - np.log(total)[:, None]
+
+
+def class_log_of(w: np.ndarray, features: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of each target's own class."""
+    found = np.empty(len(out))
+    for a in range(0, len(out), BLOCK):
+        z, _, total = class_powers(w, features[:, a : a + BLOCK])
+        found[a : a + BLOCK] = z[np.arange(len(z)), out[a : a + BLOCK]] - np.log(total)
+    return found
 
 
 def follow(w: np.ndarray, seen: np.ndarray, b: Batch) -> None:
@@ -214,16 +242,21 @@ def follow(w: np.ndarray, seen: np.ndarray, b: Batch) -> None:
     features, out = b.features(), b.cls[b.at]
     for a in range(0, len(out), STEP_WORDS):
         f, o = features[:, a : a + STEP_WORDS], out[a : a + STEP_WORDS]
-        d = np.exp(class_log(w, f))
+        d = np.empty((len(o), w.shape[1]), w.dtype)
+        for i in range(0, len(o), BLOCK):
+            _, e, total = class_powers(w, f[:, i : i + BLOCK])
+            np.divide(e, total[:, None], out=d[i : i + BLOCK])
         d[np.arange(len(o)), o] -= 1
         w[0] -= d.sum(0) / (CURVE * (seen[0] + len(o)) + START)
         seen[0] += len(o)
+        by_class = np.ascontiguousarray(d.T, float)
         for x in f:
-            order = np.argsort(x)
-            at = np.flatnonzero(np.concatenate(([True], np.diff(x[order]) > 0)))
-            rows, n = x[order[at]], np.diff(np.append(at, len(x)))
-            seen[rows] += n
-            w[rows] -= np.add.reduceat(d.take(order, axis=0), at, axis=0) / (CURVE * seen[rows] + START)[:, None]
+            low = x.min()
+            n = np.bincount(x - low)
+            rows = np.flatnonzero(n)
+            moved = np.stack([np.bincount(x - low, c)[rows] for c in by_class], 1)
+            seen[low + rows] += n[rows]
+            w[low + rows] -= moved / (CURVE * seen[low + rows] + START)[:, None]
 
 
 def train_classes(docs: DataFrame, ws: list[bytes], most: int, start: np.ndarray, rounds: int, groups: int, shards: int) -> np.ndarray:
@@ -274,10 +307,17 @@ def train_classes(docs: DataFrame, ws: list[bytes], most: int, start: np.ndarray
 def train_pairs(keys: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For distinct sorted keys with counts: by how much each pair's logarithm differs from its share's; then the groups, and that of other outcomes.
 
-    share: of each outcome within its class. All pairs step at once, by a bound of the curvature.
+    share: of each outcome within its class. Groups, which do not touch each other, are trained some at a time.
     """
     group = (keys >> np.uint64(32)).astype(np.int64)
     at = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    cuts = at[np.unique(np.searchsorted(at, np.arange(0, len(keys), 8 * BLOCK)).clip(max=len(at) - 1))].tolist()
+    found = [_train_groups(keys[a:z], n[a:z], share, at[slice(*np.searchsorted(at, (a, z)))] - a) for a, z in zip(cuts, [*cuts[1:], len(keys)])]
+    return np.concatenate([x for x, _ in found]), group[at], np.concatenate([x for _, x in found])
+
+
+def _train_groups(keys: np.ndarray, n: np.ndarray, share: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of some groups, which begin at these places: all pairs step at once, by a bound of the curvature."""
     sizes = np.diff(np.append(at, len(keys)))
     wide = lambda x: np.repeat(x, sizes)
     p0 = share[(keys & np.uint64(2**32 - 1)).astype(np.int64)]
@@ -289,7 +329,7 @@ def train_pairs(keys: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[np.
         p = e / wide(z)
         theta += np.clip((n - total * p - PENALTY * theta) / (total * p + PENALTY), -2, 2)
     z = np.log(other + np.add.reduceat(p0 * np.exp(theta), at))
-    return theta - wide(z), group[at], -z
+    return theta - wide(z), -z
 
 
 @dataclass
@@ -331,8 +371,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, most: int = HOT) -> Model:
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, b in batched(batches, Held(sent.value, most)):
-            keys = b.keys()
-            yield dealt(*summed(keys, np.ones(len(keys), np.uint64)), parts, PAIR_COUNTS, -1)
+            yield dealt(*counted(b.keys()), parts, PAIR_COUNTS, -1)
 
     return Model(table, slim.mapInArrow(count_pairs, ROWS), parts, tokens, int(sizes.sum()) + (ends > 0), ends, ws, counts, share, np.log10(rest), weights)
 
@@ -405,12 +444,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         chunk = TaskContext.get().partitionId() << 32
         for ids, b in batched(batches, Held(ws, len(share) - CLASSES)):
             n, own, cls = len(b.at), b.number[b.at[b.word_at]], b.cls[b.at[b.word_at]]
-            base, full, known = np.full(n, np.log10(ends + 0.5)), np.empty(n), np.full(n, ends > 0)
+            base, known = np.full(n, np.log10(ends + 0.5)), np.full(n, ends > 0)
             base[b.word_at], known[b.word_at] = np.where(own >= 0, hot_log[own], 0.0), own >= 0
-            features, out = b.features(), b.cls[b.at]
-            for a in range(0, n, STEP_WORDS):
-                o = out[a : a + STEP_WORDS]
-                full[a : a + STEP_WORDS] = class_log(weights, features[:, a : a + STEP_WORDS])[np.arange(len(o)), o] / np.log(10)
+            full = class_log_of(weights, b.features(), b.cls[b.at]) / np.log(10)
             full[b.word_at] += share_log[b.outcome] - np.where(own >= 0, 0.0, rest[cls])
             base, full, known = (np.bincount(b.owner, x, len(ids)) for x in (base, full, known))
             null = np.array([i is None for i in ids])

@@ -241,3 +241,29 @@ def test_scores_do_not_depend_on_files(spark, docs, tmp_path, monkeypatch):
     assert found[0].keys() == found[1].keys() == found[2].keys()
     for other in found[1:]:
         assert all(abs(a - b) <= 1e-6 * abs(a) for i in other for a, b in zip(found[0][i], other[i]))
+
+
+def test_a_batch_works_out_only_the_words_it_does_not_hold(monkeypatch):
+    texts = [[b"of", b"the", b"of", b"rareword"], [], [b"the", b"other"]]
+    want = maxent_lm.Batch(texts, maxent_lm.Held([], 10))
+    held, asked, find = maxent_lm.Held([b"the", b"of"], 10), [], maxent_lm.classes_of
+    monkeypatch.setattr(maxent_lm, "classes_of", lambda ws: asked.extend(ws) or find(ws))
+    got = maxent_lm.Batch(texts, held)
+    assert asked == [b"rareword", b"other"]
+    assert (got.cls == want.cls).all() and (got.hash == want.hash).all() and got.number[got.at].tolist() == [1, 0, 1, -1, -1, -1, 0, -1, -1]
+
+
+def test_class_powers_and_pairs_in_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    f, out = rng.integers(1, 50, (3, 1000)), rng.integers(0, maxent_lm.OUT, 1000)
+    keys = np.unique(rng.integers(0, 40, 3000).astype(np.uint64) << np.uint64(32) | rng.integers(0, 200, 3000).astype(np.uint64))
+    n, share = rng.integers(1, 9, len(keys)).astype(np.uint64), np.full(200, 0.005)
+    whole = maxent_lm.train_pairs(keys, n, share)
+    monkeypatch.setattr(maxent_lm, "BLOCK", 7)
+    for scale in (1, 100):
+        w = (scale * rng.standard_normal((50, maxent_lm.OUT))).astype(np.float32)
+        z = w[f].astype(float).sum(0) + w[0]
+        z -= z.max(1, keepdims=True)
+        want = z[np.arange(1000), out] - np.log(np.exp(z).sum(1))
+        assert np.allclose(maxent_lm.class_log_of(w, f, out), want, rtol=1e-4, atol=1e-4)
+    assert all((a == b).all() for a, b in zip(whole, maxent_lm.train_pairs(keys, n, share)))
