@@ -69,10 +69,12 @@ CHUNK, BATCH = 1_500_000, 400_000
 SPLIT = 6
 #: Most pieces a table may have to be broadcast whole.
 MOST_PIECES = 1_000_000
-#: An edge of a model of merges is one number: rank, start, end, whether to begin again, id + 1 (0: no piece).
+#: The key of an edge of a model of merges is one number: rank, start, end, whether to begin again, id + 1 (0: no piece).
 ID_BITS, PLACE_BITS = 20, 6
 AGAIN = 1 << ID_BITS
 END_AT, START_AT, RANK_AT = ID_BITS + 1, ID_BITS + 1 + PLACE_BITS, ID_BITS + 1 + 2 * PLACE_BITS
+#: The bit of a fold's state that says to go on; the lower ones are boundaries.
+ON = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -169,7 +171,8 @@ def lexicon(asked: DataFrame, parts: int) -> DataFrame:
 def lattice(words: DataFrame, vocabulary: Pieces) -> DataFrame:
     """(unit, edges): edges (end, start, score, id) in the order of their ends; id -1 marks a character without a piece.
 
-    For a model of merges (unit, chars, joins): edges as numbers, of one character and of more, the latter by rank and place.
+    For a model of merges (unit, chars, joins): edges of one character and of more, the latter by rank and place. With its key an edge has
+    what folds ask of it, in bits: what a state must have (its boundaries, and to go on), the boundaries within it, and what it leaves of a state.
     """
     marked = F.translate("unit", " ", SPACE)
     starts = F.sequence(F.lit(0), F.char_length("unit") - 1)
@@ -182,10 +185,14 @@ def lattice(words: DataFrame, vocabulary: Pieces) -> DataFrame:
     if not vocabulary.merges:
         edge = F.struct(end.alias("end"), "start", F.coalesce("score", F.lit(-1e6)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
         return met.where("id is not null or size = 1").groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    edge = F.coalesce("code", F.lit(0)) + F.col("start").cast("long") * (1 << START_AT) + end.cast("long") * (1 << END_AT)
-    one = F.col("size") == 1
-    met = met.where("code is not null or size = 1").groupBy("unit").agg(F.collect_list(F.when(one, edge)).alias("chars"), F.collect_list(F.when(~one, edge)).alias("joins"))
-    return met.withColumn("joins", F.sort_array("joins"))
+    key = F.coalesce("code", F.lit(0)) + F.col("start").cast("long") * (1 << START_AT) + end.cast("long") * (1 << END_AT)
+    needs, inner = _bit(F.col("start")).bitwiseOR(_bit(end)).bitwiseOR(F.lit(ON)), _bit(end) - _bit(F.col("start"), 2)
+    leaves = F.bitwise_not(F.when(key.bitwiseAND(AGAIN) > 0, inner.bitwiseOR(F.lit(ON))).otherwise(inner))
+    about = F.struct(key.alias("key"), needs.alias("needs"), inner.alias("inner"), leaves.alias("leaves"))
+    # a column of its own, which both lists name, so that it is made where rows are and not within the aggregate
+    edges = met.where("code is not null or size = 1").select("unit", (F.col("size") == 1).alias("one"), about.alias("edge"))
+    lists = edges.groupBy("unit").agg(F.collect_list(F.when(F.col("one"), F.col("edge"))).alias("chars"), F.collect_list(F.when(~F.col("one"), F.col("edge"))).alias("joins"))
+    return lists.withColumn("joins", F.sort_array("joins"))
 
 
 def viterbi(edges: Column, length: Column) -> Column:
@@ -207,39 +214,27 @@ def _bit(place: Column, of: int = 1) -> Column:
     return F.call_function("shiftleft", F.lit(of).cast("long"), place.cast("int"))
 
 
-def _ends(edge: Column) -> tuple[Column, Column]:
-    """The two boundaries of an edge, and those within it, as bits."""
-    low = 2**PLACE_BITS - 1
-    start, end = F.shiftright(edge, START_AT).bitwiseAND(low), F.shiftright(edge, END_AT).bitwiseAND(low)
-    return _bit(start).bitwiseOR(_bit(end)), _bit(end) - _bit(start, 2)
-
-
 def merging(chars: Column, joins: Column, length: Column) -> Column:
     """Ids after merging neighbours, best rank first and leftmost of equal ones; -1 - start for characters without a piece.
 
-    The state is a bit for each boundary left, and whether to begin again. Each fold that ends early has merged something, so
+    The state is a bit for each boundary left, and one for whether to go on. Each fold that ends early has merged something, so
     as many folds as there are characters are enough; they are skipped once one has run to its end.
     """
-    state = lambda bits, again: F.struct(bits.alias("bits"), again.alias("again"))
 
     def join(s: Column, e: Column) -> Column:
-        ends, inner = _ends(e)
-        fits = ~s["again"] & (s["bits"].bitwiseAND(ends) == ends) & (F.bit_count(s["bits"].bitwiseAND(inner)) == 1)
-        return F.when(fits, state(s["bits"].bitwiseAND(F.bitwise_not(inner)), e.bitwiseAND(AGAIN) > 0)).otherwise(s)
+        fits = (s.bitwiseAND(e["needs"]) == e["needs"]) & (F.bit_count(s.bitwiseAND(e["inner"])) == 1)
+        return F.when(fits, s.bitwiseAND(e["leaves"])).otherwise(s)
 
     def fold(s: Column, _: Column) -> Column:
-        return F.when(s["again"], F.aggregate(joins, state(s["bits"], F.lit(False)), join)).otherwise(s)
+        return F.when(s < ON, F.aggregate(joins, s + ON, join)).otherwise(s)
 
     def names(s: Column) -> Column:
-        def left(e: Column) -> Column:
-            ends, inner = _ends(e)
-            return (s["bits"].bitwiseAND(ends) == ends) & (s["bits"].bitwiseAND(inner) == 0)
-
         places = 2**PLACE_BITS - 1 << START_AT
-        found = F.sort_array(F.transform(F.filter(F.concat(chars, joins), left), lambda e: e.bitwiseAND(places + AGAIN - 1)))
+        left = F.filter(F.concat(chars, joins), lambda e: (s.bitwiseAND(e["needs"]) == e["needs"]) & (s.bitwiseAND(e["inner"]) == 0))
+        found = F.sort_array(F.transform(left, lambda e: e["key"].bitwiseAND(places + AGAIN - 1)))
         return F.transform(found, lambda e: (F.when(e.bitwiseAND(AGAIN - 1) == 0, -1 - F.shiftright(e, START_AT)).otherwise(e.bitwiseAND(AGAIN - 1) - 1)).cast("int"))
 
-    return F.aggregate(F.sequence(F.lit(1), length), state(_bit(length + 1) - 1, F.lit(True)), fold, names)
+    return F.aggregate(F.sequence(F.lit(1), length), _bit(length + 1) - 1, fold, names)
 
 
 def merged_long(unit: str, known: dict[str, tuple[int, int]]) -> list[int]:

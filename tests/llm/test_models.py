@@ -267,3 +267,12 @@ def test_class_powers_and_pairs_in_blocks(monkeypatch):
         want = z[np.arange(1000), out] - np.log(np.exp(z).sum(1))
         assert np.allclose(maxent_lm.class_log_of(w, f, out), want, rtol=1e-4, atol=1e-4)
     assert all((a == b).all() for a, b in zip(whole, maxent_lm.train_pairs(keys, n, share)))
+
+
+def test_edges_are_made_outside_the_aggregate(spark):
+    """Expressions within collect_list are interpreted for each row; those of a projection before it are compiled."""
+    vocabulary = piece_lattice.load(public_tokenizers.path("piece_bpe_32k.model"))
+    edges = piece_lattice.lattice(spark.createDataFrame([(" word",), (" other",)], "unit string"), vocabulary)
+    lines = edges._jdf.queryExecution().executedPlan().toString().split("\n")
+    grouped = [x for x in lines if "collect_list" in x]
+    assert grouped and not any("shiftleft" in x or "coalesce" in x for x in grouped)
