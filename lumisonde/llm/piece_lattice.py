@@ -289,9 +289,11 @@ def encode_lexicon(words: DataFrame, vocabulary: Pieces) -> DataFrame:
 
 def _numbers(ks: np.ndarray) -> bytes:
     """Numbers as bytes of seven bits each, the lowest first, a set top bit where more follow; compressed."""
-    size = 1 + sum((ks >= 1 << 7 * j).astype(np.int64) for j in (1, 2, 3))
-    at = np.cumsum(size) - size
-    out = np.empty(int(size.sum()), np.uint8)
+    size = np.ones(len(ks), np.int8)
+    for j in (1, 2, 3):
+        size += ks >= 1 << 7 * j
+    at = np.cumsum(size, dtype=np.int64) - size
+    out = np.empty(int(size.sum(dtype=np.int64)), np.uint8)
     for j in range(4):
         has = size > j
         out[at[has] + j] = (ks[has] >> 7 * j & 127) | np.where(size[has] > j + 1, 128, 0)
@@ -302,10 +304,10 @@ def _of_numbers(raw: bytes) -> np.ndarray:
     b = np.frombuffer(zstandard.decompress(raw), np.uint8)
     ends = np.flatnonzero(b < 128)
     starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-    ks = np.zeros(len(ends), np.int64)
+    ks = np.zeros(len(ends), np.int32)
     for j in range(4):
         has = starts + j <= ends
-        ks[has] |= (b[starts[has] + j] & 127).astype(np.int64) << 7 * j
+        ks[has] |= (b[starts[has] + j] & 127).astype(np.int32) << 7 * j
     return ks
 
 
@@ -322,7 +324,7 @@ def ask(docs: DataFrame, vocabulary: Pieces, parts: int, text: str, most: int) -
     def rows_of(chunk: int, ids: list, texts: list[np.ndarray], seen: list[str]) -> pa.RecordBatch:
         ks = np.concatenate(texts)
         order = np.argsort(-np.bincount(ks, minlength=len(seen)), kind="stable")
-        rank = np.empty(len(seen), np.int64)
+        rank = np.empty(len(seen), np.int32)
         rank[order] = np.arange(len(seen))
         units = [seen[i] for i in order.tolist()]
         part = part_of(units, parts)
@@ -343,7 +345,7 @@ def ask(docs: DataFrame, vocabulary: Pieces, parts: int, text: str, most: int) -
             for i, t in zip(b["doc_id"].to_pylist(), b["text"]):
                 us = vocabulary.units(t.as_py())
                 ids.append(i)
-                texts.append(np.fromiter(map(number.__getitem__, us), np.int64, len(us)))
+                texts.append(np.fromiter(map(number.__getitem__, us), np.int32, len(us)))
                 size += len(us)
                 if size >= most:
                     yield rows_of(chunk, ids, texts, list(number))
@@ -401,8 +403,18 @@ def answers(asked: DataFrame, table: DataFrame, parts: int) -> DataFrame:
     return met.mapInArrow(run, "chunk long, part int, sizes binary, ids binary")
 
 
-def encode(docs: DataFrame, vocabulary: Pieces, text: str = "text", most: int = CHUNK) -> DataFrame:
-    """doc_id, ids per row of docs; most is the number of units after which a chunk of texts ends."""
+def digests(ids: np.ndarray, cut: np.ndarray) -> list[int]:
+    """The CRC-32 of each run of ids between two cuts."""
+    raw = memoryview(np.ascontiguousarray(ids, "<i4")).cast("B")
+    return [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
+def encode(docs: DataFrame, vocabulary: Pieces, text: str = "text", most: int = CHUNK, digest: bool = False) -> DataFrame:
+    """doc_id, ids per row of docs; most is the number of units after which a chunk of texts ends.
+
+    With digest, n_pieces and ids_crc32 (of the ids as little-endian numbers of 32 bits) come from the task that has the ids: asked
+    of a function of its own, all ids would go through a second Python worker for each task.
+    """
     spark = docs.sparkSession
     parts = SPLIT * int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = ask(docs, vocabulary, parts, text, most)
@@ -438,13 +450,16 @@ def encode(docs: DataFrame, vocabulary: Pieces, text: str = "text", most: int =
                     total = np.concatenate(([0], np.cumsum(size[own])))
                     ids = flat[np.arange(total[-1]) + np.repeat(at[own] - total[:-1], size[own])]
                     cut = total[np.concatenate(([0], np.cumsum(counts[a:z])))]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[a:z], mask=null[a:z] > 0), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
+                    cols = {"doc_id": pa.array(doc[a:z], mask=null[a:z] > 0), "ids": pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids))}
+                    if digest:
+                        cols |= {"n_pieces": pa.array(np.diff(cut)), "ids_crc32": pa.array(digests(ids, cut), pa.int64())}
+                    yield pa.RecordBatch.from_pydict(cols)
                     a = z
 
     found = answers(asked, table, parts).groupBy(F.col("chunk").alias("c")).agg(F.collect_list(F.struct("part", "sizes", "ids")).alias("found"))
     texts = asked.where("part = -1").select("chunk", "units", "docs", "parts", "stream")
     both = texts.join(found, texts["chunk"] == found["c"], "left").select("units", "docs", "parts", "stream", "found")
-    return both.mapInArrow(assembled, "doc_id long, ids array<int>")
+    return both.mapInArrow(assembled, "doc_id long, ids array<int>" + ", n_pieces long, ids_crc32 long" * digest)
 
 
 def text_of(ids: list[int] | None, vocabulary: Pieces) -> str:
@@ -463,11 +478,3 @@ def decode(rows: DataFrame, vocabulary: Pieces, ids: str = "ids", into: str = "t
         return pd.Series([text_of(x, sent.value) for x in lists], dtype=object)
 
     return rows.withColumn(fresh(rows, into)[0], run(F.col(ids)))
-
-
-DIGEST = T.StructType([T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType())])
-
-
-@F.pandas_udf(DIGEST)
-def digest_of(lists: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(len(x), zlib.crc32(np.asarray(x, "<i4").tobytes())) for x in lists], columns=["n_pieces", "ids_crc32"])

@@ -33,8 +33,7 @@ def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @shipped
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = piece_lattice.load(public_tokenizers.path("piece_bpe_32k.model"))
-    out = piece_lattice.encode(table(spark, sf_dir, "documents"), vocabulary)
-    return out.select("doc_id", "ids", piece_lattice.digest_of("ids").alias("d")).select("doc_id", "ids", "d.*")
+    return piece_lattice.encode(table(spark, sf_dir, "documents"), vocabulary, digest=True)
 
 
 @shipped

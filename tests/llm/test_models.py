@@ -206,6 +206,21 @@ def test_long_texts_and_clashing_columns(spark):
     assert {r.doc_id: (r.text, r.text_) for r in back.collect()} == {i: ("own", t) for i, t in rows}
 
 
+def test_digests_need_no_python_of_their_own(spark, docs, odd, monkeypatch):
+    """A task that assembles ids and one function more would hold two Python workers, and all ids twice."""
+    monkeypatch.setattr(piece_lattice, "BATCH", 3000)
+    vocabulary = piece_lattice.load(public_tokenizers.path("piece_bpe_32k.model"))
+    for frame in (docs, odd):
+        rows = piece_lattice.encode(frame, vocabulary, most=5000, digest=True).collect()
+        assert len(rows) == frame.count()
+        for r in rows:
+            assert (r.n_pieces, r.ids_crc32) == (len(r.ids), zlib.crc32(np.array(r.ids, "<i4").tobytes()))
+    out = queries.QUERIES["op2_pieces"](spark, SF)
+    assert out.dtypes == [("doc_id", "bigint"), ("ids", "array<int>"), ("n_pieces", "bigint"), ("ids_crc32", "bigint")]
+    last = out._jdf.queryExecution().sparkPlan().toString()
+    assert "ArrowEvalPython" not in last
+
+
 def test_viterbi_is_the_best_path(spark):
     pieces = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.5, "aba": -4.2, "▁a": -3.9, "ba": -4.0, "bb": -9.0}
     v = piece_lattice.Pieces(tuple(pieces), tuple(pieces.values()), tuple(range(1000, 1256)), merges=False)
