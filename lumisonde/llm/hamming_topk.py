@@ -5,7 +5,11 @@ that have it. A search probes, in all tables, the values at distance 0 from its
 then 1, then 2, and so on. After radius r, every code within
 ``segments * (r + 1) - 1`` bits has been met, since a farther one differs by more than r
 bits in each segment at least. A query is done when its k-th verified distance is
-within that bound; the others go on.
+within that bound; the others go on. A query whose k-th distance exceeds the bound of the
+radius before by less than the number of segments probes only as many tables as it is short of.
+
+Probes meet the tables in a shuffled, sorted join: neither side is small, and what Spark
+takes for the size of the probes is that of the codes they come from.
 
 Equal codes are one entry of the index, with the smallest identifiers of their group
 (one more than k: a query does not find itself), so a vector that a third of all rows
@@ -21,16 +25,17 @@ table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumisonde.llm.common import sizes_fit, written
+from lumisonde.llm.common import written
 
 SEGMENT = 16
 LANE = 64
-#: Entries of the segment tables that are broadcast, about 24 bytes each; beyond, a shuffled join.
-BROADCAST_ENTRIES = 1_000_000
+#: Probes that a task makes; codes that ask are dealt out for that, as a few small files hold them all.
+PROBES = 250_000
 
 
 def sign_codes(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -74,13 +79,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
     count = -(-bits // SEGMENT)
     entries = groups.select("code", "ids", _segments(F.col("code"), count).alias("s")).select(F.col("s.seg").alias("seg"), F.col("s.part").alias("key"), F.col("code").alias("near"), "ids")
     entries = written(entries, "segments")
-    few = sizes_fit(entries, BROADCAST_ENTRIES)
     open_ = wanted.select("code").distinct().select("code", F.lit(None).cast("int").alias("worst"))
-    found, done = None, None
+    found, done, left = None, None, open_.count()
     for r in range(SEGMENT + 1):
-        own = open_.select("code", "worst", _segments(F.col("code"), count).alias("s"))
+        parts = max(1, -(-left * count * comb(SEGMENT, r) // PROBES))
+        own = open_.repartition(parts, "code").select("code", "worst", _segments(F.col("code"), count).alias("s"))
+        own = own.where(F.col("worst").isNull() | (F.col("s.seg") <= F.col("worst") - count * r))
         probes = own.select("code", "worst", F.col("s.seg").alias("seg"), F.explode(F.transform(_masks(r), lambda m: m.bitwiseXOR(F.col("s.part")))).alias("key"))
-        met = probes.join(F.broadcast(entries) if few else entries, ["seg", "key"])
+        met = probes.join(entries.hint("merge"), ["seg", "key"])
         met = met.withColumn("d", distance(F.col("code"), F.col("near"))).where(F.col("worst").isNull() | (F.col("d") <= F.col("worst")))
         met = met.select("code", "d", F.explode("ids").alias("id"))
         if found is not None:
@@ -94,7 +100,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
         ready = found.join(state.where(covered).select("code"), "code", "left_semi")
         done = ready if done is None else done.unionByName(ready)
         open_ = state.where(~covered)
-        if open_.isEmpty():
+        left = open_.count()
+        if not left:
             break
         found = found.join(open_.select("code"), "code", "left_semi")
     pairs = wanted.toDF("query_id", "code").join(done, "code").where("query_id <> id").groupBy("query_id", "id").agg(F.min("d").alias("distance"))

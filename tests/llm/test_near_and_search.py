@@ -247,6 +247,27 @@ def test_top_k(spark):
     assert hamming_topk.top_k(frame.where("vec_id < 3"), frame.where("vec_id < 3"), k=5, bits=70).count() == 6
 
 
+def test_top_k_broadcasts_neither_side_of_its_join(spark, monkeypatch):
+    """Probes are thousands for each query, entries four for each vector; near and far neighbours have searches end at every table of a radius."""
+    rng = np.random.default_rng(8)
+    bits = rng.random((400, 64)) < 0.5
+    for i in range(0, 400, 10):
+        for j in range(1, 6):
+            bits[i + j] = bits[i] ^ (rng.random(64) < (i % 70 + 5) / 300)
+    rows = [(i, np.where(b, 1.0, -1.0).tolist()) for i, b in enumerate(bits)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plans, kept = [], hamming_topk.written
+    monkeypatch.setattr(hamming_topk, "written", lambda df, name: (name == "found" and plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
+    monkeypatch.setattr(hamming_topk, "PROBES", 1000, raising=False)
+    got = hamming_topk.top_k(frame, frame.where("vec_id % 10 = 0"), k=4).collect()
+    want = []
+    for q in range(0, 400, 10):
+        near = sorted((int((bits[q] != b).sum()), i) for i, b in enumerate(bits) if i != q)
+        want += [(q, r, i, d) for r, (d, i) in enumerate(near[:4], 1)]
+    assert sorted(map(tuple, got)) == want and len({d // 4 for *_, d in want}) > 3
+    assert len(plans) > 3 and all("SortMergeJoin [seg" in p for p in plans)  # the codes that ask, a few for each round, may be broadcast
+
+
 def test_parts_of_urls(spark):
     cases = {
         "http://A.Example.com/en/7?x#y": ("a.example.com", "/en/7"),
