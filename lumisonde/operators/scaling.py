@@ -48,17 +48,17 @@ def higuchi(series: DataFrame, by: Sequence[str], most: int = 6) -> DataFrame:
     return lengths.groupBy(*by).agg((-F.regr_slope(F.log("l_"), F.log(k.cast("double")))).alias("higuchi"))
 
 
-def _segments(series: DataFrame, by: Sequence[str], least: int, share: int, count: int, first: int) -> DataFrame:
-    """Rows of the first whole segments of every scale: (by, s, w, t, x) with the place t within the segment."""
+def _segments(series: DataFrame, by: Sequence[str], least: int, share: int, count: int) -> DataFrame:
+    """Rows of the whole segments of every scale: (by, s, w, t, x) with the place t within the segment."""
     each = _sized(series, by)
     each = each.withColumn("s", F.explode(_scales(least, F.greatest(F.lit(least + 1), F.floor(F.col("n_") / share)).cast("double"), count)))
     each = each.withColumns({"w": F.floor(F.col("i") / F.col("s")), "t": F.col("i") % F.col("s")})
-    return each.where((F.col("w") < first) & ((F.col("w") + 1) * F.col("s") <= F.col("n_")))
+    return each.where((F.col("w") + 1) * F.col("s") <= F.col("n_"))
 
 
-def hurst(series: DataFrame, by: Sequence[str], scales: int = 10, first: int = 10) -> DataFrame:
-    """(by, hurst): slope of the log of the rescaled range over log scale, for scales from 4 to an eighth of the length, over the first segments of each."""
-    cut = _segments(series, by, 4, 8, scales, first)
+def hurst(series: DataFrame, by: Sequence[str], scales: int = 10) -> DataFrame:
+    """(by, hurst): slope of the log of the rescaled range over log scale, for scales from 4 to an eighth of the length, over all whole segments of each."""
+    cut = _segments(series, by, 4, 8, scales)
     own = Window.partitionBy(*by, "s", "w")
     cut = cut.withColumn("d_", F.col("x") - F.avg("x").over(own))
     cut = cut.withColumn("c_", F.sum("d_").over(own.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
@@ -67,12 +67,12 @@ def hurst(series: DataFrame, by: Sequence[str], scales: int = 10, first: int = 1
     return means.groupBy(*by).agg(F.regr_slope(F.log("rs_"), F.log(F.col("s").cast("double"))).alias("hurst"))
 
 
-def dfa(series: DataFrame, by: Sequence[str], scales: int = 6, first: int = 10) -> DataFrame:
-    """(by, dfa): slope of the log of the fluctuation around straight lines over log scale, for scales from 4 to a quarter of the length, over the first segments of each."""
+def dfa(series: DataFrame, by: Sequence[str], scales: int = 6) -> DataFrame:
+    """(by, dfa): slope of the log of the fluctuation around straight lines over log scale, for scales from 4 to a quarter of the length, over all whole segments of each."""
     order = Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     walk = _sized(series, by).withColumn("x", F.sum(F.col("x") - F.col("mean_")).over(order)).select(*by, "i", "x")
     s, t = F.col("s"), F.col("t") - (F.col("s") - 1) / 2
-    sums = _segments(walk, by, 4, 4, scales, first).groupBy(*by, "s", "w").agg(F.sum("x").alias("y_"), F.sum(F.col("x") * F.col("x")).alias("yy_"), F.sum(F.col("x") * t).alias("yt_"))
+    sums = _segments(walk, by, 4, 4, scales).groupBy(*by, "s", "w").agg(F.sum("x").alias("y_"), F.sum(F.col("x") * F.col("x")).alias("yy_"), F.sum(F.col("x") * t).alias("yt_"))
     rest = F.col("yy_") - F.col("y_") * F.col("y_") / s - F.col("yt_") * F.col("yt_") / (s * (s * s - 1) / 12)
     each = sums.groupBy(*by, "s").agg(F.sqrt(F.greatest(F.avg(rest / s), F.lit(0.0))).alias("f_"))
     return each.groupBy(*by).agg(F.regr_slope(F.log(F.col("f_") + 1e-12), F.log(s.cast("double"))).alias("dfa"))

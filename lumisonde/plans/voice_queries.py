@@ -190,9 +190,9 @@ def recurrence_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
  l AS (SELECT vec_id, k, ln(avg(l) + 1e-12) AS l FROM h GROUP BY vec_id, k), hi AS (SELECT vec_id, -regr_slope(l, ln(k)) AS higuchi FROM l GROUP BY vec_id),
  y AS (SELECT vec_id, i, sum(x[i + 1] - list_avg(x)) OVER (PARTITION BY vec_id ORDER BY i) AS y FROM v, range(64) t(i)),
  ds AS (SELECT DISTINCT floor(10 ** (log10(4) + j * (log10(16) - log10(4)) / 5) + 1e-9)::BIGINT AS s FROM range(6) t(j)), hs AS (SELECT DISTINCT floor(10 ** (log10(4) + j * (log10(8) - log10(4)) / 9) + 1e-9)::BIGINT AS s FROM range(10) t(j)),
- w AS (SELECT vec_id, s, i // s AS w, regr_syy(y, i) - coalesce(regr_sxy(y, i) ** 2 / regr_sxx(y, i), 0) AS rest FROM y, ds WHERE i // s < 10 AND (i // s + 1) * s <= 64 GROUP BY vec_id, s, i // s),
+ w AS (SELECT vec_id, s, i // s AS w, regr_syy(y, i) - coalesce(regr_sxy(y, i) ** 2 / regr_sxx(y, i), 0) AS rest FROM y, ds WHERE (i // s + 1) * s <= 64 GROUP BY vec_id, s, i // s),
  f AS (SELECT vec_id, s, ln(sqrt(avg(rest / s)) + 1e-12) AS f FROM w GROUP BY vec_id, s), df AS (SELECT vec_id, regr_slope(f, ln(s)) AS dfa FROM f GROUP BY vec_id),
- g AS (SELECT vec_id, s, i // s AS w, i, x[i + 1] AS x, x[i + 1] - avg(x[i + 1]) OVER (PARTITION BY vec_id, s, i // s) AS d FROM v, range(64) t(i), hs WHERE i // s < 10 AND (i // s + 1) * s <= 64),
+ g AS (SELECT vec_id, s, i // s AS w, i, x[i + 1] AS x, x[i + 1] - avg(x[i + 1]) OVER (PARTITION BY vec_id, s, i // s) AS d FROM v, range(64) t(i), hs WHERE (i // s + 1) * s <= 64),
  c AS (SELECT *, sum(d) OVER (PARTITION BY vec_id, s, w ORDER BY i) AS c FROM g), r AS (SELECT vec_id, s, w, (max(c) - min(c)) / stddev_pop(x) AS rs FROM c GROUP BY vec_id, s, w HAVING stddev_pop(x) > 0),
  m AS (SELECT vec_id, s, ln(avg(rs)) AS rs FROM r GROUP BY vec_id, s), hu AS (SELECT vec_id, regr_slope(rs, ln(s)) AS hurst FROM m GROUP BY vec_id)
  SELECT vec_id, round(higuchi, 5) AS higuchi, round(hurst, 5) AS hurst, round(dfa, 5) AS dfa FROM hi JOIN hu USING (vec_id) JOIN df USING (vec_id)""")

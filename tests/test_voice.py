@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
 
@@ -146,6 +147,36 @@ def test_exponents_of_noise_and_walks(spark):
     assert 0.3 < d[0] < 0.75 and d[1] > 1.1 and h[0] > 1.85 and 1.3 < h[1] < 1.7 and u[0] < u[1]
 
 
+def test_exponents_look_at_all_segments(spark):
+    """Series that are calm at first and rough later, against plain loops over all whole segments."""
+    rng = np.random.default_rng(4)
+    series = [rng.normal(size=n) * np.linspace(0.1, 5, n) ** 2 for n in (64, 150, 333)]
+
+    def scales(n, share, count):
+        top = max(5, n // share)
+        return sorted({math.floor(10 ** (math.log10(4) + k * (math.log10(top) - math.log10(4)) / (count - 1)) + 1e-9) for k in range(count)})
+
+    def rescaled(x):
+        points = []
+        for s in scales(len(x), 8, 10):
+            parts = [x[k : k + s] for k in range(0, len(x) - s + 1, s)]
+            points.append((s, np.mean([np.ptp(np.cumsum(p - p.mean())) / p.std() for p in parts])))
+        return np.polyfit(*np.log(points).T, 1)[0]
+
+    def detrended(x):
+        y, points = np.cumsum(x - x.mean()), []
+        for s in scales(len(x), 4, 6):
+            t = np.arange(s)
+            parts = [y[k : k + s] for k in range(0, len(y) - s + 1, s)]
+            points.append((s, math.sqrt(np.mean([np.mean((p - np.polyval(np.polyfit(t, p, 1), t)) ** 2) for p in parts]))))
+        return np.polyfit(*np.log(points).T, 1)[0]
+
+    s = scaling.series_of(clips(spark, *series), "id", "x")
+    for f, plain in ((scaling.hurst, rescaled), (scaling.dfa, detrended)):
+        got = {r.id: r[1] for r in f(s, ["id"]).collect()}
+        assert [got[i] for i in range(3)] == pytest.approx([plain(x) for x in series], rel=1e-6)
+
+
 @pytest.mark.parametrize("ranges", [1, 5])
 def test_interval_sets(spark, ranges, monkeypatch):
     monkeypatch.setattr(intervals, "cuts_of", lambda *a: cuts_of(*a, ranges=ranges))
