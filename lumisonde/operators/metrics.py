@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumisonde.operators.ranks import cuts_of, ordered, ranked
+from lumisonde.operators.ranks import cuts_of, fresh, ordered, ranked
 
 #: Cost model of the normalised minimum t-DCF for a fixed verification system. Fixed values.
 P_SPOOF, C_MISS_ASV, C_FA_ASV, C_MISS_CM, C_FA_CM = 0.05, 1.0, 10.0, 1.0, 10.0
@@ -95,10 +95,17 @@ def sweep(scores: DataFrame, by: Sequence[str], thresholds: Sequence[float] = (0
     return rates(confusion(each, [*by, "threshold"], F.col("threshold")))
 
 
+def falling(p: Column) -> Column:
+    """A number that ascends as p descends in SQL: NaN first, as the greatest, and nulls last."""
+    return F.when(p.isNull(), nan()).when(~F.isnan(p), -p)
+
+
 def by_score(scores: DataFrame, by: Sequence[str], number: str | None = None, after: dict[str, str] | None = None) -> DataFrame:
     """Per distinct score: its positives and negatives, those at or above it (tp, fp), and the group's (np, nn); if asked its number from the highest, and values of the next lower one."""
     each = scores.groupBy(*by, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    return ordered(each, by, [-F.col("p")], cuts=cuts_of(scores, -F.col("p"), each=ROWS), number=number, sums={"tp": "pos", "fp": "neg"}, totals={"np": "pos", "nn": "neg"}, after=after)
+    (down,) = fresh(each, "down")
+    each = each.withColumn(down, falling(F.col("p")))
+    return ordered(each, by, [down], cuts=cuts_of(scores, falling(F.col("p")), each=ROWS), number=number, sums={"tp": "pos", "fp": "neg"}, totals={"np": "pos", "nn": "neg"}, after=after).drop(down)
 
 
 def roc_auc(scores: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -119,10 +126,17 @@ def pr_auc(scores: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def roc_points(scores: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Vertices of the ROC curve: points where the slope changes, and both ends. ord counts from the highest score."""
+    """Vertices of the ROC curve: points where the slope changes, and both ends. ord counts from the highest score.
+
+    Samples without a label count for nothing. Scores above the first label are points without rates, and where
+    the curve starts from such it has no slope, so that label's own point is none unless it is the last.
+    """
     at = by_score(scores, by, "ord", {"on_pos": "pos", "on_neg": "neg"}).where("np > 0 and nn > 0")
-    at = at.withColumn("ord", F.col("ord").cast("int")).withColumn("vertex", F.col("on_pos").isNull() | (F.col("on_pos") != F.col("pos")) | (F.col("on_neg") != F.col("neg")))
-    points = at.where("vertex").select(*by, "ord", F.col("p").alias("threshold"), (F.col("fp") / F.col("nn")).alias("fpr"), (F.col("tp") / F.col("np")).alias("tpr"))
+    told, turns = F.col("tp") + F.col("fp"), (F.col("on_pos") != F.col("pos")) | (F.col("on_neg") != F.col("neg"))
+    turns = F.when(told == 0, True).when((told == F.col("pos") + F.col("neg")) & (F.col("ord") > 1), False).otherwise(turns)
+    at = at.withColumn("ord", F.col("ord").cast("int")).withColumn("vertex", F.col("on_pos").isNull() | turns)
+    rate = lambda n, of: F.when(told > 0, F.col(n) / F.col(of))
+    points = at.where("vertex").select(*by, "ord", F.col("p").alias("threshold"), rate("fp", "nn").alias("fpr"), rate("tp", "np").alias("tpr"))
     start = at.where("ord = 1").select(*by, F.lit(0).alias("ord"), F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(start)
 
@@ -131,14 +145,14 @@ def eer(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """Equal error rate at the vertex where |FPR - FNR| is least (the first such), and its threshold."""
     gap = F.abs(F.col("fpr") - (1 - F.col("tpr")))
     best = F.min_by(F.struct("threshold", ((F.col("fpr") + 1 - F.col("tpr")) / 2).alias("eer")), F.struct(F.round(gap, 12), F.col("ord")))
-    return roc_points(scores, by).groupBy(*by).agg(best.alias("b")).select(*by, "b.eer", F.col("b.threshold").alias("eer_threshold"))
+    return roc_points(scores, by).where("fpr is not null").groupBy(*by).agg(best.alias("b")).select(*by, "b.eer", F.col("b.threshold").alias("eer_threshold"))
 
 
 def eer_by_interpolation(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """Equal error rate where the ROC polyline meets 1 - FPR = TPR, and the threshold interpolated between the two vertices around."""
     gap = 1 - F.col("fpr") - F.col("tpr")
-    points = roc_points(scores, by).withColumn("gap", gap)
-    at = ordered(points, by, [-F.col("threshold"), "ord"], cuts=cuts_of(scores, -F.col("p"), each=ROWS), before={"f0": "fpr", "t0": "threshold", "g0": "gap"})
+    points = roc_points(scores, by).where("fpr is not null").withColumn("gap", gap)
+    at = ordered(points, by, [falling(F.col("threshold")), "ord"], cuts=cuts_of(scores, falling(F.col("p")), each=ROWS), before={"f0": "fpr", "t0": "threshold", "g0": "gap"})
     share = F.when(F.col("g0") == F.col("gap"), 0.0).otherwise(F.col("g0") / (F.col("g0") - F.col("gap")))
     root = F.col("f0") + share * (F.col("fpr") - F.col("f0"))
     cut = F.when(F.col("t0") == float("inf"), F.col("threshold")).otherwise(F.col("t0") + share * (F.col("threshold") - F.col("t0")))

@@ -59,7 +59,8 @@ def cuts_of(rows: DataFrame, value: Column | str, ranges: int = RANGES, each: in
     groups: the table of ranges has a row for each range of each group.
     """
     q = max(ranges, MOST) if each else ranges
-    found = rows.agg(F.percentile_approx(_number(rows, value), [k / q for k in range(1, q)], F.lit(10 * q if each else 1000)).alias("c"), F.count(F.lit(1)).alias("n")).first()
+    x = _number(rows, value)
+    found = rows.agg(F.percentile_approx(F.when(~F.isnan(x), x), [k / q for k in range(1, q)], F.lit(10 * q if each else 1000)).alias("c"), F.count(F.lit(1)).alias("n")).first()
     cuts, step = found["c"] or [], q // ranges
     while each and step > 1 and found["n"] * step > each * q:
         step //= 2

@@ -1,4 +1,4 @@
-"""Rounding and formats against SQL where engines differ: ties, signs of zero, sums in any order."""
+"""Rounding, order and formats against SQL where engines differ: ties, signs of zero, nulls, sums in any order."""
 
 from __future__ import annotations
 
@@ -66,6 +66,19 @@ def test_roc_rates_at_ties(spark, tmp_path):
     same(spark, tmp_path, "roc_of_real_scores", "lineitem", rows, "l_orderkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_linestatus string")
 
 
+LINE = "l_orderkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_linestatus string"
+
+
+def test_roc_of_missing_scores_and_labels(spark, tmp_path):
+    """Scores that are NaN come first, missing ones last; points above the first label have no rates."""
+    rows = [(k, 1 + k % 7, 900.0 + 150.0 * (k * 37 % 50), "RAN"[k % 3], "OFX"[k % 3 - k % 2]) for k in range(300)]
+    rows += [(1000 + k, 1, None, "RA"[k % 2], "O") for k in range(4)] + [(None, 1, 500.0, "R", "F"), (5, None, 500.0, "A", "F")]
+    rows += [(1100 + k, 1, math.nan, "RAA"[k % 3], "F") for k in range(4)] + [(1200 + k, 1, 9e6 - k, None, "OX"[k % 2]) for k in range(5)]
+    rows += [(1300 + k, 1, 2000.0 + k, None, "OFX"[k % 3]) for k in range(9)] + [(1400, 1, math.inf, "A", "X"), (1401, 1, -math.inf, "R", "X")]
+    want = same(spark, tmp_path, "roc_of_real_scores", "lineitem", rows, LINE)
+    assert any("nan" in r for r in want) and any("None, None" in r for r in want) and any(r.count("None") == 1 for r in want)
+
+
 ORDERS = [(k, 500.0 * k - 1000.0, f"1995-01-{1 + k % 28:02d}") for k in range(400)] + [(1000, 1234567.891, "1996-02-03"), (1001, 12500000.0, "1996-02-03")]
 
 
